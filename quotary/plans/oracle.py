@@ -325,3 +325,440 @@ sql("economic_fetch_window", "econ series", """
     SELECT symbol, CAST(f AS VARCHAR) AS date_from, '2024-01-25' AS date_to, f <= DATE '2024-01-25' AS needed FROM (
       SELECT s.symbol, CASE WHEN a IS NULL OR a > DATE '1955-01-01' THEN DATE '1954-01-01' ELSE b + 1 END AS f
       FROM series s LEFT JOIN (SELECT symbol, min(date) AS a, max(date) AS b FROM econ GROUP BY symbol) USING (symbol))""")
+
+# --- E --------------------------------------------------------------------------------------------
+
+# a full history of both tables, the stored row before the incoming ones
+_BEST = """best AS (SELECT * FROM price_changes QUALIFY row_number() OVER (PARTITION BY symbol, date
+      ORDER BY last_updated DESC, open DESC, high DESC, low DESC, close DESC, volume DESC) = 1)"""
+
+
+def _upsert(newer: str) -> str:
+    cols = ", ".join(f"CASE WHEN take THEN n.{c} ELSE o.{c} END AS {c}"
+                     for c in ("open", "high", "low", "close", "volume", "source"))
+    return f"""WITH {_BEST}, both_sides AS (
+      SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.date, n.date) AS date, o, n,
+             n.symbol IS NOT NULL AND (o.symbol IS NULL OR {newer}) AS take
+      FROM prices o FULL OUTER JOIN best n ON o.symbol = n.symbol AND o.date = n.date)
+    SELECT symbol, {_s('date')}, {cols}, CAST(CASE WHEN take THEN n.last_updated ELSE o.last_updated END AS VARCHAR) AS last_updated,
+           CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN take THEN 'updated' ELSE 'unchanged' END AS change FROM both_sides"""
+
+
+sql("upsert_prices", "prices price_changes", _upsert("o.last_updated < n.last_updated"))
+sql("upsert_prices_force", "prices price_changes", _upsert("TRUE"))
+sql("upsert_counts", "prices price_changes", f"""
+    WITH {_BEST} SELECT change, count(*) AS n FROM (
+      SELECT CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN o.last_updated < n.last_updated THEN 'updated' ELSE 'unchanged' END AS change
+      FROM prices o FULL OUTER JOIN best n ON o.symbol = n.symbol AND o.date = n.date) GROUP BY change""")
+_RAW_MERGE = """rbest AS (SELECT * FROM raw_changes QUALIFY row_number() OVER (PARTITION BY symbol, date, source
+      ORDER BY fetched_at DESC, open DESC, high DESC, low DESC, close DESC, volume DESC) = 1),
+    merged AS (SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.date, o.date) AS date, coalesce(n.source, o.source) AS source,
+        coalesce(n.open, o.open) AS open, coalesce(n.high, o.high) AS high, coalesce(n.low, o.low) AS low,
+        coalesce(n.close, o.close) AS close, coalesce(n.volume, o.volume) AS volume, coalesce(n.fetched_at, o.fetched_at) AS fetched_at,
+        o.consensus_close, CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN n.symbol IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change
+      FROM raw o FULL OUTER JOIN rbest n ON o.symbol = n.symbol AND o.date = n.date AND o.source = n.source)"""
+sql("upsert_raw", "raw raw_changes", f"""
+    WITH {_RAW_MERGE} SELECT symbol, {_s('date')}, source, {DBL}, volume, {_s('fetched_at')},
+        CAST(consensus_close AS DOUBLE) AS consensus_close, change FROM merged""")
+sql("upsert_economic", "econ econ_changes", f"""
+    WITH best AS (SELECT * FROM econ_changes QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY last_updated DESC, value DESC) = 1)
+    SELECT coalesce(n.symbol, o.symbol) AS symbol, CAST(coalesce(n.date, o.date) AS VARCHAR) AS date,
+           CASE WHEN n.symbol IS NOT NULL THEN n.value ELSE o.value END AS value,
+           CAST(coalesce(n.last_updated, o.last_updated) AS VARCHAR) AS last_updated,
+           CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN n.symbol IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change
+    FROM econ o FULL OUTER JOIN best n ON o.symbol = n.symbol AND o.date = n.date""")
+_NOW = "2001-11-05 06:00:00"
+_ACTIONS = """a0 AS (SELECT symbol, event_date, event_type, CAST(dividend_amount * 2 AS DECIMAL(18,8)) AS dividend_amount, split_ratio
+      FROM ev WHERE event_type IN ('dividend', 'split')),
+    acts AS (SELECT symbol, event_date, event_type, max(dividend_amount) AS dividend_amount, max(split_ratio) AS split_ratio
+      FROM (SELECT * FROM a0 UNION ALL SELECT symbol, event_date + 4000, event_type, dividend_amount, split_ratio FROM a0
+            WHERE event_type = 'dividend') GROUP BY 1, 2, 3),
+    known AS (SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.event_date, n.event_date) AS event_date,
+        coalesce(o.event_type, n.event_type) AS event_type, n.symbol IS NOT NULL AS hit,
+        CASE WHEN n.symbol IS NOT NULL THEN n.dividend_amount ELSE o.dividend_amount END AS dividend_amount,
+        CASE WHEN n.symbol IS NOT NULL THEN n.split_ratio ELSE o.split_ratio END AS split_ratio,
+        coalesce(n.event_date, o.ex_date) AS ex_date, o.confirmed_at, o.source_count, o.source_names, o.severity, o.status,
+        o.updated_at, o.symbol AS had
+      FROM ev o FULL OUTER JOIN acts n ON o.symbol = n.symbol AND o.event_date = n.event_date AND o.event_type = n.event_type)"""
+sql("upsert_confirmed_events", "ev", f"""
+    WITH {_ACTIONS}
+    SELECT symbol, {_s('event_date')}, event_type, CAST(CAST(split_ratio AS DECIMAL(10,6)) AS DOUBLE) AS ratio,
+           CAST(CAST(dividend_amount AS DECIMAL(12,4)) AS DOUBLE) AS amount, CAST(dividend_amount AS DOUBLE) AS dividend_amount,
+           CAST(split_ratio AS DOUBLE) AS split_ratio, {_s('ex_date')},
+           CASE WHEN hit THEN '{_NOW}' ELSE CAST(confirmed_at AS VARCHAR) END AS confirmed_at,
+           CASE WHEN hit THEN 1 ELSE coalesce(source_count, 0) END AS source_count,
+           CASE WHEN hit THEN 'eodhd' ELSE source_names END AS source_names, severity,
+           CASE WHEN hit THEN 'confirmed' ELSE status END AS status,
+           CASE WHEN hit THEN '{_NOW}' ELSE CAST(updated_at AS VARCHAR) END AS updated_at,
+           CASE WHEN had IS NULL THEN 'inserted' WHEN hit THEN 'updated' ELSE 'unchanged' END AS change FROM known""")
+sql("delete_prices", "prices symbols", f"""
+    SELECT {_ROW} FROM prices p WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.symbol = p.symbol
+      AND NOT coalesce(s.is_active, FALSE) AND p.date <= DATE '1998-12-31'
+      AND (s.is_active IS NOT NULL OR p.date >= DATE '1997-01-01'))""")
+sql("register_symbols", "symbols", f"""
+    SELECT symbol, name, is_active, has_full_history, {_s('created_at')}, 'unchanged' AS change FROM symbols
+    UNION ALL SELECT 'S' || CAST(p_partkey AS VARCHAR), NULL, TRUE, FALSE, '{_NOW}', 'inserted' FROM part
+    WHERE 'S' || CAST(p_partkey AS VARCHAR) NOT IN (SELECT symbol FROM symbols)""")
+sql("set_active_symbols", "symbols changes", "SELECT symbol, symbol IN (SELECT new_symbol FROM changes) AS is_active FROM symbols")
+sql("deactivate_symbols", "symbols changes", """
+    SELECT symbol, CASE WHEN symbol IN (SELECT old_symbol FROM changes) THEN FALSE ELSE is_active END AS is_active FROM symbols""")
+sql("symbols_not_found", "symbols", """
+    SELECT 'S' || CAST(p_partkey AS VARCHAR) AS symbol FROM part
+    WHERE 'S' || CAST(p_partkey AS VARCHAR) NOT IN (SELECT symbol FROM symbols)""")
+sql("event_status_update", "ev", f"""
+    SELECT id, CASE WHEN severity = 'low' THEN status ELSE CASE id % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'ignored'
+             WHEN 2 THEN 'fixing' WHEN 3 THEN 'fixed' ELSE 'failed' END END AS status,
+           CASE WHEN severity <> 'low' AND id % 5 = 1 THEN CASE WHEN id % 2 = 0 THEN 'Ignored: noise' ELSE 'Ignored' END END AS notes,
+           CASE WHEN severity <> 'low' AND id % 5 = 3 THEN '{_NOW}' END AS fixed_at,
+           CASE WHEN severity <> 'low' THEN '{_NOW}' ELSE CAST(updated_at AS VARCHAR) END AS updated_at FROM ev""")
+
+# --- F --------------------------------------------------------------------------------------------
+
+
+def _consensus(raw: str, p: str = "") -> str:
+    """Self-join form: the anchor is the first source that has another source near it."""
+    return f"""{p}v AS (SELECT symbol, date, source, CAST(close AS DOUBLE) AS c FROM {raw}),
+    {p}near AS (SELECT a.symbol, a.date, a.source AS anchor, count(*) AS n, avg(b.c) AS mean FROM {p}v a JOIN {p}v b USING (symbol, date)
+      WHERE abs(b.c - a.c) <= CAST(0.01 AS DOUBLE) + CAST(1e-9 AS DOUBLE) GROUP BY ALL HAVING count(*) >= 2),
+    {p}cons AS (SELECT symbol, date, round(arg_min(mean, anchor), 6) AS consensus_close FROM {p}near GROUP BY symbol, date)"""
+
+
+_SAID = """said AS (SELECT symbol, date, string_agg(source || ':' || CAST(CAST(round(c * 1000) AS BIGINT) AS VARCHAR), ';' ORDER BY source) AS closes
+      FROM v GROUP BY symbol, date)"""
+sql("consensus_close", "raw", f"""
+    WITH {_consensus('raw')}, {_SAID}
+    SELECT symbol, {_s('date')}, closes, consensus_close FROM said LEFT JOIN cons USING (symbol, date)""")
+sql("consensus_alerts", "raw", f"""
+    WITH {_consensus('raw')}, {_SAID}
+    SELECT symbol, {_s('date')}, closes FROM said ANTI JOIN cons USING (symbol, date)""")
+_SETTLED = """settled AS (SELECT r.* EXCLUDE (consensus_close),
+      coalesce(CAST(c.consensus_close AS DECIMAL(18,6)), r.consensus_close) AS consensus_close FROM {raw} r LEFT JOIN cons c USING (symbol, date))"""
+sql("apply_consensus", "raw", f"""
+    WITH {_consensus('raw')}, {_SETTLED.format(raw='raw')}
+    SELECT symbol, {_s('date')}, source, CAST(close AS DOUBLE) AS close, CAST(consensus_close AS DOUBLE) AS consensus_close FROM settled""")
+_COLLAPSED = """collapsed AS (SELECT symbol, date, CAST(max(consensus_close) AS DOUBLE) AS consensus_close, max(volume) AS volume
+      FROM {src} WHERE consensus_close IS NOT NULL AND date BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY symbol, date)"""
+_A, _B = "1996-01-01", "2000-12-31"
+sql("collapse_raw", "raw", f"WITH {_COLLAPSED.format(src='raw', a=_A, b=_B)} SELECT symbol, {_s('date')}, consensus_close, volume FROM collapsed")
+
+
+def _factors(source: str, end: str) -> str:
+    return f"""conf AS (SELECT symbol, event_type, ex_date, CAST(dividend_amount AS DOUBLE) AS d, CAST(split_ratio AS DOUBLE) AS r
+      FROM {source} WHERE ex_date <= DATE '{end}'
+      AND (event_type = 'split' AND split_ratio <> 0 OR event_type = 'dividend' AND dividend_amount <> 0)),
+    cashed AS (SELECT e.*, p.date AS prev_date, p.consensus_close AS prev_close,
+        CASE WHEN coalesce(p.consensus_close, 0) <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - d / p.consensus_close) END AS factor
+      FROM (SELECT * FROM conf WHERE event_type = 'dividend') e ASOF LEFT JOIN collapsed p ON e.symbol = p.symbol AND e.ex_date > p.date),
+    steps AS (SELECT symbol, ex_date, factor AS f FROM cashed UNION ALL SELECT symbol, ex_date, 1.0 / r FROM conf WHERE event_type = 'split'),
+    factored AS (SELECT c.symbol, c.date, any_value(c.consensus_close) AS consensus_close, any_value(c.volume) AS volume,
+        coalesce(product(s.f), 1.0) AS factor
+      FROM collapsed c LEFT JOIN steps s ON s.symbol = c.symbol AND c.date < s.ex_date GROUP BY c.symbol, c.date)"""
+
+
+_CONFIRMED = "cev AS (SELECT * FROM ev WHERE confirmed_at IS NOT NULL)"
+_ALL_F = f"""{_consensus('raw')}, {_SETTLED.format(raw='raw')}, {_COLLAPSED.format(src='settled', a=_A, b=_B)}, {_CONFIRMED}, {_factors('cev', _B)}"""
+sql("dividend_factors", "raw ev", f"""
+    WITH {_ALL_F} SELECT symbol, {_s('ex_date')}, d AS dividend_amount, {_s('prev_date')}, prev_close, round(factor, 9) AS factor FROM cashed""")
+sql("adjustment_factor", "raw ev", f"WITH {_ALL_F} SELECT symbol, {_s('date')}, round(factor, 9) AS factor FROM factored")
+_FLAT = ", ".join(f"round(consensus_close * factor + CAST(1.3e-10 AS DOUBLE), 6) AS {c}" for c in ("open", "high", "low", "close"))
+sql("derive_adjusted", "raw ev", f"""
+    WITH {_ALL_F} SELECT symbol, {_s('date')}, {_FLAT}, volume, 'raw_consensus_events' AS source, '{_NOW}' AS last_updated FROM factored""")
+_REFRESH = f"""{_RAW_MERGE}, inside AS (SELECT * FROM merged WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
+    {_consensus('inside')}, {_SETTLED.format(raw='merged')}, {_COLLAPSED.format(src='settled', a='1995-01-01', b='2001-12-31')},
+    {_ACTIONS}, cev AS (SELECT * FROM known WHERE hit OR confirmed_at IS NOT NULL), {_factors('cev', '2001-12-31')}"""
+sql("raw_price_refresh", "raw raw_changes ev prices", f"""
+    WITH {_REFRESH}
+    SELECT coalesce(f.symbol, p.symbol) AS symbol, CAST(coalesce(f.date, p.date) AS VARCHAR) AS date,
+           {', '.join(f"round(CASE WHEN f.symbol IS NOT NULL THEN f.consensus_close * f.factor ELSE p.{c} END + CAST(1.3e-10 AS DOUBLE), 6) AS {c}" for c in ('open', 'high', 'low', 'close'))},
+           coalesce(f.volume, p.volume) AS volume, CASE WHEN f.symbol IS NOT NULL THEN 'raw_consensus_events' ELSE p.source END AS source,
+           CASE WHEN f.symbol IS NOT NULL THEN '{_NOW}' ELSE CAST(p.last_updated AS VARCHAR) END AS last_updated,
+           CASE WHEN p.symbol IS NULL THEN 'inserted' WHEN f.symbol IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change
+    FROM prices p FULL OUTER JOIN factored f ON p.symbol = f.symbol AND p.date = f.date""")
+sql("refresh_counts", "raw raw_changes ev", f"""
+    WITH {_REFRESH}
+    SELECT 'confirmed' AS what, count(*) AS n FROM cons
+    UNION ALL SELECT 'alerts', count(*) FROM (SELECT DISTINCT symbol, date FROM inside) ANTI JOIN cons USING (symbol, date)
+    UNION ALL SELECT 'derived', count(*) FROM factored""")
+_VERIFY = """cmp AS (SELECT s.symbol, a.c AS p, b.c AS q, abs(a.c - b.c) AS diff,
+        CASE WHEN a.c IS NULL OR b.c IS NULL THEN 'unverified' WHEN abs(a.c - b.c) > CAST(0.01 AS DOUBLE) + CAST(1e-9 AS DOUBLE)
+             THEN 'mismatch' ELSE 'ok' END AS status
+      FROM symbols s
+      LEFT JOIN (SELECT symbol, CAST(close AS DOUBLE) AS c FROM raw WHERE source = 'eodhd' AND date = DATE '1998-06-30') a USING (symbol)
+      LEFT JOIN (SELECT symbol, CAST(close AS DOUBLE) AS c FROM raw WHERE source = 'tiingo' AND date = DATE '1998-06-30') b USING (symbol))"""
+sql("verify_two_sources", "raw symbols", f"""
+    WITH {_VERIFY}
+    SELECT symbol, '1998-06-30' AS date, p AS primary_close, q AS verifier_close, diff, status, CASE status
+        WHEN 'unverified' THEN symbol || ': source unavailable eodhd=' || CASE WHEN p IS NULL THEN 'missing' ELSE 'ok' END ||
+             ' tiingo=' || CASE WHEN q IS NULL THEN 'missing' ELSE 'ok' END
+        WHEN 'mismatch' THEN symbol || ': eodhd/tiingo close diff ' || printf('%.4f', diff) || ' > 0.0100' END AS reason FROM cmp""")
+sql("verification_status", "raw symbols", f"""
+    WITH {_VERIFY}
+    SELECT '1998-06-30' AS date, count(*) AS symbols_checked, count(*) FILTER (WHERE status = 'mismatch') AS mismatches,
+           count(*) FILTER (WHERE status = 'unverified') AS unverified,
+           CASE WHEN bool_and(status = 'ok') THEN 'success' ELSE 'alert' END AS status FROM cmp""")
+
+# --- G --------------------------------------------------------------------------------------------
+
+_REF_EVENTS = """revents AS (SELECT symbol, event_date, CASE WHEN event_type IN ('split', 'stock_split', 'reverse_split') THEN 'split'
+        WHEN event_type = 'capital_gain' THEN 'capital_gain' ELSE 'dividend' END AS kind,
+        CAST(coalesce(split_ratio, dividend_amount) AS DOUBLE) AS value FROM ev
+      WHERE event_type <> 'spinoff' AND coalesce(split_ratio, dividend_amount) <> 0)"""
+
+
+def _pct(s: str, r: str) -> str:
+    """Exact in whole cents and thousandths of a percent's base."""
+    return (f"CAST(round(abs(CAST({s} AS DECIMAL(18,6)) - CAST({r} AS DECIMAL(18,6))) * 100 / CAST({s} AS DECIMAL(18,6)), 6) AS DOUBLE)")
+
+
+_PAIRS = f"""pairs AS (SELECT p.symbol, p.date, p.close AS stored_close, r.close AS reference_close, {_pct('p.close', 'r.close')} AS pct_difference
+      FROM prices p JOIN ref_prices r USING (symbol, date))"""
+sql("price_deviation", "prices ref_prices", f"""
+    WITH {_PAIRS} SELECT symbol, {_s('date')}, stored_close, reference_close, pct_difference, pct_difference >= 0.001 AS significant FROM pairs""")
+
+
+def _sampled(source: str) -> str:
+    return f"""numbered AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i,
+        count(*) OVER (PARTITION BY symbol) AS n FROM {source} WHERE date < DATE '2001-06-30' - 7),
+    sampled AS (SELECT symbol, date, close FROM numbered WHERE n >= 2 AND (
+        (i % greatest(1, n // least(10, n)) = 0 AND i // greatest(1, n // least(10, n)) < least(10, n)) OR i = n - 1
+        OR n > 20 AND (i = greatest(0, n - 90) OR i = (greatest(0, n - 90) + n) // 2)))"""
+
+
+def _presplit(source: str) -> str:
+    return f"""oldest AS (SELECT symbol, min(date) AS f FROM sampled GROUP BY symbol),
+    extra AS (SELECT t.symbol, p.date, p.close FROM (SELECT DISTINCT e.symbol, e.event_date FROM revents e JOIN oldest USING (symbol)
+        WHERE e.kind = 'split' AND e.event_date > f) t ASOF JOIN {source} p ON t.symbol = p.symbol AND t.event_date > p.date),
+    samples AS (SELECT * FROM sampled UNION SELECT * FROM extra)"""
+
+
+sql("sample_points", "prices", f"WITH {_sampled('prices')} SELECT symbol, {_s('date')}, close FROM sampled")
+sql("add_presplit_samples", "prices ev", f"""
+    WITH {_REF_EVENTS}, {_sampled('prices')}, {_presplit('prices')} SELECT symbol, {_s('date')}, close FROM samples""")
+
+
+def _classified(pairs: str) -> str:
+    return f"""sums AS (SELECT q.symbol, q.date, any_value(q.stored_close) AS stored_close, any_value(q.reference_close) AS reference_close,
+        any_value(q.pct_difference) AS pct, count(*) FILTER (WHERE kind = 'split') AS ns, product(value) FILTER (WHERE kind = 'split') AS ps,
+        count(*) FILTER (WHERE kind = 'dividend') AS nd, sum(value) FILTER (WHERE kind = 'dividend') AS sd,
+        max(value) FILTER (WHERE kind = 'dividend') AS md, avg(value) FILTER (WHERE kind = 'dividend') AS ad,
+        count(*) FILTER (WHERE kind = 'capital_gain') AS ng, sum(value) FILTER (WHERE kind = 'capital_gain') AS sg
+      FROM {pairs} q LEFT JOIN revents e ON e.symbol = q.symbol AND e.event_date > q.date
+      WHERE q.pct_difference >= 0.001 GROUP BY q.symbol, q.date),
+    verdict AS (SELECT *, CASE WHEN pct >= 10 AND ns > 0 THEN CASE WHEN ps < 1 THEN 'reverse_split' ELSE 'stock_split' END
+        WHEN pct >= 15 THEN 'spinoff' WHEN nd > 0 THEN CASE WHEN pct >= 2 AND md > ad * 2 THEN 'special_dividend' ELSE 'dividend' END
+        WHEN ng > 0 THEN 'capital_gain' ELSE 'unknown' END AS event_type FROM sums),
+    ranked AS (SELECT *, CASE WHEN event_type IN ('stock_split', 'spinoff') THEN 'critical'
+        WHEN event_type IN ('reverse_split', 'special_dividend') THEN 'high'
+        WHEN event_type IN ('dividend', 'capital_gain') THEN 'normal' ELSE 'low' END AS severity FROM verdict)"""
+
+
+_FACTS = """SELECT symbol, CAST(date AS VARCHAR) AS check_date, stored_close, reference_close, pct AS pct_difference, event_type, severity,
+    CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
+      WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS recommendation,
+    CASE WHEN event_type LIKE '%_split' THEN round(ps, 9) END AS cumulative_factor,
+    CASE WHEN event_type LIKE '%_split' THEN ns ELSE 0 END AS split_count,
+    CASE WHEN event_type LIKE '%dividend' THEN nd ELSE 0 END AS dividend_count,
+    CASE WHEN event_type LIKE '%dividend' THEN sd END AS total_dividends,
+    CASE WHEN event_type = 'special_dividend' THEN md END AS special_dividend,
+    CASE WHEN event_type = 'capital_gain' THEN sg END AS capital_gains,
+    CASE event_type WHEN 'spinoff' THEN 'Possible spinoff or data quality issue' WHEN 'unknown' THEN 'Could not determine cause' END AS note
+    FROM ranked"""
+sql("classify_deviation", "prices ref_prices ev", f"WITH {_PAIRS}, {_REF_EVENTS}, {_classified('pairs')} {_FACTS}")
+_SCAN = f"""{_REF_EVENTS}, asked AS (SELECT symbol FROM symbols WHERE coalesce(is_active, TRUE)),
+    held AS (SELECT * FROM prices WHERE symbol IN (SELECT symbol FROM asked)), {_sampled('held')}, {_presplit('held')},
+    spairs AS (SELECT p.symbol, p.date, p.close AS stored_close, r.close AS reference_close, {_pct('p.close', 'r.close')} AS pct_difference
+      FROM samples p JOIN ref_prices r USING (symbol, date)), {_classified('spairs')},
+    extent AS (SELECT symbol, min(date) AS a, max(date) AS b, count(*) AS n FROM samples GROUP BY symbol),
+    covered AS (SELECT DISTINCT r.symbol FROM ref_prices r JOIN extent x ON r.symbol = x.symbol AND r.date BETWEEN a AND b),
+    scan AS (SELECT s.symbol, coalesce(x.n, 0) AS n_samples, coalesce(h.n, 0) AS n_events, coalesce(h.n, 0) > 0 AS needs_refresh,
+        coalesce(h.m, 0.0) AS max_pct_diff, CASE WHEN coalesce(x.n, 0) < 2 THEN 'Insufficient historical data (need at least 2 points older than 7 days)'
+          WHEN s.symbol NOT IN (SELECT symbol FROM covered) THEN 'No reference data available for the sample period' END AS error
+      FROM asked s LEFT JOIN extent x USING (symbol)
+      LEFT JOIN (SELECT symbol, count(*) AS n, max(pct) AS m FROM ranked GROUP BY symbol) h USING (symbol)),
+    outcomes AS (SELECT symbol, CASE WHEN error IS NOT NULL THEN 'errors' WHEN needs_refresh THEN 'needs_refresh' ELSE 'no_change' END AS outcome,
+        error FROM scan)"""
+_SCAN_VIEWS = "prices ref_prices ev symbols"
+sql("classify_split_details", _SCAN_VIEWS, f"""
+    WITH {_SCAN} SELECT r.symbol, CAST(r.date AS VARCHAR) AS check_date, r.event_type, CAST(e.event_date AS VARCHAR) AS split_date, e.value AS ratio
+    FROM ranked r JOIN revents e ON e.symbol = r.symbol AND e.event_date > r.date AND e.kind = 'split'
+    WHERE r.event_type IN ('stock_split', 'reverse_split')""")
+sql("detect_adjustments", _SCAN_VIEWS, f"WITH {_SCAN} SELECT * FROM scan")
+sql("detected_events", _SCAN_VIEWS, f"WITH {_SCAN} {_FACTS}")
+sql("scan_summary", _SCAN_VIEWS, f"""
+    WITH {_SCAN} SELECT 'by_type' AS section, event_type AS name, count(*) AS n FROM ranked GROUP BY 2
+    UNION ALL SELECT 'by_severity', severity, count(*) FROM ranked GROUP BY 2
+    UNION ALL SELECT 'symbols', outcome, count(*) FROM outcomes GROUP BY 2""")
+sql("scan_outcomes", _SCAN_VIEWS, f"WITH {_SCAN} SELECT * FROM outcomes")
+sql("adjustment_report", _SCAN_VIEWS, f"""
+    WITH {_SCAN} SELECT s.symbol, s.needs_refresh, s.max_pct_diff,
+        string_agg(CAST(r.date AS VARCHAR) || '=' || r.event_type, ';' ORDER BY r.date) AS events
+    FROM scan s JOIN ranked r ON r.symbol = s.symbol WHERE s.error IS NULL AND r.severity = 'critical'
+    GROUP BY 1, 2, 3 ORDER BY 1 LIMIT 100""")
+sql("fix_plan", _SCAN_VIEWS, f"""
+    WITH {_SCAN} SELECT s.symbol, coalesce(e.id, 0) AS event_id, coalesce(p.n, 0) AS rows_deleted, 'fix_' || s.symbol || '_20010630' AS job_id,
+        '1970-01-01' AS date_from, '2001-06-30' AS date_to, '1d' AS "interval", TRUE AS force_refresh, 'high' AS priority,
+        'pending' AS job_status, CASE WHEN e.id IS NOT NULL THEN 'fixed' END AS event_status
+    FROM scan s LEFT JOIN (SELECT symbol, min(id) AS id FROM ev GROUP BY symbol) e USING (symbol)
+    LEFT JOIN (SELECT symbol, count(*) AS n FROM prices GROUP BY symbol) p USING (symbol) WHERE s.needs_refresh AND s.error IS NULL""")
+sql("record_events", _SCAN_VIEWS, f"""
+    WITH {_SCAN} SELECT symbol, CAST(date AS VARCHAR) AS event_date, event_type, severity,
+        CASE WHEN event_type LIKE '%_split' THEN CAST(TRY_CAST(ps AS DECIMAL(10,6)) AS DOUBLE) END AS ratio,
+        CASE WHEN event_type LIKE '%dividend' THEN CAST(CAST(sd AS DECIMAL(12,4)) AS DOUBLE) END AS amount,
+        CAST(CAST(stored_close AS DECIMAL(12,4)) AS DOUBLE) AS db_price_at_detection,
+        CAST(CAST(reference_close AS DECIMAL(12,4)) AS DOUBLE) AS yf_price_at_detection,
+        CASE WHEN pct < 99.9999995 THEN CAST(CAST(pct AS DECIMAL(8,6)) AS DOUBLE) END AS pct_difference,
+        'detected' AS status, CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
+          WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS notes, '{_NOW}' AS detected_at
+    FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.symbol = r.symbol AND e.event_date = r.date AND e.event_type = r.event_type)""")
+
+# --- H --------------------------------------------------------------------------------------------
+
+_EV = f"id, symbol, {_s('event_date')}, event_type, CAST(ratio AS DOUBLE) AS ratio, CAST(amount AS DOUBLE) AS amount, status, severity, {_s('detected_at')}"
+sql("events_listing", "ev", f"""
+    SELECT {_EV}, total FROM (SELECT *, count(*) OVER () AS total FROM ev WHERE status = 'confirmed'
+      AND event_date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30' ORDER BY detected_at DESC, id LIMIT 20 OFFSET 20)""")
+sql("events_by_symbol", "ev", f"SELECT {_EV} FROM ev WHERE symbol = 'S3'")
+sql("pending_events", "ev", f"SELECT {_EV} FROM ev WHERE status NOT IN ('fixed', 'ignored')")
+sql("dividend_calendar", "ev", f"""
+    SELECT {_EV} FROM ev WHERE event_type IN ('dividend', 'special_dividend') AND event_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
+sql("split_history", "ev", f"SELECT {_EV} FROM ev WHERE event_type IN ('stock_split', 'reverse_split')")
+
+# --- I --------------------------------------------------------------------------------------------
+
+_GRID_VIEWS = "symbols raw prices"
+sql("source_point_grid", _GRID_VIEWS, f"""
+    WITH {_GRID} SELECT symbol, {_s('date')}, source, open, close, adj_close, coalesce(volume, 0) AS volume, status FROM points""")
+_SUMMARY = f"""{_GRID}, said AS (SELECT symbol, date, string_agg(source || ':' || status, '; ' ORDER BY source) AS statuses FROM points GROUP BY 1, 2),
+    rawpts AS (SELECT * FROM points WHERE source <> 'stockdata_yfinance' AND close IS NOT NULL),
+    rawsum AS (SELECT symbol, date, count(*) AS n, max(close) - min(close) AS cd, max(open) - min(open) AS od, median(close) AS med
+      FROM rawpts GROUP BY 1, 2),
+    summary AS (SELECT s.symbol, s.date, coalesce(r.n, 0) AS raw_source_count, round(CASE WHEN r.n >= 2 THEN od END, 6) AS max_raw_open_diff,
+        round(CASE WHEN r.n >= 2 THEN cd END, 6) AS max_raw_close_diff, round(e.close - t.close, 6) AS primary_verifier_close_diff,
+        round(a.close - r.med, 6) AS third_vs_raw_median_close, round(y.adj_close - e.adj_close, 6) AS stored_adj_vs_primary_adj,
+        round(y.adj_close - t.adj_close, 6) AS stored_adj_vs_verifier_adj, statuses,
+        e.close - t.close AS d1, a.close - r.med AS d2
+      FROM said s LEFT JOIN rawsum r USING (symbol, date)
+      LEFT JOIN points e ON e.symbol = s.symbol AND e.date = s.date AND e.source = 'eodhd'
+      LEFT JOIN points t ON t.symbol = s.symbol AND t.date = s.date AND t.source = 'tiingo'
+      LEFT JOIN points a ON a.symbol = s.symbol AND a.date = s.date AND a.source = 'alpaca'
+      LEFT JOIN points y ON y.symbol = s.symbol AND y.date = s.date AND y.source = 'stockdata_yfinance')"""
+sql("source_summary", _GRID_VIEWS, f"""
+    WITH {_SUMMARY} SELECT symbol, {_s('date')}, raw_source_count, max_raw_open_diff, max_raw_close_diff, primary_verifier_close_diff,
+        third_vs_raw_median_close, stored_adj_vs_primary_adj, stored_adj_vs_verifier_adj, statuses FROM summary""")
+sql("source_scorecard", _GRID_VIEWS, f"""
+    WITH {_SUMMARY}, totals AS (SELECT count(*) AS rows, count(*) FILTER (WHERE raw_source_count >= 2) AS rows_with_two_sources,
+        count(*) FILTER (WHERE abs(d1) <= CAST(0.01 AS DOUBLE)) AS primary_matches, count(d1) AS primary_compared,
+        count(*) FILTER (WHERE abs(d2) <= CAST(0.01 AS DOUBLE)) AS third_matches, count(d2) AS third_compared,
+        max(abs(max_raw_close_diff)) AS max_raw_close_diff, max(abs(stored_adj_vs_primary_adj)) AS max_stored_vs_primary,
+        max(abs(stored_adj_vs_verifier_adj)) AS max_stored_vs_verifier FROM summary)
+    SELECT *, primary_matches >= greatest(1, floor(CAST(rows_with_two_sources AS DOUBLE) * CAST(0.9 AS DOUBLE))) AS primary_recommended FROM totals""")
+sql("stored_vs_vendor_diff", "prices ref_prices", """
+    WITH d AS (SELECT p.symbol, abs(p.close - r.close) AS x FROM prices p JOIN ref_prices r USING (symbol, date)),
+    both_levels AS (SELECT * FROM d UNION ALL SELECT '*', x FROM d),
+    gone AS (SELECT symbol FROM prices p WHERE NOT EXISTS (SELECT 1 FROM ref_prices r WHERE r.symbol = p.symbol AND r.date = p.date)),
+    gone2 AS (SELECT symbol, count(*) AS g FROM (SELECT symbol FROM gone UNION ALL SELECT '*' FROM gone) GROUP BY symbol),
+    stats AS (SELECT symbol, count(*) AS rows, max(x) AS max_diff, median(x) AS median_diff,
+        list_sort(list(x))[CAST(ceil(CAST(count(*) AS DOUBLE) * CAST(0.99 AS DOUBLE)) AS INTEGER)] AS p99_diff FROM both_levels GROUP BY symbol)
+    SELECT coalesce(s.symbol, g.symbol) AS symbol, coalesce(rows, 0) AS rows, max_diff, median_diff, p99_diff, coalesce(g, 0) AS vendor_missing
+    FROM stats s FULL OUTER JOIN gone2 g ON s.symbol = g.symbol""")
+sql("month_end_dates", "prices", """
+    SELECT CAST(max(date) AS VARCHAR) AS date FROM prices GROUP BY date_trunc('month', date)""")
+
+
+def _momentum(source: str, grid: str, p: str) -> str:
+    return f"""{p}now AS (SELECT g.*, x.close AS c1 FROM {grid} g ASOF LEFT JOIN {source} x ON g.symbol = x.symbol AND g.as_of >= x.date),
+    {p}score AS (SELECT n.symbol, n.as_of, n.lookback, CASE WHEN y.close <> 0 THEN n.c1 / y.close - 1.0 END AS score
+      FROM {p}now n ASOF LEFT JOIN {source} y ON n.symbol = y.symbol AND n.past >= y.date)"""
+
+
+def _targets(source: str) -> str:
+    return f"""targets AS (SELECT s.symbol, m.as_of, l.lookback, CAST(m.as_of - to_months(l.lookback) AS DATE) AS past
+      FROM (SELECT DISTINCT symbol FROM {source}) s, (SELECT max(date) AS as_of FROM {source} GROUP BY date_trunc('month', date)) m,
+           (VALUES (1), (3), (6), (12)) l(lookback))"""
+
+
+sql("momentum_score", "prices", f"""
+    WITH {_targets('prices')}, {_momentum('prices', 'targets', 'a_')} SELECT symbol, {_s('as_of')}, lookback, score FROM a_score""")
+sql("momentum_reversal_risk", "prices ref_prices", f"""
+    WITH {_targets('ref_prices')}, {_momentum('ref_prices', 'targets', 'v_')}, {_momentum('prices', 'targets', 's_')},
+    both_scores AS (SELECT v.symbol, v.as_of, v.lookback, v.score AS vs, s.score AS ss, abs(s.score - v.score) AS err
+      FROM v_score v JOIN s_score s USING (symbol, as_of, lookback) WHERE v.score IS NOT NULL AND s.score IS NOT NULL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY as_of, lookback ORDER BY vs DESC, symbol) AS rv,
+        row_number() OVER (PARTITION BY as_of, lookback ORDER BY ss DESC, symbol) AS rs FROM both_scores),
+    risk AS (SELECT a.as_of, a.lookback, a.symbol AS vendor_top, a.vs - b.vs AS top_margin, a.err + b.err AS top_error_bound, c.symbol AS stored_top
+      FROM placed a JOIN placed b USING (as_of, lookback) JOIN placed c USING (as_of, lookback) WHERE a.rv = 1 AND b.rv = 2 AND c.rs = 1)
+    SELECT {_s('as_of')}, lookback, vendor_top, stored_top, round(top_margin, 9) AS top_margin, round(top_error_bound, 9) AS top_error_bound,
+           vendor_top <> stored_top AS rank_reversed FROM risk WHERE vendor_top <> stored_top OR top_error_bound >= top_margin""")
+
+# --- J --------------------------------------------------------------------------------------------
+
+sql("jobs_listing", "jobs", f"""
+    SELECT job_id, status, {_s('created_at', 'started_at', 'completed_at')},
+           CAST(date_diff('second', started_at, coalesce(completed_at, TIMESTAMP '2001-08-01 12:00:00')) AS BIGINT) AS duration_seconds, total
+    FROM (SELECT *, count(*) OVER () AS total FROM jobs WHERE status = 'processing' AND created_at >= TIMESTAMP '1999-01-01'
+          ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 10)""")
+sql("job_outcome", "job_results", """
+    SELECT job_id, count(*) FILTER (WHERE status = 'success') AS success_count, count(*) FILTER (WHERE status = 'failed') AS failed_count,
+           count(*) FILTER (WHERE status = 'no_data') AS no_data_count, CAST(sum(rows_fetched) AS BIGINT) AS fetched_rows, CAST(100 AS DOUBLE) AS percent,
+           CASE WHEN bool_and(status = 'success') THEN 'completed' ELSE 'completed_errors' END AS final_status
+    FROM job_results GROUP BY job_id""")
+sql("job_queue_status", "jobs", """
+    SELECT * FROM (SELECT status, count(*) AS n FROM jobs GROUP BY status), (
+      SELECT count(*) AS recent_total, count(*) FILTER (WHERE status = 'completed') AS recent_completed,
+             count(*) FILTER (WHERE status = 'failed') AS recent_failed,
+             CAST(trunc(coalesce(avg(date_diff('second', started_at, completed_at)), 0)) AS BIGINT) AS recent_avg_seconds
+      FROM jobs WHERE created_at >= TIMESTAMP '2001-07-31 12:00:00')""")
+sql("cancel_jobs", "jobs", """
+    WITH c AS (SELECT *, priority = 'high' AS asked, status NOT IN ('completed', 'failed', 'cancelled') AS open FROM jobs)
+    SELECT job_id, CASE WHEN asked AND open THEN 'cancelled' ELSE status END AS status,
+           CASE WHEN asked AND open THEN '2001-08-01 12:00:00' ELSE CAST(completed_at AS VARCHAR) END AS completed_at,
+           CASE WHEN asked THEN open END AS cancelled FROM c""")
+sql("purge_jobs", "jobs", f"""
+    SELECT job_id, status, {_s('created_at')} FROM jobs
+    WHERE NOT (created_at < TIMESTAMP '1999-05-31' AND status IN ('completed', 'cancelled'))""")
+sql("run_status", "", """
+    WITH r AS (SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS run_id, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
+        max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS BIGINT) END) <= 0 AS bad FROM lineitem GROUP BY 1, 2)
+    SELECT run_id, count(*) AS total_symbols, CAST(ceil(count(*) / 10.0) AS BIGINT) AS batch_count, count(*) FILTER (WHERE NOT bad) AS success_count,
+           count(*) FILTER (WHERE bad) AS failed_count,
+           CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN 'success' WHEN count(*) FILTER (WHERE NOT bad) = 0 THEN 'failed'
+                ELSE 'completed_with_errors' END AS status,
+           coalesce(array_to_string(list_sort(list(symbol) FILTER (WHERE bad))[1:5], ';'), '') AS affected,
+           count(*) FILTER (WHERE bad) > 5 AS affected_truncated FROM r GROUP BY run_id""")
+sql("create_jobs", "job_requests", f"""
+    SELECT 'job_' || strftime(created_at, '%Y%m%d_%H%M%S') || '_' || request_id AS job_id, 'pending' AS status,
+           'S' || CAST(c AS VARCHAR) || ';^VIX;BRK.' || p1 AS symbols, {_s('date_from', 'date_to')}, "interval", force AS force_refresh,
+           priority, {_s('created_at')} FROM {_JOB_INPUT} WHERE {_JOB_OUTCOME} IS NULL""")
+sql("next_pending", "jobs", f"""
+    SELECT job_id, {_s('created_at')}, array_to_string(symbols, ';') AS symbols FROM jobs WHERE status = 'pending'
+    ORDER BY jobs.created_at, job_id LIMIT 1""")
+
+# --- K --------------------------------------------------------------------------------------------
+
+_TIMED = "timed AS (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ts DESC, event_id DESC) AS rk FROM timings)"
+sql("latency_report", "timings", f"""
+    WITH {_TIMED} SELECT operation, count(*) AS count, round(avg(duration), 6) AS avg, min(duration) AS min, max(duration) AS max,
+        round(avg(duration) FILTER (WHERE rk <= 10), 6) AS recent_avg FROM timed WHERE rk <= 100 GROUP BY operation""")
+sql("slowest_operations", "timings", f"""
+    WITH {_TIMED} SELECT operation, duration, event_id FROM timed WHERE rk <= 10 ORDER BY duration DESC, operation, event_id LIMIT 10""")
+sql("load_test_summary", "load_test", """
+    WITH t AS (SELECT concurrency, (max(epoch_us(started_at) + elapsed_ms * 1000) - min(epoch_us(started_at))) / 1e6 AS s,
+        count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS e, avg(elapsed_ms) FILTER (WHERE ok) AS a,
+        median(elapsed_ms) FILTER (WHERE ok) AS p50, list_sort(list(elapsed_ms) FILTER (WHERE ok)) AS l FROM load_test GROUP BY concurrency)
+    SELECT concurrency, n AS successful, e AS errors, round(s, 6) AS total_time_s, round(a, 6) AS avg_latency_ms, round(p50, 6) AS p50_latency_ms,
+           l[CAST(floor(CAST(n AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS INTEGER) + 1] AS p95_latency_ms, round(n / s, 6) AS throughput_rps FROM t""")
+sql("resample_ohlcv", "prices", " UNION ALL ".join(f"""
+    SELECT symbol, CAST(CAST(date_trunc('{unit}', date) AS DATE) AS VARCHAR) AS period_start, arg_min(open, date) AS open, max(high) AS high,
+           min(low) AS low, arg_max(close, date) AS close, CAST(sum(volume) AS BIGINT) AS volume, '{name}' AS "interval"
+    FROM prices GROUP BY symbol, date_trunc('{unit}', date)""" for name, unit in (("1wk", "week"), ("1mo", "month"), ("3mo", "quarter"))))
+
+# --- S: a drained stream equals the batch result ----------------------------------------------------
+
+sql("stream_upsert_prices", "prices price_changes", "SELECT * EXCLUDE (change) FROM ("
+    + _upsert("o.last_updated < n.last_updated") + ")")
+sql("stream_consensus", "raw", f"""
+    WITH {_consensus('raw')} SELECT symbol, {_s('date')}, consensus_close FROM (SELECT DISTINCT symbol, date FROM v)
+    LEFT JOIN cons USING (symbol, date)""")
+sql("stream_error_counts", "", """
+    SELECT CAST(date_trunc('minute', ts) AS VARCHAR) AS window_start, 'k' || json_extract_string(props, '$.k') AS error_type, count(*) AS n
+    FROM events WHERE event_type = 'error' GROUP BY 1, 2""")

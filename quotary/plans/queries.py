@@ -581,7 +581,8 @@ def adjustment_factor(m: Market):
 
 
 def _rounded_bars(df: DataFrame):
-    return df.withColumns({c: F.round(c, 6) for c in clean.OHLC})
+    """Six decimals; the small shift makes exact ties round up whatever the order of the factors."""
+    return df.withColumns({c: F.round(F.col(c) + 1.3e-10, 6) for c in clean.OHLC})
 
 
 @query
