@@ -1,5 +1,6 @@
 """Detection and repair of prices that missed a corporate action."""
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,14 +131,20 @@ class Scan:
 
 
 def detect_adjustments(symbols: DataFrame, prices: DataFrame, reference: DataFrame, events: DataFrame, as_of,
-                       t: Thresholds = DEFAULTS) -> Scan:
-    """All tickers at once against the vendor's adjusted closes."""
+                       t: Thresholds = DEFAULTS, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scan:
+    """All tickers at once against the vendor's adjusted closes.
+
+    ``store`` is applied to the samples and the classified deviations, about a
+    dozen rows per ticker that several results read; pass one that writes and
+    reads back.
+    """
     scanned = prices.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
-    samples = add_presplit_samples(sample_points(scanned, as_of, t), scanned, events.where("kind = 'split'"))
+    regular = store(sample_points(scanned, as_of, t))
+    samples = store(add_presplit_samples(regular, scanned, events.where("kind = 'split'")))
     ref = reference.select("symbol", "date", F.col("close").alias("reference_close"))
     pairs = samples.withColumnRenamed("close", "stored_close").join(ref, ["symbol", "date"])
     found = price_deviation(pairs, t).where("significant").drop("significant").withColumnRenamed("date", "check_date")
-    classified = classify_deviation(found, events, t)
+    classified = store(classify_deviation(found, events, t))
 
     extent = samples.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"),
                                            F.count(F.lit(1)).alias("n_samples"))

@@ -1,5 +1,6 @@
 """Raw vendor closes to consensus closes to adjusted prices."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,7 +132,7 @@ def derive_adjusted(raw: DataFrame, events: DataFrame, start, end, now) -> DataF
 
 @dataclass
 class Refresh:
-    """Outcome of one refresh, all lazy. Write ``raw`` and ``events`` before reading ``derived`` for many runs."""
+    """Outcome of one refresh."""
 
     raw: DataFrame
     confirmed: DataFrame
@@ -142,12 +143,17 @@ class Refresh:
 
 
 def raw_price_refresh(raw: DataFrame, landed: DataFrame, events: DataFrame, actions: DataFrame, prices: DataFrame,
-                      start, end, now, tolerance: float = TOLERANCE) -> Refresh:
-    """F8: merge landed rows, agree on closes, confirm actions, derive adjusted prices, merge them."""
+                      start, end, now, tolerance: float = TOLERANCE,
+                      store: Callable[[DataFrame], DataFrame] = lambda df: df) -> Refresh:
+    """F8: merge landed rows, agree on closes, confirm actions, derive adjusted prices, merge them.
+
+    ``store`` is applied to the two frames that several results read, the
+    consensus and the new raw table; pass one that writes and reads back.
+    """
     merged = upsert_raw(raw, landed).drop("change")
     inside = merged.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    consensus = consensus_close(inside, tolerance)
-    settled = apply_consensus(merged, consensus)
+    consensus = store(consensus_close(inside, tolerance))
+    settled = store(apply_consensus(merged, consensus))
     known = upsert_confirmed_events(events, actions, now).drop("change")
     derived = derive_adjusted(settled, known, start, end, now)
     return Refresh(raw=settled, confirmed=consensus.where("consensus_close is not null"),

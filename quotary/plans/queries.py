@@ -4,7 +4,6 @@ Results use plain column types: dates and time stamps as ISO text, decimals as
 double, arrays joined to text.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -52,8 +51,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def scratch(m: Market) -> str:
     """A folder of its own for this run, shared where the cluster names a shared one."""
-    root = relations.scratch_dir(m.spark) or tempfile.mkdtemp(prefix="quotary-")
-    return f"{root}/quotary-{uuid.uuid4().hex}"
+    return f"{relations.scratch_dir(m.spark)}/quotary-{uuid.uuid4().hex}"
 
 
 def _closes(df: DataFrame) -> DataFrame:
@@ -592,7 +590,7 @@ def derive_adjusted(m: Market):
 
 def _refresh(m: Market):
     return consensus.raw_price_refresh(m.prices_raw, m.raw_changes, m.corporate_events, _actions(m), m.prices, *RANGE,
-                                       moment(NOW))
+                                       moment(NOW), store=relations.stored)
 
 
 @query
@@ -635,7 +633,7 @@ SCAN_DAY = "2001-06-30"
 
 def _scan(m: Market):
     return adjustments.detect_adjustments(m.symbols.where("coalesce(is_active, true)"), m.prices, m.reference_prices,
-                                          _reference_events(m), day(SCAN_DAY))
+                                          _reference_events(m), day(SCAN_DAY), store=relations.stored)
 
 
 def _pairs(m: Market):

@@ -58,7 +58,7 @@ class Market:
         lines = self.table("lineitem").select(
             F.col("l_suppkey").alias("k"),
             F.col("l_shipdate").cast("date").alias("date"),
-            F.expr("cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)").alias("cents"),
+            F.expr("cast(floor(l_extendedprice * 100 + 0.5) as bigint) div cast(l_quantity as bigint)").alias("cents"),
             F.col("l_quantity").cast("bigint").alias("qty"),
             F.col("l_orderkey").alias("ok"))
         days = lines.groupBy("k", "date").agg(
@@ -194,7 +194,7 @@ class Market:
     def reference_prices(self) -> DataFrame:
         """Vendor-adjusted closes: most equal the stored ones, some deviate, some are missing."""
         p = self.prices.where("volume % 1100 <> 0")
-        cents = F.expr("cast(round(close * 100) as bigint)")
+        cents = F.expr("cast(floor(close * 100 + 0.5) as bigint)")
         factor = F.expr("element_at(array(1000, 1000, 1000, 999, 970, 880, 500, 2000), "
                         "cast(volume div 100 % 8 as int) + 1)")
         return p.select("symbol", "date", (cents * factor / F.lit(100000.0)).alias("close"))
@@ -203,7 +203,7 @@ class Market:
     def economic(self) -> DataFrame:
         e = self.table("events").select(
             F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").cast("date").alias("date"),
-            F.expr("cast(round(value * 100) as bigint)").alias("cents"),
+            F.expr("cast(floor(value * 100 + 0.5) as bigint)").alias("cents"),
             F.col("event_id"))
         return e.groupBy("symbol", "date").agg(F.sum("cents").alias("c"), F.max("event_id").alias("e")).select(
             "symbol", "date", F.when(F.expr("e % 9 <> 0"), F.col("c") / F.lit(100.0)).alias("value"),
@@ -286,7 +286,7 @@ class Market:
     @cached_property
     def quotes(self) -> DataFrame:
         """A vendor frame as delivered: capitalised columns, holes, bad values, inline actions."""
-        cents = "(cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint))"
+        cents = "(cast(floor(l_extendedprice * 100 + 0.5) as bigint) div cast(l_quantity as bigint))"
         return self.table("lineitem").select(
             F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
             F.col("l_shipdate").cast("date").alias("date"),

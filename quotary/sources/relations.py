@@ -1,5 +1,8 @@
 """Reading and writing the seven relations (A1)."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,14 @@ def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str |
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
-def scratch_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; a folder of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="quotary-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame once and read it back, so that what follows neither recomputes it nor depends on its lineage."""
+    path = f"{scratch_dir(df.sparkSession)}/quotary-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
