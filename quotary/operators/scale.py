@@ -143,9 +143,12 @@ def order_statistics(df: DataFrame, by, value: str, picks: dict) -> DataFrame:
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a frame that has exactly one row (a global aggregate) to every row."""
-    single = F.broadcast(one_row.withColumn("_one", F.lit(1)))
-    return df.withColumn("_one", F.lit(1)).join(single, "_one").drop("_one")
+    """Attach the columns of a frame that has exactly one row (a global aggregate) to every row.
+
+    The row is a scalar subquery, so no join is planned for it.
+    """
+    single = one_row.select(F.struct(*one_row.columns).alias("_r")).scalar()
+    return df.select("*", single.alias("_r")).select(*df.columns, "_r.*")
 
 
 def mirrored(day) -> Column:

@@ -604,8 +604,8 @@ sql("record_events", _SCAN_VIEWS, f"""
     WITH {_SCAN} SELECT symbol, CAST(date AS VARCHAR) AS event_date, event_type, severity,
         CASE WHEN event_type LIKE '%_split' THEN CAST(TRY_CAST(ps AS DECIMAL(10,6)) AS DOUBLE) END AS ratio,
         CASE WHEN event_type LIKE '%dividend' THEN CAST(CAST(sd AS DECIMAL(12,4)) AS DOUBLE) END AS amount,
-        CAST(CAST(stored_close AS DECIMAL(12,4)) AS DOUBLE) AS db_price_at_detection,
-        CAST(CAST(reference_close AS DECIMAL(12,4)) AS DOUBLE) AS yf_price_at_detection,
+        CAST(CAST(CAST(CAST(stored_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(12,4)) AS DOUBLE) AS db_price_at_detection,
+        CAST(CAST(CAST(CAST(reference_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(12,4)) AS DOUBLE) AS yf_price_at_detection,
         CASE WHEN pct < 99.9999995 THEN CAST(CAST(pct AS DECIMAL(8,6)) AS DOUBLE) END AS pct_difference,
         'detected' AS status, CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
           WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS notes, '{_NOW}' AS detected_at

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quotary.functions import dates, numbers, tickers
 from quotary.operators import adjustments, clean, compare, consensus, coverage, events, jobs, merge, ops, prices
+from quotary.operators.scale import with_row
 from quotary.schemas import RELATIONS
 from quotary.sources import csv_out, relations, vendors
 from quotary.sources.fixtures import AS_OF, JOBS_AS_OF, RANGE, Market
@@ -421,7 +422,7 @@ def symbol_date_metadata(m: Market):
 @query
 def month_end_confirmation(m: Market):
     rows = coverage.month_end_confirmation(m.symbols.where("is_active"), m.prices, day("2001-06-15"))
-    return rows.join(coverage.month_end_status(rows), "target_date")
+    return with_row(rows, coverage.month_end_status(rows).drop("target_date"))
 
 
 @query
@@ -878,7 +879,7 @@ def stream_upsert_prices(m: Market):
     base = m.prices
     run = streams.stream_upsert_prices(arriving, f"{folder}/table", f"{folder}/state", base)
     run.awaitTermination()
-    return streams.latest_version(m.spark, f"{folder}/table", base.schema, run.lastProgress["batchId"])
+    return streams.price_table(m.spark, f"{folder}/table", base.schema)
 
 
 @query

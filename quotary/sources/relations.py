@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 from quotary.schemas import RELATIONS
 
 
-def load_relation(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One relation from Parquet with its declared schema."""
-    return spark.read.schema(RELATIONS[name]).parquet(f"{root}/{name}")
+def load_relation(spark: SparkSession, root: str, name: str, start: str | None = None,
+                  end: str | None = None) -> DataFrame:
+    """One relation from Parquet with its declared schema; a date range also prunes the yearly folders."""
+    df = spark.read.schema(RELATIONS[name]).parquet(f"{root}/{name}")
+    for bound, compare in ((start, ">="), (end, "<=")):
+        if bound is None:
+            continue
+        df = df.where(f"date {compare} DATE'{bound}'")
+        if "year" in df.columns:
+            df = df.where(f"year {compare} {bound[:4]}")
+    return df.select(*RELATIONS[name].names)
 
 
 def load_relations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -28,12 +36,17 @@ def load_relation_jdbc(spark: SparkSession, url: str, name: str, properties: dic
 
 
 def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str | None = "date") -> None:
-    """Write a relation: by year of ``day`` and sorted by ticker, so ranges prune files and tickers row groups."""
+    """Write a relation by year of ``day``, clustered by ticker.
+
+    Ranges over (year, ticker, day) are cut by sampling, so a hot ticker is
+    spread over several files; their number follows the session's shuffle
+    partitions. Date ranges then prune folders and tickers prune row groups.
+    """
     if day is None or day not in df.columns:
         df.write.mode(mode).parquet(path)
         return
     out = df.withColumn("year", F.year(day))
-    (out.repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(64))).sortWithinPartitions("symbol", day)
+    (out.repartitionByRange("year", "symbol", day).sortWithinPartitions("year", "symbol", day)
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 

@@ -2,36 +2,60 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotary.operators.consensus import majority_close
 from quotary.operators.merge import upsert_prices
 from quotary.schemas import TOLERANCE
 
 
+def _by_year(df: DataFrame) -> DataFrame:
+    return df.withColumn("year", F.year("date"))
+
+
+def _write_version(df: DataFrame, table: str, version: int) -> None:
+    rows = _by_year(df).repartitionByRange("year", "symbol", "date")
+    rows.write.mode("overwrite").partitionBy("year").parquet(f"{table}/v={version}")
+
+
+def price_table(spark: SparkSession, table: str, schema, below: int | None = None) -> DataFrame:
+    """The table's current rows: each year from its newest version (below ``below``, if given).
+
+    The list of years and versions is a broadcast of partition values, a few
+    per calendar year, and prunes the folders that are read.
+    """
+    columns = schema.names
+    folders = [T.StructField("v", T.IntegerType()), T.StructField("year", T.IntegerType())]
+    full = spark.read.schema(T.StructType(schema.fields + folders)).parquet(table)
+    if below is not None:
+        full = full.where(F.col("v") < below)
+    newest = full.groupBy("year").agg(F.max("v").alias("v"))
+    return full.join(F.broadcast(newest), ["year", "v"], "left_semi").select(*columns)
+
+
 def stream_upsert_prices(changes: DataFrame, table: str, checkpoint: str, base: DataFrame):
     """Merge arriving price rows into a table, newest wins.
 
-    ``table`` holds one folder per version, because plain Parquet cannot be
-    overwritten while it is read. A batch that runs again after a failure
-    writes the same version from the same predecessor, and the merge itself
-    is idempotent.
+    Plain Parquet cannot be overwritten while it is read, so each batch writes
+    a new version of the years it touches, and only of those. A batch that
+    runs again after a failure starts from the same versions and overwrites
+    its own; the merge itself is idempotent.
     """
     spark = changes.sparkSession
     schema = base.schema
+    _write_version(base, table, 0)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = base if batch_id == 0 else spark.read.schema(schema).parquet(f"{table}/v={batch_id - 1}")
-        merged = upsert_prices(stored, batch).select(*base.columns)
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        version = batch_id + 1
+        touched = _by_year(batch).select("year").distinct()  # calendar years
+        stored = _by_year(price_table(spark, table, schema, below=version)).join(
+            F.broadcast(touched), "year", "left_semi").drop("year")
+        _write_version(upsert_prices(stored, batch).drop("change"), table, version)
 
     return (changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def latest_version(spark: SparkSession, table: str, schema, last_batch: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{table}/v={last_batch}")
-
-
 def stream_consensus(raw: DataFrame, delay: str = "30 days", tolerance: float = TOLERANCE) -> DataFrame:
     """Consensus per (symbol, date) as sources arrive (update mode).
 
