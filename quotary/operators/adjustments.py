@@ -26,6 +26,17 @@ class Thresholds:
 
 DEFAULTS = Thresholds()
 
+# Wording of recommendations, notes and errors.
+ADVICE = {
+    "critical": "Immediate data refresh required",
+    "high": "Refresh data at earliest convenience",
+    "normal": "Schedule data refresh",
+    "low": "Monitor for changes",
+}
+NOTE_SPINOFF = "Possible spinoff or data quality issue"
+NOTE_UNKNOWN = "Could not determine cause"
+FEW_SAMPLES = "Insufficient historical data (need at least 2 points older than {} days)"
+
 
 def price_deviation(pairs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """G1: percent difference of ``stored_close`` and ``reference_close``, and whether it counts."""
@@ -98,11 +109,11 @@ def classify_deviation(samples: DataFrame, events: DataFrame, t: Thresholds = DE
     severity = (F.when(F.col("event_type").isin("stock_split", "spinoff"), "critical")
                 .when(F.col("event_type").isin("reverse_split", "special_dividend"), "high")
                 .when(F.col("event_type").isin("dividend", "capital_gain"), "normal").otherwise("low"))
-    advice = (F.when(F.col("severity") == "critical", "Immediate data refresh required")
-              .when(F.col("severity") == "high", "Refresh data at earliest convenience")
-              .when(F.col("severity") == "normal", "Schedule data refresh").otherwise("Monitor for changes"))
-    note = (F.when(spinoff, "Possible spinoff or data quality issue")
-            .when(~split & ~cash & ~gain, "Could not determine cause"))
+    advice = F.when(F.col("severity") == "critical", ADVICE["critical"])
+    for level in ("high", "normal", "low"):
+        advice = advice.when(F.col("severity") == level, ADVICE[level])
+    note = (F.when(spinoff, NOTE_SPINOFF)
+            .when(~split & ~cash & ~gain, NOTE_UNKNOWN))
     return rows.withColumn("event_type", kind).withColumn("severity", severity).select(
         *samples.columns, "event_type", "severity", advice.alias("recommendation"),
         F.when(split, F.col("split_factor")).alias("cumulative_factor"),
@@ -154,8 +165,7 @@ def detect_adjustments(symbols: DataFrame, prices: DataFrame, reference: DataFra
                                             F.max("pct_difference").alias("max_pct_diff"))
     status = (symbols.select("symbol").distinct().join(extent.select("symbol", "n_samples"), "symbol", "left")
               .join(covered, "symbol", "left").join(hits, "symbol", "left"))
-    few = (f"Insufficient historical data (need at least 2 points older than {t.min_age_days} days)")
-    error = (F.when(F.coalesce("n_samples", F.lit(0)) < 2, few)
+    error = (F.when(F.coalesce("n_samples", F.lit(0)) < 2, FEW_SAMPLES.format(t.min_age_days))
              .when(F.col("_ref").isNull(), "No reference data available for the sample period"))
     per_symbol = status.select(
         "symbol", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("n_events", F.lit(0)).alias("n_events"),

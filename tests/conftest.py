@@ -16,7 +16,9 @@ def spark():
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from quotary.session import tuned
+
+    yield tuned(session)
     session.stop()
 
 

@@ -154,3 +154,20 @@ def test_consensus_needs_one_shuffle(spark, market, tmp_path):
     market.prices_raw.write.parquet(str(tmp_path / "raw"))
     text = plan(consensus.consensus_close(spark.read.parquet(str(tmp_path / "raw"))))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_buckets_are_shuffled_on_their_own_after_a_ticker_shuffle(spark, hot, threshold):
+    """A window over (ticker, bucket) must not settle for a layout by ticker, with or without broadcasts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        by_ticker = hot.repartition("symbol")
+        for df in (scale.ranked(by_ticker, KEY, scale.year_of("date"), ["date"], "i", "n"),
+                   scale.running_last(by_ticker, KEY, scale.year_of("date"), ["date"], F.col("v"), "x"),
+                   scale.asof_join(by_ticker, by_ticker.select("symbol", F.col("date").alias("d")), KEY, "date", "d", ["d"])):
+            text = plan(df)
+            window = text.index("Window [")
+            assert "hashpartitioning(symbol#" in text[window:] and ", _b#" in text[window:].split("hashpartitioning(")[1][:40]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
