@@ -7,7 +7,7 @@ from quotary.functions.dates import previous_business_day
 from quotary.operators.scale import asof_join, order_statistics, top_k, with_row
 from quotary.schemas import RAW_SOURCES
 
-ADJUSTED = "stockdata_yfinance"
+ADJUSTED = "stored"
 
 
 def month_end_business_days(start: str, end: str) -> Column:

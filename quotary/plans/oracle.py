@@ -85,10 +85,10 @@ sql("export_coverage_csv", "symbols prices", f"""
 _GRID = """grid AS (
       SELECT s.symbol, d.date, src.source FROM symbols s,
         (SELECT max(CAST(x AS DATE)) AS date FROM generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '1999-12-31', INTERVAL 1 DAY) t(x)
-         WHERE isodow(x) < 6 GROUP BY date_trunc('month', x)) d, (VALUES ('eodhd'), ('tiingo'), ('alpaca'), ('stockdata_yfinance')) src(source)),
+         WHERE isodow(x) < 6 GROUP BY date_trunc('month', x)) d, (VALUES ('eodhd'), ('tiingo'), ('alpaca'), ('stored')) src(source)),
     pts AS (SELECT symbol, date, source, CAST(open AS DOUBLE) AS open, CAST(close AS DOUBLE) AS close,
                    CASE WHEN source <> 'alpaca' THEN CAST(close AS DOUBLE) END AS adj_close, volume FROM raw
-            UNION ALL SELECT symbol, date, 'stockdata_yfinance', open, NULL, close, volume FROM prices),
+            UNION ALL SELECT symbol, date, 'stored', open, NULL, close, volume FROM prices),
     points AS (SELECT symbol, date, source, p.open, p.close, p.adj_close, p.volume,
                       CASE WHEN p.volume IS NULL THEN 'missing' ELSE 'ok' END AS status
                FROM grid LEFT JOIN pts p USING (symbol, date, source))"""
@@ -629,7 +629,7 @@ _GRID_VIEWS = "symbols raw prices"
 sql("source_point_grid", _GRID_VIEWS, f"""
     WITH {_GRID} SELECT symbol, {_s('date')}, source, open, close, adj_close, coalesce(volume, 0) AS volume, status FROM points""")
 _SUMMARY = f"""{_GRID}, said AS (SELECT symbol, date, string_agg(source || ':' || status, '; ' ORDER BY source) AS statuses FROM points GROUP BY 1, 2),
-    rawpts AS (SELECT * FROM points WHERE source <> 'stockdata_yfinance' AND close IS NOT NULL),
+    rawpts AS (SELECT * FROM points WHERE source <> 'stored' AND close IS NOT NULL),
     rawsum AS (SELECT symbol, date, count(*) AS n, max(close) - min(close) AS cd, max(open) - min(open) AS od, median(close) AS med
       FROM rawpts GROUP BY 1, 2),
     summary AS (SELECT s.symbol, s.date, coalesce(r.n, 0) AS raw_source_count, round(CASE WHEN r.n >= 2 THEN od END, 6) AS max_raw_open_diff,
@@ -641,7 +641,7 @@ _SUMMARY = f"""{_GRID}, said AS (SELECT symbol, date, string_agg(source || ':' |
       LEFT JOIN points e ON e.symbol = s.symbol AND e.date = s.date AND e.source = 'eodhd'
       LEFT JOIN points t ON t.symbol = s.symbol AND t.date = s.date AND t.source = 'tiingo'
       LEFT JOIN points a ON a.symbol = s.symbol AND a.date = s.date AND a.source = 'alpaca'
-      LEFT JOIN points y ON y.symbol = s.symbol AND y.date = s.date AND y.source = 'stockdata_yfinance')"""
+      LEFT JOIN points y ON y.symbol = s.symbol AND y.date = s.date AND y.source = 'stored')"""
 sql("source_summary", _GRID_VIEWS, f"""
     WITH {_SUMMARY} SELECT symbol, {_s('date')}, raw_source_count, max_raw_open_diff, max_raw_close_diff, primary_verifier_close_diff,
         third_vs_raw_median_close, stored_adj_vs_primary_adj, stored_adj_vs_verifier_adj, statuses FROM summary""")
