@@ -20,17 +20,13 @@ _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 5)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2**64, n of each at least."""
-    if not _powers or _powers[0][0].size < n:
-        size = max(1 << 21, n)
-        up, down = np.full(size, _STEP, np.uint64), np.full(size, _BACK, np.uint64)
-        up[0] = down[0] = 1
-        _powers[0] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[0]
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64, from the first to the n-th."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,9 +74,9 @@ def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False) ->
     inside[1:-1] = ~separators[buf]
     turn = np.diff(inside)
     starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _power(buf.size + 1)
+    up, down = _power(_STEP, buf.size), _power(_BACK, buf.size + 1)
     total = np.zeros(buf.size + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: buf.size], dtype=np.uint64, out=total[1:])
+    np.cumsum(_BYTE[buf] * up, dtype=np.uint64, out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     begins = np.cumsum([0, *[len(x) + 1 for x in raw]])
     return Words(buf, starts, ends, np.searchsorted(starts, begins), hashes)
