@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotary.llm import quality_rules
+from quotary.llm import decontamination, near_duplicates, packing, quality_rules, secret_scan
 from quotary.llm.common import settled, table
 
 
@@ -13,8 +13,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_duplicates.drop_near_duplicates(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return secret_scan.redact_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality rules", good_quality),
+    ("near duplicates", one_of_each),
+    ("decontamination", uncontaminated),
+    ("secret scan", without_secrets),
+    ("packing", packed),
 ]
 
 #: The posterior of an iterative estimate, a similarity join and a tokenizer are beyond SQL.
