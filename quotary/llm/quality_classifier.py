@@ -24,17 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotary.llm.common import record_batch, settled, slices, take, text_column
-from quotary.llm.words import SPACE, scan, window_starts, windows
+from quotary.llm.words import SPACE, scan
 
-STATISTICS = ("words", "word_bytes", "capitals", "symbols", "bangs", "digits", "punctuation", "bars", "distinct_words",
-              "repeated_runs", "repeated_lines")
+STATISTICS = ("word_bytes", "capitals", "symbols", "bangs", "digits", "punctuation", "bars", "doubled_words", "repeated_lines")
 _CLASSES = {"capitals": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "small": b"abcdefghijklmnopqrstuvwxyz", "digits": b"0123456789",
-            "symbols": b"#*$%&<>^~=@\\/_{}[]+", "bangs": b"!", "bars": b"|", "punctuation": b".,;:?"}
+            "symbols": b"#*$%&<>^~", "bangs": b"!", "bars": b"|", "punctuation": b".,;:?"}
 
 
-def _log_share(part: np.ndarray, whole: np.ndarray, weight: float) -> np.ndarray:
-    """Log of a smoothed share: texts of few words stay near the middle."""
-    return np.log((part + 0.01 * weight) / (whole + weight))
+def _log_share(part: np.ndarray, whole: np.ndarray, weight: float, floor: float = 0.01) -> np.ndarray:
+    """Log of a share above a floor: none is the same at every length, and a few in a short text are not many."""
+    return np.log(part / (whole + weight) + floor)
 
 
 def statistics(texts: list[bytes]) -> np.ndarray:
@@ -51,24 +50,16 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     of = {name: counts[:, i + 1] for i, name in enumerate(_CLASSES)}
     n = np.diff(words.first)
     word_bytes = np.bincount(home, words.ends - words.starts, n_texts)
-
-    def distinct(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        order = np.lexsort((hashes, owner))
-        o, h = owner[order], hashes[order]
-        new = np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])])[: o.size]
-        return np.bincount(o[new], minlength=n_texts)
-
-    at = window_starts(words, 3)
-    runs = np.bincount(home[at], minlength=n_texts)
-    repeated = runs - distinct(home[at], windows(words.hashes, 3)[at])
+    same = (words.hashes[1:] == words.hashes[:-1]) & (home[1:] == home[:-1])
+    doubled = np.bincount(home[1:][same], minlength=n_texts)
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     n_lines = np.array([len(x) for x in lines])
     letters = of["capitals"] + of["small"]
     return np.column_stack([
-        np.log(n + 1.0), np.log((word_bytes + 60) / (n + 10.0)), _log_share(of["capitals"], letters, 20),
+        np.log((word_bytes + 60) / (n + 10.0)), _log_share(of["capitals"], letters, 20),
         _log_share(of["symbols"], n, 10), _log_share(of["bangs"], n, 10), _log_share(of["digits"], word_bytes, 50),
-        _log_share(of["punctuation"], n, 10), _log_share(of["bars"], n, 10), _log_share(distinct(home, words.hashes), n, 10),
-        _log_share(repeated, runs, 10), _log_share(n_lines - np.array([len(set(x)) for x in lines]), n_lines, 5)])
+        _log_share(of["punctuation"], n, 10), _log_share(of["bars"], n, 10), _log_share(doubled, n, 30),
+        _log_share(n_lines - np.array([len(set(x)) for x in lines]), n_lines, 5, 0.2)])
 
 
 def measured(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
