@@ -24,7 +24,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         out = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return out.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(now)
     while seen[0]:
-        now = settled(_star(_star(now, larger=True), larger=False))
+        now = settled(_star(_star(now, larger=True), larger=False).distinct())
         before, seen = seen, mark(now)
         if seen == before:
             break

@@ -10,11 +10,16 @@ What is still large after the last level is compared with leaders, and the
 members that no leader accounts for with the whole node, in blocks: exact, no
 candidate is dropped.
 
+Pairs are not written out. Every member first meets its likeliest partners;
+then, in each node, members that may be similar and are not connected yet are
+compared on their full sets in place, a pair in one of its common nodes only,
+and the links that connect something leave the node.
+
 Candidates whose signatures disagree in many more places than the threshold
 allows are left out: at a similarity of the threshold that happens to fewer
 than one pair in 100,000. Together with the trees this sets the recall; each
-remaining pair is confirmed on its full sets. Links that only confirm what is
-connected already are not worked out, and each text's component is returned.
+link is confirmed on full sets. Links that only confirm what is connected
+already are not worked out, and each text's component is returned.
 
 Null or empty text has an empty set and is linked with nothing. A row without
 an id takes no part. Rows that repeat an id and a text share their component.
@@ -36,8 +41,10 @@ from quotary.llm.components import components
 from quotary.llm.words import SPACE, mix, scan, windows
 
 _PLACES = 64  # minwise values in a signature
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("member", pa.binary()), ("signature", pa.binary())])
-_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("alike", pa.int32())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.int32())])
+_PAIR_DDL = "a bigint, b bigint, alike int"
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -71,7 +78,7 @@ def _sets(words, size: int):
             yield np.zeros(0, np.uint64)
 
 
-def _member(s: np.ndarray) -> bytes:
+def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
@@ -91,7 +98,7 @@ def _signatures(join: Join):
             words = scan(batch.column("text"), SPACE, lower=True)
             sets = list(_sets(words, join.shingle))
             yield record_batch(_ROW, [batch.column("doc_id"), [s.size for s in sets],
-                                      [_member(s) if s.size else None for s in sets],
+                                      [_digest(s) if s.size else None for s in sets],
                                       [sign(s) if s.size else None for s in sets]])
 
     return rows
@@ -105,7 +112,7 @@ def _branches(join: Join, level: int):
         value = signature[np.arange(node.size), place].astype(np.uint64)
         return mix(node + mix(value * np.uint64(_PLACES) + place.astype(np.uint64) + np.uint64(level << 40)))
 
-    schema = pa.schema([("node", pa.int64()), ("member", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("member", pa.int64())])
 
     def rows(batches):
         for batch in batches:
@@ -114,7 +121,7 @@ def _branches(join: Join, level: int):
             if level:
                 starts = [batch.column("node").to_numpy().view(np.uint64)]
             else:
-                starts = [np.full(member.__len__(), 1 + t, np.uint64) for t in range(join.trees)]
+                starts = [np.full(len(member), 1 + t, np.uint64) for t in range(join.trees)]
             for node in starts:
                 dice = mix(node + np.uint64(join.seed))
                 place = (dice % np.uint64(_PLACES)).astype(np.int64)
@@ -128,6 +135,10 @@ def _branches(join: Join, level: int):
     return rows
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Places in which signatures agree, for every row of one side and every row of the other."""
     out = np.empty((left.shape[0], right.shape[0]), np.int32)
@@ -136,28 +147,111 @@ def _alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within(join: Join):
-    """All pairs of each node that can be similar enough."""
+def _jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = (x, y) if x.size < y.size else (y, x)
+    if 100 * x.size < percent * y.size:
+        return False
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), y.size - 1)] == x)
+    return 100 * both >= percent * (x.size + y.size - both)
+
+
+class _Node:
+    """The members of one node, and which pairs of them can be similar enough."""
+
+    def __init__(self, rows: pa.Table, join: Join):
+        self.member = rows.column("member").to_numpy()
+        signature = _matrix(rows.column("signature"), np.uint32, _PLACES)
+        n = rows.column("n_shingles").to_numpy()
+        alike = _alike(signature, signature)
+        good = (alike >= join.least_alike) & (100 * np.minimum(n[:, None], n) >= join.percent * np.maximum(n[:, None], n))
+        np.fill_diagonal(good, False)
+        self.alike = np.where(good, alike, -1)
+
+    def best(self) -> tuple[list, list, list]:
+        """Each member's likeliest partner, and its likeliest among the earlier ones."""
+        pairs = {}
+        for table in (self.alike, np.tril(self.alike + 1, -1) - 1):
+            k = table.argmax(axis=1)
+            for i in np.flatnonzero(table[np.arange(k.size), k] >= 0).tolist():
+                a, b = int(self.member[i]), int(self.member[k[i]])
+                pairs[min(a, b), max(a, b)] = int(table[i, k[i]])
+        return [a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())
+
+    def open_pairs(self, root: np.ndarray, nodes: list[np.ndarray], node: int) -> list[tuple[int, int]]:
+        """Possible pairs of different roots that have no earlier node in common, likeliest first."""
+        i, k = np.nonzero(np.triu((self.alike >= 0) & (root[:, None] != root), 1))
+        order = np.argsort(-self.alike[i, k], kind="stable")
+        out = []
+        for x, y in zip(i[order].tolist(), k[order].tolist(), strict=True):
+            common = np.intersect1d(nodes[x], nodes[y], assume_unique=True)
+            if common[0] == node:
+                out.append((x, y))
+        return out
+
+
+def _each_node(batches, key: str = "node"):
+    """One table per node of two members or more, from sorted batches."""
+    for rows in group_runs(batches, key):
+        node = rows.column(key).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        for at, n in zip(starts.tolist(), np.diff(np.append(starts, node.size)).tolist(), strict=True):
+            if n > 1:
+                yield int(node[at]), rows.slice(at, n)
+
+
+def _partners(join: Join):
+    def rows(batches):
+        for _, table in _each_node(batches):
+            a, b, alike = _Node(table, join).best()
+            if a:
+                yield record_batch(_PAIR, [a, b, alike])
+
+    return rows
+
+
+def _nodes_of(table: pa.Table) -> list[np.ndarray]:
+    return [np.array(x, np.int64) for x in table.column("nodes").to_pylist()]
+
+
+def _open_members(join: Join):
+    """(node, member) of the members that a node still has to compare."""
+    schema = pa.schema([("node", pa.int64()), ("member", pa.int64())])
+
     def rows(batches):
-        for nodes in group_runs(batches, "node"):
-            node = nodes.column("node").to_numpy()
-            signature = np.frombuffer(b"".join(nodes.column("signature").to_pylist()), np.uint32).reshape(-1, _PLACES)
-            n = nodes.column("n_shingles").to_numpy()
-            member = nodes.column("member").to_pylist()
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            lengths = np.diff(np.append(starts, node.size))
-            two = starts[lengths == 2]
-            pairs = [(two, two + 1)]
-            for at, length in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
-                own = signature[at : at + length]
-                i, k = np.nonzero(np.triu(_alike(own, own) >= join.least_alike, 1))
-                pairs.append((i + at, k + at))
-            i, k = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
-            alike = (signature[i] == signature[k]).sum(axis=1)
-            good = (alike >= join.least_alike) & (100 * np.minimum(n[i], n[k]) >= join.percent * np.maximum(n[i], n[k]))
-            ends = [sorted((member[x], member[y])) for x, y in zip(i[good], k[good], strict=True)]
-            if ends:
-                yield record_batch(_PAIR, [[e[0] for e in ends], [e[1] for e in ends], alike[good].astype(np.int32)])
+        for node, table in _each_node(batches):
+            root = table.column("root").to_numpy()
+            if (root == root[0]).all():
+                continue
+            found = _Node(table, join)
+            some = sorted({x for pair in found.open_pairs(root, _nodes_of(table), node) for x in pair})
+            if some:
+                yield record_batch(schema, [[node] * len(some), found.member[some]])
+
+    return rows
+
+
+def _links_inside(join: Join):
+    """Links between roots that a node's full sets confirm; one per pair of roots that it connects."""
+    def rows(batches):
+        for node, table in _each_node(batches):
+            root = table.column("root").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+            up = {int(r): int(r) for r in root}
+
+            def top(r: int) -> int:
+                while up[r] != r:
+                    up[r] = up[up[r]]
+                    r = up[r]
+                return r
+
+            links = []
+            for x, y in _Node(table, join).open_pairs(root, _nodes_of(table), node):
+                a, b = top(int(root[x])), top(int(root[y]))
+                if a != b and _jaccard_at_least(sets[x], sets[y], join.percent):
+                    up[max(a, b)] = min(a, b)
+                    links.append((max(a, b), min(a, b)))
+            if links:
+                yield record_batch(_LINK, [list(c) for c in zip(*links, strict=True)])
 
     return rows
 
@@ -168,100 +262,93 @@ def _across(join: Join):
         for batch in batches:
             for x in range(batch.num_rows):
                 block = batch.column("block")[x].as_py()
-                mine, n = batch.column("member")[x].as_py(), batch.column("n_shingles")[x].as_py()
+                mine, n, root = (batch.column(c)[x].as_py() for c in ("member", "n_shingles", "root"))
                 signature = np.frombuffer(b"".join(b["signature"] for b in block), np.uint32).reshape(-1, _PLACES)
                 own = np.frombuffer(batch.column("signature")[x].as_py(), np.uint32)[None, :]
                 alike = _alike(own, signature)[0]
                 sizes = np.array([b["n_shingles"] for b in block])
                 good = (alike >= join.least_alike) & (100 * np.minimum(n, sizes) >= join.percent * np.maximum(n, sizes))
-                ends = [sorted((mine, block[i]["member"])) + [alike[i]] for i in np.flatnonzero(good) if block[i]["member"] != mine]
-                if ends:
-                    yield record_batch(_PAIR, [list(c) for c in zip(*ends, strict=True)])
+                other = [block[i]["member"] for i in np.flatnonzero(good) if block[i]["root"] != root]
+                if other:
+                    yield record_batch(_PAIR, [[min(mine, o) for o in other], [max(mine, o) for o in other], alike[:1].repeat(len(other))])
 
     return rows
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold, as edges."""
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
-
     def rows(batches):
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
-                x, y = (x, y) if x.size < y.size else (y, x)
-                both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), y.size - 1)] == x)
-                keep.append(100 * both >= percent * (x.size + y.size - both))
+            keep = [_jaccard_at_least(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y")), percent)
+                    for i in range(batch.num_rows)]
             batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield record_batch(schema, [batch.column("a"), batch.column("b")])
+            yield record_batch(_LINK, [batch.column("a"), batch.column("b")])
 
     left = sets.select(F.col("member").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("member").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(rows, "u binary, v binary")
-
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(rows, "u bigint, v bigint")
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with the roots of their ends, an end without links being its own root."""
-    for end in ("a", "b"):
-        side = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(side, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs
 
-
-def _set_table(docs: DataFrame, members: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """(member, set) of the members in ``pairs``, from one text of each."""
-    needed = pairs.select(F.col("a").alias("member")).unionByName(pairs.select(F.col("b").alias("member"))).distinct()
-    chosen = members.join(needed, "member").select("doc_id", "member")
-    schema = pa.schema([("member", pa.binary()), ("set", pa.binary())])
+def _set_table(docs: DataFrame, members: DataFrame, needed: DataFrame, join: Join) -> DataFrame:
+    """(member, set) of the needed members, from one text of each."""
+    chosen = members.join(needed, "member").select("doc_id", "member", "digest")
+    schema = pa.schema([("member", pa.int64()), ("set", pa.binary())])
 
     def rows(batches):
         for batch in slices(batches):
-            sets = [(_member(s), want, s) for s, want in zip(
-                _sets(scan(batch.column("text"), SPACE, lower=True), join.shingle), batch.column("member").to_pylist(), strict=True)]
-            sets = [(m, s.tobytes()) for m, want, s in sets if m == want]
-            yield record_batch(schema, [[m for m, _ in sets], [s for _, s in sets]])
+            sets = _sets(scan(batch.column("text"), SPACE, lower=True), join.shingle)
+            columns = (batch.column(c).to_pylist() for c in ("member", "digest"))
+            found = [(m, s.tobytes()) for s, m, digest in zip(sets, *columns, strict=True) if _digest(s) == digest]
+            yield record_batch(schema, [[m for m, _ in found], [s for _, s in found]])
 
     # an id that repeats brings other texts along, and equal ones again
-    return docs.join(chosen, "doc_id").select("member", "text").mapInArrow(rows, "member binary, set binary").dropDuplicates(["member"])
+    return docs.join(chosen, "doc_id").select("member", "digest", "text").mapInArrow(rows, "member bigint, set binary").dropDuplicates(
+        ["member"])
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of members with their roots; a member without links is its own."""
+    return rows.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after links between roots have been added."""
+    higher = settled(components(links))
+    moved = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select(
+        "node", F.coalesce("_top", "root").alias("root"))
+    # roots without links of their own so far
+    return settled(moved.unionByName(higher.join(roots.select("node"), "node", "left_anti").select("node", "root")))
 
 
-def _large_pairs(large: DataFrame, members: DataFrame, docs: DataFrame, join: Join, roots: DataFrame) -> list[DataFrame]:
-    """Links inside nodes that stay large: leaders first, then what they leave over against the whole node."""
-    edges = []
-    known = roots
-    side = members.select("member", "n_shingles", "signature")
+def _large_nodes(large: DataFrame, members: DataFrame, docs: DataFrame, join: Join, roots: DataFrame) -> DataFrame:
+    """Roots after the nodes that stayed large: leaders first, then what they leave over against the whole node."""
     for turn in range(join.leaders + 1):
-        rooted = large.join(known.withColumnRenamed("node", "member"), "member", "left").withColumn(
-            "root", F.coalesce("root", "member"))
+        rooted = _rooted(large, roots)
         # the root that most members share, and whoever is not of it
         shares = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
         top = shares.groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        rest = settled(rooted.join(top, "node").where(F.col("root") != F.col("top.root")).select("node", "member"))
+        rest = settled(rooted.join(top, "node").where(F.col("root") != F.col("top.root")).select("node", "member", "root"))
         if rest.isEmpty():
             break
         if turn < join.leaders:
-            order = F.xxhash64(F.lit(turn), "member")
             pool = rooted if turn == 0 else rest
-            asked = pool.join(rest.select("node").distinct(), "node").groupBy("node").agg(F.min_by("member", order).alias("member"))
+            asked = (pool.join(rest.select("node").distinct(), "node").groupBy("node")
+                     .agg(F.min_by(F.struct("member", "root"), F.xxhash64(F.lit(turn), "member")).alias("m")).select("node", "m.*"))
         else:
             asked = rest
-        block = F.collect_list(F.struct("member", "n_shingles", "signature")).alias("block")
-        # a block has about 64 members, and never more than a few times that: its number follows the size of the rest
+        # blocks of about 64 members, as many as the rest needs
         sizes = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / 64).alias("blocks"))
-        blocks = (asked.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")))
-                  .join(side, "member").groupBy("node", "part").agg(block))
-        everyone = large.join(side, "member")
-        pairs = settled(everyone.join(blocks, "node").select("member", "n_shingles", "signature", "block")
-                        .mapInArrow(_across(join), "a binary, b binary, alike int").select("a", "b").distinct())
-        open_pairs = settled(_rooted(pairs, known).where("root_a <> root_b").select("a", "b"))
-        found = settled(_confirmed(open_pairs, settled(_set_table(docs, members, open_pairs, join)), join.percent))
-        edges.append(found)
-        links = known.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        for e in edges:
-            links = links.unionByName(e)
-        known = settled(components(links))
-    return edges
+        side = members.select("member", "n_shingles", "signature")
+        blocks = (asked.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks"))).join(side, "member")
+                  .groupBy("node", "part").agg(F.collect_list(F.struct("member", "root", "n_shingles", "signature")).alias("block")))
+        everyone = rooted.join(side, "member").join(blocks, "node").select("member", "root", "n_shingles", "signature", "block")
+        pairs = settled(everyone.mapInArrow(_across(join), _PAIR_DDL).select("a", "b").distinct())
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+        found = _confirmed(pairs, settled(_set_table(docs, members, needed, join)), join.percent)
+        for end in ("u", "v"):
+            found = _rooted(found.withColumnRenamed(end, "member"), roots).drop("member").withColumnRenamed("root", end)
+        roots = _merged(roots, found.select("u", "v"))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,51 +356,53 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id
     join = join or Join()
     docs = take(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
         "text", F.col("text").cast("string"))
-    rows = settled(docs.mapInArrow(_signatures(join), "doc_id long, n_shingles long, member binary, signature binary"))
-    members = settled(rows.where("member is not null and doc_id is not null").groupBy("member").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    rows = settled(docs.mapInArrow(_signatures(join), "doc_id long, n_shingles long, digest binary, signature binary"))
+    members = settled(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .withColumn("member", F.monotonically_increasing_id()))
 
-    pairs, large = [], None
-    signed = members.select("member", "signature")
+    few, large = None, members.select("member")
     for level in range(join.levels):
-        at = signed if level == 0 else large.join(signed, "member")
-        nodes = settled(at.mapInArrow(_branches(join, level), "node long, member binary"))
+        at = members.select("member", "signature") if level == 0 else large.join(members.select("member", "signature"), "member")
+        nodes = settled(at.mapInArrow(_branches(join, level), "node long, member long"))
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = nodes.join(sizes, "node")
-        few = sized.where(F.col("n") <= join.small).select("node", "member")
-        full = few.join(members.select("member", "n_shingles", "signature"), "member")
-        pairs.append(settled(full.repartition("node").sortWithinPartitions("node")
-                             .mapInArrow(_within(join), "a binary, b binary, alike int")))
-        large = settled(sized.where(F.col("n") > join.small).select("node", "member"))
+        sized = settled(nodes.join(sizes, "node"))
+        own = sized.where(F.col("n") <= join.small).select("node", "member")
+        few = own if few is None else few.unionByName(own)
+        large = sized.where(F.col("n") > join.small).select("node", "member")
         if large.isEmpty():
             break
 
-    found = pairs[0]
-    for p in pairs[1:]:
-        found = found.unionByName(p)
-    found = settled(found.groupBy("a", "b").agg(F.first("alike").alias("alike")))
-    # first the likeliest partner of each member, then whatever that leaves unconnected
-    best = found.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-    sets = settled(_set_table(docs, members, found, join))
-    links = settled(_confirmed(best, sets, join.percent))
-    roots = settled(components(links))
-    left = settled(_rooted(found, roots).where("root_a <> root_b").select("a", "b").join(best, ["a", "b"], "left_anti"))
-    more = settled(_confirmed(left, sets, join.percent))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = settled(components(links))
+    lists = few.groupBy("member").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    cards = settled(lists.join(members.select("member", "n_shingles", "signature"), "member"))
+
+    def by_node(frame: DataFrame) -> DataFrame:
+        spread = frame.withColumn("node", F.explode("nodes"))
+        return spread.repartition("node").sortWithinPartitions("node", "member")
+
+    # first the likeliest partners of each member
+    met = by_node(cards.select("member", "n_shingles", "signature", "nodes")).drop("nodes").mapInArrow(_partners(join), _PAIR_DDL)
+    met = settled(met.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    near = met.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
+    sets = settled(_set_table(docs, members, met.select(F.explode(F.array("a", "b")).alias("member")).distinct(), join))
+    roots = settled(components(_confirmed(near, sets, join.percent)))
+    # then whatever may link members that this leaves apart
+    candidates = cards.join(met.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "member", "left_semi")
+    rooted = settled(_rooted(candidates, roots))
+    opened = settled(by_node(rooted).mapInArrow(_open_members(join), "node bigint, member bigint"))
+    if not opened.isEmpty():
+        full = opened.join(rooted, "member").join(sets, "member").repartition("node").sortWithinPartitions("node", "member")
+        roots = _merged(roots, settled(full.mapInArrow(_links_inside(join), "u bigint, v bigint")))
     if not large.isEmpty():
-        for e in _large_pairs(large, members, docs, join, roots):
-            links = links.unionByName(e)
-        roots = settled(components(links))
+        roots = _large_nodes(large, members, docs, join, roots)
 
-    named = members.select("member", "doc_id").join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn(
-        "root", F.coalesce("root", "member"))
+    named = roots.withColumnRenamed("node", "member").join(members.select("member", "doc_id"), "member")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_member = named.join(least, "root").select("member", "component_id")
-    linked = rows.where("member is not null").select("doc_id", "n_shingles", "member").join(of_member, "member", "left").select(
+    of_digest = members.join(of_member, "member", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = rows.where("member is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
