@@ -61,6 +61,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
             yield batch.slice(start)
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one; only one is unpacked at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

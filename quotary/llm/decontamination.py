@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import record_batch, settled, slices, take
+from quotary.llm.common import each_row, record_batch, settled, slices, take
 from quotary.llm.words import MARKS, scan
 
 _BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()),
@@ -166,31 +166,30 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
             length = np.array([t.size for t in asked.terms])
             by_length = {n: (np.flatnonzero(length == n), np.stack([t for t in asked.terms if t.size == n]))
                          for n in np.unique(length).tolist()}
-            for batch in batches:
-                for row in batch.to_pylist():
-                    block = _Block(row)
-                    found = [(np.zeros(0, int),) * 3]
-                    for n, (numbers, terms) in by_length.items():
-                        phrase, start = block.phrases(terms)
-                        found.append((numbers[phrase], start, np.full(start.size, n)))
-                    phrase, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-                    home = block.document(start)
-                    near: dict[int, list[str]] = {}
-                    for item, terms in asked.rare.items():
-                        if terms.size < near_terms:
-                            continue
-                        lists = block.lists(terms)
-                        sizes = np.where(lists < 0, 0, np.diff(block.begins)[lists]) if block.terms.size else lists * 0
-                        for d in block.near(terms[np.argsort(sizes, kind="stable")[:near_terms]], reach).tolist():
-                            near.setdefault(d, []).append(item)
-                    out = []
-                    for d, doc_id in enumerate(block.doc_ids):
-                        mine = np.flatnonzero(home == d) if start.size else []
-                        hit = sorted({asked.items[p] for p in phrase[mine]}) if len(mine) else []
-                        out.append((doc_id, row["block"], d, block.first[d + 1] - block.first[d],
-                                    (start[mine] - block.first[d]).tolist() if hit else [], n[mine].tolist() if hit else [],
-                                    hit, sorted(set(near.get(d, [])) - set(hit))))
-                    yield record_batch(_HIT, [list(c) for c in zip(*out, strict=True)])
+            for row in each_row(batches):
+                block = _Block(row)
+                found = [(np.zeros(0, int),) * 3]
+                for n, (numbers, terms) in by_length.items():
+                    phrase, start = block.phrases(terms)
+                    found.append((numbers[phrase], start, np.full(start.size, n)))
+                phrase, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+                home = block.document(start)
+                near: dict[int, list[str]] = {}
+                for item, terms in asked.rare.items():
+                    if terms.size < near_terms:
+                        continue
+                    lists = block.lists(terms)
+                    sizes = np.where(lists < 0, 0, np.diff(block.begins)[lists]) if block.terms.size else lists * 0
+                    for d in block.near(terms[np.argsort(sizes, kind="stable")[:near_terms]], reach).tolist():
+                        near.setdefault(d, []).append(item)
+                out = []
+                for d, doc_id in enumerate(block.doc_ids):
+                    mine = np.flatnonzero(home == d) if start.size else []
+                    hit = sorted({asked.items[p] for p in phrase[mine]}) if len(mine) else []
+                    out.append((doc_id, row["block"], d, block.first[d + 1] - block.first[d],
+                                (start[mine] - block.first[d]).tolist() if hit else [], n[mine].tolist() if hit else [],
+                                hit, sorted(set(near.get(d, [])) - set(hit))))
+                yield record_batch(_HIT, [list(c) for c in zip(*out, strict=True)])
 
         found = index.mapInArrow(rows, _HIT_DDL)
         out = found if out is None else out.unionByName(found)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import group_runs, record_batch, settled, slices, take, text_column
+from quotary.llm.common import each_row, group_runs, record_batch, settled, slices, take, text_column
 from quotary.llm.words import SPACE, Words, scan, window_starts, windows
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
@@ -84,22 +84,21 @@ class _Edges:
 def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFrame:
     """For each block, which of its edges stand in an earlier block, and where they stand first."""
     def entries(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                edges = _Edges(_words(row), window, seed)
-                if not edges.first.size:
-                    continue
-                first = np.sort(edges.first)
-                bucket = (edges.high[first] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                out = []
-                for own in np.split(order, cuts):
-                    places = edges.at[first[own]].astype(np.uint32)
-                    out.append((int(bucket[own[0]]), row["block"], own.size,
-                                pa.compress(np.diff(places, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True),
-                                edges.low[first[own]].tobytes()))
-                yield record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
+        for row in each_row(batches):
+            edges = _Edges(_words(row), window, seed)
+            if not edges.first.size:
+                continue
+            first = np.sort(edges.first)
+            bucket = (edges.high[first] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            out = []
+            for own in np.split(order, cuts):
+                places = edges.at[first[own]].astype(np.uint32)
+                out.append((int(bucket[own[0]]), row["block"], own.size,
+                            pa.compress(np.diff(places, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True),
+                            edges.low[first[own]].tobytes()))
+            yield record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
 
     def answers(batches):
         for table in group_runs(batches, "bucket"):
@@ -132,52 +131,51 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFram
 def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) -> DataFrame:
     """Rows of documents (what is left of each) and rows of spans (a start, and the source of the path)."""
     def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = _words(row)
-                edges = _Edges(words, window, seed)
-                home = words.texts
-                owner = np.full(edges.first.size, -1)
-                source = np.zeros(edges.first.size, np.int64)
-                place = edges.at[edges.first]
-                group_at = np.argsort(place)
-                for a in row["answers"] or ():
-                    group = group_at[np.searchsorted(place[group_at], np.frombuffer(a["places"], np.uint32))]
-                    owner[group] = np.frombuffer(a["owners"], np.int64)
-                    source[group] = np.frombuffer(a["sources"], np.uint32)
-                owner, source = owner[edges.group], source[edges.group]
-                first = place[edges.group]
-                inside = (owner < 0) & (home[first] < home[edges.at])
-                owner[inside], source[inside] = row["block"], first[inside]
-                hit = np.flatnonzero(owner >= 0)
-                at, owner, source = edges.at[hit], owner[hit], source[hit]
-
-                edge = np.zeros(words.starts.size + window + 1, np.int64)
-                edge[at] += 1
-                edge[at + window] -= 1
-                keep = np.cumsum(edge)[: words.starts.size] == 0
-                kept, kept_at = words.joined(keep)
-                n_kept = np.concatenate([[0], np.cumsum(keep)])[words.first]
-                n_words = np.diff(words.first)
-                digests = [hashlib.sha256(kept[kept_at[a] : max(kept_at[b] - 1, kept_at[a])]).hexdigest()
-                           for a, b in zip(n_kept[:-1], n_kept[1:], strict=True)]
-                none = [None] * n_words.size
-                yield record_batch(_OUT, [row["doc_ids"], n_words, n_words - np.diff(n_kept), digests, none, none, none, none])
-
-                # paths: edges that follow one another here and at their source
-                if at.size:
-                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner) != 0) | (np.diff(source) != 1)) + 1
-                    begin = np.concatenate([[0], cut])
-                    length = np.diff(np.append(begin, at.size)) + window - 1
-                    text, text_at = words.joined()
-                    found = []
-                    for i, n in zip(begin.tolist(), length.tolist(), strict=True):
-                        span = text[text_at[at[i]] : text_at[at[i] + n]]
-                        s, local = source[i], owner[i] == row["block"]
-                        sound = local and text[text_at[s] : text_at[s + n]] == span
-                        found.append((row["doc_ids"][home[at[i]]], n, None, None, at[i] - words.first[home[at[i]]], owner[i], s,
-                                      b"" if sound else hashlib.blake2b(span, digest_size=16).digest()))
-                    yield record_batch(_OUT, [list(c) for c in zip(*found, strict=True)])
+        for row in each_row(batches):
+            words = _words(row)
+            edges = _Edges(words, window, seed)
+            home = words.texts
+            owner = np.full(edges.first.size, -1)
+            source = np.zeros(edges.first.size, np.int64)
+            place = edges.at[edges.first]
+            group_at = np.argsort(place)
+            for a in row["answers"] or ():
+                group = group_at[np.searchsorted(place[group_at], np.frombuffer(a["places"], np.uint32))]
+                owner[group] = np.frombuffer(a["owners"], np.int64)
+                source[group] = np.frombuffer(a["sources"], np.uint32)
+            owner, source = owner[edges.group], source[edges.group]
+            first = place[edges.group]
+            inside = (owner < 0) & (home[first] < home[edges.at])
+            owner[inside], source[inside] = row["block"], first[inside]
+            hit = np.flatnonzero(owner >= 0)
+            at, owner, source = edges.at[hit], owner[hit], source[hit]
+
+            edge = np.zeros(words.starts.size + window + 1, np.int64)
+            edge[at] += 1
+            edge[at + window] -= 1
+            keep = np.cumsum(edge)[: words.starts.size] == 0
+            kept, kept_at = words.joined(keep)
+            n_kept = np.concatenate([[0], np.cumsum(keep)])[words.first]
+            n_words = np.diff(words.first)
+            digests = [hashlib.sha256(kept[kept_at[a] : max(kept_at[b] - 1, kept_at[a])]).hexdigest()
+                       for a, b in zip(n_kept[:-1], n_kept[1:], strict=True)]
+            none = [None] * n_words.size
+            yield record_batch(_OUT, [row["doc_ids"], n_words, n_words - np.diff(n_kept), digests, none, none, none, none])
+
+            # paths: edges that follow one another here and at their source
+            if at.size:
+                cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner) != 0) | (np.diff(source) != 1)) + 1
+                begin = np.concatenate([[0], cut])
+                length = np.diff(np.append(begin, at.size)) + window - 1
+                text, text_at = words.joined()
+                found = []
+                for i, n in zip(begin.tolist(), length.tolist(), strict=True):
+                    span = text[text_at[at[i]] : text_at[at[i] + n]]
+                    s, local = source[i], owner[i] == row["block"]
+                    sound = local and text[text_at[s] : text_at[s + n]] == span
+                    found.append((row["doc_ids"][home[at[i]]], n, None, None, at[i] - words.first[home[at[i]]], owner[i], s,
+                                  b"" if sound else hashlib.blake2b(span, digest_size=16).digest()))
+                yield record_batch(_OUT, [list(c) for c in zip(*found, strict=True)])
 
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "owners", "sources")).alias("answers"))
     return settled(blocks.join(per_block, "block", "left").mapInArrow(rows, _OUT_DDL))
@@ -192,18 +190,17 @@ def _paths(blocks: DataFrame, resolved: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("n_spans", pa.int64()), ("sound", pa.bool_())])
 
     def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = _words(row)
-                text, at = words.joined()
-                home, out = words.texts, []
-                for r in row["asked"]:
-                    s, n = r["source"], r["n_words"]
-                    d = home[s]
-                    sound = s + n <= words.first[d + 1] and r["digest"] in (
-                        b"", hashlib.blake2b(text[at[s] : at[s + n]], digest_size=16).digest())
-                    out.append((row["doc_ids"][d], s - words.first[d], n, r["n_spans"], bool(sound)))
-                yield record_batch(schema, [list(c) for c in zip(*out, strict=True)])
+        for row in each_row(batches):
+            words = _words(row)
+            text, at = words.joined()
+            home, out = words.texts, []
+            for r in row["asked"]:
+                s, n = r["source"], r["n_words"]
+                d = home[s]
+                sound = s + n <= words.first[d + 1] and r["digest"] in (
+                    b"", hashlib.blake2b(text[at[s] : at[s + n]], digest_size=16).digest())
+                out.append((row["doc_ids"][d], s - words.first[d], n, r["n_spans"], bool(sound)))
+            yield record_batch(schema, [list(c) for c in zip(*out, strict=True)])
 
     spans = resolved.where("start is not null")
     asked = spans.groupBy("owner", "source", "n_words", "digest").agg(F.count(F.lit(1)).alias("n_spans"))
