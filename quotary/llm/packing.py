@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotary.llm.common import record_batch, settled, slices, take, text_column
-from quotary.llm.words import SPACE, scan
+from quotary.llm.words import SPACE, hashed, spans
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64())])
@@ -39,26 +40,92 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of words, each encoded once and remembered up to a bound.
+_APART, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x27] = _ODD  # contractions are the tokenizer's own business
+_KIND[SPACE] = _APART
+#: The character that byte-level models show for each byte: itself where it prints, else the next one from 256 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SHOWN = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
-    The tokenizer drops white space and no token reaches across it, so a
-    text's ids are those of its words.
-    """
 
-    def __init__(self, path: str, most: int = 200_000):
-        from tokenizers import Tokenizer
+@dataclass
+class Pieces:
+    """What the tokenizer's own rules cut texts into, where these rules are plain, and whole words where they are not."""
+
+    buf: np.ndarray  # lower case, but for odd words
+    starts: np.ndarray
+    ends: np.ndarray
+    odd: np.ndarray
+    first: np.ndarray  # index of each text's first piece; one entry more than texts
+    hashes: np.ndarray
+
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+def cut_pieces(texts: pa.Array) -> Pieces:
+    """Runs of letters, single digits and runs of other characters of words in ASCII and Latin-1 letters.
+
+    The tokenizer drops white space, no token reaches across it, and so a
+    text's ids are those of its words. Words with other characters, with
+    apostrophes or with what may be a special token are odd: they stay whole.
+    """
+    buf, word_starts, word_ends, begins = spans(texts, SPACE)
+    after = np.append(buf[1:], np.uint8(0))
+    kind = _KIND[buf]
+    lead = (buf == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+    kind[lead] = _LETTER
+    kind[1:][lead[:-1]] = _LETTER
+    kind[(buf == 0x3C) & (after == 0x7C)] = _ODD
+    low = buf + 0x20 * ((buf >= 0x41) & (buf <= 0x5A)).astype(np.uint8)
+    capital = np.flatnonzero(lead & (after <= 0x9E)) + 1
+    low[capital] += 0x20
+    odd_before = np.concatenate([[0], np.cumsum(kind == _ODD)])
+    odd_word = odd_before[word_ends] > odd_before[word_starts]
+    edge = np.zeros(buf.size + 1, np.int8)
+    edge[word_starts[odd_word]] = 1
+    edge[word_ends[odd_word]] = -1
+    whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    kind[whole] = _ODD
+    low = np.where(whole, buf, low)
+    turn = np.diff(kind, prepend=_APART, append=_APART) != 0
+    turn[:-1] |= kind == _DIGIT
+    begin = turn[:-1] & (kind != _APART)
+    starts = np.flatnonzero(begin)
+    ends = np.flatnonzero(turn[1:] & (kind != _APART)) + 1
+    odd = kind[starts] == _ODD
+    hashes = hashed(low, starts, ends) ^ (odd.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return Pieces(low, starts, ends, odd, np.searchsorted(starts, begins), hashes)
+
+
+class PieceEncoder:
+    """Token ids of pieces, each worked out once and remembered up to a bound."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        from tokenizers import Tokenizer
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.odd: dict[bytes, tuple[int, ...]] = {}
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        if len(self.known) + len(self.odd) > self.most:
+            self.known, self.odd = {}, {}
+        known, tokenize, out = self.known, self.model.tokenize, []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = tuple([t.id for t in tokenize(p.decode("latin-1").translate(_SHOWN))])
+            out.append(ids)
+        return out
+
+    def encode_odd(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        new = [w for w in words if w not in self.odd]
         got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, got, strict=True)}
-        self.known |= fresh
-        return [self.known[w] for w in words]
+        self.odd |= {w: tuple(e.ids) for w, e in zip(new, got, strict=True)}
+        return [self.odd[w] for w in words]
 
 
 def _ragged(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,19 +138,23 @@ def encode_pieces(docs: DataFrame, capacity: int = 4096, end: int = 1, path: str
                   text: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` tokens: each document's ids and the end token, cut only where they are more."""
     def rows(batches):
-        encoder = WordEncoder(path or tokenizer_file())
-        for batch in slices(batches):
-            words = scan(batch.column("text"), SPACE)
-            _, where, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            raw = words.buf.tobytes()
-            ids = encoder.encode([raw[a:b] for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)])
-            length = np.array([x.size for x in ids], np.int64)
-            flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        encoder = PieceEncoder(path or tokenizer_file())
+        for batch in slices(batches, limit=2 << 20):
+            cut = cut_pieces(batch.column("text"))
+            _, where, which = np.unique(cut.hashes, return_index=True, return_inverse=True)
+            raw, odd = cut.buf.tobytes(), cut.odd[where]
+            place = np.empty(where.size, np.int64)  # plain pieces come first
+            place[np.argsort(odd, kind="stable")] = np.arange(where.size)
+            which = place[which]
+            pieces = [[raw[a:b] for a, b in zip(cut.starts[w].tolist(), cut.ends[w].tolist(), strict=True)] for w in (where[~odd], where[odd])]
+            ids = encoder.encode(pieces[0]) + encoder.encode_odd(pieces[1])
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, length.sum())
             begin = np.cumsum(length) - length
             tokens = flat[_ragged(length[which], begin[which])].astype("<u4")
             after = np.concatenate([[0], np.cumsum(length[which])])
             out = []
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), after[words.first[:-1]], after[words.first[1:]], strict=True):
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), after[cut.first[:-1]], after[cut.first[1:]], strict=True):
                 own = np.append(tokens[a:b], np.array([end], "<u4"))
                 for k, i in enumerate(range(0, own.size, capacity)):
                     cut = own[i : i + capacity]

@@ -64,8 +64,15 @@ class Words:
         return spaced[inside[: spaced.size]].tobytes(), at
 
 
-def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False) -> Words:
-    """The words of each text; null has none."""
+def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, from running sums over the whole buffer."""
+    total = np.zeros(buf.size + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _power(_STEP, buf.size), dtype=np.uint64, out=total[1:])
+    return mix((total[ends] - total[starts]) * _power(_BACK, buf.size + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+def spans(texts: pa.Array | list, separators: np.ndarray, lower: bool = False):
+    """The texts' bytes with a newline between two, where each word starts and ends in them, and where each text begins."""
     raw = [x or b"" for x in (texts.cast(pa.binary()).to_pylist() if isinstance(texts, pa.Array) else texts)]
     buf = np.frombuffer(b"\n".join(raw), np.uint8)
     if lower:
@@ -73,13 +80,13 @@ def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False) ->
     inside = np.zeros(buf.size + 2, np.int8)
     inside[1:-1] = ~separators[buf]
     turn = np.diff(inside)
-    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _power(_STEP, buf.size), _power(_BACK, buf.size + 1)
-    total = np.zeros(buf.size + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up, dtype=np.uint64, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    begins = np.cumsum([0, *[len(x) + 1 for x in raw]])
-    return Words(buf, starts, ends, np.searchsorted(starts, begins), hashes)
+    return buf, np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), np.cumsum([0, *[len(x) + 1 for x in raw]])
+
+
+def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False) -> Words:
+    """The words of each text; null has none."""
+    buf, starts, ends, begins = spans(texts, separators, lower)
+    return Words(buf, starts, ends, np.searchsorted(starts, begins), hashed(buf, starts, ends))
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
