@@ -8,6 +8,7 @@ SCHEMA = "doc_id bigint, text string, source string, lang string, n_chars bigint
 def _texts():
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeéß日") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    words += ["the", "of", "and", "to", "is"] * 20
 
     def prose(n):
         return " ".join(rng.choice(words) for _ in range(n))
