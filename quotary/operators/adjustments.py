@@ -200,14 +200,15 @@ def scan_report(scan: Scan) -> DataFrame:
     return scan.symbols.where("needs_refresh and error is null").join(nested, "symbol")
 
 
-def adjustment_report(report: DataFrame, symbols=None, severity: str | None = None, limit: int = 100) -> DataFrame:
+def adjustment_report(report: DataFrame, symbols=None, severity: str | None = None, limit: int | None = None) -> DataFrame:
     """The last scan by ticker (any case) and severity; tickers left without events disappear."""
     if symbols is not None:
         report = report.where(F.upper("symbol").isin([s.upper() for s in symbols]))
     if severity is not None:
         report = report.withColumn("events", F.filter("events", lambda e: e["severity"] == severity))
         report = report.where(F.size("events") > 0)
-    return report.orderBy("symbol").limit(limit)
+    report = report.orderBy("symbol")
+    return report if limit is None else report.limit(limit)
 
 
 def fix_plan(affected: DataFrame, prices: DataFrame, today: Column, confirm: bool = True) -> DataFrame:

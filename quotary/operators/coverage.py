@@ -74,7 +74,7 @@ def coverage_listing(coverage: DataFrame, sort_by: str = "symbol", order: str =
                      page_size: int = 50, **filters) -> DataFrame:
     """One page of the filtered coverage with the total and the page count.
 
-    Nulls sort last ascending and first descending, as in the source database.
+    Nulls sort last ascending and first descending, as in PostgreSQL.
     """
     rows = coverage_filter(coverage, **filters)
     key = F.col(sort_by if sort_by in SORT_FIELDS else "symbol")

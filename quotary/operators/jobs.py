@@ -66,26 +66,25 @@ def purge_jobs(jobs: DataFrame, now, days_old: int = 30, keep_failed: bool = Tru
     return jobs.where(~(old & F.col("status").isin(states)))
 
 
-def run_status(results: DataFrame, batch_size: int = 50, shown: int = 20) -> DataFrame:
-    """Outcome of each update run from (run_id, symbol, rows).
-
-    A ticker without rows failed. Only ``shown`` affected tickers are listed:
-    they are picked by rank, so the list never grows with the run.
-    """
-    from quotary.operators.scale import top_k
-
-    per_symbol = results.groupBy("run_id", "symbol").agg(F.max("rows").alias("rows"))
-    bad = F.coalesce("rows", F.lit(0)) <= 0
-    runs = per_symbol.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_symbols"), F.count_if(~bad).alias("success_count"),
-                                            F.count_if(bad).alias("failed_count"))
-    first = top_k(per_symbol.where(bad).select("run_id", "symbol"), ["run_id"], ["symbol"], shown, "rk")
-    first = first.groupBy("run_id").agg(F.sort_array(F.collect_list("symbol")).alias("affected"))
+def _per_symbol(results: DataFrame) -> DataFrame:
+    """(run_id, symbol, failed): a ticker without rows failed."""
+    return results.groupBy("run_id", "symbol").agg((F.coalesce(F.max("rows"), F.lit(0)) <= 0).alias("failed"))
+
+
+def run_status(results: DataFrame, batch_size: int = 50) -> DataFrame:
+    """Outcome of each update run from (run_id, symbol, rows)."""
+    runs = _per_symbol(results).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total_symbols"), F.count_if(~F.col("failed")).alias("success_count"),
+        F.count_if("failed").alias("failed_count"))
     status = (F.when(F.col("failed_count") == 0, "success").when(F.col("success_count") == 0, "failed")
               .otherwise("completed_with_errors"))
-    return runs.join(first, "run_id", "left").select(
-        "run_id", "total_symbols", F.ceil(F.col("total_symbols") / batch_size).alias("batch_count"), "success_count",
-        "failed_count", status.alias("status"), F.coalesce("affected", F.array().cast("array<string>")).alias("affected"),
-        (F.col("failed_count") > shown).alias("affected_truncated"))
+    return runs.select("run_id", "total_symbols", F.ceil(F.col("total_symbols") / batch_size).alias("batch_count"),
+                       "success_count", "failed_count", status.alias("status"))
+
+
+def run_affected(results: DataFrame) -> DataFrame:
+    """Every ticker (run_id, symbol) that a run failed on."""
+    return _per_symbol(results).where("failed").select("run_id", "symbol")
 
 
 def create_jobs(requests: DataFrame, today) -> DataFrame:

@@ -72,8 +72,8 @@ def upsert_confirmed_events(events: DataFrame, actions: DataFrame, now) -> DataF
     has = F.col("n").isNotNull()
     fresh = {
         "dividend_amount": F.col("n.dividend_amount"), "split_ratio": F.col("n.split_ratio"),
-        "amount": F.col("n.dividend_amount").cast("decimal(12,4)"),
-        "ratio": F.col("n.split_ratio").cast("decimal(10,6)"),
+        "amount": F.col("n.dividend_amount").cast("decimal(18,4)"),
+        "ratio": F.col("n.split_ratio").cast("decimal(38,6)"),
         "ex_date": F.col("n.ex_date"), "record_date": F.col("n.record_date"), "pay_date": F.col("n.pay_date"),
         "confirmed_at": now, "source_count": F.lit(1),
         "sources_json": F.array(F.struct(F.col("n.source").alias("source"))),
@@ -100,18 +100,17 @@ def record_events(events: DataFrame, detected: DataFrame, now) -> DataFrame:
 
     ``detected`` has the columns of ``classify_deviation`` (G4). A split's
     ratio is its cumulative factor, a dividend's amount the total, else the
-    special dividend. A number too large for its column is left out, the event
-    is kept.
+    special dividend.
     """
     is_split = F.col("event_type").isin("stock_split", "reverse_split")
     is_cash = F.col("event_type").isin("dividend", "special_dividend")
     rows = detected.select(
         "symbol", F.col("check_date").alias("event_date"), "event_type", "severity",
-        F.when(is_split, F.col("cumulative_factor")).try_cast("decimal(10,6)").alias("ratio"),
-        F.when(is_cash, F.coalesce("total_dividends", "special_dividend")).try_cast("decimal(12,4)").alias("amount"),
-        F.col("stored_close").try_cast("decimal(12,4)").alias("db_price_at_detection"),
-        F.col("reference_close").try_cast("decimal(12,4)").alias("yf_price_at_detection"),
-        F.col("pct_difference").try_cast("decimal(8,6)").alias("pct_difference"),
+        F.when(is_split, F.col("cumulative_factor")).cast("decimal(38,6)").alias("ratio"),
+        F.when(is_cash, F.coalesce("total_dividends", "special_dividend")).cast("decimal(18,4)").alias("amount"),
+        F.col("stored_close").cast("decimal(18,4)").alias("db_price_at_detection"),
+        F.col("reference_close").cast("decimal(18,4)").alias("yf_price_at_detection"),
+        F.col("pct_difference").cast("decimal(18,6)").alias("pct_difference"),
         F.col("recommendation").alias("notes"))
     key = KEYS["corporate_events"]
     one = rows.groupBy(*key).agg(F.max(F.struct(*[c for c in rows.columns if c not in key])).alias("r")).select(*key, "r.*")

@@ -160,10 +160,12 @@ def economic_series_info(economic: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def economic_range(economic: DataFrame, series, start=None, end=None, descending: bool = False,
-                   limit: int = 1000) -> DataFrame:
-    """C14: one series in order, at most ``limit`` rows, with the range that is returned."""
+                   limit: int | None = None) -> DataFrame:
+    """C14: one series in order, with the range that is returned; at most ``limit`` rows if one is given."""
     day = F.col("date").desc() if descending else F.col("date").asc()
-    rows = _between(economic.where(F.col("symbol") == F.upper(F.lit(series))), start, end).orderBy(day).limit(limit)
+    rows = _between(economic.where(F.col("symbol") == F.upper(F.lit(series))), start, end)
+    if limit is not None:
+        rows = rows.orderBy(day).limit(limit)
     extent = rows.agg(F.min("date").alias("range_from"), F.max("date").alias("range_to"))
     return with_row(rows, extent).select(
         "symbol", "date", "value", "last_updated", "range_from", "range_to").orderBy(day)

@@ -108,9 +108,14 @@ def top_k(df: DataFrame, by, order, k: int, rank: str, salts: int = 256) -> Data
 
 
 def _band(v: Column) -> Column:
-    """Lower edge of the three-digit band a value falls in; grows with the value."""
-    step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(v))) - 2)
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.floor(v / step) * step)
+    """Number of the band a value falls in; never falls as the value grows, since a logarithm never does.
+
+    A band spans about a quarter of a percent. Infinities and NaN have the outermost bands.
+    """
+    size = F.floor(F.log10(F.abs(v)) * 1000) + 400_000
+    band = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    inf = F.lit(float("inf"))
+    return (F.when(F.isnan(v), 800_001).when(v == inf, 800_000).when(v == -inf, -800_000).otherwise(band)).cast("long")
 
 
 def order_statistics(df: DataFrame, by, value: str, picks: dict) -> DataFrame:
@@ -118,7 +123,7 @@ def order_statistics(df: DataFrame, by, value: str, picks: dict) -> DataFrame:
 
     ``picks`` maps an output name to a function from the key's row count to a
     one-based rank; None asks for the row count itself. Values are counted first, then ranked in two levels, the
-    upper one over value bands of three significant digits.
+    upper one over bands of values.
     """
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

@@ -81,7 +81,7 @@ sql("export_coverage_csv", "symbols prices", f"""
            CAST(data_days AS VARCHAR) AS data_days, CAST(row_count AS VARCHAR) AS row_count,
            coalesce(strftime(last_updated, '%Y-%m-%dT%H:%M:%S+00:00'), '') AS last_updated,
            CASE WHEN has_gaps THEN 'True' ELSE 'False' END AS has_gaps
-    FROM ({_RECENT}) ORDER BY symbol LIMIT 50000""")
+    FROM ({_RECENT})""")
 _GRID = """grid AS (
       SELECT s.symbol, d.date, src.source FROM symbols s,
         (SELECT max(CAST(x AS DATE)) AS date FROM generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '1999-12-31', INTERVAL 1 DAY) t(x)
@@ -226,7 +226,7 @@ sql("economic_series_info", "econ series", """
 sql("economic_range", "econ", f"""
     SELECT symbol, {_s('date')}, value, {_s('last_updated')}, CAST(min(date) OVER () AS VARCHAR) AS range_from,
            CAST(max(date) OVER () AS VARCHAR) AS range_to FROM (
-      SELECT * FROM econ WHERE symbol = 'U1' AND date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' ORDER BY date DESC LIMIT 20)""")
+      SELECT * FROM econ WHERE symbol = 'U1' AND date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28')""")
 sql("economic_latest", "econ", f"""
     SELECT symbol, {_s('date')}, value, {_s('last_updated')} FROM econ
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""")
@@ -593,7 +593,7 @@ sql("adjustment_report", _SCAN_VIEWS, f"""
     WITH {_SCAN} SELECT s.symbol, s.needs_refresh, s.max_pct_diff,
         string_agg(CAST(r.date AS VARCHAR) || '=' || r.event_type, ';' ORDER BY r.date) AS events
     FROM scan s JOIN ranked r ON r.symbol = s.symbol WHERE s.error IS NULL AND r.severity = 'critical'
-    GROUP BY 1, 2, 3 ORDER BY 1 LIMIT 100""")
+    GROUP BY 1, 2, 3""")
 sql("fix_plan", _SCAN_VIEWS, f"""
     WITH {_SCAN} SELECT s.symbol, coalesce(e.id, 0) AS event_id, coalesce(p.n, 0) AS rows_deleted, 'fix_' || s.symbol || '_20010630' AS job_id,
         '1970-01-01' AS date_from, '2001-06-30' AS date_to, '1d' AS "interval", TRUE AS force_refresh, 'high' AS priority,
@@ -602,11 +602,11 @@ sql("fix_plan", _SCAN_VIEWS, f"""
     LEFT JOIN (SELECT symbol, count(*) AS n FROM prices GROUP BY symbol) p USING (symbol) WHERE s.needs_refresh AND s.error IS NULL""")
 sql("record_events", _SCAN_VIEWS, f"""
     WITH {_SCAN} SELECT symbol, CAST(date AS VARCHAR) AS event_date, event_type, severity,
-        CASE WHEN event_type LIKE '%_split' THEN CAST(TRY_CAST(ps AS DECIMAL(10,6)) AS DOUBLE) END AS ratio,
-        CASE WHEN event_type LIKE '%dividend' THEN CAST(CAST(sd AS DECIMAL(12,4)) AS DOUBLE) END AS amount,
-        CAST(CAST(CAST(CAST(stored_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(12,4)) AS DOUBLE) AS db_price_at_detection,
-        CAST(CAST(CAST(CAST(reference_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(12,4)) AS DOUBLE) AS yf_price_at_detection,
-        CASE WHEN pct < 99.9999995 THEN CAST(CAST(pct AS DECIMAL(8,6)) AS DOUBLE) END AS pct_difference,
+        CASE WHEN event_type LIKE '%_split' THEN CAST(CAST(ps AS DECIMAL(38,6)) AS DOUBLE) END AS ratio,
+        CASE WHEN event_type LIKE '%dividend' THEN CAST(CAST(sd AS DECIMAL(18,4)) AS DOUBLE) END AS amount,
+        CAST(CAST(CAST(CAST(stored_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(18,4)) AS DOUBLE) AS db_price_at_detection,
+        CAST(CAST(CAST(CAST(reference_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(18,4)) AS DOUBLE) AS yf_price_at_detection,
+        CAST(CAST(pct AS DECIMAL(18,6)) AS DOUBLE) AS pct_difference,
         'detected' AS status, CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
           WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS notes, '{_NOW}' AS detected_at
     FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.symbol = r.symbol AND e.event_date = r.date AND e.event_type = r.event_type)""")
@@ -722,9 +722,10 @@ sql("run_status", "", """
     SELECT run_id, count(*) AS total_symbols, CAST(ceil(count(*) / 10.0) AS BIGINT) AS batch_count, count(*) FILTER (WHERE NOT bad) AS success_count,
            count(*) FILTER (WHERE bad) AS failed_count,
            CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN 'success' WHEN count(*) FILTER (WHERE NOT bad) = 0 THEN 'failed'
-                ELSE 'completed_with_errors' END AS status,
-           coalesce(array_to_string(list_sort(list(symbol) FILTER (WHERE bad))[1:5], ';'), '') AS affected,
-           count(*) FILTER (WHERE bad) > 5 AS affected_truncated FROM r GROUP BY run_id""")
+                ELSE 'completed_with_errors' END AS status FROM r GROUP BY run_id""")
+sql("run_affected", "", """
+    SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS run_id, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem GROUP BY 1, 2
+    HAVING max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS BIGINT) END) <= 0""")
 sql("create_jobs", "job_requests", f"""
     SELECT 'job_' || strftime(created_at, '%Y%m%d_%H%M%S') || '_' || request_id AS job_id, 'pending' AS status,
            'S' || CAST(c AS VARCHAR) || ';^VIX;BRK.' || p1 AS symbols, {_s('date_from', 'date_to')}, "interval", force AS force_refresh,

@@ -167,7 +167,7 @@ def parse_symbol_list(m: Market):
 
 @query
 def export_coverage_csv(m: Market):
-    return csv_out.coverage_export(coverage.coverage_recent(m.symbols, m.prices, day(AS_OF)), max_rows=50_000)
+    return csv_out.coverage_export(coverage.coverage_recent(m.symbols, m.prices, day(AS_OF)))
 
 
 MONTH_ENDS = ("1999-01-01", "1999-12-01")
@@ -342,7 +342,7 @@ def economic_series_info(m: Market):
 
 @query
 def economic_range(m: Market):
-    return prices.economic_range(m.economic, "u1", "2024-01-03", "2024-01-28", descending=True, limit=20)
+    return prices.economic_range(m.economic, "u1", "2024-01-03", "2024-01-28", descending=True)
 
 
 @query
@@ -698,7 +698,7 @@ def scan_outcomes(m: Market):
 
 @query
 def adjustment_report(m: Market):
-    report = adjustments.adjustment_report(adjustments.scan_report(_scan(m)), severity="critical", limit=100)
+    report = adjustments.adjustment_report(adjustments.scan_report(_scan(m)), severity="critical")
     text = F.transform("events", lambda e: F.concat(e["check_date"].cast("string"), F.lit("="), e["event_type"]))
     return report.select("symbol", "needs_refresh", "max_pct_diff", F.array_join(text, ";").alias("events"))
 
@@ -818,10 +818,18 @@ def purge_jobs(m: Market):
 
 @query
 def run_status(m: Market):
-    runs = m.table("lineitem").select(
+    return jobs.run_status(_runs(m), batch_size=10)
+
+
+def _runs(m: Market):
+    return m.table("lineitem").select(
         F.col("l_shipdate").cast("date").cast("string").alias("run_id"), F.concat(F.lit("S"), "l_suppkey").alias("symbol"),
         F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_quantity")).cast("bigint").alias("rows"))
-    return jobs.run_status(runs, batch_size=10, shown=5)
+
+
+@query
+def run_affected(m: Market):
+    return jobs.run_affected(_runs(m))
 
 
 @query

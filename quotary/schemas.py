@@ -55,8 +55,8 @@ CORPORATE_EVENTS = T.StructType([
     _f("symbol", T.StringType(), False),
     _f("event_date", T.DateType(), False),
     _f("event_type", T.StringType(), False),
-    _f("ratio", T.DecimalType(10, 6)),
-    _f("amount", T.DecimalType(12, 4)),
+    _f("ratio", T.DecimalType(38, 6)),
+    _f("amount", T.DecimalType(18, 4)),
     _f("dividend_amount", T.DecimalType(18, 8)),
     _f("split_ratio", T.DecimalType(18, 8)),
     _f("currency", T.StringType()),
@@ -68,9 +68,9 @@ CORPORATE_EVENTS = T.StructType([
     _f("sources_json", EVENT_SOURCES),
     _f("detected_at", T.TimestampType(), False),
     _f("detection_method", T.StringType()),
-    _f("db_price_at_detection", T.DecimalType(12, 4)),
-    _f("yf_price_at_detection", T.DecimalType(12, 4)),
-    _f("pct_difference", T.DecimalType(8, 6)),
+    _f("db_price_at_detection", T.DecimalType(18, 4)),
+    _f("yf_price_at_detection", T.DecimalType(18, 4)),
+    _f("pct_difference", T.DecimalType(18, 6)),
     _f("severity", T.StringType()),
     _f("status", T.StringType()),
     _f("fixed_at", T.TimestampType()),

@@ -8,15 +8,16 @@ from quotary.operators.coverage import SORT_FIELDS, coverage_filter
 
 COVERAGE_COLUMNS = ["symbol", "name", "exchange", "currency", "is_active", "data_start", "data_end", "data_days",
                     "row_count", "last_updated", "has_gaps"]
-MAX_EXPORT_ROWS = 50_000
 
 
-def coverage_export(coverage: DataFrame, sort_by: str = "symbol", order: str = "asc", max_rows: int = 10_000,
+def coverage_export(coverage: DataFrame, sort_by: str = "symbol", order: str = "asc", max_rows: int | None = None,
                     **filters) -> DataFrame:
-    """The listing as text columns, nulls empty, dates ISO."""
+    """The whole listing as text columns, nulls empty, dates ISO; its first ``max_rows`` rows if asked for."""
     key = F.col(sort_by if sort_by in SORT_FIELDS else "symbol")
     key = key.desc_nulls_first() if order.lower() == "desc" else key.asc_nulls_last()
-    rows = coverage_filter(coverage, **filters).orderBy(key, "symbol").limit(min(max_rows, MAX_EXPORT_ROWS))
+    rows = coverage_filter(coverage, **filters).orderBy(key, "symbol")
+    if max_rows is not None:
+        rows = rows.limit(max_rows)
     text = {c: F.col(c).cast("string") for c in COVERAGE_COLUMNS}
     text["last_updated"] = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     text["is_active"] = F.initcap(F.col("is_active").cast("string"))

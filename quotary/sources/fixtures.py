@@ -169,8 +169,8 @@ class Market:
         return e.select(
             F.expr("(k * 10000 + datediff(event_date, DATE'1995-01-01')) * 8 + n").alias("id"),
             ticker("k", "event_date").alias("symbol"), "event_date", "event_type",
-            F.col("split_ratio").cast("decimal(10,6)").alias("ratio"),
-            F.col("dividend_amount").cast("decimal(12,4)").alias("amount"),
+            F.col("split_ratio").cast("decimal(38,6)").alias("ratio"),
+            F.col("dividend_amount").cast("decimal(18,4)").alias("amount"),
             "dividend_amount", "split_ratio", F.lit("USD").alias("currency"),
             F.col("event_date").alias("ex_date"),
             F.lit(None).cast("date").alias("record_date"), F.lit(None).cast("date").alias("pay_date"),
@@ -179,9 +179,9 @@ class Market:
             F.when(F.expr("ok % 4 <> 0"), F.array(F.struct(F.lit("eodhd").alias("source")))).alias("sources_json"),
             _clock("event_date", "ok % 86400").alias("detected_at"),
             F.lit("auto").alias("detection_method"),
-            F.lit(None).cast("decimal(12,4)").alias("db_price_at_detection"),
-            F.lit(None).cast("decimal(12,4)").alias("yf_price_at_detection"),
-            F.lit(None).cast("decimal(8,6)").alias("pct_difference"),
+            F.lit(None).cast("decimal(18,4)").alias("db_price_at_detection"),
+            F.lit(None).cast("decimal(18,4)").alias("yf_price_at_detection"),
+            F.lit(None).cast("decimal(18,6)").alias("pct_difference"),
             F.expr("element_at(array('critical', 'high', 'normal', 'low'), cast(ok % 4 as int) + 1)").alias("severity"),
             F.expr("element_at(array('detected', 'confirmed', 'fixing', 'fixed', 'ignored', 'failed', null), "
                    "cast(ok % 7 as int) + 1)").alias("status"),

@@ -1,6 +1,5 @@
 """Reading and writing the seven relations (A1)."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ def load_relations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def load_relation_jdbc(spark: SparkSession, url: str, name: str, properties: dict, bounds: tuple[str, str],
                        partitions: int = 64, column: str = "date") -> DataFrame:
-    """One relation from a database, read by ``partitions`` parallel ranges of a date column."""
+    """One relation over JDBC, read by ``partitions`` parallel ranges of a date column."""
     return (spark.read.format("jdbc").options(**properties)
             .option("url", url).option("dbtable", name)
             .option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1])
@@ -51,9 +50,9 @@ def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str |
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a folder of our own only where none is named."""
+    """The shared folder the cluster names for checkpoints; below the warehouse where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="quotary-")
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quotary"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from quotary.functions.numbers import reported_number
 from quotary.functions.tickers import vendor_supported
 
 _NUMBER = "string"  # vendors send numbers as numbers or as text
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -19,22 +20,30 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _raw_row(source: str, o, h, l, c, v, day: Column) -> list[Column]:
-    price = lambda x: F.col(x).cast("decimal(18,6)")
+    price = lambda x: F.col(x).try_cast("decimal(18,6)")
     return [F.col("symbol"), day.alias("date"), F.lit(source).alias("source"),
             price(o).alias("open"), price(h).alias("high"), price(l).alias("low"), price(c).alias("close"),
             F.coalesce(F.col(v).try_cast("double"), F.lit(0.0)).cast("bigint").alias("volume")]
 
 
 def _calendar_day(col) -> Column:
-    """Date part of an ISO text, as written (no zone shift)."""
-    return F.to_date(F.substring(col, 1, 10))
+    """Date part of an ISO date or time stamp, as written (no zone shift); null for any other text."""
+    iso = F.col(col) if isinstance(col, str) else col
+    return F.when(iso.rlike(_ISO), F.try_to_date(F.substring(iso, 1, 10), "yyyy-MM-dd"))
+
+
+def vendor_rejects(payloads: DataFrame, item: str, day: str, bars: str | None = None) -> DataFrame:
+    """Rows of a payload whose day cannot be read, as (symbol, text); the ingests leave them out."""
+    parsed = F.from_json("payload", item)
+    rows = payloads.select("symbol", F.explode(parsed[bars] if bars else parsed).alias("row"))
+    return rows.where(_calendar_day(F.col("row")[day]).isNull()).select("symbol", F.to_json("row").alias("text"))
 
 
 def ingest_vendor_eod(payloads: DataFrame) -> DataFrame:
     """A2: JSON array of daily rows."""
     item = f"array<struct<date:string,open:{_NUMBER},high:{_NUMBER},low:{_NUMBER},close:{_NUMBER},volume:{_NUMBER}>>"
     rows = payloads.select("symbol", F.inline(F.from_json("payload", item)))
-    return rows.select(*_raw_row("eodhd", "open", "high", "low", "close", "volume", _calendar_day("date")))
+    return rows.select(*_raw_row("eodhd", "open", "high", "low", "close", "volume", _calendar_day("date"))).where("date is not null")
 
 
 def ingest_vendor_iso(payloads: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def ingest_vendor_iso(payloads: DataFrame) -> DataFrame:
     item = f"array<struct<date:string,open:{_NUMBER},high:{_NUMBER},low:{_NUMBER},close:{_NUMBER},volume:{_NUMBER}>>"
     rows = payloads.select("symbol", F.inline(F.from_json("payload", item)))
     rows = rows.where(vendor_supported(F.lit("tiingo"), F.col("symbol")))
-    return rows.select(*_raw_row("tiingo", "open", "high", "low", "close", "volume", _calendar_day("date")))
+    return rows.select(*_raw_row("tiingo", "open", "high", "low", "close", "volume", _calendar_day("date"))).where("date is not null")
 
 
 def ingest_vendor_bars(payloads: DataFrame) -> DataFrame:
@@ -50,7 +59,7 @@ def ingest_vendor_bars(payloads: DataFrame) -> DataFrame:
     item = f"struct<bars:array<struct<t:string,o:{_NUMBER},h:{_NUMBER},l:{_NUMBER},c:{_NUMBER},v:{_NUMBER}>>>"
     rows = payloads.select("symbol", F.inline(F.from_json("payload", item)["bars"]))
     rows = rows.where(vendor_supported(F.lit("alpaca"), F.col("symbol")))
-    return rows.select(*_raw_row("alpaca", "o", "h", "l", "c", "v", _calendar_day("t")))
+    return rows.select(*_raw_row("alpaca", "o", "h", "l", "c", "v", _calendar_day("t"))).where("date is not null")
 
 
 def union_raw_sources(*sources: DataFrame) -> DataFrame:
