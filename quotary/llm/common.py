@@ -20,17 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: what follows depends on files, not on lineage.
 
-    The shuffle files behind it are released, so that a chain of steps holds
-    one step's shuffles at a time.
+    Shuffle files that nothing refers to any more are released before and
+    after, so that a chain of steps holds one step's shuffles at a time.
     """
     spark = df.sparkSession
+    _release(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
+    _release(spark)
+    return out
+
+
+def _release(spark: SparkSession) -> None:
+    """Let go of frames that are done with; Spark drops their shuffle files when its own collector has seen it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

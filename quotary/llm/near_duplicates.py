@@ -54,7 +54,7 @@ class Join:
     shingle: int = 5
     percent: int = 80
     trees: int = 12
-    small: int = 500
+    small: int = 2000
     levels: int = 5
     leaders: int = 2
     seed: int = 11
@@ -177,16 +177,19 @@ class _Node:
                 pairs[min(a, b), max(a, b)] = int(table[i, k[i]])
         return [a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())
 
-    def open_pairs(self, root: np.ndarray, nodes: list[np.ndarray], node: int) -> list[tuple[int, int]]:
+    def open_pairs(self, root: np.ndarray, nodes: list[list[int]], node: int) -> tuple[np.ndarray, np.ndarray]:
         """Possible pairs of different roots that have no earlier node in common, likeliest first."""
-        i, k = np.nonzero(np.triu((self.alike >= 0) & (root[:, None] != root), 1))
+        wanted = np.triu((self.alike >= 0) & (root[:, None] != root), 1)
+        rows = np.flatnonzero(wanted.any(axis=1) | wanted.any(axis=0))
+        earlier = [[x for x in nodes[i] if x < node] for i in rows.tolist()]
+        names, at = np.unique(np.array([x for own in earlier for x in own], np.int64), return_inverse=True)
+        has = np.zeros((rows.size, names.size), np.float32)
+        has[np.repeat(np.arange(rows.size), [len(own) for own in earlier]), at] = 1
+        has = has[:, has.sum(axis=0) > 1]
+        wanted[np.ix_(rows, rows)] &= has @ has.T == 0
+        i, k = np.nonzero(wanted)
         order = np.argsort(-self.alike[i, k], kind="stable")
-        out = []
-        for x, y in zip(i[order].tolist(), k[order].tolist(), strict=True):
-            common = np.intersect1d(nodes[x], nodes[y], assume_unique=True)
-            if common[0] == node:
-                out.append((x, y))
-        return out
+        return i[order], k[order]
 
 
 def _each_node(batches, key: str = "node"):
@@ -209,10 +212,6 @@ def _partners(join: Join):
     return rows
 
 
-def _nodes_of(table: pa.Table) -> list[np.ndarray]:
-    return [np.array(x, np.int64) for x in table.column("nodes").to_pylist()]
-
-
 def _open_members(join: Join):
     """(node, member) of the members that a node still has to compare."""
     schema = pa.schema([("node", pa.int64()), ("member", pa.int64())])
@@ -223,9 +222,9 @@ def _open_members(join: Join):
             if (root == root[0]).all():
                 continue
             found = _Node(table, join)
-            some = sorted({x for pair in found.open_pairs(root, _nodes_of(table), node) for x in pair})
-            if some:
-                yield record_batch(schema, [[node] * len(some), found.member[some]])
+            some = np.union1d(*found.open_pairs(root, table.column("nodes").to_pylist(), node))
+            if some.size:
+                yield record_batch(schema, [np.full(some.size, node), found.member[some]])
 
     return rows
 
@@ -245,7 +244,8 @@ def _links_inside(join: Join):
                 return r
 
             links = []
-            for x, y in _Node(table, join).open_pairs(root, _nodes_of(table), node):
+            pairs = _Node(table, join).open_pairs(root, table.column("nodes").to_pylist(), node)
+            for x, y in zip(*(p.tolist() for p in pairs), strict=True):
                 a, b = top(int(root[x])), top(int(root[y]))
                 if a != b and _jaccard_at_least(sets[x], sets[y], join.percent):
                     up[max(a, b)] = min(a, b)
@@ -320,7 +320,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return settled(moved.unionByName(higher.join(roots.select("node"), "node", "left_anti").select("node", "root")))
 
 
-def _large_nodes(large: DataFrame, members: DataFrame, docs: DataFrame, join: Join, roots: DataFrame) -> DataFrame:
+def _large_nodes(large: DataFrame, members: DataFrame, sets: DataFrame, join: Join, roots: DataFrame) -> DataFrame:
     """Roots after the nodes that stayed large: leaders first, then what they leave over against the whole node."""
     for turn in range(join.leaders + 1):
         rooted = _rooted(large, roots)
@@ -343,8 +343,7 @@ def _large_nodes(large: DataFrame, members: DataFrame, docs: DataFrame, join: Jo
                   .groupBy("node", "part").agg(F.collect_list(F.struct("member", "root", "n_shingles", "signature")).alias("block")))
         everyone = rooted.join(side, "member").join(blocks, "node").select("member", "root", "n_shingles", "signature", "block")
         pairs = settled(everyone.mapInArrow(_across(join), _PAIR_DDL).select("a", "b").distinct())
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-        found = _confirmed(pairs, settled(_set_table(docs, members, needed, join)), join.percent)
+        found = _confirmed(pairs, sets, join.percent)
         for end in ("u", "v"):
             found = _rooted(found.withColumnRenamed(end, "member"), roots).drop("member").withColumnRenamed("root", end)
         roots = _merged(roots, found.select("u", "v"))
@@ -384,17 +383,18 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id
     met = by_node(cards.select("member", "n_shingles", "signature", "nodes")).drop("nodes").mapInArrow(_partners(join), _PAIR_DDL)
     met = settled(met.groupBy("a", "b").agg(F.max("alike").alias("alike")))
     near = met.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-    sets = settled(_set_table(docs, members, met.select(F.explode(F.array("a", "b")).alias("member")).distinct(), join))
+    partnered = met.select(F.explode(F.array("a", "b")).alias("member"))
+    sets = settled(_set_table(docs, members, partnered.unionByName(large.select("member")).distinct(), join))
     roots = settled(components(_confirmed(near, sets, join.percent)))
     # then whatever may link members that this leaves apart
-    candidates = cards.join(met.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "member", "left_semi")
+    candidates = cards.join(partnered.distinct(), "member", "left_semi")
     rooted = settled(_rooted(candidates, roots))
     opened = settled(by_node(rooted).mapInArrow(_open_members(join), "node bigint, member bigint"))
     if not opened.isEmpty():
         full = opened.join(rooted, "member").join(sets, "member").repartition("node").sortWithinPartitions("node", "member")
         roots = _merged(roots, settled(full.mapInArrow(_links_inside(join), "u bigint, v bigint")))
     if not large.isEmpty():
-        roots = _large_nodes(large, members, docs, join, roots)
+        roots = _large_nodes(large, members, sets, join, roots)
 
     named = roots.withColumnRenamed("node", "member").join(members.select("member", "doc_id"), "member")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -9,9 +9,10 @@ both in a document and at their source make an unbranched path, which becomes
 one span. Each distinct path is then checked at its source, on the words.
 
 A block sends an edge once and gets at most one answer for it, so a passage
-that a third of all documents share costs one entry per block. Hashes have 64
-bits besides those that name the bucket; a path that fails its check, which is
-next to impossible, repeats the whole census with other hashes.
+that a third of all documents share costs one entry per block. Keys of edges
+are as long as the number of words asks for, so that no two different edges
+are likely to share one anywhere in the corpus (a chance of about one in a hundred);
+a path that fails its check repeats the whole census with other hashes.
 
 Rows are ordered by id, rows of one id by their text: the later one counts as
 the later document. A null id comes first. Null text has no words. Texts of
@@ -81,7 +82,16 @@ class _Edges:
         self.first = order[new]  # of each group, the earliest: the sort is stable
 
 
-def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFrame:
+def key_bytes(n_bytes: int, buckets: int) -> int:
+    """Bytes of an edge's key besides its bucket, for texts of ``n_bytes`` in all.
+
+    Two bits per doubling of the words, taken as a quarter of the bytes, and six to spare.
+    """
+    bits = 2 * max(n_bytes // 4, 1).bit_length() + 6 - (buckets.bit_length() - 1)
+    return min(max(-(-bits // 8), 4), 15)
+
+
+def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int) -> DataFrame:
     """For each block, which of its edges stand in an earlier block, and where they stand first."""
     def entries(batches):
         for row in each_row(batches):
@@ -90,6 +100,8 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFram
                 continue
             first = np.sort(edges.first)
             bucket = (edges.high[first] % np.uint64(buckets)).astype(np.int64)
+            key = np.column_stack([edges.low[first], edges.high[first] // np.uint64(buckets)]).astype("<u8")
+            key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 16)[:, :width])
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             out = []
@@ -97,7 +109,7 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFram
                 places = edges.at[first[own]].astype(np.uint32)
                 out.append((int(bucket[own[0]]), row["block"], own.size,
                             pa.compress(np.diff(places, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True),
-                            edges.low[first[own]].tobytes()))
+                            key[own].tobytes()))
             yield record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
 
     def answers(batches):
@@ -109,9 +121,12 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int) -> DataFram
                 places = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(
                     r["places"], decompressed_size=4 * r["size"], codec="zstd", asbytes=True), np.uint32)) for r in rows])
                 block = np.repeat(np.array([r["block"] for r in rows]), [r["size"] for r in rows])
-                edge = np.concatenate([np.frombuffer(r["edges"], np.uint64) for r in rows])
-                order = np.argsort(edge, kind="stable")  # rows come by block
-                new = np.concatenate([[True], edge[order][1:] != edge[order][:-1]])
+                edge = np.zeros((block.size, 16), np.uint8)
+                edge[:, :width] = np.frombuffer(b"".join(r["edges"] for r in rows), np.uint8).reshape(-1, width)
+                low, high = edge.view("<u8").T
+                order = np.argsort(low, kind="stable") if width <= 8 else np.lexsort((high, low))  # rows come by block
+                low, high = low[order], high[order]
+                new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
                 source = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
                 later = np.flatnonzero(block[order] != block[source])
                 if not later.size:
@@ -218,8 +233,9 @@ def repeated_spans(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 2
     blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")))
     size = blocks.agg(F.sum("size")).collect()[0][0] or 0
     buckets, seed = max(1, -(-size // bucket_bytes)), 0
+    width = key_bytes(size, buckets)
     while True:
-        resolved = _resolved(blocks, _census(blocks, window, seed, buckets), window, seed)
+        resolved = _resolved(blocks, _census(blocks, window, seed, buckets, width), window, seed)
         paths = _paths(blocks, resolved)
         if paths.where("not sound").isEmpty():
             break
