@@ -211,6 +211,17 @@ def adjustment_report(report: DataFrame, symbols=None, severity: str | None = No
     return report if limit is None else report.limit(limit)
 
 
+def first_events(scan: Scan, events: DataFrame) -> DataFrame:
+    """(symbol, event_id) of the tickers to refresh: the event recorded for the earliest deviation of the scan.
+
+    ``events`` is the event table after the scan has been recorded (E6).
+    """
+    first = scan.events.groupBy("symbol").agg(F.min_by("event_type", "check_date").alias("event_type"), F.min("check_date").alias("event_date"))
+    found = first.join(events.select("symbol", "event_date", "event_type", F.col("id").alias("event_id")),
+                       ["symbol", "event_date", "event_type"], "left").select("symbol", "event_id")
+    return scan.symbols.where("needs_refresh and error is null").select("symbol").join(found, "symbol", "left")
+
+
 def fix_plan(affected: DataFrame, prices: DataFrame, today: Column, confirm: bool = True) -> DataFrame:
     """Per ticker the rows to delete, the full-history job to queue, and the status its event moves to.
 

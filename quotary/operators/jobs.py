@@ -66,6 +66,14 @@ def purge_jobs(jobs: DataFrame, now, days_old: int = 30, keep_failed: bool = Tru
     return jobs.where(~(old & F.col("status").isin(states)))
 
 
+def purged_count(jobs: DataFrame, now, days_old: int = 30, keep_failed: bool = True) -> DataFrame:
+    """How many jobs of each status ``purge_jobs`` takes away."""
+    before, after = (df.groupBy("status").agg(F.count(F.lit(1)).alias(n)) for df, n in (
+        (jobs, "before"), (purge_jobs(jobs, now, days_old, keep_failed), "after")))
+    return before.join(after, "status", "left").select(
+        "status", (F.col("before") - F.coalesce("after", F.lit(0))).alias("purged")).where("purged > 0")
+
+
 def _per_symbol(results: DataFrame) -> DataFrame:
     """(run_id, symbol, failed): a ticker without rows failed."""
     return results.groupBy("run_id", "symbol").agg((F.coalesce(F.max("rows"), F.lit(0)) <= 0).alias("failed"))

@@ -62,6 +62,12 @@ def upsert_economic(economic: DataFrame, incoming: DataFrame) -> DataFrame:
     return _merge(economic, _latest(incoming, key, "last_updated", values), key, values, F.lit(True))
 
 
+def event_id() -> Column:
+    """The id of a new event, from its key alone: the same in every run, and above the counted ids of older rows."""
+    key = F.concat_ws("|", "symbol", F.date_format("event_date", "yyyy-MM-dd"), "event_type")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def upsert_confirmed_events(events: DataFrame, actions: DataFrame, now) -> DataFrame:
     """E5: confirm vendor actions; the columns a vendor does not know survive."""
     key = KEYS["corporate_events"]
@@ -80,7 +86,7 @@ def upsert_confirmed_events(events: DataFrame, actions: DataFrame, now) -> DataF
         "status": F.lit("confirmed"), "updated_at": now,
     }
     new_row = has & F.col("detected_at").isNull()
-    defaults = {"currency": F.lit("USD"), "detection_method": F.lit("auto"), "detected_at": now, "created_at": now}
+    defaults = {"id": event_id(), "currency": F.lit("USD"), "detection_method": F.lit("auto"), "detected_at": now, "created_at": now}
     out = both.withColumn("change", F.when(new_row, "inserted").when(has, "updated").otherwise("unchanged"))
     columns = []
     for c in events.columns:
@@ -104,6 +110,7 @@ def record_events(events: DataFrame, detected: DataFrame, now) -> DataFrame:
     """
     is_split = F.col("event_type").isin("stock_split", "reverse_split")
     is_cash = F.col("event_type").isin("dividend", "special_dividend")
+    details = [c for c in detected.columns if c not in ("symbol", "check_date", "event_type", "severity", "recommendation")]
     rows = detected.select(
         "symbol", F.col("check_date").alias("event_date"), "event_type", "severity",
         F.when(is_split, F.col("cumulative_factor")).cast("decimal(38,6)").alias("ratio"),
@@ -111,11 +118,11 @@ def record_events(events: DataFrame, detected: DataFrame, now) -> DataFrame:
         F.col("stored_close").cast("decimal(18,4)").alias("db_price_at_detection"),
         F.col("reference_close").cast("decimal(18,4)").alias("yf_price_at_detection"),
         F.col("pct_difference").cast("decimal(18,6)").alias("pct_difference"),
-        F.col("recommendation").alias("notes"))
+        F.col("recommendation").alias("notes"), F.to_json(F.struct(*details)).alias("source_data"))
     key = KEYS["corporate_events"]
     one = rows.groupBy(*key).agg(F.max(F.struct(*[c for c in rows.columns if c not in key])).alias("r")).select(*key, "r.*")
     fresh = one.join(events.select(*key), key, "left_anti").withColumns({
-        "currency": F.lit("USD"), "detection_method": F.lit("auto"), "status": F.lit("detected"),
+        "id": event_id(), "currency": F.lit("USD"), "detection_method": F.lit("auto"), "status": F.lit("detected"),
         "detected_at": now, "created_at": now, "updated_at": now})
     return events.withColumn("change", F.lit("unchanged")).unionByName(
         fresh.withColumn("change", F.lit("inserted")), allowMissingColumns=True)
@@ -141,6 +148,12 @@ def delete_prices_by(prices: DataFrame, requests: DataFrame) -> DataFrame:
     return prices.alias("p").join(requests.alias("d"), inside, "left_anti")
 
 
+def deleted_count(prices: DataFrame, requests: DataFrame) -> DataFrame:
+    """How many rows per ticker ``delete_prices_by`` takes away."""
+    return (prices.select("symbol", "date").exceptAll(delete_prices_by(prices, requests).select("symbol", "date"))
+            .groupBy("symbol").agg(F.count(F.lit(1)).alias("deleted")))
+
+
 def register_symbols(symbols: DataFrame, names: DataFrame, now) -> DataFrame:
     """Add unknown tickers as active ones."""
     fresh = (names.select("symbol").distinct().join(symbols.select("symbol"), "symbol", "left_anti")
@@ -167,8 +180,13 @@ def symbols_not_found(symbols: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def event_status_update(events: DataFrame, actions: DataFrame, now) -> DataFrame:
-    """Apply (id, action, reason) with action confirm, ignore, fixing, fixed or failed."""
-    a = actions.select("id", "action", "reason")
+    """Apply (id, action, reason) with action confirm, ignore, fixing, fixed or failed.
+
+    Actions may also carry the fix itself: job_id and rows_deleted.
+    """
+    fix = {"job_id": "fix_job_id", "rows_deleted": "rows_deleted"}
+    given = {c: kept for c, kept in fix.items() if c in actions.columns}
+    a = actions.select("id", "action", "reason", *[F.col(c).alias(f"_{c}") for c in given])
     status = (F.when(F.col("action") == "confirm", "confirmed").when(F.col("action") == "ignore", "ignored")
               .otherwise(F.col("action")))
     note = F.when(F.col("action") == "ignore",
@@ -179,5 +197,6 @@ def event_status_update(events: DataFrame, actions: DataFrame, now) -> DataFrame
         "status": F.when(hit, status).otherwise(F.col("status")),
         "notes": F.coalesce(note, "notes"),
         "fixed_at": F.when(F.col("action") == "fixed", now).otherwise(F.col("fixed_at")),
-        "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+        **{kept: F.coalesce(f"_{c}", kept) for c, kept in given.items()}})
     return out.select(*events.columns)

@@ -84,7 +84,7 @@ sql("export_coverage_csv", "symbols prices", f"""
     FROM ({_RECENT})""")
 _GRID = """grid AS (
       SELECT s.symbol, d.date, src.source FROM symbols s,
-        (SELECT max(CAST(x AS DATE)) AS date FROM generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '1999-12-31', INTERVAL 1 DAY) t(x)
+        (SELECT max(CAST(x AS DATE)) AS date FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(x)
          WHERE isodow(x) < 6 GROUP BY date_trunc('month', x)) d, (VALUES ('eodhd'), ('tiingo'), ('alpaca'), ('stored')) src(source)),
     pts AS (SELECT symbol, date, source, CAST(open AS DOUBLE) AS open, CAST(close AS DOUBLE) AS close,
                    CASE WHEN source <> 'alpaca' THEN CAST(close AS DOUBLE) END AS adj_close, volume FROM raw
@@ -368,6 +368,12 @@ sql("upsert_economic", "econ econ_changes", f"""
            CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN n.symbol IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change
     FROM econ o FULL OUTER JOIN best n ON o.symbol = n.symbol AND o.date = n.date""")
 _NOW = "2001-11-05 06:00:00"
+
+
+def _event_id(day: str, t: str = "") -> str:
+    return f"CAST('0x' || substr(md5({t}symbol || '|' || CAST({t}{day} AS VARCHAR) || '|' || {t}event_type), 1, 15) AS BIGINT)"
+
+
 _ACTIONS = """a0 AS (SELECT symbol, event_date, event_type, CAST(dividend_amount * 2 AS DECIMAL(18,8)) AS dividend_amount, split_ratio
       FROM ev WHERE event_type IN ('dividend', 'split')),
     acts AS (SELECT symbol, event_date, event_type, max(dividend_amount) AS dividend_amount, max(split_ratio) AS split_ratio
@@ -378,12 +384,12 @@ _ACTIONS = """a0 AS (SELECT symbol, event_date, event_type, CAST(dividend_amount
         CASE WHEN n.symbol IS NOT NULL THEN n.dividend_amount ELSE o.dividend_amount END AS dividend_amount,
         CASE WHEN n.symbol IS NOT NULL THEN n.split_ratio ELSE o.split_ratio END AS split_ratio,
         coalesce(n.event_date, o.ex_date) AS ex_date, o.confirmed_at, o.source_count, o.source_names, o.severity, o.status,
-        o.updated_at, o.symbol AS had
+        o.updated_at, o.symbol AS had, o.id
       FROM ev o FULL OUTER JOIN acts n ON o.symbol = n.symbol AND o.event_date = n.event_date AND o.event_type = n.event_type)"""
 sql("upsert_confirmed_events", "ev", f"""
     WITH {_ACTIONS}
-    SELECT symbol, {_s('event_date')}, event_type, CAST(CAST(split_ratio AS DECIMAL(10,6)) AS DOUBLE) AS ratio,
-           CAST(CAST(dividend_amount AS DECIMAL(12,4)) AS DOUBLE) AS amount, CAST(dividend_amount AS DOUBLE) AS dividend_amount,
+    SELECT coalesce(id, {_event_id('event_date')}) AS id, symbol, {_s('event_date')}, event_type, CAST(CAST(split_ratio AS DECIMAL(38,6)) AS DOUBLE) AS ratio,
+           CAST(CAST(dividend_amount AS DECIMAL(18,4)) AS DOUBLE) AS amount, CAST(dividend_amount AS DOUBLE) AS dividend_amount,
            CAST(split_ratio AS DOUBLE) AS split_ratio, {_s('ex_date')},
            CASE WHEN hit THEN '{_NOW}' ELSE CAST(confirmed_at AS VARCHAR) END AS confirmed_at,
            CASE WHEN hit THEN 1 ELSE coalesce(source_count, 0) END AS source_count,
@@ -395,6 +401,10 @@ sql("delete_prices", "prices symbols", f"""
     SELECT {_ROW} FROM prices p WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.symbol = p.symbol
       AND NOT coalesce(s.is_active, FALSE) AND p.date <= DATE '1998-12-31'
       AND (s.is_active IS NOT NULL OR p.date >= DATE '1997-01-01'))""")
+sql("deleted_count", "prices symbols", """
+    SELECT p.symbol, count(*) AS deleted FROM prices p JOIN symbols s ON s.symbol = p.symbol
+    WHERE NOT coalesce(s.is_active, FALSE) AND p.date <= DATE '1998-12-31' AND (s.is_active IS NOT NULL OR p.date >= DATE '1997-01-01')
+    GROUP BY p.symbol""")
 sql("register_symbols", "symbols", f"""
     SELECT symbol, name, is_active, has_full_history, {_s('created_at')}, 'unchanged' AS change FROM symbols
     UNION ALL SELECT 'S' || CAST(p_partkey AS VARCHAR), NULL, TRUE, FALSE, '{_NOW}', 'inserted' FROM part
@@ -438,7 +448,7 @@ sql("apply_consensus", "raw", f"""
     SELECT symbol, {_s('date')}, source, CAST(close AS DOUBLE) AS close, CAST(consensus_close AS DOUBLE) AS consensus_close FROM settled""")
 _COLLAPSED = """collapsed AS (SELECT symbol, date, CAST(max(consensus_close) AS DOUBLE) AS consensus_close, max(volume) AS volume
       FROM {src} WHERE consensus_close IS NOT NULL AND date BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY symbol, date)"""
-_A, _B = "1996-01-01", "2000-12-31"
+_A, _B = "1990-01-01", "2030-12-31"
 sql("collapse_raw", "raw", f"WITH {_COLLAPSED.format(src='raw', a=_A, b=_B)} SELECT symbol, {_s('date')}, consensus_close, volume FROM collapsed")
 
 
@@ -595,13 +605,16 @@ sql("adjustment_report", _SCAN_VIEWS, f"""
     FROM scan s JOIN ranked r ON r.symbol = s.symbol WHERE s.error IS NULL AND r.severity = 'critical'
     GROUP BY 1, 2, 3""")
 sql("fix_plan", _SCAN_VIEWS, f"""
-    WITH {_SCAN} SELECT s.symbol, coalesce(e.id, 0) AS event_id, coalesce(p.n, 0) AS rows_deleted, 'fix_' || s.symbol || '_20010630' AS job_id,
+    WITH {_SCAN}, firsts AS (SELECT symbol, min(date) AS date, arg_min(event_type, date) AS event_type FROM ranked GROUP BY symbol),
+    named AS (SELECT f.symbol, coalesce(e.id, {_event_id('date', 'f.')}) AS id FROM firsts f LEFT JOIN ev e
+      ON e.symbol = f.symbol AND e.event_date = f.date AND e.event_type = f.event_type)
+    SELECT s.symbol, e.id AS event_id, coalesce(p.n, 0) AS rows_deleted, 'fix_' || s.symbol || '_20010630' AS job_id,
         '1970-01-01' AS date_from, '2001-06-30' AS date_to, '1d' AS "interval", TRUE AS force_refresh, 'high' AS priority,
         'pending' AS job_status, CASE WHEN e.id IS NOT NULL THEN 'fixed' END AS event_status
-    FROM scan s LEFT JOIN (SELECT symbol, min(id) AS id FROM ev GROUP BY symbol) e USING (symbol)
+    FROM scan s LEFT JOIN named e USING (symbol)
     LEFT JOIN (SELECT symbol, count(*) AS n FROM prices GROUP BY symbol) p USING (symbol) WHERE s.needs_refresh AND s.error IS NULL""")
 sql("record_events", _SCAN_VIEWS, f"""
-    WITH {_SCAN} SELECT symbol, CAST(date AS VARCHAR) AS event_date, event_type, severity,
+    WITH {_SCAN} SELECT {_event_id('date')} AS id, symbol, CAST(date AS VARCHAR) AS event_date, event_type, severity,
         CASE WHEN event_type LIKE '%_split' THEN CAST(CAST(ps AS DECIMAL(38,6)) AS DOUBLE) END AS ratio,
         CASE WHEN event_type LIKE '%dividend' THEN CAST(CAST(sd AS DECIMAL(18,4)) AS DOUBLE) END AS amount,
         CAST(CAST(CAST(CAST(stored_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(18,4)) AS DOUBLE) AS db_price_at_detection,
@@ -716,13 +729,17 @@ sql("cancel_jobs", "jobs", """
 sql("purge_jobs", "jobs", f"""
     SELECT job_id, status, {_s('created_at')} FROM jobs
     WHERE NOT (created_at < TIMESTAMP '1999-05-31' AND status IN ('completed', 'cancelled'))""")
-sql("run_status", "", """
+sql("purged_count", "jobs", """
+    SELECT status, count(*) AS purged FROM jobs WHERE created_at < TIMESTAMP '1999-05-31' AND status IN ('completed', 'cancelled') GROUP BY status""")
+_RUN_STATUS = """
     WITH r AS (SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS run_id, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
         max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS BIGINT) END) <= 0 AS bad FROM lineitem GROUP BY 1, 2)
     SELECT run_id, count(*) AS total_symbols, CAST(ceil(count(*) / 10.0) AS BIGINT) AS batch_count, count(*) FILTER (WHERE NOT bad) AS success_count,
            count(*) FILTER (WHERE bad) AS failed_count,
            CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN 'success' WHEN count(*) FILTER (WHERE NOT bad) = 0 THEN 'failed'
-                ELSE 'completed_with_errors' END AS status FROM r GROUP BY run_id""")
+                ELSE 'completed_with_errors' END AS status FROM r GROUP BY run_id"""
+sql("run_status", "", _RUN_STATUS)
+sql("export_run_summary", "", f"SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in ('run_id', 'total_symbols', 'batch_count', 'success_count', 'failed_count', 'status'))} FROM ({_RUN_STATUS})")
 sql("run_affected", "", """
     SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS run_id, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem GROUP BY 1, 2
     HAVING max(CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS BIGINT) END) <= 0""")

@@ -170,7 +170,7 @@ def export_coverage_csv(m: Market):
     return csv_out.coverage_export(coverage.coverage_recent(m.symbols, m.prices, day(AS_OF)))
 
 
-MONTH_ENDS = ("1999-01-01", "1999-12-01")
+MONTH_ENDS = ("1995-01-01", "2001-12-01")
 
 
 def _grid(m: Market):
@@ -183,6 +183,11 @@ def export_comparison(m: Market):
     return csv_out.points_export(_grid(m))
 
 
+@query
+def export_run_summary(m: Market):
+    return csv_out.summary_export(jobs.run_status(_runs(m), batch_size=10))
+
+
 # --- B: cleaning and validation -------------------------------------------------------------------
 
 
@@ -472,7 +477,7 @@ def _actions(m: Market):
 
 def _event_view(df: DataFrame):
     names = F.transform("sources_json", lambda s: s["source"])
-    return df.select("symbol", "event_date", "event_type", "ratio", "amount", "dividend_amount", "split_ratio", "ex_date",
+    return df.select("id", "symbol", "event_date", "event_type", "ratio", "amount", "dividend_amount", "split_ratio", "ex_date",
                      "confirmed_at", F.coalesce("source_count", F.lit(0)).alias("source_count"), names.alias("source_names"),
                      "severity", "status", "updated_at", "change")
 
@@ -486,7 +491,7 @@ def upsert_confirmed_events(m: Market):
 def record_events(m: Market):
     out = merge.record_events(m.corporate_events, _scan(m).events, moment(NOW))
     return out.where("change = 'inserted'").select(
-        "symbol", "event_date", "event_type", "severity", "ratio", "amount", "db_price_at_detection",
+        "id", "symbol", "event_date", "event_type", "severity", "ratio", "amount", "db_price_at_detection",
         "yf_price_at_detection", "pct_difference", "status", "notes", "detected_at")
 
 
@@ -500,6 +505,11 @@ def delete_prices(m: Market):
     return merge.delete_prices_by(m.prices, _deletions(m))
 
 
+@query
+def deleted_count(m: Market):
+    return merge.deleted_count(m.prices, _deletions(m))
+
+
 @query
 def register_symbols(m: Market):
     names = m.table("part").select(F.concat(F.lit("S"), "p_partkey").alias("symbol"))
@@ -553,7 +563,7 @@ def apply_consensus(m: Market):
         "symbol", "date", "source", "close", "consensus_close")
 
 
-SPAN = ("1996-01-01", "2000-12-31")
+SPAN = ("1990-01-01", "2030-12-31")  # all there is
 
 
 @query
@@ -706,9 +716,8 @@ def adjustment_report(m: Market):
 @query
 def fix_plan(m: Market):
     scan = _scan(m)
-    first = m.corporate_events.groupBy("symbol").agg(F.min("id").alias("event_id"))
-    affected = scan.symbols.where("needs_refresh and error is null").select("symbol").join(first, "symbol", "left")
-    return adjustments.fix_plan(affected, m.prices, day(SCAN_DAY)).withColumn("event_id", F.coalesce("event_id", F.lit(0)))
+    recorded = merge.record_events(m.corporate_events, scan.events, moment(NOW))
+    return adjustments.fix_plan(adjustments.first_events(scan, recorded), m.prices, day(SCAN_DAY))
 
 
 # --- H: corporate events --------------------------------------------------------------------------
@@ -816,6 +825,11 @@ def purge_jobs(m: Market):
     return jobs.purge_jobs(m.jobs, moment("1999-06-30 00:00:00"), 30, keep_failed=False).select("job_id", "status", "created_at")
 
 
+@query
+def purged_count(m: Market):
+    return jobs.purged_count(m.jobs, moment("1999-06-30 00:00:00"), 30, keep_failed=False)
+
+
 @query
 def run_status(m: Market):
     return jobs.run_status(_runs(m), batch_size=10)
