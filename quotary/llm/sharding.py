@@ -87,22 +87,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, id: str = "doc_id", text:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-#: The same in SQL: the jumps as a recursion over exact wide integers.
+#: The same in SQL: the jumps as a recursion over exact wide integers, the checksum as a fold over bytes with a table by its rule.
 ORACLE_SQL = """
 WITH RECURSIVE keys AS (
-  SELECT doc_id, coalesce(text, '') AS body,
+  SELECT doc_id, encode(coalesce(text, '')) AS body,
          CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS k
   FROM documents
-), ids AS (SELECT DISTINCT k FROM keys),
-sizes AS (SELECT unnest([40, 41]) AS shards),
-steps AS (
-  SELECT k, shards, k AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM ids, sizes
+), steps AS (
+  SELECT k, shards, k AS key, -1::BIGINT AS b, 0::BIGINT AS j
+  FROM (SELECT DISTINCT k FROM keys), (SELECT unnest([40, 41]) AS shards)
   UNION ALL
   SELECT k, shards, nxt, j, floor((j + 1) * (2147483648.0::DOUBLE / ((nxt // 8589934592)::DOUBLE + 1)))::BIGINT
   FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS nxt FROM steps WHERE j < shards)
-), placed AS (SELECT k, shards, b FROM steps WHERE j >= shards)
-SELECT doc_id, octet_length(encode(body))::BIGINT + 16 AS size, crc AS text_crc32, 'key' AS law, a.b::INTEGER AS shard,
-       row_number() OVER (PARTITION BY a.b ORDER BY keys.k * 11400714819323198485 % 18446744073709551616, doc_id) - 1 AS slot,
-       z.b::INTEGER AS grown_shard
-FROM keys JOIN placed a ON a.k = keys.k AND a.shards = 40 JOIN placed z ON z.k = keys.k AND z.shards = 41
+), placed AS (SELECT k, shards, b FROM steps WHERE j >= shards),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sums AS (SELECT doc_id, k, octet_length(body)::BIGINT + 16 AS size, xor(list_reduce(list_prepend(4294967295,
+          list_transform(regexp_extract_all(hex(body), '..'), lambda x: ('0x' || x)::BIGINT)),
+          lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM keys, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, a.b::INTEGER AS shard,
+       row_number() OVER (PARTITION BY a.b ORDER BY (sums.k::UHUGEINT * 11400714819323198485) % 18446744073709551616,
+                          doc_id, size, text_crc32) - 1 AS slot, z.b::INTEGER AS grown_shard
+FROM sums JOIN placed a ON a.k = sums.k AND a.shards = 40 JOIN placed z ON z.k = sums.k AND z.shards = 41
 """

@@ -338,3 +338,19 @@ def test_later_rows_of_one_id_count_as_later_documents(spark):
     text = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(7, text), (7, text), (None, text)], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.deduplicate(docs).collect()) == [(0, 0), (7, 20), (7, 20)]
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_sharding", "op6_decontamination", "op7_near_duplicates", "op8_license_scan"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    from quotary.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    cursor = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in cursor.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, cursor.fetchall()))
