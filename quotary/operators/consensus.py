@@ -103,11 +103,14 @@ def factor_steps(collapsed: DataFrame, events: DataFrame) -> DataFrame:
     """factor that holds before each ex date, the product of all events from that date on.
 
     The window runs over one row per ticker and ex date, so a ticker's
-    partition is bounded by its calendar days.
+    partition is bounded by its calendar days. A day's factors are multiplied
+    by size, days from the last one back: the result does not depend on how
+    rows arrive.
     """
     cash = dividend_factors(collapsed, events).select("symbol", "ex_date", F.col("factor").alias("step"))
     splits = events.where("event_type = 'split'").select("symbol", "ex_date", (1.0 / F.col("split_ratio")).alias("step"))
-    daily = cash.unionByName(splits).groupBy("symbol", "ex_date").agg(F.product("step").alias("step"))
+    daily = cash.unionByName(splits).groupBy("symbol", "ex_date").agg(
+        F.aggregate(F.array_sort(F.collect_list("step")), F.lit(1.0), lambda a, b: a * b).alias("step"))
     onward = (Window.partitionBy("symbol").orderBy(F.col("ex_date").desc())
               .rowsBetween(Window.unboundedPreceding, 0))
     return daily.select("symbol", "ex_date", F.product("step").over(onward).alias("factor"))

@@ -460,9 +460,10 @@ def _factors(source: str, end: str) -> str:
         CASE WHEN coalesce(p.consensus_close, 0) <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - d / p.consensus_close) END AS factor
       FROM (SELECT * FROM conf WHERE event_type = 'dividend') e ASOF LEFT JOIN collapsed p ON e.symbol = p.symbol AND e.ex_date > p.date),
     steps AS (SELECT symbol, ex_date, factor AS f FROM cashed UNION ALL SELECT symbol, ex_date, 1.0 / r FROM conf WHERE event_type = 'split'),
+    daily AS (SELECT symbol, ex_date, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_sort(list(f))), lambda a, b: a * b) AS f FROM steps GROUP BY ALL),
     factored AS (SELECT c.symbol, c.date, any_value(c.consensus_close) AS consensus_close, any_value(c.volume) AS volume,
-        coalesce(product(s.f), 1.0) AS factor
-      FROM collapsed c LEFT JOIN steps s ON s.symbol = c.symbol AND c.date < s.ex_date GROUP BY c.symbol, c.date)"""
+        list_reduce(list_prepend(CAST(1 AS DOUBLE), list(s.f ORDER BY s.ex_date DESC) FILTER (s.f IS NOT NULL)), lambda a, b: a * b) AS factor
+      FROM collapsed c LEFT JOIN daily s ON s.symbol = c.symbol AND c.date < s.ex_date GROUP BY c.symbol, c.date)"""
 
 
 _CONFIRMED = "cev AS (SELECT * FROM ev WHERE confirmed_at IS NOT NULL)"
@@ -470,7 +471,7 @@ _ALL_F = f"""{_consensus('raw')}, {_SETTLED.format(raw='raw')}, {_COLLAPSED.form
 sql("dividend_factors", "raw ev", f"""
     WITH {_ALL_F} SELECT symbol, {_s('ex_date')}, d AS dividend_amount, {_s('prev_date')}, prev_close, round(factor, 9) AS factor FROM cashed""")
 sql("adjustment_factor", "raw ev", f"WITH {_ALL_F} SELECT symbol, {_s('date')}, round(factor, 9) AS factor FROM factored")
-_FLAT = ", ".join(f"round(consensus_close * factor + CAST(1.3e-10 AS DOUBLE), 6) AS {c}" for c in ("open", "high", "low", "close"))
+_FLAT = ", ".join(f"consensus_close * factor AS {c}" for c in ("open", "high", "low", "close"))
 sql("derive_adjusted", "raw ev", f"""
     WITH {_ALL_F} SELECT symbol, {_s('date')}, {_FLAT}, volume, 'raw_consensus_events' AS source, '{_NOW}' AS last_updated FROM factored""")
 _REFRESH = f"""{_RAW_MERGE}, inside AS (SELECT * FROM merged WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
@@ -479,7 +480,7 @@ _REFRESH = f"""{_RAW_MERGE}, inside AS (SELECT * FROM merged WHERE date BETWEEN
 sql("raw_price_refresh", "raw raw_changes ev prices", f"""
     WITH {_REFRESH}
     SELECT coalesce(f.symbol, p.symbol) AS symbol, CAST(coalesce(f.date, p.date) AS VARCHAR) AS date,
-           {', '.join(f"round(CASE WHEN f.symbol IS NOT NULL THEN f.consensus_close * f.factor ELSE p.{c} END + CAST(1.3e-10 AS DOUBLE), 6) AS {c}" for c in ('open', 'high', 'low', 'close'))},
+           {', '.join(f"CASE WHEN f.symbol IS NOT NULL THEN f.consensus_close * f.factor ELSE p.{c} END AS {c}" for c in ('open', 'high', 'low', 'close'))},
            coalesce(f.volume, p.volume) AS volume, CASE WHEN f.symbol IS NOT NULL THEN 'raw_consensus_events' ELSE p.source END AS source,
            CASE WHEN f.symbol IS NOT NULL THEN '{_NOW}' ELSE CAST(p.last_updated AS VARCHAR) END AS last_updated,
            CASE WHEN p.symbol IS NULL THEN 'inserted' WHEN f.symbol IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change

@@ -589,14 +589,9 @@ def adjustment_factor(m: Market):
     return rows.select("symbol", "date", F.round("factor", 9).alias("factor"))
 
 
-def _rounded_bars(df: DataFrame):
-    """Six decimals; the small shift makes exact ties round up whatever the order of the factors."""
-    return df.withColumns({c: F.round(F.col(c) + 1.3e-10, 6) for c in clean.OHLC})
-
-
 @query
 def derive_adjusted(m: Market):
-    return _rounded_bars(consensus.derive_adjusted(_settled(m), m.corporate_events, *SPAN, moment(NOW)))
+    return consensus.derive_adjusted(_settled(m), m.corporate_events, *SPAN, moment(NOW))
 
 
 def _refresh(m: Market):
@@ -606,7 +601,7 @@ def _refresh(m: Market):
 
 @query
 def raw_price_refresh(m: Market):
-    return _rounded_bars(_refresh(m).prices)
+    return _refresh(m).prices
 
 
 @query
