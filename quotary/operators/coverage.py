@@ -85,29 +85,40 @@ def coverage_listing(coverage: DataFrame, sort_by: str = "symbol", order: str =
     return with_row(part, total.select("total_items", pages)).orderBy(key, "symbol")
 
 
+KEY = ["symbol", "date_from", "date_to"]
+
+
 def _stored_days(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Distinct stored days inside each request, with the request's bounds."""
-    days = prices.select("symbol", "date").join(requests.select("symbol", "date_from", "date_to"), "symbol")
-    return days.where("date between date_from and date_to").groupBy("symbol", "date_from", "date_to", "date").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Distinct stored days inside each request, with the request's bounds.
+
+    Requests are cut by month and met on ticker and month, so that no price
+    meets a request that ends before or begins after its month.
+    """
+    month = F.explode(F.sequence(F.trunc("date_from", "month"), F.trunc("date_to", "month"), F.expr("interval 1 month")))
+    asked = requests.where("date_from <= date_to").select(*KEY, month.alias("_m"))
+    days = prices.select("symbol", "date", F.trunc("date", "month").alias("_m")).join(asked, ["symbol", "_m"])
+    return days.where("date between date_from and date_to").groupBy(*KEY, "date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_ranges(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Maximal runs of weekdays without a price, per request (symbol, date_from, date_to).
+def _gaps(prices: DataFrame, asked: DataFrame) -> DataFrame:
+    """Stored days of each request (n rows; 0 for the borders) with the run of weekdays without a price before each.
 
-    A run lies between one stored weekday and the next; the days around the
-    request serve as the outer borders. No calendar is built.
+    A run lies between one stored weekday and the next; the weekdays around
+    the request serve as the outer borders. No calendar is built.
     """
-    key = ["symbol", "date_from", "date_to"]
-    asked = requests.select(*key).where("date_from <= date_to").distinct()
-    # the last weekday before, and the first weekday after the request, count as stored
-    edges = asked.select(*key, F.explode(F.array(
-        previous_business_day(F.col("date_from")), next_business_day(F.col("date_to")))).alias("date"))
-    days = _stored_days(prices, asked).where(F.weekday("date") < 5).select(*key, "date").unionByName(edges)
-    prev = running_last(days, key, year_of("date"), ["date"], F.col("date"), "prev", inclusive=False)
-    gap = prev.where("prev is not null").select(
-        *key, next_business_day(F.col("prev")).alias("gap_start"), previous_business_day(F.col("date")).alias("gap_end"))
-    gap = gap.where("gap_start <= gap_end")
+    edges = asked.where("date_from <= date_to").select(*KEY, F.explode(F.array(
+        previous_business_day(F.col("date_from")), next_business_day(F.col("date_to")))).alias("date"), F.lit(0).alias("n"))
+    days = _stored_days(prices, asked).select(*KEY, "date", "n").unionByName(edges)
+    weekday = F.when(F.weekday("date") < 5, F.col("date"))
+    prev = running_last(days, KEY, year_of("date"), ["date"], weekday, "prev", inclusive=False)
+    start, end = next_business_day(F.col("prev")), previous_business_day(F.col("date"))
+    open_ = (F.weekday("date") < 5) & F.col("prev").isNotNull() & (start <= end)
+    return prev.select(*KEY, "date", "n", F.when(open_, start).alias("gap_start"), F.when(open_, end).alias("gap_end"))
+
+
+def missing_ranges(prices: DataFrame, requests: DataFrame) -> DataFrame:
+    """Maximal runs of weekdays without a price, per request (symbol, date_from, date_to)."""
+    gap = _gaps(prices, requests.select(*KEY).distinct()).where("gap_start is not null").select(*KEY, "gap_start", "gap_end")
     return gap.withColumn("weekdays", weekday_count(F.col("gap_start"), F.col("gap_end")))
 
 
@@ -119,17 +130,15 @@ def missing_weekdays(prices: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def coverage_range(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Stored extent in each request, whether weekdays are missing, and the first one."""
-    key = ["symbol", "date_from", "date_to"]
-    asked = requests.select(*key).distinct()
-    facts = _stored_days(prices, asked).groupBy(*key).agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("n").alias("cnt"))
-    out = asked.join(facts, key, "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    """Stored extent in each request, whether weekdays are missing, and the first one; one aggregate over the gaps."""
+    asked = requests.select(*KEY).distinct()
+    stored = F.when(F.col("n") > 0, F.col("date"))
+    facts = _gaps(prices, asked).groupBy(*KEY).agg(F.min(stored).alias("first_date"), F.max(stored).alias("last_date"),
+                                                   F.sum("n").alias("cnt"), F.min("gap_start").alias("_first"))
+    out = asked.join(facts, KEY, "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     expected = weekday_count(F.col("date_from"), F.col("date_to"))
-    out = out.withColumn("has_weekday_gaps", (F.col("cnt") > 0) & (F.col("cnt") < expected))
-    first = missing_ranges(prices, asked).groupBy(*key).agg(F.min("gap_start").alias("_first"))
-    return out.join(first, key, "left").select(
-        *key, "first_date", "last_date", "cnt", "has_weekday_gaps",
+    return out.withColumn("has_weekday_gaps", (F.col("cnt") > 0) & (F.col("cnt") < expected)).select(
+        *KEY, "first_date", "last_date", "cnt", "has_weekday_gaps",
         F.when(F.col("has_weekday_gaps"), F.col("_first")).alias("first_missing_weekday"))
 
 
@@ -154,9 +163,18 @@ def fetch_plan(coverage: DataFrame) -> DataFrame:
     wanted = F.array(F.when(stale, span(F.least(first, start), end)),
                      F.when(has_head, span(head, F.least(F.coalesce(first, end), end))),
                      F.when(first.isNull(), span(start, end)))
-    key = ["symbol", "date_from", "date_to"]
-    ranges = coverage.select(*key, F.inline(F.filter(wanted, lambda x: x.isNotNull())))
-    return merge_date_ranges(ranges, key)
+    # at most three ranges a row: they are merged where they are
+    ranges = F.array_sort(F.filter(wanted, lambda x: x.isNotNull()))
+
+    def join_up(done, x):
+        last = F.element_at(done, -1)
+        touches = x["start"] <= F.date_add(last["end"], 1)
+        longer = F.array(span(last["start"], F.greatest(last["end"], x["end"])))
+        return F.when((F.size(done) > 0) & touches, F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(
+            F.concat(done, F.array(span(x["start"], x["end"]))))
+
+    empty = F.array().cast("array<struct<start:date,end:date>>")
+    return coverage.select(*KEY, F.inline(F.aggregate(ranges, empty, join_up)))
 
 
 # Dates at which availability is probed, and the width of a probe.
