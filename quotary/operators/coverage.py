@@ -195,7 +195,9 @@ def availability_adjustment(requests: DataFrame, available: DataFrame) -> DataFr
     key = ["symbol", "date_from", "date_to"]
     p = p.join(bound, key).where("stop = 0 or pos < stop - 1")
     width = PROBE_DAYS
-    hits = (p.join(available.select("symbol", "date"), "symbol")
+    month = F.explode(F.sequence(F.trunc("probe", "month"), F.trunc(F.date_add("probe", width), "month"), F.expr("interval 1 month")))
+    days = available.select("symbol", "date", F.trunc("date", "month").alias("_m"))
+    hits = (p.withColumn("_m", month).join(days, ["symbol", "_m"])
             .where(F.col("date").between(F.col("probe"), F.date_add("probe", width)))
             .groupBy(*key).agg(F.min(F.struct("pos", "probe")).alias("hit")))
     out = requests.select(*key).join(hits, key, "left")
