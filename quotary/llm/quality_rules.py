@@ -175,9 +175,12 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns.
 
-    The documents are written once with their statistics: a filter on the
-    posterior would else be pushed below them and compute each many times.
+    The statistics are computed once for the model and once for the filter,
+    so that no text is written or shuffled. The row number that the filter
+    also reads keeps Spark from moving the filter below the statistics, where
+    it would compute each of them many times.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    wide = settled(measured(docs.select(row, F.col(f"`{text}`").alias("_text")), "_text").drop("_text"))
-    return judged(wide, fit_label_model(wide), threshold).where("kept").select("_row.*")
+    stats = measured(docs.select(row, F.col(f"`{text}`").alias("_text")), "_text").drop("_text")
+    numbered = stats.withColumn("_number", F.monotonically_increasing_id())
+    return judged(numbered, fit_label_model(stats), threshold).where(F.col("kept") & (F.col("_number") >= 0)).select("_row.*")
