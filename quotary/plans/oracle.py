@@ -1,5 +1,7 @@
 """SQL for the registered queries, to be run on the same tables by another engine."""
 
+from quotary.functions.tickers import EXCHANGE_SUFFIXES
+from quotary.operators.adjustments import ADVICE
 from quotary.plans.views import with_views
 
 ORACLE = {}
@@ -46,8 +48,8 @@ sql("extract_inline_events", "quotes", f"""
     SELECT symbol, {_s('date')}, CASE WHEN splits >= 1 THEN 'stock_split' ELSE 'reverse_split' END AS event_type,
            splits AS ratio, CAST(NULL AS DOUBLE) AS amount FROM quotes WHERE splits <> 0
     UNION ALL SELECT symbol, {_s('date')}, 'dividend', NULL, dividends FROM quotes WHERE dividends <> 0""")
-_SUFFIXES = ("'T','L','V','F','TO','AX','DE','HK','SW','MI','PA','SA','SZ','SS','TW','TWO','BK','KS','KQ','OL','HE','ST',"
-             "'VI','CO','AS','BR','LS','IS','MX','SI','JK','NZ','JO','MU','BE'")
+_SUFFIXES = ", ".join(f"'{x}'" for x in EXCHANGE_SUFFIXES)
+_ADVICE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ADVICE.items())
 
 
 def _norm(x: str) -> str:
@@ -563,9 +565,8 @@ def _classified(pairs: str) -> str:
         WHEN event_type IN ('dividend', 'capital_gain') THEN 'normal' ELSE 'low' END AS severity FROM verdict)"""
 
 
-_FACTS = """SELECT symbol, CAST(date AS VARCHAR) AS check_date, stored_close, reference_close, pct AS pct_difference, event_type, severity,
-    CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
-      WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS recommendation,
+_FACTS = f"""SELECT symbol, CAST(date AS VARCHAR) AS check_date, stored_close, reference_close, pct AS pct_difference, event_type, severity,
+    CASE severity {_ADVICE} END AS recommendation,
     CASE WHEN event_type LIKE '%_split' THEN round(ps, 9) END AS cumulative_factor,
     CASE WHEN event_type LIKE '%_split' THEN ns ELSE 0 END AS split_count,
     CASE WHEN event_type LIKE '%dividend' THEN nd ELSE 0 END AS dividend_count,
@@ -621,8 +622,7 @@ sql("record_events", _SCAN_VIEWS, f"""
         CAST(CAST(CAST(CAST(stored_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(18,4)) AS DOUBLE) AS db_price_at_detection,
         CAST(CAST(CAST(CAST(reference_close AS VARCHAR) AS DECIMAL(18,8)) AS DECIMAL(18,4)) AS DOUBLE) AS yf_price_at_detection,
         CAST(CAST(pct AS DECIMAL(18,6)) AS DOUBLE) AS pct_difference,
-        'detected' AS status, CASE severity WHEN 'critical' THEN 'Immediate data refresh required' WHEN 'high' THEN 'Refresh data at earliest convenience'
-          WHEN 'normal' THEN 'Schedule data refresh' ELSE 'Monitor for changes' END AS notes, '{_NOW}' AS detected_at
+        'detected' AS status, CASE severity {_ADVICE} END AS notes, '{_NOW}' AS detected_at
     FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.symbol = r.symbol AND e.event_date = r.date AND e.event_type = r.event_type)""")
 
 # --- H --------------------------------------------------------------------------------------------
