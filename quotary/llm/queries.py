@@ -42,7 +42,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.NOTICES, paragraphs=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

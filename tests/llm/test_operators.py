@@ -227,6 +227,37 @@ def test_license_filters_lose_nothing(spark):
         assert got[doc_id] == brute.licenses(text, {}, templates, 0.7)[5:]
 
 
+def test_registered_license_scan_knows_wrapped_notices_and_other_licenses(spark, tmp_path):
+    from quotary.llm import queries
+
+    texts = {
+        "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as"
+                   " published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        "gpl-2.0": " * You can redistribute it and/or modify it under the terms of the\n * GNU General Public License as published by the Free\n"
+                   " * Software Foundation; either version 2 of the License, or any later version.",
+        "lgpl-2.1": "licensed under the GNU Lesser General Public\nLicense, version 2.1",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+                   " with this\nfile, You can obtain one at https://example.org/",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following"
+               " conditions\nare met:",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+               " that the above\ncopyright notice and this permission notice appear in all copies.",
+        "cc-by-4.0": "Licensed under CC BY 4.0", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0", "cc-by-nc-sa-3.0": "Licensed under CC BY-NC-SA 3.0",
+        "cc-by-sa-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "mit": "intro\n\nReleased under the MIT License.", "": "Licensed under the Apache License, Version 1.1",
+    }
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    # the words of a notice without the name, and scattered over a long paragraph
+    rows += [(98, "this work is licensed under the general terms of version 3 of the public gnu"), (99, "apache license version " + "x " * 200 + "2 0 licensed under the")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
+    for (i, _), label in zip(rows, texts, strict=False):
+        r = got[i]
+        assert (r.score >= 0.8) == bool(label) and (not label or label in r.labels.split(",")), label
+        assert set(r.labels.split(",")) - set(r.base_labels.split(",")) <= {label}, r
+    assert got[98].labels == "" and got[99].labels == got[99].base_labels == "apache"
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
