@@ -4,8 +4,15 @@ The index is a table: a row holds the postings of one block of documents, that
 is the sorted terms, where each term's list begins and the positions in it,
 and which words are whose. A query phrase starts from its rarest term's list in
 the block and is intersected with the lists of its other terms, shifted by
-their distance, from the next rarest on. A proximity match is an item whose
-rarest terms all stand near one another without making a phrase.
+their distance, from the next rarest on.
+
+A proximity match is an item of which enough distinct terms stand in one run of
+words of a document without making a phrase: a share of them, all of them for a
+short item, in a run of twice the item's words or of the item's words and a
+stated number more, whichever is less. Terms are ranked by how many documents
+of the whole corpus have them; a document with enough terms has some of the
+rarest, so only those lists are opened for every item and what they leave is
+counted exactly. Which documents share a block does not matter.
 
 The queries are the benchmark, in chunks of bounded size, each against all
 blocks; a chunk is all that goes to every task. No document is shuffled.
@@ -60,7 +67,7 @@ class Phrases:
 
     items: list[str] = field(default_factory=list)  # item of each phrase
     terms: list[np.ndarray] = field(default_factory=list)
-    rare: dict[str, np.ndarray] = field(default_factory=dict)  # distinct terms of each item
+    texts: list[tuple[str, np.ndarray, int]] = field(default_factory=list)  # item, distinct terms and words of each text
 
 
 def phrases(items: list[tuple[str, str | None]], window: int) -> Phrases:
@@ -71,7 +78,7 @@ def phrases(items: list[tuple[str, str | None]], window: int) -> Phrases:
     for (item, _), a, b in zip(items, words.first[:-1], words.first[1:], strict=True):
         own = words.hashes[a:b]
         if own.size:
-            out.rare[item] = np.union1d(own, out.rare.get(item, own))
+            out.texts.append((item, np.unique(own), own.size))
         for i in range(max(own.size - window + 1, min(own.size, 1))):
             phrase = own[i : i + window]
             if (item, phrase.tobytes()) not in seen:
@@ -128,26 +135,134 @@ class _Block:
         whole = self.document(start) == self.document(start + terms.shape[1] - 1)
         return alive[phrase[whole]], start[whole]
 
-    def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
-        """Documents in which each of ``terms`` stands at most ``reach`` words from a place of the rarest one."""
-        lists = self.lists(terms)
-        if not lists.size or (lists < 0).any():
-            return np.zeros(0, np.int64)
-        lists = lists[np.argsort(np.diff(self.begins)[lists], kind="stable")]
-        at = self.positions[self.begins[lists[0]] : self.begins[lists[0] + 1]]
-        home = self.document(at)
-        low, high = np.maximum(at - reach, self.first[home]), np.minimum(at + reach, self.first[home + 1] - 1)
-        for number in lists[1:]:
-            own = self.positions[self.begins[number] : self.begins[number + 1]]
-            good = np.searchsorted(own, low) < np.searchsorted(own, high, side="right")
-            home, low, high = home[good], low[good], high[good]
-        return np.unique(home)
+    def documents_with(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``lists``, document) of every document of each list, once."""
+        n = np.where(lists < 0, 0, np.diff(self.begins)[lists]) if self.terms.size else lists * 0
+        which = np.repeat(np.arange(lists.size), n)
+        home = self.document(self.positions[np.repeat(self.begins[lists], n) + _count_up(n)]) if which.size else which
+        pair = np.unique(which * len(self.doc_ids) + home)
+        return pair // max(len(self.doc_ids), 1), pair % max(len(self.doc_ids), 1)
+
+    def near(self, asked: Near, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        """(text, document) of every proximity match; about ``most`` places are held at a time."""
+        lists = self.lists(asked.vocabulary)
+        term, home = self.documents_with(np.where(asked.opens[1:] > asked.opens[:-1], lists, -1))
+        n = np.diff(asked.opens)[term]
+        text = asked.opened[np.repeat(asked.opens[term], n) + _count_up(n)]
+        pair, hits = np.unique(text * len(self.doc_ids) + np.repeat(home, n), return_counts=True)
+        text, home = pair // max(len(self.doc_ids), 1), pair % max(len(self.doc_ids), 1)
+        enough = hits >= asked.first_hits[text]
+        text, home = text[enough], home[enough]
+        found = [np.zeros((2, 0), np.int64)]
+        cuts = np.flatnonzero(np.diff(np.cumsum(np.diff(asked.first)[text]) // most)) + 1
+        for text, home in zip(np.split(text, cuts), np.split(home, cuts), strict=True):
+            n = np.diff(asked.first)[text]
+            pair = np.repeat(np.arange(text.size), n)
+            number = lists[asked.terms[np.repeat(asked.first[text], n) + _count_up(n)]]
+            low, high = (np.searchsorted(self.keys, number * (1 << 32) + self.first[home[pair] + k]) for k in (0, 1))
+            has = (number >= 0) & (high > low)
+            good = np.bincount(pair[has], minlength=text.size) >= asked.needed[text]
+            has &= good[pair]
+            places = np.cumsum(np.bincount(pair[has], (high - low)[has], minlength=text.size)).astype(np.int64)
+            last = np.searchsorted(pair[has], np.arange(text.size + 1))
+            pair, number, low, high = (x[has] for x in (pair, number, low, high))
+            begin = 0
+            while begin < text.size:  # whole pairs, so many that their places fit
+                done = places[begin - 1] if begin else 0
+                end = max(int(np.searchsorted(places, done + most, side="right")), begin + 1)
+                rows = slice(last[begin], last[end])
+                match = _dense(self.positions, pair[rows], low[rows], high[rows], asked.span[text], asked.needed[text])
+                found.append(np.stack([text[match], home[match]]))
+                begin = end
+        return tuple(np.concatenate(found, axis=1))
+
+
+def _count_up(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``n``."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _dense(positions: np.ndarray, pair: np.ndarray, low: np.ndarray, high: np.ndarray, span: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """The pairs that have ``needed`` distinct terms in a run of ``span`` words; row i is one term of a pair, with its places."""
+    n = high - low
+    row = np.repeat(np.arange(n.size), n)
+    at = positions[low[row] + _count_up(n)]
+    order = np.lexsort((at, pair[row]))
+    row, at = row[order], at[order]
+    owner = pair[row]
+    key = owner * (1 << 32) + at
+    # a place counts for every run that starts after the last place of its term and reaches it
+    by_term = np.argsort(row, kind="stable")
+    before = np.full(row.size, -1)
+    same = row[by_term[1:]] == row[by_term[:-1]]
+    before[by_term[1:][same]] = by_term[:-1][same]
+    begin = np.maximum(before + 1, np.searchsorted(key, np.maximum(key - span[owner] + 1, owner * (1 << 32))))
+    edge = np.zeros(row.size + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    edge[1:] -= 1
+    return np.unique(owner[np.cumsum(edge[:-1]) >= needed[owner]])
+
+
+@dataclass
+class Near:
+    """The texts of a chunk of items as numbers of terms, rarest in the corpus first, and which of them open each term's list."""
+
+    items: list[str]
+    vocabulary: np.ndarray
+    first: np.ndarray  # where each text's terms begin
+    terms: np.ndarray
+    needed: np.ndarray  # terms that a run must have
+    span: np.ndarray  # words of a run
+    first_hits: np.ndarray  # how many of the opening terms a document with enough terms has at least
+    opens: np.ndarray  # where the texts of each term begin
+    opened: np.ndarray
+
+
+def document_frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many documents of the corpus have each term."""
+    schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+    sent = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def rows(batches):
+        total = np.zeros(sent.value.size, np.int64)
+        for row in each_row(batches):
+            block = _Block(row)
+            total += np.bincount(block.documents_with(block.lists(sent.value))[0], minlength=total.size)
+        some = np.flatnonzero(total)
+        yield record_batch(schema, [some.astype(np.int32), total[some]])
+
+    out = np.zeros(vocabulary.size, np.int64)
+    for r in index.mapInArrow(rows, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
+def near_texts(index: DataFrame, texts: list[tuple[str, np.ndarray, int]], near_terms: int, reach: int, share: float) -> Near:
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for _, t, _ in texts]]))
+    rank = np.empty(vocabulary.size, np.int64)
+    by_rank = np.lexsort((vocabulary, document_frequencies(index, vocabulary)))
+    rank[by_rank] = np.arange(vocabulary.size)
+    terms = [by_rank[np.sort(rank[np.searchsorted(vocabulary, t)])] for _, t, _ in texts]
+    size = np.array([t.size for t in terms], np.int64)
+    words = np.array([n for _, _, n in texts], np.int64)
+    needed = np.maximum(np.ceil(share * size - 1e-9).astype(np.int64), np.minimum(size, near_terms))
+    first_hits = np.minimum(needed, 3)
+    opening = [t[: m - k + h] for t, m, k, h in zip(terms, size, needed, first_hits, strict=True)]
+    term = np.concatenate([np.zeros(0, np.int64), *opening])
+    text = np.repeat(np.arange(size.size), [t.size for t in opening])
+    order = np.argsort(term, kind="stable")
+    return Near([item for item, _, _ in texts], vocabulary, np.concatenate([[0], np.cumsum(size)]).astype(np.int64),
+                np.concatenate([np.zeros(0, np.int64), *terms]), needed, np.minimum(2 * words, words + reach), first_hits,
+                np.searchsorted(term[order], np.arange(vocabulary.size + 1)), text[order])
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms: int = 6, reach: int = 15,
-           chunk_bytes: int = 16 << 20, id: str = "item_id", text: str = "text") -> DataFrame:
+           chunk_bytes: int = 16 << 20, id: str = "item_id", text: str = "text", share: float = 0.7, near: bool = True) -> DataFrame:
     """One row per document and chunk: the phrase occurrences (starts, lengths, items) and the near items.
 
+    A near item has ``share`` of its distinct terms, ``near_terms`` at least or all of them, in a run of words that is
+    twice as long as the item, or ``reach`` words longer. Without ``near`` they are not looked for.
+
     A benchmark beyond ``chunk_bytes`` of text is asked in several chunks,
     cut by a hash of the row, each read in its turn.
     """
@@ -159,10 +274,11 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
     for chunk in range(chunks):
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk)
         asked = phrases([tuple(r) for r in part.collect()], window)
-        sent = context.broadcast((asked.items, asked.terms, asked.rare))
+        close = near_texts(index, asked.texts, near_terms, reach, share) if near else None
+        sent = context.broadcast((asked.items, asked.terms, close and vars(close)))
 
         def rows(batches, sent=sent):
-            asked = Phrases(*sent.value)
+            asked, close = Phrases(*sent.value[:2]), sent.value[2] and Near(**sent.value[2])
             length = np.array([t.size for t in asked.terms])
             by_length = {n: (np.flatnonzero(length == n), np.stack([t for t in asked.terms if t.size == n]))
                          for n in np.unique(length).tolist()}
@@ -174,21 +290,16 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
                     found.append((numbers[phrase], start, np.full(start.size, n)))
                 phrase, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
                 home = block.document(start)
-                near: dict[int, list[str]] = {}
-                for item, terms in asked.rare.items():
-                    if terms.size < near_terms:
-                        continue
-                    lists = block.lists(terms)
-                    sizes = np.where(lists < 0, 0, np.diff(block.begins)[lists]) if block.terms.size else lists * 0
-                    for d in block.near(terms[np.argsort(sizes, kind="stable")[:near_terms]], reach).tolist():
-                        near.setdefault(d, []).append(item)
+                beside: dict[int, list[str]] = {}
+                for text, d in zip(*(x.tolist() for x in block.near(close)), strict=True) if close else ():
+                    beside.setdefault(d, []).append(close.items[text])
                 out = []
                 for d, doc_id in enumerate(block.doc_ids):
                     mine = np.flatnonzero(home == d) if start.size else []
                     hit = sorted({asked.items[p] for p in phrase[mine]}) if len(mine) else []
                     out.append((doc_id, row["block"], d, block.first[d + 1] - block.first[d],
                                 (start[mine] - block.first[d]).tolist() if hit else [], n[mine].tolist() if hit else [],
-                                hit, sorted(set(near.get(d, [])) - set(hit))))
+                                hit, sorted(set(beside.get(d, [])) - set(hit))))
                 yield record_batch(_HIT, [list(c) for c in zip(*out, strict=True)])
 
         found = index.mapInArrow(rows, _HIT_DDL)
@@ -200,10 +311,11 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text",
-                  chunk_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated and n_near_items."""
+                  chunk_bytes: int = 16 << 20, near: bool = True) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items and near_items."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-                        ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("n_near_items", pa.int64())])
+                        ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("n_near_items", pa.int64()),
+                        ("near_items", pa.list_(pa.string()))])
 
     def rows(batches):
         for batch in batches:
@@ -214,16 +326,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: s
                 np.add.at(edge, np.array(r["starts"], int) + np.array(r["lengths"], int), -1)
                 hit = int(np.count_nonzero(np.cumsum(edge[:-1])))
                 items = sorted(set(r["items"]))
+                beside = sorted(set(r["near"]) - set(items))
                 out.append((r["doc_id"], r["n_words"], hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(),
-                            hit > 0, len(set(r["near"]) - set(items))))
+                            hit > 0, len(beside), beside))
             yield record_batch(schema, [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in schema])
 
-    hits = search(build_index(docs, id, text), benchmark, window, chunk_bytes=chunk_bytes)
+    hits = search(build_index(docs, id, text), benchmark, window, chunk_bytes=chunk_bytes, near=near)
     return hits.mapInArrow(rows, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
-                                 "contaminated boolean, n_near_items bigint")
+                                 "contaminated boolean, n_near_items bigint, near_items array<string>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of a benchmark item occurs, with its columns."""
-    bad = contamination(docs, benchmark, window, id, text).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = contamination(docs, benchmark, window, id, text, near=False).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col("_bad")), "left_anti")

@@ -65,6 +65,39 @@ def test_proximity(spark):
     assert {r.doc_id: (r["items"], r.near) for r in found.collect()} == {1: ([], ["7"]), 2: ([], []), 3: ([], ["7"])}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_proximity_is_the_same_in_blocks_of_any_size(spark, monkeypatch, limit):
+    cut = decontamination.slices
+    monkeypatch.setattr(decontamination, "slices", lambda batches: cut(batches, limit=limit))
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: rng.choice(words, n).tolist()
+    items = [(i, " ".join(pick(n))) for i, n in enumerate([2, 3, 5, 6, 9, 14, 20, 30, 40, 40])]
+    docs = []
+    for i in range(150):
+        text = pick(int(rng.integers(0, 30)))
+        if i % 2:
+            copy = items[i % 10][1].split()
+            for k in range(int(rng.integers(0, 3)), len(copy), int(rng.integers(4, 9))):  # a word in every ten-word window
+                copy[k] = f"new{i}"
+            text += copy + pick(int(rng.integers(0, 40)))
+        docs.append((i, " ".join(text)))
+    want = {}
+    for d, text in docs:
+        text, want[d] = text.split(), []
+        for i, item in items:
+            n, terms = len(item.split()), set(item.split())
+            needed, span = max(-(-len(terms) * 7 // 10), min(len(terms), 6)), min(2 * n, n + 15)
+            phrases = {tuple(item.split()[k:k + 10]) for k in range(max(n - 9, 1))}
+            exact = any(tuple(text[a:a + len(p)]) == p for p in phrases for a in range(len(text)))
+            if not exact and any(len(terms & set(text[a:a + span])) >= needed for a in range(len(text))):
+                want[d].append(str(i))
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3),
+                                        spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id: sorted(r.near_items, key=int) for r in got.collect()} == want
+    assert {len(items[int(i)][1].split()) for own in want.values() for i in own} >= {2, 3, 20, 30, 40}
+
+
 @pytest.mark.parametrize(("shingle", "percent", "small"), [(3, 85, 500), (5, 80, 500), (3, 60, 2)])
 def test_near_duplicates(corpus, texts, shingle, percent, small):
     want = brute.near_duplicates(list(texts.items()), shingle, percent)
