@@ -14,13 +14,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return near_duplicates.drop_near_duplicates(docs)
+    """One row of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_duplicates.one_row_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_print(name: str = "text") -> Column:
+    """A hash of the text, of an empty one for null: with the id it is the key of a row."""
+    return F.xxhash64(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has at most ``limit`` bytes of text, or one row."""
     for batch in batches:

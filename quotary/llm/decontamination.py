@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import each_row, record_batch, settled, slices, take
+from quotary.llm.common import each_row, record_batch, settled, slices, take, text_print
 from quotary.llm.words import MARKS, scan
 
-_BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()),
+_BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()),
                     ("begins", pa.binary()), ("positions", pa.binary())])
-_BLOCK_DDL = "doc_ids array<bigint>, first binary, terms binary, begins binary, positions binary"
-_HIT = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("n_words", pa.int64()),
+_BLOCK_DDL = "doc_ids array<bigint>, prints array<bigint>, first binary, terms binary, begins binary, positions binary"
+_HIT = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("n_words", pa.int64()),
                   ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())),
                   ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
-_HIT_DDL = ("doc_id bigint, block bigint, place int, n_words bigint, starts array<int>, lengths array<int>, "
+_HIT_DDL = ("doc_id bigint, print bigint, block bigint, place int, n_words bigint, starts array<int>, lengths array<int>, "
             "items array<string>, near array<string>")
 
 
@@ -52,12 +52,13 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             words = scan(batch.column("text"), MARKS, lower=True)
             order = np.argsort(words.hashes, kind="stable").astype(np.uint32)
             terms, begins = np.unique(words.hashes[order], return_index=True)
-            yield record_batch(_BLOCK, [[batch.column("doc_id").to_pylist()], [words.first.astype(np.uint32).tobytes()],
+            yield record_batch(_BLOCK, [[batch.column("doc_id").to_pylist()], [batch.column("print").to_pylist()],
+                                        [words.first.astype(np.uint32).tobytes()],
                                         [terms.tobytes()], [np.append(begins, order.size).astype(np.uint32).tobytes()],
                                         [order.tobytes()]])
 
     docs = take(docs, doc_id=id, text=text)
-    return settled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return settled(docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), F.col("text").cast("string"))
                    .mapInArrow(rows, _BLOCK_DDL).withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -297,7 +298,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
                 for d, doc_id in enumerate(block.doc_ids):
                     mine = np.flatnonzero(home == d) if start.size else []
                     hit = sorted({asked.items[p] for p in phrase[mine]}) if len(mine) else []
-                    out.append((doc_id, row["block"], d, block.first[d + 1] - block.first[d],
+                    out.append((doc_id, row["prints"][d], row["block"], d, block.first[d + 1] - block.first[d],
                                 (start[mine] - block.first[d]).tolist() if hit else [], n[mine].tolist() if hit else [],
                                 hit, sorted(set(beside.get(d, [])) - set(hit))))
                 yield record_batch(_HIT, [list(c) for c in zip(*out, strict=True)])
@@ -307,7 +308,8 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
     if chunks == 1:
         return out
     flat = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items", "near")}
-    return out.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *flat.values())
+    return out.groupBy("block", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("print").alias("print"), F.first("n_words").alias("n_words"), *flat.values())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text",
@@ -337,6 +339,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window of a benchmark item occurs, with its columns."""
+    """The rows of ``docs`` without a window of a benchmark item under their id in any row, with its columns.
+
+    One contaminated row takes all rows of its id, or all without one; ``drop_contaminated_rows`` judges each row.
+    """
     bad = contamination(docs, benchmark, window, id, text, near=False).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of a benchmark item occurs, with its columns; ids may repeat or be null.
+
+    A row's key is its id and a hash of its text. Rows of one key have one verdict, so that ties need no number.
+    """
+    bad = search(build_index(docs, id, text), benchmark, window, near=False).where("size(starts) > 0").select(
+        F.col("doc_id").alias("_bad"), F.col("print").alias("_print")).distinct()
+    own = F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_bad")) & (text_print(text) == F.col("_print"))
+    return docs.join(bad, own, "left_anti")

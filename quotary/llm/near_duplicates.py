@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import group_runs, record_batch, settled, slices, take
+from quotary.llm.common import group_runs, record_batch, settled, slices, take, text_print
 from quotary.llm.components import components
 from quotary.llm.words import SPACE, mix, scan, windows
 
 _PLACES = 64  # minwise values in a signature
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alike", pa.int32())])
 _PAIR_DDL = "a bigint, b bigint, alike int"
 _LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -97,7 +97,7 @@ def _signatures(join: Join):
         for batch in slices(batches):
             words = scan(batch.column("text"), SPACE, lower=True)
             sets = list(_sets(words, join.shingle))
-            yield record_batch(_ROW, [batch.column("doc_id"), [s.size for s in sets],
+            yield record_batch(_ROW, [batch.column("doc_id"), batch.column("print"), [s.size for s in sets],
                                       [_digest(s) if s.size else None for s in sets],
                                       [sign(s) if s.size else None for s in sets]])
 
@@ -289,9 +289,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(rows, "u bigint, v bigint")
 
 
-def _set_table(docs: DataFrame, members: DataFrame, needed: DataFrame, join: Join) -> DataFrame:
-    """(member, set) of the needed members, from one text of each."""
-    chosen = members.join(needed, "member").select("doc_id", "member", "digest")
+def _set_table(docs: DataFrame, members: DataFrame, needed: DataFrame, join: Join, key: str) -> DataFrame:
+    """(member, set) of the needed members, from one text of each, which the column ``key`` names."""
+    chosen = members.join(needed, "member").select(key, "member", "digest")
     schema = pa.schema([("member", pa.int64()), ("set", pa.binary())])
 
     def rows(batches):
@@ -301,8 +301,8 @@ def _set_table(docs: DataFrame, members: DataFrame, needed: DataFrame, join: Joi
             found = [(m, s.tobytes()) for s, m, digest in zip(sets, *columns, strict=True) if _digest(s) == digest]
             yield record_batch(schema, [[m for m, _ in found], [s for _, s in found]])
 
-    # an id that repeats brings other texts along, and equal ones again
-    return docs.join(chosen, "doc_id").select("member", "digest", "text").mapInArrow(rows, "member bigint, set binary").dropDuplicates(
+    # a key that repeats brings other texts along, and equal ones again
+    return docs.join(chosen, key).select("member", "digest", "text").mapInArrow(rows, "member bigint, set binary").dropDuplicates(
         ["member"])
 
 
@@ -350,15 +350,15 @@ def _large_nodes(large: DataFrame, members: DataFrame, sets: DataFrame, join: Jo
     return roots
 
 
-def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (least id reachable over links) and kept (it is its own)."""
-    join = join or Join()
-    docs = take(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
-        "text", F.col("text").cast("string"))
-    rows = settled(docs.mapInArrow(_signatures(join), "doc_id long, n_shingles long, digest binary, signature binary"))
-    members = settled(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-        .withColumn("member", F.monotonically_increasing_id()))
+def _linked(docs: DataFrame, join: Join, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members, roots): rows of doc_id, print, n_shingles and digest, members of a digest each, and the root of
+    every member that has links. A member's text is that of the least row by the columns ``by``; a row in which the
+    last of them is null takes no part."""
+    rows = settled(docs.withColumn("print", text_print()).mapInArrow(
+        _signatures(join), "doc_id long, print long, n_shingles long, digest binary, signature binary"))
+    members = settled(rows.where(f"digest is not null and {by[-1]} is not null").groupBy("digest").agg(
+        F.min(F.struct(*by)).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .select("digest", "least.*", "n_shingles", "signature").withColumn("member", F.monotonically_increasing_id()))
 
     few, large = None, members.select("member")
     for level in range(join.levels):
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id
     met = settled(met.groupBy("a", "b").agg(F.max("alike").alias("alike")))
     near = met.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
     partnered = met.select(F.explode(F.array("a", "b")).alias("member"))
-    sets = settled(_set_table(docs, members, partnered.unionByName(large.select("member")).distinct(), join))
+    sets = settled(_set_table(docs if by[-1] == "doc_id" else docs.withColumn(by[-1], text_print()), members, partnered.unionByName(large.select("member")).distinct(), join, by[-1]))
     roots = settled(components(_confirmed(near, sets, join.percent)))
     # then whatever may link members that this leaves apart
     candidates = cards.join(partnered.distinct(), "member", "left_semi")
@@ -396,6 +396,17 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id
     if not large.isEmpty():
         roots = _large_nodes(large, members, sets, join, roots)
 
+    return rows, members, roots
+
+
+def _input(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return take(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
+        "text", F.col("text").cast("string"))
+
+
+def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (least id reachable over links) and kept (it is its own)."""
+    rows, members, roots = _linked(_input(docs, id, text), join or Join(), ["doc_id"])
     named = roots.withColumnRenamed("node", "member").join(members.select("member", "doc_id"), "member")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_member = named.join(least, "root").select("member", "component_id")
@@ -407,6 +418,36 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, with its columns."""
+    """The rows of ``docs`` whose id is the least of a component, with its columns.
+
+    All rows of a kept id stay, and all without one; ``one_row_of_each`` leaves one row of a component.
+    """
     kept = near_duplicates(docs, join, id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def one_row_of_each(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of ``docs`` for each component of near duplicates, with its columns; ids may repeat or be null.
+
+    A row's key is its id and a hash of its text; texts, whatever their ids, are what is linked. The row of the least
+    id stays, of one id that of the least hash, one without id where there is no other. Of rows that tie in both, one
+    stays. Texts without words are linked with nothing and all stay.
+    """
+    rows, members, roots = _linked(_input(docs, id, text), join or Join(), ["print"])
+    of_digest = members.select("digest", "member").join(roots.withColumnRenamed("node", "member"), "member", "left").select(
+        "digest", F.coalesce("root", "member").alias("root"))
+    # rows of one key are counted before they meet the root, so that copies travel once
+    keys = rows.where("digest is not null").groupBy("digest", "doc_id", "print").agg(F.count(F.lit(1)).alias("n"))
+    least = keys.join(of_digest, "digest").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "n")).alias("least"))
+    kept = settled(least.select("least.doc_id", "least.print", "least.n").unionByName(
+        rows.where("digest is null").select("doc_id", "print", F.lit(1).cast("long").alias("n")).distinct()))
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.withColumn("_print", text_print(text)).join(
+            some.select(F.col("doc_id").alias("_kept"), F.col("print").alias("_kept_print")),
+            F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print")), "left_semi")
+
+    tied = kept.where("n > 1")
+    out = of(kept.where("n = 1")).drop("_print")
+    return out if tied.isEmpty() else out.unionByName(of(tied).dropDuplicates([id, "_print"]).drop("_print"))

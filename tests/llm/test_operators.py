@@ -398,6 +398,22 @@ def test_repeated_rows_and_ids(spark, odd):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_pipeline_stages_judge_rows(spark, odd):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "new"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, one), (None, one), (None, near), (5, near), (5, near), (5, other), (None, None), (None, "?"), (None, "z y x"), (None, "z y x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = [tuple(r) for r in near_duplicates.one_row_of_each(docs).collect()]
+    assert sorted(left, key=str) == sorted([(5, near), (5, other), (None, None), (None, "?"), (None, "z y x")], key=str)
+
+    items = spark.createDataFrame([(1, "another text under")], "item_id bigint, text string")
+    left = decontamination.drop_contaminated_rows(odd, items)
+    assert left.schema == odd.schema and left.count() == 5
+    assert dict(corpus_pipeline.STAGES)["near duplicates"](spark, odd, "").count() == 3
+
+
 def test_later_rows_of_one_id_count_as_later_documents(spark):
     text = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(7, text), (7, text), (None, text)], "doc_id bigint, text string")
