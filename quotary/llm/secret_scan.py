@@ -3,11 +3,14 @@
 Fixed patterns find base spans. Beside them every token that looks like key
 material is a candidate; values are counted over the whole corpus by the
 distinct documents (repositories) and sources (owners) that have them. A value
-that several owners carry is a copied example; one that few owners have is
-live-looking, and such candidates become spans of kind ``owned``.
-
-Null text is an empty one: no spans. Repeated rows each count as a document,
-a null source as an owner of its own. An empty table gives an empty result;
+that several owners or many repositories carry is a copied example; one that few
+of either have is live-looking, and such candidates become spans of kind
+``owned``.
+
+Null text is an empty one: no spans. A repository is an id, so that repeated
+rows count once; rows without an id are one for each text. Rows without a source
+count together as one owner, as nothing tells theirs apart; what is copied among
+them shows in its repositories. An empty table gives an empty result;
 other columns are not looked at.
 """
 
@@ -95,22 +98,22 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "
 
 def ownership(found: DataFrame) -> DataFrame:
     """(value, repositories, owners): how many documents and how many sources carry a value."""
-    each = found.select(F.coalesce("owner", F.lit("")).alias("owner"),
+    repository = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("print")).alias("print"))
+    each = found.select(F.struct("owner").alias("owner"), repository.alias("repository"),
                         F.explode(F.array_distinct(F.transform("found", lambda s: s.value))).alias("value"))
-    return (each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("value").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners")))
+    return each.groupBy("value").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
 def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source",
-           example_owners: int = 3) -> DataFrame:
+           example_owners: int = 3, example_repositories: int = 20) -> DataFrame:
     """Per document what ``find`` says, and its spans as sorted structs with the number of live values and examples.
 
-    ``example_owners``: from so many owners on a value is a copied example.
+    From ``example_owners`` owners or ``example_repositories`` documents on a value is a copied example.
     """
     found = settled(find(docs, id, text, owner).withColumn("_row", F.monotonically_increasing_id()))
     some = found.where(F.size("found") > 0)
     spans = some.select("_row", F.explode("found").alias("s")).select("_row", "s.*").join(ownership(some), "value")
-    live = F.col("owners") < example_owners
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     per_row = spans.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when((F.col("kind") != "owned") | live,
@@ -122,20 +125,20 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str =
 
 
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source",
-                 example_owners: int = 3) -> DataFrame:
+                 example_owners: int = 3, example_repositories: int = 20) -> DataFrame:
     """One row per document: id, counts by kind, base_sha256, spans (written), n_live and n_examples."""
     written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    return judged(docs, id, text, owner, example_owners).select(
+    return judged(docs, id, text, owner, example_owners, example_repositories).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", written.alias("spans"), "n_live", "n_examples")
 
 
 def redact_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", length: str | None = "n_chars",
-                   example_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+                   example_owners: int = 3, mark: str = "[SECRET]", example_repositories: int = 20) -> DataFrame:
     """``docs`` with every span, base or live, replaced by ``mark``; ``length`` is the column of the text's length, if any.
 
     Rows meet their spans by id and a hash of the text, in one join.
     """
-    found = judged(docs, id, text, owner, example_owners).where(F.size("spans") > 0).select(
+    found = judged(docs, id, text, owner, example_owners, example_repositories).where(F.size("spans") > 0).select(
         F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_print"])
     body = F.col(f"`{text}`")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -132,6 +132,15 @@ def test_secrets_of_one_owner_are_live(spark):
     assert left == {1: "é [SECRET] end", 2: f"[SECRET] {common}", 3: common, 4: common, 5: None}
 
 
+def test_secrets_of_many_documents_are_examples(spark):
+    """Also where one owner, or rows without any, have them all; repeated rows are one document."""
+    hot, lost, own = "Zk3vQ9xLm2TtB7pWs5Yd", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qw8Er7Ty6Ui5Op4As3Df"
+    rows = [(i, f"{hot} n{i}", "a") for i in range(20)] + [(None, f"{lost} n{i}", None) for i in range(20)] + [(99, own, "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(r.doc_id, r.spans, r.n_live, r.n_examples) for r in secret_scan.scan_secrets(docs).collect()}
+    assert got == {(i, "", 0, 1) for i in [*range(20), None]} | {(99, "owned:0:20", 1, 0)}
+
+
 def test_redaction_keeps_everything_else(corpus, texts):
     out = secret_scan.redact_secrets(corpus)
     assert out.schema == corpus.schema
