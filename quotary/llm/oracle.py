@@ -1,6 +1,6 @@
 """SQL that says in one statement what some of the registered queries compute."""
 
-from quotary.llm import license_scan, sharding
+from quotary.llm import fill_in_middle, filter_audit, license_scan, sharding
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -79,4 +79,6 @@ ORACLE = {
     "op6_decontamination": DECONTAMINATION,
     "op7_near_duplicates": NEAR_DUPLICATES,
     "op8_license_scan": LICENSES,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
