@@ -4,7 +4,7 @@ import math
 from collections import Counter
 
 import pytest
-from conftest import SF_DIR
+from small_tables import SF_DIR
 
 import __spark_entry__ as entry_points
 from quotary.plans.queries import QUERIES as PLANNED

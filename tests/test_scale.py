@@ -1,7 +1,7 @@
 """Hot keys, algebraic properties and plan shapes."""
 
 import pytest
-from conftest import SF_DIR
+from small_tables import SF_DIR
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
