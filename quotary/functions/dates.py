@@ -34,3 +34,48 @@ def weekday_count(start, end) -> Column:
 def shift_months(day, months: int) -> Column:
     """``months`` earlier; the day is clamped to the end of the month."""
     return F.add_months(day, -months)
+
+
+# --- Months as sets of days: bit i of a mask stands for the day i + 1 ------------------------------
+
+#: Monday to Friday over six weeks that start on a Monday.
+_WEEKDAYS = sum(1 << i for i in range(42) if i % 7 < 5)
+
+
+def day_bit(day) -> Column:
+    """The mask of one day within its month."""
+    return F.expr(f"shiftleft(1L, day({day}) - 1)")
+
+
+def upto_bit(n) -> Column:
+    """The mask of a month's first ``n`` days."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+
+
+def weekday_mask(month) -> Column:
+    """The weekdays of the month that starts on ``month``."""
+    shifted = F.call_function("shiftright", F.lit(_WEEKDAYS).cast("long"), F.weekday(month))
+    return shifted.bitwiseAND(upto_bit(F.dayofmonth(F.last_day(month))))
+
+
+def range_mask(month, start, end) -> Column:
+    """The days of the month that lie in ``[start, end]``."""
+    first = F.when(start > month, F.dayofmonth(start) - 1).otherwise(0)
+    last = F.dayofmonth(F.least(end, F.last_day(month)))
+    return upto_bit(last) - upto_bit(first)
+
+
+def first_day(month, mask) -> Column:
+    """The first day of a mask; null for an empty one."""
+    lowest = mask.bitwiseAND(-mask)
+    return F.when(mask != 0, F.date_add(month, F.bit_count(lowest - 1)))
+
+
+def last_day(month, mask) -> Column:
+    return F.when(mask != 0, F.date_add(month, F.length(F.bin(mask)) - 1))
+
+
+def mask_days(month, mask) -> Column:
+    """Array of the days of a mask, in order."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(F.when(mask != 0, at).otherwise(F.array().cast("array<int>")), lambda i: F.date_add(month, i))

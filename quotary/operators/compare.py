@@ -1,10 +1,10 @@
 """Vendor comparison and momentum."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotary.functions.dates import previous_business_day
-from quotary.operators.scale import asof_join, order_statistics, top_k, with_row
+from quotary.operators.scale import asof_join, month_of, order_statistics, top_k, with_row
 from quotary.schemas import RAW_SOURCES
 
 ADJUSTED = "stored"
@@ -145,21 +145,85 @@ def momentum_targets(prices: DataFrame, lookbacks) -> DataFrame:
     return grid.select("symbol", "as_of", F.explode(F.array(*[F.lit(k) for k in lookbacks])).alias("lookback"))
 
 
+def _cutoffs(ends: DataFrame, shifts) -> DataFrame:
+    """(month, cuts): for each shift that some month end, moved back by it, falls in the month: (i, cutoff, as_of).
+
+    ``i`` is the shift's position. There is a row per calendar month, so it may be broadcast whatever the tables hold.
+    """
+    moved = ends.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.add_months("date", -k).alias("cutoff"), F.col("date").alias("as_of"))
+                                           for i, k in enumerate(shifts)])))
+    return moved.groupBy(month_of("cutoff").alias("month")).agg(F.array_sort(F.collect_list(F.struct("i", "cutoff", "as_of"))).alias("cuts"))
+
+
+def month_end_closes(tables: dict[str, DataFrame], ends: DataFrame, shifts, from_first: bool = False) -> DataFrame:
+    """The last close of each ticker at or before each month end moved back by each of ``shifts`` months.
+
+    One row per (symbol, as_of) with a column ``name_i`` for every table and
+    position of a shift. Per ticker and month the last close up to each cutoff
+    and the last of all are conditional aggregates; months without rows take
+    the one before. ``from_first`` also gives rows, without closes, for month
+    ends before a ticker's first month. Each table is read once.
+    """
+    cuts = _cutoffs(ends, shifts)
+    rows = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).alias("side"), "symbol", "date", "close", month_of("date").alias("month"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.join(F.broadcast(cuts), "month", "left")  # a row per calendar month
+    n = len(shifts)
+
+    def upto(i: int) -> Column:
+        return F.col("date") <= F.get(F.filter("cuts", lambda c: c["i"] == i), F.lit(0))["cutoff"]
+
+    monthly = rows.groupBy("side", "symbol", "month").agg(
+        F.max_by("close", "date").alias("close"),
+        *[F.max_by(F.when(upto(i), F.col("close")), F.when(upto(i), F.col("date"))).alias(f"v{i}") for i in range(n)],
+        *[F.max(upto(i)).alias(f"h{i}") for i in range(n)])
+    w = Window.partitionBy("side", "symbol").orderBy("month")  # a row per calendar month
+    before = F.lag("close").over(w)
+    own = F.array(*[F.when(F.col(f"h{i}"), F.col(f"v{i}")).otherwise(before) for i in range(n)])
+    monthly = monthly.select("side", "symbol", "month", "close", own.alias("own"), F.lag("month").over(w).alias("_prev"),
+                             F.lead("month").over(w).alias("_next"))
+    span = with_row(monthly, cuts.agg(F.min("month").alias("_a"), F.max("month").alias("_b")))
+    since = F.when(F.col("_prev").isNull(), F.least("_a", "month")).otherwise(F.col("month")) if from_first else F.col("month")
+    until = F.coalesce(F.add_months("_next", -1), "_b")
+    filled = span.where(since <= until).select("side", "symbol", F.col("month").alias("_own"), "close", "own", F.explode(
+        F.sequence(since, until, F.expr("interval 1 month"))).alias("month"))
+    value = F.when(F.col("month") == F.col("_own"), F.col("own")).when(
+        F.col("month") > F.col("_own"), F.array_repeat("close", n)).otherwise(F.array_repeat(F.lit(None).cast("double"), n))
+    values = filled.withColumn("value", value).join(F.broadcast(cuts), "month").select(
+        "side", "symbol", "value", F.inline("cuts")).select("side", "symbol", "as_of", "i", F.expr("get(value, i)").alias("v"))
+    return values.groupBy("symbol", "as_of").agg(*[
+        F.max(F.when((F.col("side") == name) & (F.col("i") == i), F.col("v"))).alias(f"{name}_{i}") for name in tables for i in range(n)])
+
+
+def _scores(closes: DataFrame, names: dict[str, str], lookbacks) -> DataFrame:
+    """Scores per lookback from the closes of `month_end_closes` over shifts (0, *lookbacks)."""
+    def score(name: str, i: int) -> Column:
+        then = F.col(f"{name}_{i}")
+        return F.when(then != 0, F.col(f"{name}_0") / then - 1.0)
+
+    per = [F.struct(F.lit(k).alias("lookback"), *[score(name, i).alias(to) for name, to in names.items()]) for i, k in enumerate(lookbacks, 1)]
+    return closes.select("symbol", "as_of", F.inline(F.array(*per)))
+
+
+def month_end_momentum(prices: DataFrame, lookbacks=(1, 3, 6, 12)) -> DataFrame:
+    """I6 for every ticker at every month end of the table: `momentum_score` of `momentum_targets`, without that grid."""
+    closes = month_end_closes({"p": prices}, month_end_dates(prices), (0, *lookbacks), from_first=True)
+    return _scores(closes, {"p": "score"}, lookbacks)
+
+
 def momentum_reversal_risk(vendor: DataFrame, stored: DataFrame, lookbacks=(1, 3, 6, 12)) -> DataFrame:
     """Month ends at which the stored prices could, or do, change the top-ranked ticker."""
-    targets = momentum_targets(vendor, lookbacks)
-    v = momentum_score(vendor, targets).withColumnRenamed("score", "v_score")
-    s = momentum_score(stored, targets).withColumnRenamed("score", "s_score")
-    both = v.join(s, ["symbol", "as_of", "lookback"]).where("v_score is not null and s_score is not null")
-    group = ["as_of", "lookback"]
-    lead = top_k(both, group, [F.desc("v_score"), "symbol"], 2, "rk").withColumn(
-        "error", F.abs(F.col("s_score") - F.col("v_score")))
-    at = lambda rank, c: F.max(F.when(F.col("rk") == rank, F.col(c)))
-    lead = lead.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), at(1, "symbol").alias("vendor_top"),
-        (at(1, "v_score") - at(2, "v_score")).alias("top_margin"),
-        (at(1, "error") + at(2, "error")).alias("top_error_bound")).where("n = 2")
-    stored_top = top_k(both, group, [F.desc("s_score"), "symbol"], 1, "rk").select(
-        *group, F.col("symbol").alias("stored_top"))
-    out = lead.join(stored_top, group).withColumn("rank_reversed", F.col("vendor_top") != F.col("stored_top"))
+    closes = month_end_closes({"v": vendor, "s": stored}, month_end_dates(vendor), (0, *lookbacks))
+    both = _scores(closes, {"v": "v_score", "s": "s_score"}, lookbacks).where("v_score is not null and s_score is not null")
+    ranks = both.select("as_of", "lookback", "symbol", F.abs(F.col("s_score") - F.col("v_score")).alias("error"), F.inline(F.array(
+        F.struct(F.lit("v").alias("by"), F.col("v_score").alias("score")), F.struct(F.lit("s").alias("by"), F.col("s_score").alias("score")))))
+    lead = top_k(ranks, ["as_of", "lookback", "by"], [F.desc("score"), "symbol"], 2, "rk")
+    at = lambda by, rank, c: F.max(F.when((F.col("by") == by) & (F.col("rk") == rank), F.col(c)))
+    out = lead.groupBy("as_of", "lookback").agg(
+        F.count(F.lit(1)).alias("n"), at("v", 1, "symbol").alias("vendor_top"), at("s", 1, "symbol").alias("stored_top"),
+        (at("v", 1, "score") - at("v", 2, "score")).alias("top_margin"),
+        (at("v", 1, "error") + at("v", 2, "error")).alias("top_error_bound")).where("n = 4")
+    out = out.withColumn("rank_reversed", F.col("vendor_top") != F.col("stored_top"))
     return out.where(F.col("rank_reversed") | (F.col("top_error_bound") >= F.col("top_margin"))).drop("n")

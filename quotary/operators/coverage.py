@@ -1,22 +1,32 @@
 """Coverage and gaps."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotary.functions.dates import (next_business_day, previous_business_day, previous_month_last_business_day,
-                                     weekday_count)
-from quotary.operators.scale import month_of, running_last, running_max_before, with_row, year_of
+from quotary.functions import dates
+from quotary.functions.dates import previous_business_day, previous_month_last_business_day, weekday_count
+from quotary.operators.scale import month_of, running_last, running_max_before, with_row
 
 SYMBOL_COLS = ["symbol", "name", "exchange", "currency", "is_active"]
 SORT_FIELDS = [*SYMBOL_COLS, "data_start", "data_end", "data_days", "row_count", "last_updated"]
 
 
+def month_masks(prices: DataFrame) -> DataFrame:
+    """The stored days of each (symbol, month) as a mask, bit by day, with the rows and their newest stamp.
+
+    One aggregate with map-side combine: a ticker's day travels as one bit.
+    """
+    stamp = [F.max("last_updated").alias("last_updated")] if "last_updated" in prices.columns else []
+    return prices.groupBy("symbol", month_of("date").alias("month")).agg(
+        F.bit_or(dates.day_bit("date")).alias("mask"), F.count(F.lit(1)).alias("n_rows"), *stamp)
+
+
 def _per_symbol(prices: DataFrame) -> DataFrame:
-    """Extent, rows and distinct days per ticker. Days are made distinct first, so no ticker is one group."""
-    days = prices.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"), F.max("last_updated").alias("u"))
-    return days.groupBy("symbol").agg(
-        F.min("date").alias("data_start"), F.max("date").alias("data_end"), F.count(F.lit(1)).alias("data_days"),
-        F.sum("n").alias("row_count"), F.max("u").alias("last_updated"))
+    """Extent, rows and distinct days per ticker, from its months."""
+    mask, month = F.col("mask"), F.col("month")
+    return month_masks(prices).groupBy("symbol").agg(
+        F.min(dates.first_day(month, mask)).alias("data_start"), F.max(dates.last_day(month, mask)).alias("data_end"),
+        F.sum(F.bit_count(mask)).alias("data_days"), F.sum("n_rows").alias("row_count"), F.max("last_updated").alias("last_updated"))
 
 
 def symbol_coverage_view(symbols: DataFrame, prices: DataFrame) -> DataFrame:
@@ -88,54 +98,84 @@ def coverage_listing(coverage: DataFrame, sort_by: str = "symbol", order: str =
 KEY = ["symbol", "date_from", "date_to"]
 
 
-def _stored_days(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Distinct stored days inside each request, with the request's bounds.
+def _request_months(prices: DataFrame, requests: DataFrame) -> DataFrame:
+    """The months of each request with masks of its weekdays (asked) and of the days that are stored or missing in it.
 
-    Requests are cut by month and met on ticker and month, so that no price
-    meets a request that ends before or begins after its month.
+    Requests are cut by month and meet the masks on ticker and month, however
+    many of them overlap; a reversed request has one row without a month.
+    Both sides are read once.
     """
-    month = F.explode(F.sequence(F.trunc("date_from", "month"), F.trunc("date_to", "month"), F.expr("interval 1 month")))
-    asked = requests.where("date_from <= date_to").select(*KEY, month.alias("_m"))
-    days = prices.select("symbol", "date", F.trunc("date", "month").alias("_m")).join(asked, ["symbol", "_m"])
-    return days.where("date between date_from and date_to").groupBy(*KEY, "date").agg(F.count(F.lit(1)).alias("n"))
+    month, valid = F.col("month"), F.col("date_from") <= F.col("date_to")
+    months = F.sequence(F.trunc("date_from", "month"), F.trunc("date_to", "month"), F.expr("interval 1 month"))
+    asked = requests.select(*KEY).distinct().select(*KEY, F.explode_outer(F.when(valid, months)).alias("month"))
+    rows = asked.join(month_masks(prices).select("symbol", "month", "mask"), ["symbol", "month"], "left")
+    inside = dates.range_mask(month, F.col("date_from"), F.col("date_to"))
+    rows = rows.withColumn("stored", F.coalesce("mask", F.lit(0)).bitwiseAND(inside)).withColumn(
+        "asked", dates.weekday_mask(month).bitwiseAND(inside))
+    return rows.select(*KEY, "month", "asked", "stored", F.col("asked").bitwiseAND(F.bitwise_not("stored")).alias("missing"))
 
 
-def _gaps(prices: DataFrame, asked: DataFrame) -> DataFrame:
-    """Stored days of each request (n rows; 0 for the borders) with the run of weekdays without a price before each.
+def _runs(solid: Column) -> Column:
+    """Array of the runs of set bits of a mask, each as a mask, in order."""
+    starts = solid.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", solid, F.lit(1))))
+    at = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftright", starts, i).bitwiseAND(F.lit(1)) == 1)
 
-    A run lies between one stored weekday and the next; the weekdays around
-    the request serve as the outer borders. No calendar is built.
-    """
-    edges = asked.where("date_from <= date_to").select(*KEY, F.explode(F.array(
-        previous_business_day(F.col("date_from")), next_business_day(F.col("date_to")))).alias("date"), F.lit(0).alias("n"))
-    days = _stored_days(prices, asked).select(*KEY, "date", "n").unionByName(edges)
-    weekday = F.when(F.weekday("date") < 5, F.col("date"))
-    prev = running_last(days, KEY, year_of("date"), ["date"], weekday, "prev", inclusive=False)
-    start, end = next_business_day(F.col("prev")), previous_business_day(F.col("date"))
-    open_ = (F.weekday("date") < 5) & F.col("prev").isNotNull() & (start <= end)
-    return prev.select(*KEY, "date", "n", F.when(open_, start).alias("gap_start"), F.when(open_, end).alias("gap_end"))
+    def run(i: Column) -> Column:
+        # adding its lowest bit to a run carries through to the first day after it
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        return solid.bitwiseAND(F.bitwise_not(solid + low))
+
+    rest = F.transform(at, lambda i: run(i).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i) - 1)))
+    return F.when(solid != 0, rest).otherwise(F.array().cast("array<bigint>"))
 
 
 def missing_ranges(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Maximal runs of weekdays without a price, per request (symbol, date_from, date_to)."""
-    gap = _gaps(prices, requests.select(*KEY).distinct()).where("gap_start is not null").select(*KEY, "gap_start", "gap_end")
-    return gap.withColumn("weekdays", weekday_count(F.col("gap_start"), F.col("gap_end")))
+    """Maximal runs of weekdays without a price, per request (symbol, date_from, date_to).
+
+    Runs are found in each month's mask, weekends filled in. One that reaches
+    the end of its month goes on to where the missing head of a later month
+    ends: the window runs over a request's months.
+    """
+    month, missing = F.col("month"), F.col("missing")
+    rows = _request_months(prices, requests).where("month is not null and asked <> 0")
+    # weekend days between the first and the last asked weekday join the runs on both sides
+    first, last = dates.first_day(month, F.col("asked")), dates.last_day(month, F.col("asked"))
+    weekend = dates.range_mask(month, F.col("first"), F.col("last")).bitwiseAND(F.bitwise_not("asked"))
+    rows = rows.withColumns({"first": first, "last": last}).withColumn("solid", F.when(missing != 0, missing.bitwiseOR(weekend)).otherwise(F.lit(0)))
+    # a run of weekend days alone has no missing weekday
+    rows = rows.withColumn("runs", F.filter(F.transform(_runs(F.col("solid")), lambda r: r.bitwiseAND(missing)), lambda r: r != 0)).drop("solid")
+    rows = rows.withColumn("spans", F.transform("runs", lambda r: F.struct(
+        dates.first_day(month, r).alias("gap_start"), dates.last_day(month, r).alias("gap_end"))))
+    head = F.get("spans", F.lit(0))
+    open_head = F.coalesce(head["gap_start"] == F.col("first"), F.lit(False))
+    open_tail = F.coalesce(F.try_element_at("spans", F.lit(-1))["gap_end"] == F.col("last"), F.lit(False))
+    # where a run that comes in from the month before ends: null if it goes on through all of this month
+    stop = F.when(missing == F.col("asked"), None).when(open_head, head["gap_end"]).otherwise(previous_business_day(F.col("first")))
+    rows = rows.withColumns({"open_head": open_head, "open_tail": open_tail, "stop": stop})
+    w = Window.partitionBy(*KEY).orderBy("month")
+    rows = rows.withColumns({
+        "continued": F.coalesce(F.lag("open_tail").over(w), F.lit(False)) & F.col("open_head"),
+        "goes_to": F.coalesce(F.first("stop", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+                              F.max("last").over(w.rowsBetween(0, Window.unboundedFollowing)))})
+    gaps = rows.select(*KEY, F.col("last").alias("_last"), "goes_to", "continued", F.posexplode("spans").alias("pos", "gap")).where(
+        "not (continued and pos = 0)")
+    gap_end = F.when(F.col("gap.gap_end") == F.col("_last"), F.col("goes_to")).otherwise(F.col("gap.gap_end"))
+    out = gaps.select(*KEY, "gap.gap_start", gap_end.alias("gap_end"))
+    return out.withColumn("weekdays", weekday_count(F.col("gap_start"), F.col("gap_end")))
 
 
 def missing_weekdays(prices: DataFrame, requests: DataFrame) -> DataFrame:
     """Each weekday of a request without a price."""
-    days = F.explode(F.sequence("gap_start", "gap_end"))
-    return (missing_ranges(prices, requests).select("symbol", "date_from", "date_to", days.alias("missing_date"))
-            .where(F.weekday("missing_date") < 5))
+    return _request_months(prices, requests).where("missing <> 0").select(
+        *KEY, F.explode(dates.mask_days(F.col("month"), F.col("missing"))).alias("missing_date"))
 
 
 def coverage_range(prices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Stored extent in each request, whether weekdays are missing, and the first one; one aggregate over the gaps."""
-    asked = requests.select(*KEY).distinct()
-    stored = F.when(F.col("n") > 0, F.col("date"))
-    facts = _gaps(prices, asked).groupBy(*KEY).agg(F.min(stored).alias("first_date"), F.max(stored).alias("last_date"),
-                                                   F.sum("n").alias("cnt"), F.min("gap_start").alias("_first"))
-    out = asked.join(facts, KEY, "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    """Stored extent in each request, whether weekdays are missing, and the first one; one aggregate over its months."""
+    month = F.col("month")
+    out = _request_months(prices, requests).groupBy(*KEY).agg(
+        F.min(dates.first_day(month, F.col("stored"))).alias("first_date"), F.max(dates.last_day(month, F.col("stored"))).alias("last_date"),
+        F.coalesce(F.sum(F.bit_count("stored")), F.lit(0)).alias("cnt"), F.min(dates.first_day(month, F.col("missing"))).alias("_first"))
     expected = weekday_count(F.col("date_from"), F.col("date_to"))
     return out.withColumn("has_weekday_gaps", (F.col("cnt") > 0) & (F.col("cnt") < expected)).select(
         *KEY, "first_date", "last_date", "cnt", "has_weekday_gaps",
@@ -206,6 +246,23 @@ def availability_adjustment(requests: DataFrame, available: DataFrame) -> DataFr
     return out.select(*key, actual.alias("actual_start"), status.alias("status"))
 
 
+def availability_start(requests: DataFrame, available: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """D11 by the true first day: the first day there is anything to fetch against the requested start.
+
+    The first day comes from the ticker's months, so that a start between two
+    probes is exact. With ``coverage``, the rows of `coverage_range` for the
+    same requests, only those are looked up that have no stored day or lack
+    weekdays, as a fetch would.
+    """
+    asked = requests.select(*KEY).distinct()
+    if coverage is not None:
+        asked = asked.join(coverage.where("first_date is null or has_weekday_gaps").select(*KEY), KEY, "left_semi")
+    first = month_masks(available).groupBy("symbol").agg(F.min(dates.first_day(F.col("month"), F.col("mask"))).alias("_first"))
+    actual = F.coalesce("_first", "date_from")
+    status = F.when(actual > F.col("date_to"), "no_data_in_range").when(actual > F.col("date_from"), "partial_data")
+    return asked.join(first, "symbol", "left").select(*KEY, actual.alias("actual_start"), status.alias("status"))
+
+
 def symbol_date_metadata(symbols: DataFrame, fetched: DataFrame) -> DataFrame:
     """Dates widened by what was fetched, full-history flag set, and what still lacks a full load."""
     facts = fetched.groupBy("symbol").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))

@@ -140,18 +140,21 @@ def delete_prices(prices: DataFrame, symbol: str, start=None, end=None) -> DataF
     return prices.where(~gone)
 
 
+def _asked_away() -> Column:
+    return ((F.col("p.symbol") == F.col("d.symbol"))
+            & (F.col("d.date_from").isNull() | (F.col("p.date") >= F.col("d.date_from")))
+            & (F.col("d.date_to").isNull() | (F.col("p.date") <= F.col("d.date_to"))))
+
+
 def delete_prices_by(prices: DataFrame, requests: DataFrame) -> DataFrame:
     """E7 for many requests (symbol, date_from, date_to; open ends are null) in one pass."""
-    inside = ((F.col("p.symbol") == F.col("d.symbol"))
-              & (F.col("d.date_from").isNull() | (F.col("p.date") >= F.col("d.date_from")))
-              & (F.col("d.date_to").isNull() | (F.col("p.date") <= F.col("d.date_to"))))
-    return prices.alias("p").join(requests.alias("d"), inside, "left_anti")
+    return prices.alias("p").join(requests.alias("d"), _asked_away(), "left_anti")
 
 
 def deleted_count(prices: DataFrame, requests: DataFrame) -> DataFrame:
     """How many rows per ticker ``delete_prices_by`` takes away."""
-    return (prices.select("symbol", "date").exceptAll(delete_prices_by(prices, requests).select("symbol", "date"))
-            .groupBy("symbol").agg(F.count(F.lit(1)).alias("deleted")))
+    gone = prices.select("symbol", "date").alias("p").join(requests.alias("d"), _asked_away(), "left_semi")
+    return gone.groupBy("symbol").agg(F.count(F.lit(1)).alias("deleted"))
 
 
 def register_symbols(symbols: DataFrame, names: DataFrame, now) -> DataFrame:

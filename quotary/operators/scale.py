@@ -92,19 +92,10 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_on: str, right_on: str
     return out.select("_row.*", *[F.col("_h")[v].alias(v) for v in values])
 
 
-def top_k(df: DataFrame, by, order, k: int, rank: str, salts: int = 256) -> DataFrame:
-    """The first ``k`` rows of each key, exact for hot keys.
-
-    The first pass keeps ``k`` rows per key and salt, so the second pass sees
-    at most ``k * salts`` rows of a key.
-    """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    first = Window.partitionBy(*by, "_s").orderBy(*order)
-    final = Window.partitionBy(*by).orderBy(*order)
-    return (df.withColumn("_s", salt)
-            .withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= k)
-            .withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
-            .drop("_s"))
+def top_k(df: DataFrame, by, order, k: int, rank: str) -> DataFrame:
+    """The first ``k`` rows of each key. Spark keeps ``k`` rows per key and task before the shuffle, so hot keys are cut there."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def _band(v: Column) -> Column:

@@ -313,6 +313,12 @@ sql("availability_adjustment", "symbols prices", """
            CAST(coalesce(d, date_from) AS VARCHAR) AS actual_start,
            CASE WHEN coalesce(d, date_from) > date_to THEN 'no_data_in_range' WHEN coalesce(d, date_from) > date_from THEN 'partial_data' END AS status
     FROM r LEFT JOIN hits USING (symbol)""")
+sql("availability_start", "prices ref_prices cover_requests", f"""
+    WITH {_CALENDAR}, {_D5}
+    SELECT symbol, {_s('date_from', 'date_to')}, CAST(coalesce(a, date_from) AS VARCHAR) AS actual_start,
+           CASE WHEN a > date_to THEN 'no_data_in_range' WHEN a > date_from THEN 'partial_data' END AS status
+    FROM d5x LEFT JOIN (SELECT symbol, min(date) AS a FROM ref_prices GROUP BY symbol) USING (symbol)
+    WHERE first_date IS NULL OR has_weekday_gaps""")
 sql("symbol_date_metadata", "symbols prices", """
     SELECT s.symbol, CAST(least(s.first_date, a) AS VARCHAR) AS first_date, CAST(greatest(s.last_date, b) AS VARCHAR) AS last_date,
            has_full_history OR a IS NOT NULL AS has_full_history, NOT has_full_history AS lacked_full_history
@@ -492,6 +498,19 @@ sql("refresh_counts", "raw raw_changes ev", f"""
     SELECT 'confirmed' AS what, count(*) AS n FROM cons
     UNION ALL SELECT 'alerts', count(*) FROM (SELECT DISTINCT symbol, date FROM inside) ANTI JOIN cons USING (symbol, date)
     UNION ALL SELECT 'derived', count(*) FROM factored""")
+_NINTH, _FIFTH = "CAST(substr(symbol, 2) AS BIGINT) % 9 = 0", "CAST(substr(symbol, 2) AS BIGINT) % 5 = 0"
+sql("raw_price_changes", "raw raw_changes ev", f"""
+    WITH some_changes AS (SELECT * FROM raw_changes WHERE {_NINTH}), {_RAW_MERGE.replace('raw_changes', 'some_changes')},
+    inside AS (SELECT * FROM merged WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
+    {_consensus('inside')}, {_SETTLED.format(raw='merged')}, {_COLLAPSED.format(src='settled', a='1995-01-01', b='2001-12-31')},
+    {_ACTIONS.replace('acts AS (', 'every_act AS (', 1).replace('known AS (', f'acts AS (SELECT * FROM every_act WHERE {_FIFTH}), known AS (', 1)},
+    cev AS (SELECT * FROM known WHERE hit OR confirmed_at IS NOT NULL), {_factors('cev', '2001-12-31')},
+    landed AS (SELECT DISTINCT symbol, date FROM some_changes WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
+    cutoffs AS (SELECT symbol, max(ex) AS cutoff FROM (
+        SELECT symbol, ex_date AS ex FROM known WHERE hit AND ex_date <= DATE '2001-12-31'
+        UNION ALL SELECT c.symbol, c.ex_date FROM cashed c JOIN landed l ON c.symbol = l.symbol AND c.prev_date = l.date) GROUP BY symbol)
+    SELECT f.symbol, CAST(f.date AS VARCHAR) AS date, {_FLAT}, volume, 'raw_consensus_events' AS source, '{_NOW}' AS last_updated
+    FROM factored f LEFT JOIN cutoffs c USING (symbol) WHERE f.date < c.cutoff OR (f.symbol, f.date) IN (SELECT symbol, date FROM landed)""")
 _VERIFY = """cmp AS (SELECT s.symbol, a.c AS p, b.c AS q, abs(a.c - b.c) AS diff,
         CASE WHEN a.c IS NULL OR b.c IS NULL THEN 'unverified' WHEN abs(a.c - b.c) > CAST(0.01 AS DOUBLE) + CAST(1e-9 AS DOUBLE)
              THEN 'mismatch' ELSE 'ok' END AS status

@@ -419,6 +419,12 @@ def availability_adjustment(m: Market):
     return coverage.availability_adjustment(asked, m.prices)
 
 
+@query
+def availability_start(m: Market):
+    asked = m.coverage_requests
+    return coverage.availability_start(asked, m.reference_prices, coverage.coverage_range(m.prices, asked))
+
+
 @query
 def symbol_date_metadata(m: Market):
     return coverage.symbol_date_metadata(m.symbols, m.prices)
@@ -571,27 +577,30 @@ def collapse_raw(m: Market):
     return consensus.collapse_raw(m.prices_raw, *SPAN)
 
 
-def _settled(m: Market):
-    return consensus.apply_consensus(m.prices_raw, consensus.consensus_close(m.prices_raw))
+def _collapsed(m: Market):
+    """The days of the raw table with their new consensus."""
+    return consensus.agreed_days(consensus.between(m.prices_raw, *SPAN)).where("consensus_close is not null").drop("closes", "agreed_close")
+
+
+def _usable(m: Market):
+    return consensus.confirmed_events(m.corporate_events, SPAN[1])
 
 
 @query
 def dividend_factors(m: Market):
-    rows = consensus.dividend_factors(consensus.collapse_raw(_settled(m), *SPAN),
-                                      consensus.confirmed_events(m.corporate_events, SPAN[1]))
+    rows = consensus.dividend_factors(_collapsed(m), _usable(m))
     return rows.select("symbol", "ex_date", "dividend_amount", "prev_date", "prev_close", F.round("factor", 9).alias("factor"))
 
 
 @query
 def adjustment_factor(m: Market):
-    rows = consensus.adjustment_factor(consensus.collapse_raw(_settled(m), *SPAN),
-                                       consensus.confirmed_events(m.corporate_events, SPAN[1]))
+    rows = consensus.adjustment_factor(_collapsed(m), _usable(m))
     return rows.select("symbol", "date", F.round("factor", 9).alias("factor"))
 
 
 @query
 def derive_adjusted(m: Market):
-    return consensus.derive_adjusted(_settled(m), m.corporate_events, *SPAN, moment(NOW))
+    return consensus.adjusted_bars(_collapsed(m), _usable(m), moment(NOW))
 
 
 def _refresh(m: Market):
@@ -609,6 +618,18 @@ def refresh_counts(m: Market):
     return consensus.refresh_counts(_refresh(m))
 
 
+def _delivery(m: Market):
+    """The part of the changes that one delivery might bring: every ninth ticker's rows, every fifth ticker's actions."""
+    some = lambda n: F.pmod(F.expr("cast(substr(symbol, 2) as bigint)"), F.lit(n)) == 0
+    return m.raw_changes.where(some(9)), _actions(m).where(some(5))
+
+
+@query
+def raw_price_changes(m: Market):
+    landed, actions = _delivery(m)
+    return consensus.refresh_changes(m.prices_raw, landed, m.corporate_events, actions, *RANGE, moment(NOW), store=relations.stored).derived
+
+
 VERIFY_DAY = "1998-06-30"
 
 
@@ -781,7 +802,7 @@ def month_end_dates(m: Market):
 
 @query
 def momentum_score(m: Market):
-    return compare.momentum_score(m.prices, compare.momentum_targets(m.prices, (1, 3, 6, 12)))
+    return compare.month_end_momentum(m.prices)
 
 
 @query
