@@ -108,8 +108,8 @@ class Index:
     example: np.ndarray  # the least id among them
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, width: int, block: int = 64) -> Index:
-        """Equal vectors become one entry; entries are ordered by their heaviest chosen term, then by its weight."""
+    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, width: int, block: int = 32) -> Index:
+        """Equal vectors become one entry; entries with the same places are neighbours, ordered by weight."""
         groups: dict[tuple[bytes, bytes], list[int]] = {}
         for i, (place, w) in enumerate(vectors):
             if place.size:
@@ -117,8 +117,7 @@ class Index:
 
         def order(members: list[int]) -> tuple:
             place, w = vectors[members[0]]
-            top = 1 + int(np.argmax(w[1:])) if place.size > 1 else 0
-            return int(place[top]), -float(w[top]), place.tobytes(), w.tobytes()
+            return place.size, place.tolist(), (-w).tolist()
 
         members = sorted(groups.values(), key=order)
         sizes = np.array([vectors[m[0]][0].size for m in members], np.int64)
@@ -139,28 +138,40 @@ class Index:
         run = np.searchsorted(self.starts, own, side="right") - 1
         return self.keys[run] % self.width, self.weight[own]
 
+    def _open(self, blocks: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of some blocks and their cosines with a vector, to nine digits."""
+        wanted = (blocks[:, None] * self.width + place).ravel()
+        run = np.minimum(np.searchsorted(self.keys, wanted), self.keys.size - 1)
+        there = np.flatnonzero(self.keys[run] == wanted)
+        run = run[there]
+        lengths = self.starts[run + 1] - self.starts[run]
+        ends = np.cumsum(lengths)
+        posting = np.arange(ends[-1]) + np.repeat(self.starts[run] - ends + lengths, lengths)
+        slot = self.entry[posting] % self.block + np.repeat(there // place.size * self.block, lengths)
+        cosines = np.bincount(slot, self.weight[posting] * np.repeat(weight[there % place.size], lengths), blocks.size * self.block)
+        entries = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+        real = entries < self.n.size
+        return entries[real], np.round(cosines[real], 9)
+
     def nearest(self, place: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of the largest cosines (to nine digits, ties by entry) and these cosines."""
-        bound = weight @ self.best[place]
-        order = np.argsort(-bound, kind="stable")
-        bound = bound[order] + 1e-9
-        entries, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, max(1, 2 * k // self.block)
-        while at < order.size and (entries.size < k or bound[at] >= cosines[k - 1]):
-            some = order[at:at + step]
-            at, step = at + step, step * 2
-            wanted = (some[:, None] * self.width + place).ravel()
-            run = np.minimum(np.searchsorted(self.keys, wanted), self.keys.size - 1)
-            there = self.keys[run] == wanted
-            run, own = run[there], np.tile(weight, some.size)[there]
-            lengths = self.starts[run + 1] - self.starts[run]
-            posting = np.arange(lengths.sum()) + np.repeat(self.starts[run] - np.cumsum(lengths) + lengths, lengths)
-            seen, slot = np.unique(self.entry[posting], return_inverse=True)
-            entries = np.append(entries, seen)
-            cosines = np.append(cosines, np.round(np.bincount(slot, self.weight[posting] * np.repeat(own, lengths), seen.size), 9))
-            top = np.lexsort((entries, -cosines))[:k]
-            entries, cosines = entries[top], cosines[top]
-        return entries, cosines
+        """The k entries of the largest cosines (to nine digits, ties by entry) and these cosines.
+
+        The blocks of the largest bounds give a k-th cosine to reach; all others whose bound reaches it are opened too.
+        """
+        bound = weight @ self.best[place] + 1e-9
+        some = min(bound.size, max(2, -(-2 * k // self.block)))
+        order = np.argpartition(-bound, some - 1)
+        entries, cosines = self._open(order[:some], place, weight)
+        reach = np.partition(cosines, -k)[-k] if cosines.size >= k else -1.0
+        rest = order[some:][bound[order[some:]] >= reach]
+        if rest.size:
+            more, near = self._open(rest, place, weight)
+            entries, cosines = np.append(entries, more), np.append(cosines, near)
+        if cosines.size > k:
+            near = cosines >= np.partition(cosines, -k)[-k]
+            entries, cosines = entries[near], cosines[near]
+        top = np.lexsort((entries, -cosines))[:k]
+        return entries[top], cosines[top]
 
 
 def vote(cosines: np.ndarray, shares: np.ndarray, softness: float = 0.01) -> float:
