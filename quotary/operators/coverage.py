@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quotary.functions import dates
 from quotary.functions.dates import previous_business_day, previous_month_last_business_day, weekday_count
-from quotary.operators.scale import month_of, running_last, running_max_before, with_row
+from quotary.operators.scale import month_of, running_last, running_max_before, seek, with_row
 
 SYMBOL_COLS = ["symbol", "name", "exchange", "currency", "is_active"]
 SORT_FIELDS = [*SYMBOL_COLS, "data_start", "data_end", "data_days", "row_count", "last_updated"]
@@ -80,6 +80,11 @@ def coverage_filter(coverage: DataFrame, q=None, has_data=None, start_after=None
     return coverage
 
 
+def _listing_order(sort_by: str, order: str) -> list[tuple[str, bool]]:
+    key = sort_by if sort_by in SORT_FIELDS else "symbol"
+    return [(key, order.lower() == "desc")] + ([("symbol", False)] if key != "symbol" else [])
+
+
 def coverage_listing(coverage: DataFrame, sort_by: str = "symbol", order: str = "asc", page: int = 1,
                      page_size: int = 50, **filters) -> DataFrame:
     """One page of the filtered coverage with the total and the page count.
@@ -95,6 +100,12 @@ def coverage_listing(coverage: DataFrame, sort_by: str = "symbol", order: str =
     return with_row(part, total.select("total_items", pages)).orderBy(key, "symbol")
 
 
+def coverage_listing_after(coverage: DataFrame, after=None, sort_by: str = "symbol", order: str = "asc",
+                           page_size: int = 50, **filters) -> DataFrame:
+    """D4 by seek: the page that follows the row with the key ``after`` (the sort field's value, then the ticker)."""
+    return seek(coverage_filter(coverage, **filters), _listing_order(sort_by, order), page_size, after)
+
+
 KEY = ["symbol", "date_from", "date_to"]
 
 

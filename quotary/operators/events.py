@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.operators.scale import with_row
+from quotary.operators.scale import seek, with_row
 
 
 def _filtered(events: DataFrame, symbol=None, event_type=None, status=None, start=None, end=None) -> DataFrame:
@@ -28,6 +28,11 @@ def events_listing(events: DataFrame, page: int = 1, page_size: int = 50, **filt
     return with_row(part, rows.agg(F.count(F.lit(1)).alias("total"))).orderBy(*order)
 
 
+def events_listing_after(events: DataFrame, after=None, page_size: int = 50, **filters) -> DataFrame:
+    """H1 by seek: the page that follows the event with the key ``after`` (detected_at, id)."""
+    return seek(_filtered(events, **filters), [("detected_at", True), ("id", False)], page_size, after)
+
+
 def events_by_symbol(events: DataFrame, symbol: str) -> DataFrame:
     """H2."""
     return events.where(F.col("symbol") == symbol).orderBy(F.desc("event_date"), "id")

@@ -147,6 +147,26 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", single.alias("_r")).select(*df.columns, "_r.*")
 
 
+def seek(df: DataFrame, order, size: int, after=None) -> DataFrame:
+    """The ``size`` rows that follow the key ``after`` in an order, so that a later page costs what the first costs.
+
+    ``order`` lists (column, descending); the last columns must make the key
+    unique. ``after`` has the key of the page's predecessor, one value per
+    column. Nulls come last ascending and first descending.
+    """
+    if after is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, after, strict=True):
+            c, v = F.col(name), F.lit(value).cast(df.schema[name].dataType)
+            if value is None:
+                beyond = c.isNotNull() if descending else F.lit(False)
+            else:
+                beyond = F.coalesce(c < v, F.lit(False)) if descending else F.coalesce(c > v, F.lit(True))
+            later, equal = later | (equal & beyond), equal & c.eqNullSafe(v)
+        df = df.where(later)
+    return df.orderBy(*[F.col(c).desc_nulls_first() if d else F.col(c).asc_nulls_last() for c, d in order]).limit(size)
+
+
 def mirrored(day) -> Column:
     """The day reflected at 2000-01-01, so that later becomes earlier."""
     pivot = F.lit("2000-01-01").cast("date")

@@ -26,6 +26,13 @@ sql("load_relations", "symbols changes prices raw ev econ jobs", " UNION ALL ".j
         ("corporate_events", "ev"), ("economic_indicators", "econ"), ("fetch_jobs", "jobs")]))
 for _name, _src in (("ingest_vendor_eod", "eodhd"), ("ingest_vendor_iso", "tiingo"), ("ingest_vendor_bars", "alpaca")):
     sql(_name, "raw", f"SELECT symbol, {_s('date')}, source, {DBL}, volume FROM raw WHERE source = '{_src}'")
+sql("vendor_rejects", "raw", """
+    WITH r AS (SELECT CASE WHEN symbol = 'S1' THEN 'VIX' ELSE symbol END AS symbol, source, date, volume, volume // 100 AS v FROM raw),
+    t AS (SELECT *, CASE WHEN symbol = 'VIX' AND source <> 'eodhd' THEN 'unsupported' WHEN symbol LIKE '%3' THEN 'payload' WHEN v % 13 = 0 OR v % 17 = 0 THEN 'day'
+            WHEN v % 11 = 0 OR v % 19 = 0 THEN 'price' WHEN v % 7 = 0 THEN 'volume' ELSE 'taken' END AS outcome FROM r)
+    SELECT source, symbol, outcome, count(*) AS n, count(*) FILTER (NOT (v % 13 = 0 OR v % 17 = 0)) AS n_days,
+           CAST(sum(CASE WHEN v % 7 = 0 OR v % 5 = 0 THEN 0 ELSE volume END) AS BIGINT) AS volume FROM t WHERE outcome <> 'payload' GROUP BY ALL
+    UNION ALL SELECT source, symbol, outcome, count(DISTINCT year(date)), 0, 0 FROM t WHERE outcome = 'payload' GROUP BY ALL""")
 sql("union_raw_sources", "raw", f"""
     SELECT * FROM (SELECT CASE WHEN symbol = 'S1' THEN 'VIX' ELSE symbol END AS symbol, {_s('date')}, source, {DBL}, volume
                    FROM raw) WHERE NOT (symbol = 'VIX' AND source IN ('alpaca', 'tiingo'))""")
@@ -254,6 +261,8 @@ sql("coverage_listing", "symbols prices", f"""
         AND data_start >= DATE '1996-11-01' AND data_end <= DATE '2001-12-31' AND last_updated >= TIMESTAMP '2000-01-01')
     SELECT {_COV}, total_items, CAST(greatest(ceil(total_items / 20.0), 1) AS BIGINT) AS total_pages FROM (
       SELECT *, count(*) OVER () AS total_items FROM hits ORDER BY row_count DESC, symbol LIMIT 20 OFFSET 20)""")
+sql("coverage_listing_after", "symbols prices", f"""
+    SELECT {_COV} FROM (SELECT * FROM ({_RECENT}) WHERE symbol ILIKE '%s%' OR name ILIKE '%s%' ORDER BY row_count DESC, symbol LIMIT 20 OFFSET 40)""")
 _CALENDAR = """cal AS (SELECT symbol, date_from, date_to, CAST(x AS DATE) AS date FROM (
         SELECT *, unnest(generate_series(CAST(date_from AS TIMESTAMP), CAST(date_to AS TIMESTAMP), INTERVAL 1 DAY)) AS x
         FROM cover_requests) WHERE isodow(x) < 6),
@@ -354,6 +363,8 @@ def _upsert(newer: str) -> str:
 
 sql("upsert_prices", "prices price_changes", _upsert("o.last_updated < n.last_updated"))
 sql("upsert_prices_force", "prices price_changes", _upsert("TRUE"))
+sql("upsert_stored_years", "prices price_changes", "SELECT * EXCLUDE (change) FROM ("
+    + _upsert("o.last_updated < n.last_updated").replace("price_changes", "(SELECT * FROM price_changes WHERE year(date) IN (1997, 1999))") + ")")
 sql("upsert_counts", "prices price_changes", f"""
     WITH {_BEST} SELECT change, count(*) AS n FROM (
       SELECT CASE WHEN o.symbol IS NULL THEN 'inserted' WHEN o.last_updated < n.last_updated THEN 'updated' ELSE 'unchanged' END AS change
@@ -650,6 +661,9 @@ _EV = f"id, symbol, {_s('event_date')}, event_type, CAST(ratio AS DOUBLE) AS rat
 sql("events_listing", "ev", f"""
     SELECT {_EV}, total FROM (SELECT *, count(*) OVER () AS total FROM ev WHERE status = 'confirmed'
       AND event_date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30' ORDER BY detected_at DESC, id LIMIT 20 OFFSET 20)""")
+sql("events_listing_after", "ev", f"""
+    SELECT {_EV} FROM (SELECT * FROM ev WHERE detected_at < TIMESTAMP '1998-06-30' OR detected_at = TIMESTAMP '1998-06-30' AND id > 0
+      ORDER BY detected_at DESC, id LIMIT 50)""")
 sql("events_by_symbol", "ev", f"SELECT {_EV} FROM ev WHERE symbol = 'S3'")
 sql("pending_events", "ev", f"SELECT {_EV} FROM ev WHERE status NOT IN ('fixed', 'ignored')")
 sql("dividend_calendar", "ev", f"""
@@ -730,6 +744,10 @@ sql("jobs_listing", "jobs", f"""
            CAST(date_diff('second', started_at, coalesce(completed_at, TIMESTAMP '2001-08-01 12:00:00')) AS BIGINT) AS duration_seconds, total
     FROM (SELECT *, count(*) OVER () AS total FROM jobs WHERE status = 'processing' AND created_at >= TIMESTAMP '1999-01-01'
           ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 10)""")
+sql("jobs_listing_after", "jobs", f"""
+    SELECT job_id, status, {_s('created_at', 'started_at', 'completed_at')},
+           CAST(date_diff('second', started_at, coalesce(completed_at, TIMESTAMP '2001-08-01 12:00:00')) AS BIGINT) AS duration_seconds
+    FROM (SELECT * FROM jobs WHERE created_at <= TIMESTAMP '1998-06-30 12:00:00' ORDER BY created_at DESC, job_id LIMIT 200)""")
 sql("job_outcome", "job_results", """
     SELECT job_id, count(*) FILTER (WHERE status = 'success') AS success_count, count(*) FILTER (WHERE status = 'failed') AS failed_count,
            count(*) FILTER (WHERE status = 'no_data') AS no_data_count, CAST(sum(rows_fetched) AS BIGINT) AS fetched_rows, CAST(100 AS DOUBLE) AS percent,
@@ -797,6 +815,10 @@ sql("stream_upsert_prices", "prices price_changes", "SELECT * EXCLUDE (change) F
 sql("stream_consensus", "raw", f"""
     WITH {_consensus('raw')} SELECT symbol, {_s('date')}, consensus_close FROM (SELECT DISTINCT symbol, date FROM v)
     LEFT JOIN cons USING (symbol, date)""")
+sql("stream_late_rows", "raw raw_changes", f"""
+    WITH {_consensus('raw')} SELECT count(*) AS days, count(consensus_close) AS agreed,
+        (SELECT count(*) FROM raw_changes WHERE volume % 400 = 0 AND date < DATE '2000-01-01') AS dropped
+    FROM (SELECT DISTINCT symbol, date FROM v) LEFT JOIN cons USING (symbol, date)""")
 sql("stream_error_counts", "", """
     SELECT CAST(date_trunc('minute', ts) AS VARCHAR) AS window_start, 'k' || json_extract_string(props, '$.k') AS error_type, count(*) AS n
     FROM events WHERE event_type = 'error' GROUP BY 1, 2""")

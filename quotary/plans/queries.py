@@ -109,6 +109,37 @@ def ingest_vendor_bars(m: Market):
     return vendors.ingest_vendor_bars(_payloads(rows, item, "bars"))
 
 
+def _spoilt(rows: DataFrame, day: str) -> DataFrame:
+    """Vendor rows with what goes wrong in them: days, prices and volumes that cannot be read, by volume."""
+    v = F.expr("volume div 100")
+    text = lambda c: F.col(c).cast("string")
+    return rows.withColumns({
+        "day": F.when(v % 13 == 0, F.lit("31/12/1999")).when(v % 17 == 0, F.lit(None)).otherwise(F.date_format("date", day)),
+        "open": F.when(v % 11 == 0, "n/a").otherwise(text("open")), "close": F.when(v % 19 == 0, F.lit(None)).otherwise(text("close")),
+        "volume": F.when(v % 7 == 0, "many").when(v % 5 == 0, "").otherwise(text("volume"))})
+
+
+def _spoilt_payloads(m: Market):
+    """Of each vendor; responses of tickers that end in 3 are cut off, and S1 stands for a ticker that two vendors lack."""
+    named = F.expr("CASE WHEN symbol = 'S1' THEN 'VIX' ELSE symbol END")
+    torn = F.when(F.col("symbol").endswith("3"), F.expr("substr(payload, 1, length(payload) - 1)")).otherwise(F.col("payload"))
+    for kind, form in ((vendors.EOD, "yyyy-MM-dd"), (vendors.ISO, "yyyy-MM-dd'T00:00:00.000Z'"), (vendors.BARS, "yyyy-MM-dd'T05:00:00Z'")):
+        rows = _spoilt(m.prices_raw.where(F.col("source") == kind.source), form).withColumn("symbol", named)
+        item = F.struct(F.col("day").alias(kind.day), *[F.col(c).alias(getattr(kind, c)) for c in ("open", "high", "low", "close", "volume")])
+        yield kind, _payloads(rows, item, kind.within).withColumn("payload", torn)
+
+
+@query
+def vendor_rejects(m: Market):
+    """Per vendor and ticker: the rows taken in, and the rejects by reason."""
+    out = None
+    for kind, payloads in _spoilt_payloads(m):
+        one = vendors.parsed_rows(payloads, kind).groupBy("source", "symbol", F.coalesce("reason", F.lit("taken")).alias("outcome")).agg(
+            F.count(F.lit(1)).alias("n"), F.count("date").alias("n_days"), F.sum(F.coalesce("volume", F.lit(0))).alias("volume"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def union_raw_sources(m: Market):
     raw = m.prices_raw.drop("consensus_close").withColumn(
@@ -381,6 +412,15 @@ def coverage_listing(m: Market):
                                      updated_after="2000-01-01 00:00:00")
 
 
+@query
+def coverage_listing_after(m: Market):
+    """The third page, by the key of the last row of the second."""
+    rows = coverage.coverage_recent(m.symbols, m.prices, day(AS_OF))
+    how = {"sort_by": "row_count", "order": "desc", "page_size": 20, "q": "s"}
+    last = coverage.coverage_listing(rows, page=2, **how).orderBy("row_count", F.desc("symbol")).select("row_count", "symbol").first()
+    return coverage.coverage_listing_after(rows, after=last, **how)
+
+
 @query
 def coverage_range(m: Market):
     return coverage.coverage_range(m.prices, m.coverage_requests)
@@ -461,6 +501,16 @@ def upsert_counts(m: Market):
     return merge.change_counts(merge.upsert_prices(m.prices, m.price_changes, now=moment(NOW)))
 
 
+@query
+def upsert_stored_years(m: Market):
+    """A stored table after a delivery for two of its years, read back."""
+    root = scratch(m)
+    relations.save_relation(m.prices, f"{root}/prices")
+    late = m.price_changes.where("year(date) in (1997, 1999)")
+    relations.upsert_relation(m.spark, root, "prices", late, lambda old, new: merge.upsert_prices(old, new, now=moment(NOW)))
+    return relations.load_relation(m.spark, root, "prices")
+
+
 @query
 def upsert_raw(m: Market):
     return merge.upsert_raw(m.prices_raw, m.raw_changes)
@@ -750,6 +800,11 @@ def events_listing(m: Market):
                                             start="1996-01-01", end="2001-06-30"))
 
 
+@query
+def events_listing_after(m: Market):
+    return _event_row(events.events_listing_after(m.corporate_events, after=("1998-06-30 00:00:00", 0), page_size=50))
+
+
 @query
 def events_by_symbol(m: Market):
     return _event_row(events.events_by_symbol(m.corporate_events, "S3"))
@@ -820,6 +875,12 @@ def jobs_listing(m: Market):
     return rows.select("job_id", "status", "created_at", "started_at", "completed_at", "duration_seconds", "total")
 
 
+@query
+def jobs_listing_after(m: Market):
+    rows = jobs.jobs_listing_after(m.jobs, moment(JOBS_AS_OF), after=("1998-06-30 12:00:00", ""), limit=200)
+    return rows.select("job_id", "status", "created_at", "started_at", "completed_at", "duration_seconds")
+
+
 @query
 def job_outcome(m: Market):
     return jobs.job_outcome(m.jobs)
@@ -904,37 +965,65 @@ def resample_ohlcv(m: Market):
 # --- S: streams -----------------------------------------------------------------------------------
 
 
-def _stream(m: Market, df: DataFrame, name: str, folder: str) -> DataFrame:
-    """Land a frame as files and read them back as a stream."""
-    df.write.parquet(f"{folder}/{name}")
-    return m.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/{name}")
+def _stream(m: Market, df: DataFrame, name: str, folder: str, order: str | None = None, slices: int = 6) -> DataFrame:
+    """Land a frame as files and read them back as a stream; by slices of the time ``order``, a batch each, if given."""
+    path, files = f"{folder}/{name}", m.spark.sparkContext.defaultParallelism
+    if order is None:
+        df.write.parquet(path)
+    else:
+        held = relations.stored(df)
+        at = F.unix_seconds(F.col(order).cast("timestamp"))
+        first, last = held.agg(F.min(at), F.max(at)).collect()[0]
+        step = (last - first) // slices + 1
+        for i in range(slices):
+            held.where((at >= first + i * step) & (at < first + (i + 1) * step)).repartition(files).write.mode("append").parquet(path)
+    return m.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query
 def stream_upsert_prices(m: Market):
     folder = scratch(m)
     arriving = _stream(m, m.price_changes, "arriving", folder)
-    base = m.prices
-    run = streams.stream_upsert_prices(arriving, f"{folder}/table", f"{folder}/state", base)
-    run.awaitTermination()
-    return streams.price_table(m.spark, f"{folder}/table", base.schema)
+    streams.stream_upsert_prices(arriving, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return streams.price_table(m.prices, streams.price_log(m.spark, f"{folder}/log"))
+
+
+DELAY = "30 days"
 
 
 @query
 def stream_consensus(m: Market):
+    """Vendor rows in the order of their days; a day's state goes once the newest is a month later."""
     folder = scratch(m)
-    # a delay longer than the history, so that files may arrive in any order
-    rows = streams.stream_consensus(_stream(m, m.prices_raw, "raw", folder), delay="4000 days")
+    rows = streams.stream_consensus(_stream(m, m.prices_raw, "raw", folder, order="date"), delay=DELAY)
     streams.drain_updates(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
     latest = streams.newest_updates(m.spark, f"{folder}/out", ["symbol", "date"], ["consensus_close"])
     return latest
 
 
+@query
+def stream_late_rows(m: Market):
+    """Rows that come a second time, corrected, when their day has passed: dropped, counted, and left to the batch refresh."""
+    folder = scratch(m)
+    raw = m.prices_raw.drop("consensus_close")
+    stream = _stream(m, raw, "raw", folder, order="date")
+    m.raw_changes.where("volume % 400 = 0 and date < DATE'2000-01-01'").select(raw.columns).write.mode("append").parquet(f"{folder}/raw")
+    counter = streams.LateRows()
+    m.spark.streams.addListener(counter)
+    try:
+        streams.drain_updates(streams.stream_consensus(stream, delay=DELAY), f"{folder}/out", f"{folder}/state").awaitTermination()
+        dropped = counter.wait()
+    finally:
+        m.spark.streams.removeListener(counter)
+    days = streams.newest_updates(m.spark, f"{folder}/out", ["symbol", "date"], ["consensus_close"])
+    return days.agg(F.count(F.lit(1)).alias("days"), F.count("consensus_close").alias("agreed")).withColumn("dropped", F.lit(dropped))
+
+
 @query
 def stream_error_counts(m: Market):
     folder = scratch(m)
     source = m.table("events").where("event_type = 'error'").select(
         F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("kind"))
-    rows = streams.stream_error_counts(_stream(m, source, "errors", folder), F.col("kind"), delay="60 days")
+    rows = streams.stream_error_counts(_stream(m, source, "errors", folder, order="ts"), F.col("kind"))
     streams.drain_updates(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
     return streams.newest_updates(m.spark, f"{folder}/out", ["window_start", "error_type"], ["n"])

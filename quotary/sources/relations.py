@@ -1,9 +1,11 @@
 """Reading and writing the seven relations (A1)."""
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quotary.schemas import RELATIONS
 
@@ -49,6 +51,24 @@ def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str |
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
+def upsert_relation(spark: SparkSession, root: str, name: str, incoming: DataFrame,
+                    merge: Callable[[DataFrame, DataFrame], DataFrame], day: str = "date") -> DataFrame:
+    """Merge incoming rows into a relation that is stored by year, and return the counts by change.
+
+    Only the years that the delivery has rows for are read and written: a list
+    of calendar years, known once the delivery is at hand, prunes the folders,
+    and the merged years replace theirs. They are written aside first, since
+    no path is overwritten while it is read. ``merge`` is one of E1 to E4.
+    """
+    years = sorted(r[0] for r in incoming.select(F.year(day)).distinct().collect() if r[0] is not None)
+    path = f"{root}/{name}"
+    old = spark.read.schema(StructType([*RELATIONS[name].fields, StructField("year", IntegerType())])).parquet(path).where(
+        F.col("year").isin(years)).select(*RELATIONS[name].names)
+    merged = stored(merge(old, incoming))
+    save_relation(merged.select(*RELATIONS[name].names), path, day=day)
+    return merged.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints; below the warehouse where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -1,9 +1,13 @@
 """Landed vendor payloads to rows.
 
 A payload table has one row per landed response: ``symbol`` and the response
-text. ``read_payloads`` builds it from files named after the symbol.
+text. ``read_payloads`` builds it from files named after the symbol. A row of a
+price payload is either a raw price or a reject with its reason; an ingest is
+the first, ``vendor_rejects`` the second of one parse.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,47 +23,88 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("symbol"), F.col("value").alias("payload"))
 
 
-def _raw_row(source: str, o, h, l, c, v, day: Column) -> list[Column]:
-    price = lambda x: F.col(x).try_cast("decimal(18,6)")
-    return [F.col("symbol"), day.alias("date"), F.lit(source).alias("source"),
-            price(o).alias("open"), price(h).alias("high"), price(l).alias("low"), price(c).alias("close"),
-            F.coalesce(F.col(v).try_cast("double"), F.lit(0.0)).cast("bigint").alias("volume")]
-
-
 def _calendar_day(col) -> Column:
     """Date part of an ISO date or time stamp, as written (no zone shift); null for any other text."""
     iso = F.col(col) if isinstance(col, str) else col
     return F.when(iso.rlike(_ISO), F.try_to_date(F.substring(iso, 1, 10), "yyyy-MM-dd"))
 
 
-def vendor_rejects(payloads: DataFrame, item: str, day: str, bars: str | None = None) -> DataFrame:
-    """Rows of a payload whose day cannot be read, as (symbol, text); the ingests leave them out."""
-    parsed = F.from_json("payload", item)
-    rows = payloads.select("symbol", F.explode(parsed[bars] if bars else parsed).alias("row"))
-    return rows.where(_calendar_day(F.col("row")[day]).isNull()).select("symbol", F.to_json("row").alias("text"))
+@dataclass(frozen=True)
+class Payload:
+    """How a vendor spells a daily row: its source name, the fields, and the member that holds the rows, if any."""
+
+    source: str
+    day: str
+    open: str
+    high: str
+    low: str
+    close: str
+    volume: str
+    within: str | None = None
+
+    @property
+    def schema(self) -> str:
+        row = "struct<" + ",".join(f"{c}:string" for c in (self.day, self.open, self.high, self.low, self.close, self.volume)) + ">"
+        return f"struct<{self.within}:array<{row}>>" if self.within else f"array<{row}>"
+
+
+EOD = Payload("eodhd", "date", "open", "high", "low", "close", "volume")
+ISO = Payload("tiingo", "date", "open", "high", "low", "close", "volume")
+BARS = Payload("alpaca", "t", "o", "h", "l", "c", "v", within="bars")
+
+
+def parsed_rows(payloads: DataFrame, kind: Payload) -> DataFrame:
+    """Every row of every payload, once: the values of a raw price, the row's text, and why it cannot be used (``reason``, else null).
+
+    Reasons, the first that holds: ``unsupported`` (the vendor does not cover
+    the ticker), ``payload`` (no JSON, or not of this shape; one row per
+    response), ``day``, ``price`` (one of the four is missing or no number) and
+    ``volume`` (neither empty nor a number; an empty one is 0). A response
+    without rows has none.
+    """
+    parsed = F.from_json("payload", kind.schema)
+    rows = payloads.withColumn("_rows", parsed[kind.within] if kind.within else parsed)
+    broken = F.col("payload").isNull() | F.try_parse_json("payload").isNull()
+    if kind.within is None:
+        broken = broken | F.col("_rows").isNull()
+    rows = rows.select("symbol", F.when(broken, F.coalesce("payload", F.lit(""))).alias("_broken"), "_rows").select(
+        "symbol", "_broken", F.explode_outer("_rows").alias("_row"), F.coalesce(F.size("_rows"), F.lit(-1)).alias("_n")).where(
+        "_broken is not null or _n > 0")
+    item = lambda c: F.col("_row")[getattr(kind, c)]
+    prices = {c: item(c).try_cast("decimal(18,6)") for c in ("open", "high", "low", "close")}
+    volume = F.when(F.coalesce(item("volume"), F.lit("")) == "", 0.0).otherwise(item("volume").try_cast("double"))
+    rows = rows.select("symbol", _calendar_day(item("day")).alias("date"), F.lit(kind.source).alias("source"),
+                       *[v.alias(c) for c, v in prices.items()], volume.alias("_volume"), "_broken",
+                       F.coalesce("_broken", F.to_json("_row"), F.lit("null")).alias("text"))
+    reason = (F.when(~vendor_supported(F.lit(kind.source), F.col("symbol")), "unsupported").when(F.col("_broken").isNotNull(), "payload")
+              .when(F.col("date").isNull(), "day")
+              .when(F.greatest(*[F.col(c).isNull() for c in prices]), "price")
+              .when(F.col("_volume").isNull() | F.isnan("_volume"), "volume"))
+    return rows.select("symbol", "date", "source", *prices, F.col("_volume").try_cast("bigint").alias("volume"), "text", reason.alias("reason"))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where("reason is null").drop("text", "reason")
+
+
+def vendor_rejects(payloads: DataFrame, kind: Payload) -> DataFrame:
+    """The rows that an ingest leaves out: symbol, source, day where it can be read, reason and text."""
+    return parsed_rows(payloads, kind).where("reason is not null").select("symbol", "source", "date", "reason", "text")
 
 
 def ingest_vendor_eod(payloads: DataFrame) -> DataFrame:
     """A2: JSON array of daily rows."""
-    item = f"array<struct<date:string,open:{_NUMBER},high:{_NUMBER},low:{_NUMBER},close:{_NUMBER},volume:{_NUMBER}>>"
-    rows = payloads.select("symbol", F.inline(F.from_json("payload", item)))
-    return rows.select(*_raw_row("eodhd", "open", "high", "low", "close", "volume", _calendar_day("date"))).where("date is not null")
+    return _usable(parsed_rows(payloads, EOD))
 
 
 def ingest_vendor_iso(payloads: DataFrame) -> DataFrame:
     """A3: JSON array of daily rows dated by ISO timestamps."""
-    item = f"array<struct<date:string,open:{_NUMBER},high:{_NUMBER},low:{_NUMBER},close:{_NUMBER},volume:{_NUMBER}>>"
-    rows = payloads.select("symbol", F.inline(F.from_json("payload", item)))
-    rows = rows.where(vendor_supported(F.lit("tiingo"), F.col("symbol")))
-    return rows.select(*_raw_row("tiingo", "open", "high", "low", "close", "volume", _calendar_day("date"))).where("date is not null")
+    return _usable(parsed_rows(payloads, ISO))
 
 
 def ingest_vendor_bars(payloads: DataFrame) -> DataFrame:
     """A4: one object with a ``bars`` array of short-named rows; no bars, no rows."""
-    item = f"struct<bars:array<struct<t:string,o:{_NUMBER},h:{_NUMBER},l:{_NUMBER},c:{_NUMBER},v:{_NUMBER}>>>"
-    rows = payloads.select("symbol", F.inline(F.from_json("payload", item)["bars"]))
-    rows = rows.where(vendor_supported(F.lit("alpaca"), F.col("symbol")))
-    return rows.select(*_raw_row("alpaca", "o", "h", "l", "c", "v", _calendar_day("t"))).where("date is not null")
+    return _usable(parsed_rows(payloads, BARS))
 
 
 def union_raw_sources(*sources: DataFrame) -> DataFrame:

@@ -1,59 +1,84 @@
 """Structured Streaming jobs."""
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from quotary.operators.clean import normalize_price_rows
 from quotary.operators.consensus import majority_close
-from quotary.operators.merge import upsert_prices
-from quotary.schemas import TOLERANCE
+from quotary.operators.merge import VALUES
+from quotary.schemas import KEYS, RELATIONS, TOLERANCE
+
 
+def stream_upsert_prices(changes: DataFrame, log: str, checkpoint: str, now: Column | None = None):
+    """Append arriving price rows, cleaned, to a log of Parquet files by year.
 
-def _by_year(df: DataFrame) -> DataFrame:
-    return df.withColumn("year", F.year("date"))
+    The file sink commits each batch once, so a batch that runs again after a
+    failure adds nothing twice, and a restart goes on where the checkpoint
+    stands. Nothing stored is read or written again; `price_table` merges on
+    read; what it returns, written elsewhere, is the base of a new log.
+    """
+    rows = normalize_price_rows(changes, now).select(*RELATIONS["prices"].names).withColumn("year", F.year("date"))
+    return (rows.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint)
+            .partitionBy("year").trigger(availableNow=True).start())
 
 
-def _write_version(df: DataFrame, table: str, version: int) -> None:
-    rows = _by_year(df).repartitionByRange("year", "symbol", "date")
-    rows.write.mode("overwrite").partitionBy("year").parquet(f"{table}/v={version}")
+def price_log(spark: SparkSession, log: str) -> DataFrame:
+    """The rows of a log; ``year`` prunes its folders."""
+    return spark.read.schema(StructType([*RELATIONS["prices"].fields, StructField("year", IntegerType())])).parquet(log)
 
 
-def price_table(spark: SparkSession, table: str, schema, below: int | None = None) -> DataFrame:
-    """The table's current rows: each year from its newest version (below ``below``, if given).
+def price_table(base: DataFrame, log: DataFrame) -> DataFrame:
+    """The newest row per (symbol, date) of a base and the rows that arrived since, by one aggregate.
 
-    The list of years and versions is a broadcast of partition values, a few
-    per calendar year, and prunes the folders that are read.
+    As in a batch upsert: an arrived row replaces a stored one only if it is
+    strictly newer, a stored row without a stamp stays, and of arrived rows
+    with one stamp the one with the largest values counts. In what order they
+    arrived does not matter.
     """
-    columns = schema.names
-    folders = [T.StructField("v", T.IntegerType()), T.StructField("year", T.IntegerType())]
-    full = spark.read.schema(T.StructType(schema.fields + folders)).parquet(table)
-    if below is not None:
-        full = full.where(F.col("v") < below)
-    newest = full.groupBy("year").agg(F.max("v").alias("v"))
-    return full.join(F.broadcast(newest), ["year", "v"], "left_semi").select(*columns)
-
-
-def stream_upsert_prices(changes: DataFrame, table: str, checkpoint: str, base: DataFrame):
-    """Merge arriving price rows into a table, newest wins.
-
-    Plain Parquet cannot be overwritten while it is read, so each batch writes
-    a new version of the years it touches, and only of those. A batch that
-    runs again after a failure starts from the same versions and overwrites
-    its own; the merge itself is idempotent.
+    key = KEYS["prices"]
+    never = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    stored = base.select(*key, F.struct(F.coalesce("last_updated", never).alias("at"), F.lit(1).alias("stored"), *VALUES).alias("r"))
+    arrived = log.select(*key, F.struct(F.col("last_updated").alias("at"), F.lit(0).alias("stored"), *VALUES).alias("r"))
+    newest = stored.unionByName(arrived).groupBy(*key).agg(F.max("r").alias("r"))
+    return newest.select(*key, *[F.col(f"r.{c}").alias(c) for c in VALUES])
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that the stateful operators of a query drop because their time lies before the watermark.
+
+    Add it to ``spark.streams`` before the query starts; ``wait`` returns the
+    total once the query has ended. Rows are dropped by the first operator that
+    keeps state, so that each counts once.
     """
-    spark = changes.sparkSession
-    schema = base.schema
-    _write_version(base, table, 0)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        touched = _by_year(batch).select("year").distinct()  # calendar years
-        stored = _by_year(price_table(spark, table, schema, below=version)).join(
-            F.broadcast(touched), "year", "left_semi").drop("year")
-        _write_version(upsert_prices(stored, batch).drop("change"), table, version)
-
-    return (changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+
+    def __init__(self) -> None:
+        self.dropped, self._ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped += max([op.numRowsDroppedByWatermark for op in event.progress.stateOperators], default=0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.set()
+
+    def wait(self, seconds: float = 60) -> int:
+        if not self._ended.wait(seconds):
+            raise TimeoutError("the query's end was not reported")
+        return self.dropped
+
+
+def late_days(rows: DataFrame, newest, delay: str, day: str = "date") -> DataFrame:
+    """The rows that a stream with this watermark drops once it has seen the day ``newest``: what the batch refresh is for."""
+    return rows.where(F.col(day).cast("timestamp") < F.lit(newest).cast("timestamp") - F.expr(f"interval {delay}"))
 
 
 def stream_consensus(raw: DataFrame, delay: str = "30 days", tolerance: float = TOLERANCE) -> DataFrame:
