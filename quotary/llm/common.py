@@ -48,6 +48,14 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def as_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with each row as one struct ``row`` and keys computed from it: whatever its columns are called, no name clashes.
+
+    Joins on the keys and ``select("row.*")`` give its columns back.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
 def text_column(name: str = "text") -> Column:
     """The text, an empty one for null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import group_runs, record_batch, settled, slices, take, text_print
+from quotary.llm.common import as_rows, group_runs, record_batch, settled, slices, take, text_print
 from quotary.llm.components import components
 from quotary.llm.words import SPACE, mix, scan, windows
 
@@ -422,8 +422,8 @@ def drop_near_duplicates(docs: DataFrame, join: Join | None = None, id: str = "d
 
     All rows of a kept id stay, and all without one; ``one_row_of_each`` leaves one row of a component.
     """
-    kept = near_duplicates(docs, join, id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(docs, join, id, text).where("kept").select("doc_id").distinct()
+    return as_rows(docs, id=F.col(f"`{id}`").cast("long")).join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
 
 
 def one_row_of_each(docs: DataFrame, join: Join | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -443,11 +443,11 @@ def one_row_of_each(docs: DataFrame, join: Join | None = None, id: str = "doc_id
     kept = settled(least.select("least.doc_id", "least.print", "least.n").unionByName(
         rows.where("digest is null").select("doc_id", "print", F.lit(1).cast("long").alias("n")).distinct()))
 
+    keyed = as_rows(docs, id=F.col(f"`{id}`").cast("long"), own=text_print(text))
+
     def of(some: DataFrame) -> DataFrame:
-        return docs.withColumn("_print", text_print(text)).join(
-            some.select(F.col("doc_id").alias("_kept"), F.col("print").alias("_kept_print")),
-            F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_kept_print")), "left_semi")
+        return keyed.join(some.select("doc_id", "print"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("print")), "left_semi")
 
     tied = kept.where("n > 1")
-    out = of(kept.where("n = 1")).drop("_print")
-    return out if tied.isEmpty() else out.unionByName(of(tied).dropDuplicates([id, "_print"]).drop("_print"))
+    out = of(kept.where("n = 1"))
+    return (out if tied.isEmpty() else out.unionByName(of(tied).dropDuplicates(["id", "own"]))).select("row.*")

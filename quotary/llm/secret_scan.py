@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import record_batch, settled, take, text_column
+from quotary.llm.common import as_rows, record_batch, settled, take, text_column
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -139,17 +139,18 @@ def redact_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owne
     Rows meet their spans by id and a hash of the text, in one join.
     """
     found = judged(docs, id, text, owner, example_owners, example_repositories).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_print"])
-    body = F.col(f"`{text}`")
+        "doc_id", "print", "spans").dropDuplicates(["doc_id", "print"])
+    keyed = as_rows(docs, id=F.col(f"`{id}`").cast("long"), own=F.xxhash64(text_column(text)))
+    met = keyed.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("print")), "left")
+    body = F.col("row")[text]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     redacted = F.aggregate(
-        "_spans", start,
+        "spans", start,
         lambda a, s: F.struct(F.greatest(a.at, s.end).alias("at"), F.when(
             s.start >= a.at, F.concat(a.out, F.substring(body, a.at + 1, s.start - a.at), F.lit(mark))).otherwise(a.out).alias("out")),
         lambda a: F.concat(a.out, F.substring(body, a.at + 1, F.length(body))))
-    out = docs.join(found, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_column(text)) == F.col("_print")), "left")
-    out = out.withColumn(text, F.when(F.col("_spans").isNull(), body).otherwise(redacted))
+    met = met.select("row", F.when(F.col("spans").isNull(), body).otherwise(redacted).alias("body"), F.col("spans").isNull().alias("clean"))
+    new = {text: F.col("body")}
     if length and length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("_spans").isNull(), F.col(f"`{length}`")).otherwise(
-            F.length(body).cast(dict(docs.dtypes)[length])))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.when(F.col("clean"), F.col("row")[length]).otherwise(F.length("body").cast(dict(docs.dtypes)[length]))
+    return met.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
