@@ -18,21 +18,22 @@ The queries are the benchmark, in chunks of bounded size, each against all
 blocks; a chunk is all that goes to every task. No document is shuffled.
 
 Null text has no words. Items without words match nothing; repeated items
-count as one id, a null item_id is none. Repeated documents are each judged.
+count as one id. An item without an id has no name to report, but its windows
+are hits like any other's. Repeated documents are each judged.
 An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import each_row, record_batch, settled, slices, take, text_print
+from quotary.llm.common import as_rows, each_row, record_batch, settled, slices, take, text_print
 from quotary.llm.words import MARKS, scan
 
 _BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()),
@@ -64,29 +65,35 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 @dataclass
 class Phrases:
-    """Query phrases of one chunk of items."""
+    """Query phrases of one chunk of items: one array of words, and where each phrase begins in it."""
 
-    items: list[str] = field(default_factory=list)  # item of each phrase
-    terms: list[np.ndarray] = field(default_factory=list)
-    texts: list[tuple[str, np.ndarray, int]] = field(default_factory=list)  # item, distinct terms and words of each text
+    items: list[str | None]  # of each text; null for an item without an id
+    hashes: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    text: np.ndarray  # of each phrase
+    first: np.ndarray  # first word of each text; one entry more than texts
 
+    def some(self, length: int, most: int = 1 << 17):
+        """(numbers, terms) of the phrases of one length, a bounded number of them at a time."""
+        own = np.flatnonzero(self.lengths == length)
+        for part in np.split(own, range(most, own.size, most)):
+            yield part, self.hashes[self.starts[part][:, None] + np.arange(length)]
 
-def phrases(items: list[tuple[str, str | None]], window: int) -> Phrases:
+    def texts(self) -> list[tuple[str | None, np.ndarray, int]]:
+        """Item, distinct terms and number of words of each text that has words."""
+        spans = zip(self.items, self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)
+        return [(item, np.unique(self.hashes[a:b]), b - a) for item, a, b in spans if b > a]
+
+
+def phrases(items: list[tuple[str | None, str | None]], window: int) -> Phrases:
     """Every window of ``window`` words of each item; an item of fewer words is one phrase."""
-    out = Phrases()
     words = scan([(t or "").encode() for _, t in items], MARKS, lower=True)
-    seen = set()
-    for (item, _), a, b in zip(items, words.first[:-1], words.first[1:], strict=True):
-        own = words.hashes[a:b]
-        if own.size:
-            out.texts.append((item, np.unique(own), own.size))
-        for i in range(max(own.size - window + 1, min(own.size, 1))):
-            phrase = own[i : i + window]
-            if (item, phrase.tobytes()) not in seen:
-                seen.add((item, phrase.tobytes()))
-                out.items.append(item)
-                out.terms.append(phrase)
-    return out
+    size = np.diff(words.first)
+    n = np.maximum(size - window + 1, np.minimum(size, 1))
+    text = np.repeat(np.arange(size.size), n)
+    starts = words.first[:-1][text] + _count_up(n)
+    return Phrases([i for i, _ in items], words.hashes, starts, np.minimum(size, window)[text], text, words.first)
 
 
 class _Block:
@@ -208,7 +215,7 @@ def _dense(positions: np.ndarray, pair: np.ndarray, low: np.ndarray, high: np.nd
 class Near:
     """The texts of a chunk of items as numbers of terms, rarest in the corpus first, and which of them open each term's list."""
 
-    items: list[str]
+    items: list[str | None]
     vocabulary: np.ndarray
     first: np.ndarray  # where each text's terms begin
     terms: np.ndarray
@@ -238,7 +245,7 @@ def document_frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray
     return out
 
 
-def near_texts(index: DataFrame, texts: list[tuple[str, np.ndarray, int]], near_terms: int, reach: int, share: float) -> Near:
+def near_texts(index: DataFrame, texts: list[tuple[str | None, np.ndarray, int]], near_terms: int, reach: int, share: float) -> Near:
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for _, t, _ in texts]]))
     rank = np.empty(vocabulary.size, np.int64)
     by_rank = np.lexsort((vocabulary, document_frequencies(index, vocabulary)))
@@ -268,39 +275,42 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 10, near_terms:
     cut by a hash of the row, each read in its turn.
     """
     items = take(benchmark, item_id=id, text=text).select(
-        F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null")
+        F.col("item_id").cast("string"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     chunks = -(-size // chunk_bytes) or 1
     context, out = index.sparkSession.sparkContext, None
     for chunk in range(chunks):
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk)
         asked = phrases([tuple(r) for r in part.collect()], window)
-        close = near_texts(index, asked.texts, near_terms, reach, share) if near else None
-        sent = context.broadcast((asked.items, asked.terms, close and vars(close)))
+        close = near_texts(index, asked.texts(), near_terms, reach, share) if near else None
+        sent = context.broadcast((vars(asked), close and vars(close)))
 
         def rows(batches, sent=sent):
-            asked, close = Phrases(*sent.value[:2]), sent.value[2] and Near(**sent.value[2])
-            length = np.array([t.size for t in asked.terms])
-            by_length = {n: (np.flatnonzero(length == n), np.stack([t for t in asked.terms if t.size == n]))
-                         for n in np.unique(length).tolist()}
+            asked, close = Phrases(**sent.value[0]), sent.value[1] and Near(**sent.value[1])
+            lengths = np.unique(asked.lengths).tolist()
             for row in each_row(batches):
                 block = _Block(row)
                 found = [(np.zeros(0, int),) * 3]
-                for n, (numbers, terms) in by_length.items():
-                    phrase, start = block.phrases(terms)
-                    found.append((numbers[phrase], start, np.full(start.size, n)))
+                for n in lengths:
+                    for numbers, terms in asked.some(n):
+                        phrase, start = block.phrases(terms)
+                        found.append((numbers[phrase], start, np.full(start.size, n)))
                 phrase, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
                 home = block.document(start)
                 beside: dict[int, list[str]] = {}
                 for text, d in zip(*(x.tolist() for x in block.near(close)), strict=True) if close else ():
-                    beside.setdefault(d, []).append(close.items[text])
+                    if close.items[text] is not None:
+                        beside.setdefault(d, []).append(close.items[text])
                 out = []
+                order = np.argsort(home, kind="stable") if start.size else np.zeros(0, int)
+                edges = np.searchsorted(home[order], np.arange(len(block.doc_ids) + 1)) if start.size else np.zeros(len(block.doc_ids) + 1, int)
                 for d, doc_id in enumerate(block.doc_ids):
-                    mine = np.flatnonzero(home == d) if start.size else []
-                    hit = sorted({asked.items[p] for p in phrase[mine]}) if len(mine) else []
+                    mine = order[edges[d]:edges[d + 1]]
+                    hit = sorted({asked.items[t] for t in asked.text[phrase[mine]].tolist()} - {None})
+                    # phrases that stand in several items occur once
+                    place = np.unique(np.stack([start[mine] - block.first[d], n[mine]]), axis=1)
                     out.append((doc_id, row["prints"][d], row["block"], d, block.first[d + 1] - block.first[d],
-                                (start[mine] - block.first[d]).tolist() if hit else [], n[mine].tolist() if hit else [],
-                                hit, sorted(set(beside.get(d, [])) - set(hit))))
+                                place[0].tolist(), place[1].tolist(), hit, sorted(set(beside.get(d, [])) - set(hit))))
                 yield record_batch(_HIT, [list(c) for c in zip(*out, strict=True)])
 
         found = index.mapInArrow(rows, _HIT_DDL)
@@ -343,8 +353,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, i
 
     One contaminated row takes all rows of its id, or all without one; ``drop_contaminated_rows`` judges each row.
     """
-    bad = contamination(docs, benchmark, window, id, text, near=False).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id}`").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contamination(docs, benchmark, window, id, text, near=False).where("contaminated").select("doc_id").distinct()
+    return as_rows(docs, id=F.col(f"`{id}`").cast("long")).join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
 
 
 def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,7 +362,6 @@ def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int =
 
     A row's key is its id and a hash of its text. Rows of one key have one verdict, so that ties need no number.
     """
-    bad = search(build_index(docs, id, text), benchmark, window, near=False).where("size(starts) > 0").select(
-        F.col("doc_id").alias("_bad"), F.col("print").alias("_print")).distinct()
-    own = F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_bad")) & (text_print(text) == F.col("_print"))
-    return docs.join(bad, own, "left_anti")
+    bad = search(build_index(docs, id, text), benchmark, window, near=False).where("size(starts) > 0").select("doc_id", "print").distinct()
+    keyed = as_rows(docs, id=F.col(f"`{id}`").cast("long"), own=text_print(text))
+    return keyed.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("print")), "left_anti").select("row.*")

@@ -20,17 +20,28 @@ FROM docs LEFT JOIN kept USING (doc_id)
 
 DECONTAMINATION = f"""
 WITH docs AS (SELECT doc_id, {_MARK_WORDS.format(_LOWER.format(_TEXT))} AS ws FROM documents),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_MARK_WORDS.format(_LOWER.format(_TEXT))} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT row_number() OVER () AS rid, CAST(item_id AS VARCHAR) AS item, {_MARK_WORDS.format(_LOWER.format(_TEXT))} AS ws FROM benchmark),
 phrases AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS run
   FROM items, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(i) WHERE len(ws) > 0),
 runs AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS run
   FROM docs, (SELECT DISTINCT n FROM phrases), unnest(range(1, len(ws) - n + 2)) t(i)),
 found AS (SELECT DISTINCT doc_id, n, i, item FROM runs JOIN phrases USING (n, run)),
 hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, range(10) r(k) WHERE k < n GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
-SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id),
+sized AS (SELECT rid, item, list_distinct(ws) AS terms, least(2 * len(ws), len(ws) + 15) AS span,
+  greatest(ceil(0.7 * len(list_distinct(ws)) - 1e-9), least(len(list_distinct(ws)), 6)) AS needed FROM items WHERE item IS NOT NULL AND len(ws) > 0),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM docs),
+places AS (SELECT doc_id, rid, w, pos FROM words JOIN (SELECT rid, unnest(terms) AS w FROM sized) USING (w)),
+enough AS (SELECT doc_id, rid FROM places JOIN sized USING (rid) GROUP BY doc_id, rid, needed HAVING count(DISTINCT w) >= needed),
+able AS (SELECT * FROM places SEMI JOIN enough USING (doc_id, rid)),
+dense AS (SELECT a.doc_id, a.rid FROM able a JOIN sized s USING (rid) JOIN able b ON a.doc_id = b.doc_id AND a.rid = b.rid
+  AND b.pos BETWEEN a.pos AND a.pos + s.span - 1 GROUP BY a.doc_id, a.rid, a.pos, s.needed HAVING count(DISTINCT b.w) >= s.needed),
+near AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (
+  SELECT DISTINCT d.doc_id, s.item FROM dense d JOIN sized s USING (rid)) x ANTI JOIN found f ON f.doc_id = x.doc_id AND f.item = x.item GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named.names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near_items, coalesce(near.names, '') AS near_items
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 NEAR_DUPLICATES = f"""

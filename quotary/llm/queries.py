@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotary.llm import (decontamination, fill_in_middle, filter_audit, license_scan, near_duplicates, packing, quality_classifier,
                          quality_rules, secret_scan, sharding, substring_dedup, toxicity, url_filter)
@@ -33,9 +34,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phrase matches, which SQL can express; op6_proximity has the near items too."""
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
-    return found.drop("n_near_items", "near_items")
+    """Phrase and proximity matches; the near items as text."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("near_items", F.array_join("near_items", ","))
 
 
 def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
