@@ -14,10 +14,12 @@ are as long as the number of words asks for, so that no two different edges
 are likely to share one anywhere in the corpus (a chance of about one in a hundred);
 a path that fails its check repeats the whole census with other hashes.
 
-Rows are ordered by id, rows of one id by their text: the later one counts as
-the later document. A null id comes first. Null text has no words. Texts of
-fewer words than a window lose nothing. An empty table gives an empty result;
-other columns are not looked at.
+A row loses words to rows of a smaller id only: rows of one id, however often
+it repeats, lose nothing to one another, and a row without an id neither loses
+words nor takes any. Rows are laid out by id, those without one last, so that
+the first place of an edge is one of the smallest id. Null text has no words.
+Texts of fewer words than a window lose nothing. An empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ from quotary.llm.words import SPACE, Words, scan, window_starts, windows
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
                     ("size", pa.int64()), ("texts", pa.binary())])
 _BLOCK_DDL = "block bigint, doc_ids array<bigint>, sizes array<bigint>, size bigint, texts binary"
-_ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("places", pa.binary()), ("edges", pa.binary())])
-_ENTRY_DDL = "bucket bigint, block bigint, size bigint, places binary, edges binary"
-_ANSWER = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary())])
-_ANSWER_DDL = "block bigint, places binary, owners binary, sources binary"
+_ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("tail", pa.int64()),
+                    ("size", pa.int64()), ("places", pa.binary()), ("edges", pa.binary())])
+_ENTRY_DDL = "bucket bigint, block bigint, first_id bigint, last_id bigint, tail bigint, size bigint, places binary, edges binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary()), ("same", pa.binary())])
+_ANSWER_DDL = "block bigint, places binary, owners binary, sources binary, same binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                   ("start", pa.int64()), ("owner", pa.int64()), ("source", pa.int64()), ("digest", pa.binary())])
 _OUT_DDL = ("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, start bigint, owner bigint, source bigint, "
@@ -58,7 +61,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                                         [pa.compress(text, codec="zstd", asbytes=True)]])
             number += 1
 
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    order = F.col("doc_id").asc_nulls_last(), F.xxhash64("text")
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return settled(ordered.mapInArrow(rows, _BLOCK_DDL))
 
 
@@ -68,6 +72,12 @@ def _words(row: dict) -> Words:
     return scan([text[b - n : b] for n, b in zip(row["sizes"], ends, strict=True)], SPACE)
 
 
+def _ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' ids, and which have none; these come last."""
+    none = np.array([d is None for d in row["doc_ids"]], bool)
+    return np.array([0 if d is None else d for d in row["doc_ids"]], np.int64), none
+
+
 class _Edges:
     """The edges of a block: where each starts, which are equal, and where equal ones start first."""
 
@@ -92,13 +102,22 @@ def key_bytes(n_bytes: int, buckets: int) -> int:
 
 
 def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int) -> DataFrame:
-    """For each block, which of its edges stand in an earlier block, and where they stand first."""
+    """For each block, which of its edges stand in an earlier block, where they stand first, and whether that is under the
+    id that this block begins with: ids may run over blocks, and a row loses nothing to its own id.
+
+    For that an entry has its block's first and last id, and the word from which on the last one stands.
+    """
     def entries(batches):
         for row in each_row(batches):
-            edges = _Edges(_words(row), window, seed)
-            if not edges.first.size:
+            words = _words(row)
+            edges = _Edges(words, window, seed)
+            ids, none = _ids(row)
+            some = int(np.count_nonzero(~none))
+            # rows without an id are no source and lose nothing
+            first = np.sort(edges.first[edges.at[edges.first] < words.first[some]])
+            if not first.size:
                 continue
-            first = np.sort(edges.first)
+            ends = int(ids[0]), int(ids[some - 1]), int(words.first[np.searchsorted(ids[:some], ids[some - 1])])
             bucket = (edges.high[first] % np.uint64(buckets)).astype(np.int64)
             key = np.column_stack([edges.low[first], edges.high[first] // np.uint64(buckets)]).astype("<u8")
             key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 16)[:, :width])
@@ -107,7 +126,7 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int)
             out = []
             for own in np.split(order, cuts):
                 places = edges.at[first[own]].astype(np.uint32)
-                out.append((int(bucket[own[0]]), row["block"], own.size,
+                out.append((int(bucket[own[0]]), row["block"], *ends, own.size,
                             pa.compress(np.diff(places, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True),
                             key[own].tobytes()))
             yield record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
@@ -120,7 +139,9 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int)
                 rows = table.slice(at, n).to_pylist()
                 places = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(
                     r["places"], decompressed_size=4 * r["size"], codec="zstd", asbytes=True), np.uint32)) for r in rows])
-                block = np.repeat(np.array([r["block"] for r in rows]), [r["size"] for r in rows])
+                sizes = [r["size"] for r in rows]
+                block = np.repeat(np.array([r["block"] for r in rows]), sizes)
+                first_id, last_id, tail = (np.repeat(np.array([r[c] for r in rows]), sizes) for c in ("first_id", "last_id", "tail"))
                 edge = np.zeros((block.size, 16), np.uint8)
                 edge[:, :width] = np.frombuffer(b"".join(r["edges"] for r in rows), np.uint8).reshape(-1, width)
                 low, high = edge.view("<u8").T
@@ -135,8 +156,9 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int)
                 by_block = np.lexsort((places[mine], block[mine]))
                 mine, source = mine[by_block], source[by_block]
                 cuts = np.flatnonzero(np.diff(block[mine])) + 1
-                out = [(int(block[m[0]]), places[m].astype(np.uint32).tobytes(), block[s].tobytes(), places[s].astype(np.uint32).tobytes())
-                       for m, s in zip(np.split(mine, cuts), np.split(source, cuts), strict=True)]
+                same = (last_id[source] == first_id[mine]) & (places[source] >= tail[source])
+                out = [(int(block[m[0]]), places[m].astype(np.uint32).tobytes(), block[s].tobytes(), places[s].astype(np.uint32).tobytes(), e.tobytes())
+                       for m, s, e in zip(np.split(mine, cuts), np.split(source, cuts), np.split(same, cuts), strict=True)]
                 yield record_batch(_ANSWER, [list(c) for c in zip(*out, strict=True)])
 
     entry = blocks.mapInArrow(entries, _ENTRY_DDL)
@@ -152,17 +174,21 @@ def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) ->
             home = words.texts
             owner = np.full(edges.first.size, -1)
             source = np.zeros(edges.first.size, np.int64)
+            same = np.zeros(edges.first.size, bool)
+            ids, none = _ids(row)
             place = edges.at[edges.first]
             group_at = np.argsort(place)
             for a in row["answers"] or ():
                 group = group_at[np.searchsorted(place[group_at], np.frombuffer(a["places"], np.uint32))]
                 owner[group] = np.frombuffer(a["owners"], np.int64)
                 source[group] = np.frombuffer(a["sources"], np.uint32)
-            owner, source = owner[edges.group], source[edges.group]
-            first = place[edges.group]
-            inside = (owner < 0) & (home[first] < home[edges.at])
+                same[group] = np.frombuffer(a["same"], bool)
+            owner, source, same = owner[edges.group], source[edges.group], same[edges.group]
+            first, own = place[edges.group], home[edges.at]
+            outside = (owner >= 0) & ~(same & (ids[own] == ids[0]))
+            inside = (owner < 0) & (ids[home[first]] < ids[own])
             owner[inside], source[inside] = row["block"], first[inside]
-            hit = np.flatnonzero(owner >= 0)
+            hit = np.flatnonzero((outside | inside) & ~none[own])
             at, owner, source = edges.at[hit], owner[hit], source[hit]
 
             edge = np.zeros(words.starts.size + window + 1, np.int64)
@@ -192,7 +218,7 @@ def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) ->
                                   b"" if sound else hashlib.blake2b(span, digest_size=16).digest()))
                 yield record_batch(_OUT, [list(c) for c in zip(*found, strict=True)])
 
-    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "owners", "sources")).alias("answers"))
+    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "owners", "sources", "same")).alias("answers"))
     return settled(blocks.join(per_block, "block", "left").mapInArrow(rows, _OUT_DDL))
 
 

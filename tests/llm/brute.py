@@ -18,13 +18,22 @@ def sha(text):
 
 def substring_dedup(docs, window=13):
     """docs: (doc_id, text) -> {doc_id: (n_words, n_removed, kept_sha256)}."""
-    first, out = {}, {}
-    for doc_id, text in sorted(docs):
+    return {d: r for (d, _), r in zip(docs, substring_rows(docs, window), strict=True)}
+
+
+def substring_rows(docs, window=13):
+    """The same for each row; ids may repeat or be null."""
+    least, out = {}, []
+    for doc_id, text in docs:
+        words = SPACE_WORDS.findall(text or "")
+        for i in range(len(words) - window + 1 if doc_id is not None else 0):
+            run = tuple(words[i:i + window])
+            least[run] = min(doc_id, least.get(run, doc_id))
+    for doc_id, text in docs:
         words = SPACE_WORDS.findall(text or "")
-        for i in range(len(words) - window + 1):
-            first.setdefault(tuple(words[i:i + window]), doc_id)
-        gone = {k for i in range(len(words) - window + 1) if first[tuple(words[i:i + window])] < doc_id for k in range(i, i + window)}
-        out[doc_id] = (len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+        gone = {k for i in range(len(words) - window + 1 if doc_id is not None else 0)
+                if least[tuple(words[i:i + window])] < doc_id for k in range(i, i + window)}
+        out.append((len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
     return out
 
 
@@ -33,7 +42,7 @@ def decontamination(docs, items, window=10):
     for item, text in items:
         words = MARK_WORDS.findall(lower(text))
         for i in range(max(len(words) - window + 1, min(1, len(words)))):
-            phrases[tuple(words[i:i + window])].add(str(item))
+            phrases[tuple(words[i:i + window])].update([] if item is None else [str(item)])
     out = {}
     for doc_id, text in docs:
         words, hit, found = MARK_WORDS.findall(lower(text)), set(), set()

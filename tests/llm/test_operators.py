@@ -48,7 +48,8 @@ def test_substring_dedup_over_many_blocks(corpus, texts, monkeypatch):
 @pytest.mark.parametrize("chunk", [16 << 20, 60])
 def test_decontamination(spark, corpus, texts, chunk):
     items, table = benchmark(spark, texts)
-    want = brute.decontamination(texts.items(), [i[:2] for i in items if i[0] is not None])
+    want = brute.decontamination(texts.items(), [i[:2] for i in items])
+    assert any(r[1] and not r[2] for r in want.values())  # hits of an item without an id
     got = decontamination.contamination(corpus, table, chunk_bytes=chunk)
     assert by_id(got, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     assert 2 <= sum(r[-1] for r in want.values()) < 20
@@ -359,7 +360,7 @@ def test_propagation_equals_power_iteration(spark):
     seeds = [("a", 2, 0), ("d", 1, 1), ("c", 0, 3)]
     got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(
         spark.createDataFrame(edges, "src string, dst string, weight double"),
-        spark.createDataFrame(seeds, "host string, trust bigint, distrust bigint"), rounds=5).collect()}
+        spark.createDataFrame(seeds, "host string, trust bigint, distrust bigint"), tolerance=1e-3).collect()}
     for side in (0, 1):
         m = np.zeros((4, 4))
         for s, d, w in edges:
@@ -370,10 +371,87 @@ def test_propagation_equals_power_iteration(spark):
         for h, *w in seeds:
             start["abcd".index(h)] = w[side]
         start /= start.sum()
-        r = start
-        for _ in range(5):
-            r = 0.85 * m @ r + 0.15 * start
-        assert np.allclose([got.get(h, (0, 0))[side] for h in "abcd"], r)
+        r = np.linalg.solve(np.eye(4) - 0.85 * m, 0.15 * start)
+        assert np.abs(np.array([got.get(h, (0, 0))[side] for h in "abcd"]) - r).sum() < 1e-3
+
+
+def _verdicts(pages, threshold=0.5):
+    """Rules, and both ranks as the solution of a linear system over all hosts, links' targets included."""
+    import re
+
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+    def split(rest):
+        host = re.match(r"[^/?#]*", rest)[0]
+        return brute.lower(host), re.match(r"[^?#]*", rest[len(host):])[0]
+
+    def ruled(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    parts = [split(u.split("://", 1)[1]) if u and "://" in u else ("", "") for _, u, _ in pages]
+    own = {h for h, _ in parts if h}
+    weight, seeds = defaultdict(float), {h: [0, 0] for h in own}
+    for (host, path), (_, _, html) in zip(parts, pages, strict=True):
+        verdict = ruled(host, path)[1]
+        if host:
+            seeds[host][0] += verdict == "allow"
+            seeds[host][1] += verdict == "block"
+        for target in re.findall(r"href=[\"']?(?:https?:)?//([^?#\"'\s<>]+)", html or "") if host else []:
+            to, at = split(target)
+            if to and to != host:
+                weight[host, to] += 1
+                if to not in own:
+                    verdict = ruled(to, at)[1]
+                    s = seeds.setdefault(to, [0, 0])
+                    s[0] += verdict == "allow"
+                    s[1] += verdict == "block"
+    for h in own:
+        labels = h.split(".")
+        for i in range(1, len(labels)):
+            if ".".join(labels[i:]) in own:
+                weight[h, ".".join(labels[i:])] += 1
+                break
+    hosts = sorted({x for e in weight for x in e} | set(seeds))
+    n, rank = len(hosts), []
+    for side in (0, 1):
+        m = np.zeros((n, n))
+        for (a, b), w in weight.items():
+            a, b = (a, b) if side == 0 else (b, a)
+            m[hosts.index(b), hosts.index(a)] = w
+        m = m / np.maximum(m.sum(axis=0), 1e-300)
+        start = np.array([seeds.get(h, (0, 0))[side] for h in hosts], float)
+        rank.append(np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * start / max(start.sum(), 1)))
+    out = {}
+    for (page, _, _), (host, path) in zip(pages, parts, strict=True):
+        name, verdict = ruled(host, path)
+        if verdict is None:
+            t, d = (rank[k][hosts.index(host)] if host else 0.0 for k in (0, 1))
+            verdict = "block" if t + d > 0 and d / (t + d) >= threshold else "allow"
+        out[page] = (host, path, name, verdict)
+    return out
+
+
+def test_verdicts_on_a_link_graph(spark):
+    """Chains far longer than a few rounds, targets without pages, hosts below others, repeated pages and null columns."""
+    rng = np.random.default_rng(11)
+    link = "<a href='http://{}'>x</a>".format
+    pages = [(0, "http://end.net/fr/", None), (1, "http://h0.org/", link("end.net/fr/p"))]
+    pages += [(i + 1, f"http://h{i}.org/", link(f"h{i - 1}.org/") * (1 + i % 3)) for i in range(1, 40)]  # a chain to a blocked page
+    pages += [(50, "http://lone.org/", link("crawl.net/es/x")), (51, "http://fine.org/", link("shop.com/x")), (52, "http://a.fine.org/", None),
+              (53, "http://none.org/", link("nowhere.org/")), (54, None, link("end.net/fr/")), (55, "no scheme", None), (56, "http://sub.lone.org/q", "")]
+    names = [f"r{i}.{z}" for i in range(25) for z in ("org", "com", "net")]
+    for i in range(150):
+        host = names[int(rng.integers(0, 75))]
+        pages.append((100 + i, f"https://{host}/{rng.choice(['es/', 'fr/', 'en/', ''])}p{i}",
+                      "".join(link(f"{names[int(rng.integers(0, 75))]}/{rng.choice(['fr/', ''])}") for _ in range(int(rng.integers(0, 4))))))
+    docs = spark.createDataFrame([(*p, *"hrkx") for p in [*pages, pages[3], pages[3]]], PAGES)
+    rows = url_filter.judge_urls(docs).collect()
+    want = _verdicts([*pages, pages[3], pages[3]])
+    assert len(rows) == len(pages) + 2
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == want
+    assert want[40][3] == want[50][3] == "block" and want[53][3] == "allow"
+    assert {v[3] for k, v in want.items() if k >= 100 and v[2] is None} == {"allow", "block"}
 
 
 def _all(docs, labels, items):
@@ -420,13 +498,32 @@ def test_pipeline_stages_judge_rows(spark, odd):
     items = spark.createDataFrame([(1, "another text under")], "item_id bigint, text string")
     left = decontamination.drop_contaminated_rows(odd, items)
     assert left.schema == odd.schema and left.count() == 5
+    names = ["_print", "_kept", "_bad", "_id", "_spans", "_kept_print", "row", "own", "print", "spans", "body", "clean", "id", "_row", "_number", "least"]
+    clash = docs.withColumns({c: F.lit(c) for c in [*names, "source"]})
+    before = sorted(map(str, near_duplicates.one_row_of_each(docs).collect()))
+    assert sorted(map(str, near_duplicates.one_row_of_each(clash).select("doc_id", "text").collect())) == before
+    for stage in (lambda d: near_duplicates.one_row_of_each(d), lambda d: near_duplicates.drop_near_duplicates(d), quality_rules.keep_good,
+                  secret_scan.redact_secrets, lambda d: decontamination.drop_contaminated_rows(d, items), lambda d: decontamination.drop_contaminated(d, items)):
+        out = stage(clash.withColumn("n_chars", F.length("text")))
+        assert out.columns == [*clash.columns, "n_chars"]
+        assert all(r[c] == c for r in out.collect() for c in names)
     assert dict(corpus_pipeline.STAGES)["near duplicates"](spark, odd, "").count() == 3
 
 
-def test_later_rows_of_one_id_count_as_later_documents(spark):
-    text = " ".join(f"w{i}" for i in range(20))
-    docs = spark.createDataFrame([(7, text), (7, text), (None, text)], "doc_id bigint, text string")
-    assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.deduplicate(docs).collect()) == [(0, 0), (7, 20), (7, 20)]
+@pytest.mark.parametrize("limit", [1 << 20, 500])
+def test_rows_lose_words_to_smaller_ids_only(spark, monkeypatch, limit):
+    """Neither rows of one id nor rows without an id take words from one another, also where an id runs over blocks."""
+    cut = substring_dedup.slices
+    monkeypatch.setattr(substring_dedup, "slices", lambda batches: cut(batches, limit=limit))
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"{w}{i}" for w in "abcdefghijklmnop") for i in range(6)]
+    rows = [(None if i % 7 == 0 else int(rng.integers(3, 9)), " ".join([passages[i % 6], f"x{i} " * 5, passages[int(rng.integers(0, 6))]])) for i in range(80)]
+    rows += [(5, passages[0])] * 30 + [(None, passages[1])] * 5
+    got = sorted((str(r[0]), *r[1:]) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    want = sorted((str(d), *r) for (d, _), r in zip(rows, brute.substring_rows(rows), strict=True))
+    assert got == want
+    assert any(r[2] for r in want) and not any(r[2] for r in want if r[0] in ("None", "3"))
 
 
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_sharding", "op6_decontamination", "op7_near_duplicates", "op8_license_scan"])
