@@ -77,7 +77,10 @@ class LateRows(StreamingQueryListener):
 
 
 def late_days(rows: DataFrame, newest, delay: str, day: str = "date") -> DataFrame:
-    """The rows that a stream with this watermark drops once it has seen the day ``newest``: what the batch refresh is for."""
+    """The rows that a stream with this watermark drops once it has seen the day ``newest``: what the batch refresh is for.
+
+    Spark lets rows in by the watermark of the batch before, so that a row may come one batch later than the delay says.
+    """
     return rows.where(F.col(day).cast("timestamp") < F.lit(newest).cast("timestamp") - F.expr(f"interval {delay}"))
 
 
