@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,34 +129,29 @@ class LabelModel:
 
 def fit_label_model(stats: DataFrame, votes: dict[str, Column] | None = None, rounds: int = 10,
                     smoothing: float = 1.0) -> LabelModel:
-    """Expectation-maximisation over the counts of vote patterns, of which there are at most 3**rules.
+    """Expectation-maximisation over the counts of vote patterns.
 
-    A bad vote is rare, so the first guess calls a document bad if any rule
-    does. Each round is one aggregate over the pattern table.
+    Spark counts the patterns in one aggregate; there are at most 3**rules of
+    them, whatever the number of documents, and the rounds run over that table
+    on the driver. A bad vote is rare, so the first guess calls a document bad
+    if any rule does.
     """
     votes = votes or rules()
     names = list(votes)
-    patterns = settled(stats.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
-    columns = {n: F.col(n) for n in names}
-    any_bad = F.lit(False)
-    for n in names:
-        any_bad = any_bad | (F.col(n) == "bad")
-    good = F.when(any_bad, 0.2).otherwise(0.95)
-    model = None
+    rows = stats.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).collect()
+    rows.sort(key=tuple)
+    n = np.array([r["_n"] for r in rows], float)
+    cast = np.array([[[r[name] == v for v in VOTES] for name in names] for r in rows], float).reshape(len(rows), len(names), len(VOTES))
+    good = np.where(cast[:, :, VOTES.index("bad")].any(axis=1), 0.2, 0.95)
     for _ in range(rounds):
-        sums = [F.sum(F.col("_n") * good).alias("g"), F.sum(F.col("_n") * (1 - good)).alias("b")]
-        for i, n in enumerate(names):
-            for k, v in enumerate(VOTES):
-                cast = F.when(F.col(n) == v, F.col("_n")).otherwise(0)
-                sums += [F.sum(cast * good).alias(f"g{i}_{k}"), F.sum(cast * (1 - good)).alias(f"b{i}_{k}")]
-        r = patterns.agg(*sums).collect()[0].asDict()
-        r = {k: v or 0.0 for k, v in r.items()}
-        chances = {n: {v: ((r[f"g{i}_{k}"] + smoothing) / (r["g"] + 3 * smoothing),
-                           (r[f"b{i}_{k}"] + smoothing) / (r["b"] + 3 * smoothing)) for k, v in enumerate(VOTES)}
-                   for i, n in enumerate(names)}
-        model = LabelModel((r["g"] + smoothing) / (r["g"] + r["b"] + 2 * smoothing), chances)
-        good = model.posterior(columns)
-    return model
+        weights = n * good, n * (1 - good)
+        totals = [w.sum() for w in weights]
+        chance = [(np.einsum("p,prv->rv", w, cast) + smoothing) / (t + len(VOTES) * smoothing) for w, t in zip(weights, totals, strict=True)]
+        prior = (totals[0] + smoothing) / (sum(totals) + 2 * smoothing)
+        odds = math.log(prior / (1 - prior)) + np.einsum("prv,rv->p", cast, np.log(chance[0] / chance[1]))
+        good = 1 / (1 + np.exp(-odds))
+    return LabelModel(float(prior), {name: {v: (float(chance[0][i, k]), float(chance[1][i, k])) for k, v in enumerate(VOTES)}
+                                     for i, name in enumerate(names)})
 
 
 def judged(stats: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:
