@@ -77,11 +77,16 @@ def events_after(samples: DataFrame, events: DataFrame, on: str = "check_date")
     event date, then each sample takes those of the next event date.
     """
     v = F.col("value").cast("double")
-    of = lambda kind: F.when(F.col("kind") == kind, v)
-    daily = events.groupBy("symbol", "event_date").agg(
-        F.coalesce(F.product(of("split")), F.lit(1.0)).alias("p"), F.count(of("split")).alias("ns"),
-        F.count(of("dividend")).alias("nd"), F.sum(of("dividend")).alias("sd"), F.max(of("dividend")).alias("md"),
-        F.count(of("capital_gain")).alias("ng"), F.sum(of("capital_gain")).alias("sg"))
+    # a ticker's events of a day, in order of size, so that products and sums have the same digits however rows arrive
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, v))).alias(kind)
+    listed = events.groupBy("symbol", "event_date").agg(of("split"), of("dividend"), of("capital_gain"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    n = lambda c: F.size(c).cast("bigint")
+    none = lambda c, x: F.when(F.size(c) > 0, x)
+    daily = listed.select(
+        "symbol", "event_date", F.aggregate("split", F.lit(1.0), lambda a, x: a * x).alias("p"), n("split").alias("ns"),
+        n("dividend").alias("nd"), none("dividend", total("dividend")).alias("sd"), F.array_max("dividend").alias("md"),
+        n("capital_gain").alias("ng"), none("capital_gain", total("capital_gain")).alias("sg"))
     w = Window.partitionBy("symbol").orderBy(F.col("event_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     totals = daily.select(
         "symbol", "event_date", F.product("p").over(w).alias("split_factor"), F.sum("ns").over(w).alias("split_count"),

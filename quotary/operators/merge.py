@@ -185,11 +185,15 @@ def symbols_not_found(symbols: DataFrame, names: DataFrame) -> DataFrame:
 def event_status_update(events: DataFrame, actions: DataFrame, now) -> DataFrame:
     """Apply (id, action, reason) with action confirm, ignore, fixing, fixed or failed.
 
-    Actions may also carry the fix itself: job_id and rows_deleted.
+    Actions may also carry the fix itself: job_id and rows_deleted. Of several
+    actions on one event the last by the column ``at`` counts, if there is one,
+    else the last by name.
     """
     fix = {"job_id": "fix_job_id", "rows_deleted": "rows_deleted"}
     given = {c: kept for c, kept in fix.items() if c in actions.columns}
-    a = actions.select("id", "action", "reason", *[F.col(c).alias(f"_{c}") for c in given])
+    order = [c for c in ("at",) if c in actions.columns]
+    last = actions.groupBy("id").agg(F.max(F.struct(*order, "action", "reason", *given)).alias("r"))
+    a = last.select("id", "r.action", "r.reason", *[F.col(f"r.{c}").alias(f"_{c}") for c in given])
     status = (F.when(F.col("action") == "confirm", "confirmed").when(F.col("action") == "ignore", "ignored")
               .otherwise(F.col("action")))
     note = F.when(F.col("action") == "ignore",

@@ -48,3 +48,11 @@ def test_detect_record_fix_status(spark):
 def test_ids_do_not_change_from_run_to_run(spark):
     ids = [sorted(r.id for r in merge.record_events(_events(spark), _scan(spark).events, now()).collect()) for _ in range(2)]
     assert ids[0] == ids[1]
+
+
+def test_the_last_of_several_actions_counts_once(spark):
+    table = _events(spark)
+    rows = [(5, "ignore", "noise", 1), (5, "confirm", None, 3), (5, "failed", None, 2), (9, "fixed", None, 1)]
+    actions = spark.createDataFrame(rows, "id bigint, action string, reason string, at int")
+    assert [(r.id, r.status) for r in merge.event_status_update(table, actions, now()).collect()] == [(5, "confirmed")]
+    assert [(r.id, r.status) for r in merge.event_status_update(table, actions.drop("at"), now()).collect()] == [(5, "ignored")]
