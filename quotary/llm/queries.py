@@ -17,6 +17,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op1_repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compacted paths of repeated windows that op1_substring_dedup removes."""
+    return substring_dedup.compacted_paths(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op1_repeated_paths": op1_repeated_paths,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,

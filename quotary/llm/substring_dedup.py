@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotary.llm.common import each_row, group_runs, record_batch, settled, slices, take, text_column
+from quotary.llm.components import components
 from quotary.llm.words import SPACE, Words, scan, window_starts, windows
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
@@ -251,12 +252,8 @@ def _paths(blocks: DataFrame, resolved: DataFrame) -> DataFrame:
         rows, "doc_id bigint, start bigint, n_words bigint, n_spans bigint, sound boolean"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 20, id: str = "doc_id",
-                   text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is left of each document (doc_id, n_words, n_removed, kept_sha256), the spans to remove from documents
-    (doc_id, start, n_words) and the paths that they repeat (doc_id, start, n_words, n_spans)."""
-    docs = take(docs, doc_id=id, text=text)
-    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")))
+def _sound(blocks: DataFrame, window: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """What the blocks resolve to and the paths at their sources, with hashes by which all of them agree with their words."""
     size = blocks.agg(F.sum("size")).collect()[0][0] or 0
     buckets, seed = max(1, -(-size // bucket_bytes)), 0
     width = key_bytes(size, buckets)
@@ -264,8 +261,17 @@ def repeated_spans(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 2
         resolved = _resolved(blocks, _census(blocks, window, seed, buckets, width), window, seed)
         paths = _paths(blocks, resolved)
         if paths.where("not sound").isEmpty():
-            break
+            return resolved, paths
         seed += 1
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 20, id: str = "doc_id",
+                   text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of each document (doc_id, n_words, n_removed, kept_sha256), the spans to remove from documents
+    (doc_id, start, n_words) and the paths that they repeat (doc_id, start, n_words, n_spans)."""
+    docs = take(docs, doc_id=id, text=text)
+    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")))
+    resolved, paths = _sound(blocks, window, bucket_bytes)
     return (resolved.where("start is null").select("doc_id", "n_words", "n_removed", "kept_sha256"),
             resolved.where("start is not null").select("doc_id", "start", "n_words"), paths.drop("sound"))
 
@@ -273,3 +279,75 @@ def repeated_spans(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 2
 def deduplicate(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     return repeated_spans(docs, window, id=id, text=text)[0]
+
+
+_NODE = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("ins", pa.int64()), ("outs", pa.int64())])
+_NODE_DDL = "low bigint, high bigint, block bigint, place bigint, ins bigint, outs bigint"
+_PIECE = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("end", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())])
+_PIECE_DDL = "block bigint, place bigint, end bigint, doc_id bigint, start bigint, n_words bigint"
+
+
+def _source_runs(words: Words, asked: list[dict], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of repeated edges at their source: first and last place of each, within one text."""
+    starts = np.array([r["source"] for r in asked], np.int64)
+    edge = np.zeros(words.starts.size + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + np.array([r["n_words"] for r in asked], np.int64) - window + 1, -1)
+    place = np.flatnonzero(np.cumsum(edge[:-1]))
+    home = np.searchsorted(words.first, place, side="right")
+    cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(home) != 0))
+    return place[np.append(0, cut + 1)], place[np.append(cut, place.size - 1)]
+
+
+def compacted_paths(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 << 20, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The unbranched paths of the De Bruijn graph of repeated windows, as pieces of source texts: doc_id, start, n_words, path.
+
+    Edges are the windows that more than one document has, each at its one
+    source. Every block of sources tells the nodes of its edges (the words
+    without the last, and without the first); an aggregate by node gives in and
+    out degrees. Joined back on the node keys, a node with more than one edge
+    in or out cuts the run that leads through it, and a node with one of each
+    whose edges have their sources apart joins two runs. Runs joined this way
+    are one path, named by the hash of its pieces' least place: pieces of one
+    path are components of the links between them. What the pieces say was
+    checked at their sources, word by word, before.
+    """
+    docs = take(docs, doc_id=id, text=text)
+    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")))
+    resolved = _sound(blocks, window, bucket_bytes)[0]
+    asked = resolved.where("start is not null").select(F.col("owner").alias("block"), "source", "n_words").distinct()
+    sources = settled(blocks.join(asked.groupBy("block").agg(F.collect_list(F.struct("source", "n_words")).alias("asked")), "block"))
+
+    def nodes(batches):
+        for row in each_row(batches):
+            words = _words(row)
+            first, last = _source_runs(words, row["asked"], window)
+            low, high = (windows(words.hashes, window - 1, 1000 + i).view(np.int64) for i in (0, 1))
+            size = last - first + 2
+            run = np.repeat(np.arange(first.size), size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[run]
+            yield record_batch(_NODE, [low[place], high[place], np.full(place.size, row["block"]), place,
+                                       (place > first[run]).astype(np.int64), (place <= last[run]).astype(np.int64)])
+
+    def pieces(batches):
+        for row in each_row(batches):
+            words = _words(row)
+            first, last = _source_runs(words, row["asked"], window)
+            cuts = np.sort(np.array(row["cuts"] or [], np.int64))
+            begin = np.sort(np.concatenate([first, cuts]))
+            end = np.sort(np.concatenate([last, cuts - 1]))
+            home = np.searchsorted(words.first, begin, side="right") - 1
+            yield record_batch(_PIECE, [np.full(begin.size, row["block"]), begin, end + 1, [row["doc_ids"][h] for h in home.tolist()],
+                                        begin - words.first[home], end - begin + window])
+
+    node = settled(sources.mapInArrow(nodes, _NODE_DDL))
+    degree = node.groupBy("low", "high").agg(F.sum("ins").alias("all_in"), F.sum("outs").alias("all_out"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = settled(node.join(degree, ["low", "high"]))
+    cuts = met.where("(all_in > 1 or all_out > 1) and ins = 1 and outs = 1").groupBy("block").agg(F.collect_list("place").alias("cuts"))
+    piece = settled(sources.join(cuts, "block", "left").mapInArrow(pieces, _PIECE_DDL).withColumn("piece", F.xxhash64("block", "place")))
+    joints = met.where("all_in = 1 and all_out = 1 and n = 2")
+    before = joints.where("ins = 1").join(piece.select("block", F.col("end").alias("place"), F.col("piece").alias("u")), ["block", "place"])
+    after = joints.where("outs = 1").join(piece.select("block", "place", F.col("piece").alias("v")), ["block", "place"])
+    links = before.select("low", "high", "u").join(after.select("low", "high", "v"), ["low", "high"]).select("u", "v")
+    path = components(links).select(F.col("node").alias("piece"), F.col("root").alias("path"))
+    return piece.join(path, "piece", "left").select("doc_id", "start", "n_words", F.coalesce("path", "piece").alias("path"))

@@ -540,3 +540,55 @@ def test_same_as_sql(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def _unitigs(rows, window):
+    """Maximal unbranched paths of the graph whose edges are the windows that some document has after one of a smaller id."""
+    from collections import Counter
+
+    least = {}
+    for d, t in rows:
+        w = brute.SPACE_WORDS.findall(t or "")
+        for i in range(len(w) - window + 1):
+            least.setdefault(tuple(w[i:i + window]), set()).add(d)
+    edges = {e for e, ds in least.items() if len(ds) > 1}
+    ins, outs = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    out, used = [], set()
+    for e in sorted(edges, key=lambda e: not (ins[e[:-1]] != 1 or outs[e[:-1]] != 1)):  # paths that begin somewhere, then circles
+        if e in used:
+            continue
+        path = [e]
+        while ins[path[-1][1:]] == 1 and outs[path[-1][1:]] == 1:
+            nxt = next(x for x in edges if x[:-1] == path[-1][1:])
+            if nxt == e:
+                break
+            path.append(nxt)
+        used |= set(path)
+        out.append(frozenset(path))
+    return set(out)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_compacted_paths(spark, monkeypatch, limit):
+    """Passages that split and meet again, whose parts have their first places in different documents."""
+    cut = substring_dedup.slices
+    monkeypatch.setattr(substring_dedup, "slices", lambda batches: cut(batches, limit=limit))
+    rng = np.random.default_rng(12)
+    parts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdefg"]
+    rows = []
+    for i in range(60):
+        order = [0, 1, int(rng.integers(2, 4)), 4, 5, 6]
+        a = int(rng.integers(0, 5))
+        own = order[a:a + int(rng.integers(1, 4))]
+        rows.append((i, " ".join([*(f"x{i}_{k}" for k in range(3)), *(parts[k] for k in own), f"y{i}"])))
+    rows += [(60, " ".join(parts[4].split()[4:] + parts[5].split()[:6])), (61, None), (62, ""), (63, "z " * 40), (64, "z " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    texts, paths = dict(rows), defaultdict(set)
+    found = substring_dedup.compacted_paths(docs, window=5).collect()
+    for r in found:
+        w = brute.SPACE_WORDS.findall(texts[r.doc_id])[r.start:r.start + r.n_words]
+        assert len(w) == r.n_words
+        paths[r.path] |= {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    got, want = {frozenset(p) for p in paths.values()}, _unitigs(rows, 5)
+    assert got == want and len(want) >= 5 and len(found) > len(want)  # some path has its pieces in several documents
+    assert substring_dedup.compacted_paths(docs.limit(0)).count() == 0
