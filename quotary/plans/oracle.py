@@ -22,9 +22,12 @@ DBL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("open", "high", "low", "
 # --- A --------------------------------------------------------------------------------------------
 
 sql("load_relations", "symbols changes prices raw ev econ jobs", " UNION ALL ".join(
-    f"SELECT '{n}' AS relation, count(*) AS n_rows FROM {v}" for n, v in [
-        ("symbols", "symbols"), ("symbol_changes", "changes"), ("prices", "prices"), ("prices_raw", "raw"),
-        ("corporate_events", "ev"), ("economic_indicators", "econ"), ("fetch_jobs", "jobs")]))
+    f"SELECT '{n}' AS relation, count(*) AS n_rows, count(DISTINCT ({k})) AS n_keys, CAST(min({d}) AS VARCHAR) AS first_day, "
+    f"CAST(max({d}) AS VARCHAR) AS last_day FROM {v}" for n, v, k, d in [
+        ("symbols", "symbols", "symbol", "CAST(NULL AS DATE)"), ("symbol_changes", "changes", "old_symbol, change_date", "CAST(NULL AS DATE)"),
+        ("prices", "prices", "symbol, date", "date"), ("prices_raw", "raw", "symbol, date, source", "date"),
+        ("corporate_events", "ev", "symbol, event_date, event_type", "event_date"), ("economic_indicators", "econ", "symbol, date", "date"),
+        ("fetch_jobs", "jobs", "job_id", "CAST(NULL AS DATE)")]))
 for _name, _src in (("ingest_vendor_eod", "eodhd"), ("ingest_vendor_iso", "tiingo"), ("ingest_vendor_bars", "alpaca")):
     sql(_name, "raw", f"SELECT symbol, {_s('date')}, source, {DBL}, volume FROM raw WHERE source = '{_src}'")
 sql("vendor_rejects", "raw", """

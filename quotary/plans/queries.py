@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quotary.functions import dates, numbers, tickers
 from quotary.operators import adjustments, clean, compare, consensus, coverage, events, jobs, merge, ops, prices
 from quotary.operators.scale import with_row
-from quotary.schemas import RELATIONS
+from quotary.schemas import KEYS, RELATIONS
 from quotary.sources import csv_out, relations, vendors
 from quotary.sources.fixtures import AS_OF, JOBS_AS_OF, RANGE, Market
 from quotary.streaming import streams
@@ -70,10 +70,12 @@ def load_relations(m: Market):
     tables = {"symbols": m.symbols, "symbol_changes": m.symbol_changes, "prices": m.prices, "prices_raw": m.prices_raw,
               "corporate_events": m.corporate_events, "economic_indicators": m.economic, "fetch_jobs": m.jobs}
     for name, df in tables.items():
-        relations.save_relation(df.select(*RELATIONS[name].names), f"{root}/{name}", day=None)
+        relations.save_relation(df.select(*RELATIONS[name].names), f"{root}/{name}")
     out = None
     for name, df in relations.load_relations(m.spark, root).items():
-        one = df.agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n_rows"))
+        day = "date" if "date" in df.columns else "event_date" if "event_date" in df.columns else F.lit(None).cast("date")
+        one = df.agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*KEYS[name]).alias("n_keys"),
+                     F.min(day).alias("first_day"), F.max(day).alias("last_day"))
         out = one if out is None else out.unionByName(one)
     return out
 

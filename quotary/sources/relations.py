@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quotary.schemas import RELATIONS
 
@@ -27,13 +27,26 @@ def load_relations(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: load_relation(spark, root, name) for name in RELATIONS}
 
 
+def declared(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a relation in their declared types, from whatever types a source gives them; JSON text is parsed."""
+    given = dict(df.dtypes)
+
+    def column(f: StructField):
+        nested = isinstance(f.dataType, (ArrayType, StructType))
+        value = F.from_json(f.name, f.dataType) if nested and given[f.name] == "string" else F.col(f.name).cast(f.dataType)
+        return value.alias(f.name)
+
+    return df.select(*[column(f) for f in RELATIONS[name].fields])
+
+
 def load_relation_jdbc(spark: SparkSession, url: str, name: str, properties: dict, bounds: tuple[str, str],
                        partitions: int = 64, column: str = "date") -> DataFrame:
-    """One relation over JDBC, read by ``partitions`` parallel ranges of a date column."""
-    return (spark.read.format("jdbc").options(**properties)
+    """One relation over JDBC in its declared types, read by ``partitions`` parallel ranges of a date column."""
+    rows = (spark.read.format("jdbc").options(**properties)
             .option("url", url).option("dbtable", name)
             .option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1])
             .option("numPartitions", partitions).load())
+    return declared(rows, name)
 
 
 def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str | None = "date") -> None:

@@ -6,10 +6,12 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from small_tables import SF_DIR
 
 from quotary.operators import consensus, coverage, merge, scale
 from quotary.plans.queries import QUERIES
+from quotary.schemas import RELATIONS
 from quotary.sources import relations, vendors
 from quotary.sources.fixtures import Market
 from quotary.streaming import streams
@@ -162,3 +164,14 @@ def test_only_the_years_of_a_delivery_are_written(spark, market, tmp_path):
     assert all(after[p] == t for p, t in before.items() if p in after) and counts["updated"] > 0
     assert same(relations.load_relation(spark, root, "prices"), merge.upsert_prices(market.prices, late).drop("change"))
     assert relations.upsert_relation(spark, root, "prices", late.limit(0), merge.upsert_prices).collect() == []
+
+
+def test_declared_types_from_text(market):
+    """What a database driver may hand over: text, wider numbers, JSON as text."""
+    for name, df in (("prices", market.prices), ("prices_raw", market.prices_raw), ("fetch_jobs", market.jobs.limit(50))):
+        want = df.select(*RELATIONS[name].names)
+        nested = [f.name for f in RELATIONS[name].fields if not isinstance(f.dataType, AtomicType)]
+        text = want.select(*[(F.to_json(c) if c in nested else F.col(c).cast("string")).alias(c) for c in want.columns])
+        got = relations.declared(text, name)
+        assert [f.dataType for f in got.schema.fields] == [f.dataType for f in RELATIONS[name].fields]
+        assert same(got, relations.declared(want, name))
