@@ -7,11 +7,12 @@ template of n tokens, a block must have one of its n - ceil(t n) + 1 rarest
 (prefix filter), have ceil(t n) distinct tokens at all (length filter), and at
 its first common token both sides must have enough tokens left (positional
 filter); what passes is counted exactly. Nothing is sampled, so every block
-that reaches the threshold is found. A notice is a template with phrases that
-tell its license from others (name, version, nc): the block must have them word
-for word, and the share is then counted in the words near the first of them,
-as many on either side as the template has, so that a long paragraph is no
-license because its words lie about in it.
+that reaches the threshold is found and counted. A notice is a template with
+phrases that tell its license from others (name, version, nc). Its label is
+given where the block has them word for word and reaches the threshold in the
+words near the first of them, as many on either side as the template has, so
+that a long paragraph is no license because its words lie about in it. A block
+that contains a notice without that is reported as unconfirmed.
 
 The templates are few and given; they go to every task, and a set beyond a
 stated number of tokens is refused. Null text is empty. Templates without
@@ -148,9 +149,10 @@ def _notices() -> dict[str, list[Notice]]:
 #: The registered scan's templates.
 NOTICES = _notices()
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),
-                  ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+                  ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
+                  ("n_blocks", pa.int64()), ("unconfirmed", pa.string())])
 _OUT_DDL = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
-            "labels string, score double")
+            "labels string, score double, n_blocks bigint, unconfirmed string")
 
 
 @dataclass
@@ -246,7 +248,7 @@ def _near_key(hashes: np.ndarray, ranks: np.ndarray, tokens: np.ndarray, keys: l
 
 
 def _contained(words: Words, order_of: Order, block_of=_line_of):
-    """(text, label, share) of every block that contains enough of a template."""
+    """(text, block, label, share) of every block that contains enough of a template; no share where its phrases are not there."""
     vocabulary, rank, templates = order_of.vocabulary, order_of.rank, order_of.templates
     at = _find(vocabulary, words.hashes)
     line = block_of(words)
@@ -275,17 +277,20 @@ def _contained(words: Words, order_of: Order, block_of=_line_of):
             if min(tokens.size - first, has.size - int(np.searchsorted(has, tokens[first]))) < needed:
                 continue
             n = int(common.sum())
-            if n >= needed and order_of.keys[i]:
+            if n < needed:
+                continue
+            if order_of.keys[i]:
                 n = _near_key(words.hashes[here], ranks, tokens, order_of.keys[i], order_of.reach[i])
-            if n >= needed:
-                yield home, label, float(n / tokens.size)
+            yield home, int(block[edges[b]]), label, float(n / tokens.size) if n >= needed else None
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str | Notice]] | None = None, phrases: dict[str, str] | None = None,
                   containment: float = 0.8, most_tokens: int = 100_000, id: str = "doc_id", text: str = "text",
                   paragraphs: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest
-    share of a template that a block contains, 0 below the threshold). ``paragraphs``: blocks are paragraphs, not lines."""
+    share of a template that a block contains with its phrases, 0 below the threshold), n_blocks (blocks that contain
+    a template) and unconfirmed (labels of templates contained without their phrases). ``paragraphs``: blocks are
+    paragraphs, not lines."""
     block_of = _paragraph_of if paragraphs else _line_of
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     docs = take(docs, doc_id=id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -309,12 +314,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str | Notice]] | No
             at = np.sort(np.concatenate([np.zeros(0, np.int64), *places]))
             low, high = np.searchsorted(at, words.first[:-1]), np.searchsorted(at, words.first[1:])
             more, score = [set(b) for b in base], [0.0] * n_texts
-            for t, label, share in _contained(words, order, block_of):
-                more[t].add(label)
-                score[t] = max(score[t], share)
+            blocks: list[set] = [set() for _ in range(n_texts)]
+            doubt: list[set] = [set() for _ in range(n_texts)]
+            for t, block, label, share in _contained(words, order, block_of):
+                blocks[t].add(block)
+                (doubt if share is None else more)[t].add(label)
+                score[t] = max(score[t], share or 0.0)
             first = [int(at[a] - f) if b > a else None for a, b, f in zip(low, high, words.first[:-1], strict=True)]
             last = [int(at[b - 1] - f) if b > a else None for a, b, f in zip(low, high, words.first[:-1], strict=True)]
             yield record_batch(_OUT, [batch.column("doc_id"), n, high - low, first, last, [",".join(sorted(x)) for x in base],
-                                      [",".join(sorted(x)) for x in more], score])
+                                      [",".join(sorted(x)) for x in more], score, [len(x) for x in blocks],
+                                      [",".join(sorted(x - y)) for x, y in zip(doubt, more, strict=True)]])
 
     return docs.mapInArrow(rows, _OUT_DDL)

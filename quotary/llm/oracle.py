@@ -1,5 +1,7 @@
 """SQL that says in one statement what some of the registered queries compute."""
 
+import re
+
 from quotary.llm import fill_in_middle, filter_audit, license_scan, sharding
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,6 +64,15 @@ def _rows(pairs) -> str:
     return ", ".join(f"('{text}', '{label}')" for text, label in pairs)
 
 
+def _words(text: str) -> str:
+    """The words of a given text as a list literal."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_NOTICES = ", ".join(f"('{label}', {_words(n.text)}, [{', '.join(_words(k) for k in n.keys)}])" for label, own in license_scan.NOTICES.items() for n in own)
+
+#: A paragraph ends where a stretch without words has two line ends. The phrases of a notice are looked for only in blocks that contain enough of it.
 LICENSES = f"""
 WITH docs AS (SELECT doc_id, {_LOWER.format(_TEXT)} AS body, {_MARK_WORDS.format(_LOWER.format(_TEXT))} AS ws FROM documents),
 phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_rows(license_scan.PHRASES.items())}) v(phrase, label)),
@@ -69,19 +80,29 @@ words AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS pos FROM
 fours AS (SELECT doc_id, pos - 1 AS pos, a, lead(a, 1) OVER x AS b, lead(a, 2) OVER x AS c, lead(a, 3) OVER x AS d
   FROM words WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
 places AS (SELECT doc_id, pos, label FROM fours JOIN phrases ON a = p[1] AND b = p[2] AND (len(p) < 3 OR c = p[3]) AND (len(p) < 4 OR d = p[4])),
-templates AS (SELECT list_distinct({_MARK_WORDS.format(_LOWER.format('template'))}) AS t, label
-  FROM (VALUES {_rows((text, label) for label, texts in license_scan.TEMPLATES.items() for text in texts)}) v(template, label)),
-blocks AS (SELECT doc_id, list_distinct({_MARK_WORDS.format('line')}) AS b FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM docs)),
-contained AS (SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share FROM blocks, templates
-  WHERE len(list_intersect(b, t)) >= ceil(0.8 * len(t) - 1e-9)),
+notices AS (SELECT row_number() OVER () AS tid, label, list_distinct(t) AS t, len(t) AS reach, keys, ceil(0.8 * len(list_distinct(t)) - 1e-9) AS needed
+  FROM (VALUES {_NOTICES}) v(label, t, keys)),
+paras AS (SELECT doc_id, unnest(string_split_regex(body, '\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n')) AS para FROM docs),
+blocks AS (SELECT row_number() OVER () AS bid, doc_id, {_MARK_WORDS.format('para')} AS b FROM paras),
+tokens AS (SELECT DISTINCT bid, w FROM (SELECT bid, unnest(b) AS w FROM blocks) JOIN (SELECT DISTINCT unnest(t) AS w FROM notices) USING (w)),
+contained AS (SELECT bid, tid FROM tokens JOIN (SELECT tid, needed, unnest(t) AS w FROM notices) USING (w) GROUP BY bid, tid, needed HAVING count(*) >= needed),
+starts AS (SELECT bid, tid, b, t, reach, keys, p FROM contained JOIN blocks USING (bid) JOIN notices USING (tid), unnest(range(1, len(b) + 1)) x(p)
+  WHERE b[p:p + len(keys[1]) - 1] = keys[1]),
+around AS (SELECT *, b[greatest(p - reach, 1):p + len(keys[1]) + reach - 1] AS near FROM starts),
+told AS (SELECT bid, tid, max(len(list_intersect(list_distinct(near), t))) AS n FROM around
+  WHERE len(list_filter(keys[2:], lambda k: NOT contains(' ' || array_to_string(near, ' ') || ' ', ' ' || array_to_string(k, ' ') || ' '))) = 0 GROUP BY bid, tid),
+judged AS (SELECT c.bid, b.doc_id, x.label, CASE WHEN t.n >= x.needed THEN t.n / CAST(len(x.t) AS DOUBLE) END AS share
+  FROM contained c JOIN blocks b USING (bid) JOIN notices x USING (tid) LEFT JOIN told t USING (bid, tid)),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
 based AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
-every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
-  FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM contained) GROUP BY doc_id),
-best AS (SELECT doc_id, max(share) AS score FROM contained GROUP BY doc_id)
+labelled AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM judged WHERE share IS NOT NULL),
+every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS score, count(DISTINCT bid) AS n_blocks FROM judged GROUP BY doc_id),
+doubt AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS unconfirmed
+  FROM (SELECT doc_id, label FROM judged WHERE share IS NULL EXCEPT SELECT doc_id, label FROM labelled) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-       coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
-FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+       coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score, coalesce(n_blocks, 0) AS n_blocks, coalesce(unconfirmed, '') AS unconfirmed
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN doubt USING (doc_id)
 """
 
 ORACLE = {

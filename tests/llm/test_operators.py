@@ -271,6 +271,9 @@ def test_license_filters_lose_nothing(spark):
 
 
 def test_registered_license_scan_knows_wrapped_notices_and_other_licenses(spark, tmp_path):
+    """Also the same as its SQL."""
+    import duckdb
+
     from quotary.llm import queries
 
     texts = {
@@ -299,6 +302,13 @@ def test_registered_license_scan_knows_wrapped_notices_and_other_licenses(spark,
         assert (r.score >= 0.8) == bool(label) and (not label or label in r.labels.split(",")), label
         assert set(r.labels.split(",")) - set(r.base_labels.split(",")) <= {label}, r
     assert got[98].labels == "" and got[99].labels == got[99].base_labels == "apache"
+    # their blocks are found all the same
+    assert got[98].n_blocks == got[99].n_blocks == 1 and "gpl-3.0" in got[98].unconfirmed and "apache-2.0" in got[99].unconfirmed
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(queries.ORACLE["op8_license_scan"])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(cursor.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.values())
 
 
 def test_classifier_on_held_out_rows(spark):
