@@ -266,7 +266,7 @@ sql("coverage_listing", "symbols prices", f"""
     SELECT {_COV}, total_items, CAST(greatest(ceil(total_items / 20.0), 1) AS BIGINT) AS total_pages FROM (
       SELECT *, count(*) OVER () AS total_items FROM hits ORDER BY row_count DESC, symbol LIMIT 20 OFFSET 20)""")
 sql("coverage_listing_after", "symbols prices", f"""
-    SELECT {_COV} FROM (SELECT * FROM ({_RECENT}) WHERE symbol ILIKE '%s%' OR name ILIKE '%s%' ORDER BY row_count DESC, symbol LIMIT 20 OFFSET 40)""")
+    SELECT {_COV} FROM (SELECT * FROM ({_RECENT}) WHERE symbol ILIKE '%s%' OR name ILIKE '%s%' ORDER BY row_count DESC, symbol LIMIT 5 OFFSET 5)""")
 _CALENDAR = """cal AS (SELECT symbol, date_from, date_to, CAST(x AS DATE) AS date FROM (
         SELECT *, unnest(generate_series(CAST(date_from AS TIMESTAMP), CAST(date_to AS TIMESTAMP), INTERVAL 1 DAY)) AS x
         FROM cover_requests) WHERE isodow(x) < 6),

@@ -416,10 +416,10 @@ def coverage_listing(m: Market):
 
 @query
 def coverage_listing_after(m: Market):
-    """The third page, by the key of the last row of the second."""
+    """The second page, by the key of the last row of the first."""
     rows = coverage.coverage_recent(m.symbols, m.prices, day(AS_OF))
-    how = {"sort_by": "row_count", "order": "desc", "page_size": 20, "q": "s"}
-    last = coverage.coverage_listing(rows, page=2, **how).orderBy("row_count", F.desc("symbol")).select("row_count", "symbol").first()
+    how = {"sort_by": "row_count", "order": "desc", "page_size": 5, "q": "s"}
+    last = coverage.coverage_listing(rows, **how).orderBy("row_count", F.desc("symbol")).select("row_count", "symbol").first()
     return coverage.coverage_listing_after(rows, after=last, **how)
 
 
