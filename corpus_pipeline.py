@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules to packed sequences, each stage over all that the one before kept."""
+"""The corpus pipeline: quality rules to packed sequences, each stage over all that the one before kept.
+
+Stages judge rows, by id and a hash of the text. Null text counts as an empty
+one, which the quality rules reject; ids may be null or repeat, and of equal
+rows one stays; columns may have any names; an empty table gives no sequences.
+"""
 
 from __future__ import annotations
 
