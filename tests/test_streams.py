@@ -175,3 +175,18 @@ def test_declared_types_from_text(market):
         got = relations.declared(text, name)
         assert [f.dataType for f in got.schema.fields] == [f.dataType for f in RELATIONS[name].fields]
         assert same(got, relations.declared(want, name))
+
+
+def test_a_slice_is_a_batch(spark, tmp_path):
+    """Few rows a slice, and a slice without any: still as many files each, so that batches keep the order of time."""
+    from quotary.plans.queries import _stream
+    from quotary.sources.fixtures import Market
+
+    rows = spark.createDataFrame([(i, date(2024, 1, 1 + i)) for i in (0, 1, 2, 6, 9, 11)], "i int, date date")
+    stream = _stream(Market(spark, ""), rows, "rows", str(tmp_path), order="date", slices=6)
+    landed = spark.read.schema(rows.schema).parquet(f"{tmp_path}/rows")
+    assert len(landed.inputFiles()) == 6 * spark.sparkContext.defaultParallelism and landed.count() == 6
+    batches = []
+    stream.writeStream.foreachBatch(lambda batch, _: batches.append(sorted(r.i for r in batch.collect()))).option(
+        "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert batches == [[0, 1], [2], [], [6], [9], [11]]
