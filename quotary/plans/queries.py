@@ -711,6 +711,7 @@ SCAN_DAY = "2001-06-30"
 
 
 def _scan(m: Market):
+    m = m.shared
     return adjustments.detect_adjustments(m.symbols.where("coalesce(is_active, true)"), m.prices, m.reference_prices,
                                           _reference_events(m), day(SCAN_DAY), store=relations.stored)
 
@@ -785,7 +786,7 @@ def adjustment_report(m: Market):
 def fix_plan(m: Market):
     scan = _scan(m)
     recorded = merge.record_events(m.corporate_events, scan.events, moment(NOW))
-    return adjustments.fix_plan(adjustments.first_events(scan, recorded), m.prices, day(SCAN_DAY))
+    return adjustments.fix_plan(adjustments.first_events(scan, recorded), m.shared.prices, day(SCAN_DAY))
 
 
 # --- H: corporate events --------------------------------------------------------------------------

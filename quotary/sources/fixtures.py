@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotary.sources.relations import stored
+
 AS_OF = "2001-11-05"
 JOBS_AS_OF = "2001-08-01 12:00:00"
 RANGE = ("1995-01-01", "2001-12-31")
@@ -69,6 +71,13 @@ class Market:
         return (days.withColumn("op", opening)
                 .withColumn("lo", F.least("lo", "op")).withColumn("hi", F.greatest("hi", "op")))
 
+    @cached_property
+    def shared(self) -> "Market":
+        """The same relations over days that are written once: for queries that read prices several times."""
+        market = Market(self.spark, self.sf_dir)
+        market._days = stored(self._days)
+        return market
+
     @cached_property
     def prices(self) -> DataFrame:
         d = self._days
