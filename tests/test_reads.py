@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from small_tables import SF_DIR
 
 from quotary.functions import dates
-from quotary.operators import compare, consensus, coverage, merge
+from quotary.operators import adjustments, compare, consensus, coverage, merge
 from quotary.plans.queries import QUERIES, SPAN
 from quotary.sources.fixtures import RANGE, Market
 
@@ -170,3 +170,55 @@ def test_deletions_are_counted_as_they_are_made(market):
     asked = asked.unionByName(asked.where("symbol < 'S3'").withColumn("date_to", F.lit("1998-01-01").cast("date"))).where("symbol like 'S%'")
     left = merge.delete_prices_by(market.prices, asked)
     assert merge.deleted_count(market.prices, asked).agg(F.sum("deleted")).collect()[0][0] == market.prices.count() - left.count()
+
+
+def _price_scans(df):
+    """The scans of line items that prices are computed from; events read other columns of theirs."""
+    plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    return [x for x in plan if "FileScan" in x and "l_shipdate" in x and "l_discount" not in x]
+
+
+@pytest.mark.parametrize("name", ["adjustment_factor", "derive_adjusted", "fix_plan"])
+def test_prices_computed_once(market, name):
+    assert not _price_scans(QUERIES[name](market))
+
+
+@pytest.mark.parametrize("name", ["scan_summary", "record_events", "fix_plan"])
+def test_scan_reads_written_days(market, name, monkeypatch):
+    seen, detect = [], adjustments.detect_adjustments
+
+    def spy(symbols, prices, reference, *rest, **named):
+        seen.extend([prices, reference])
+        return detect(symbols, prices, reference, *rest, **named)
+
+    monkeypatch.setattr(adjustments, "detect_adjustments", spy)
+    QUERIES[name](market)
+    assert len(seen) == 2 and not any(_price_scans(df) for df in seen)
+
+
+def test_shared_days_are_the_same(market):
+    assert same(market.shared.prices, market.prices) and same(market.shared.prices_raw, market.prices_raw)
+
+
+def test_touched_tickers_are_written(market):
+    kept = []
+
+    def store(df):
+        kept.append(df.columns)
+        return df
+
+    consensus.refresh_changes(market.prices_raw, market.raw_changes, market.corporate_events, market.corporate_events.select(
+        "symbol", "event_date", "event_type", "dividend_amount", "split_ratio", "ex_date", "record_date", "pay_date",
+        F.lit("eodhd").alias("source")), *RANGE, now(), store=store)
+    assert ["symbol"] in kept
+
+
+def test_months_without_events_carry_no_days(spark):
+    days = spark.createDataFrame([("A", date(2024, 1, 2), 1.0), ("A", date(2024, 1, 9), 2.0), ("A", date(2024, 3, 4), 4.0)],
+                                 "symbol string, date date, consensus_close double")
+    events = spark.createDataFrame([("A", "dividend", date(2024, 3, 1), 1.0, None)],
+                                   "symbol string, event_type string, ex_date date, dividend_amount double, split_ratio double")
+    months = {r.month: r for r in consensus._months(days, events).collect()}
+    assert months[date(2024, 1, 1)].days is None and months[date(2024, 3, 1)].before.close == 2.0
+    assert {r.date: r.factor for r in consensus.adjustment_factor(days, events).collect()} == {
+        date(2024, 1, 2): 0.5, date(2024, 1, 9): 0.5, date(2024, 3, 4): 1.0}
