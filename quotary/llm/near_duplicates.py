@@ -162,10 +162,13 @@ class _Node:
         self.member = rows.column("member").to_numpy()
         signature = _matrix(rows.column("signature"), np.uint32, _PLACES)
         n = rows.column("n_shingles").to_numpy()
-        alike = _alike(signature, signature)
-        good = (alike >= join.least_alike) & (100 * np.minimum(n[:, None], n) >= join.percent * np.maximum(n[:, None], n))
-        np.fill_diagonal(good, False)
-        self.alike = np.where(good, alike, -1)
+        # a row at a time and a byte a pair: a node of 2,000 members holds 4 MB
+        self.alike = np.empty((n.size, n.size), np.int8)
+        for i, row in enumerate(signature):
+            same = (signature == row).sum(axis=1)
+            good = (same >= join.least_alike) & (100 * np.minimum(n[i], n) >= join.percent * np.maximum(n[i], n))
+            self.alike[i] = np.where(good, same, -1)
+        np.fill_diagonal(self.alike, -1)
 
     def best(self) -> tuple[list, list, list]:
         """Each member's likeliest partner, and its likeliest among the earlier ones."""
@@ -187,7 +190,7 @@ class _Node:
         has[np.repeat(np.arange(rows.size), [len(own) for own in earlier]), at] = 1
         has = has[:, has.sum(axis=0) > 1]
         wanted[np.ix_(rows, rows)] &= has @ has.T == 0
-        i, k = np.nonzero(wanted)
+        i, k = (at.astype(np.int32) for at in np.nonzero(wanted))
         order = np.argsort(-self.alike[i, k], kind="stable")
         return i[order], k[order]
 
@@ -245,11 +248,12 @@ def _links_inside(join: Join):
 
             links = []
             pairs = _Node(table, join).open_pairs(root, table.column("nodes").to_pylist(), node)
-            for x, y in zip(*(p.tolist() for p in pairs), strict=True):
-                a, b = top(int(root[x])), top(int(root[y]))
-                if a != b and _jaccard_at_least(sets[x], sets[y], join.percent):
-                    up[max(a, b)] = min(a, b)
-                    links.append((max(a, b), min(a, b)))
+            for start in range(0, pairs[0].size, 1 << 14):  # unpacked by parts, a large node has millions
+                for x, y in zip(*(p[start : start + (1 << 14)].tolist() for p in pairs), strict=True):
+                    a, b = top(int(root[x])), top(int(root[y]))
+                    if a != b and _jaccard_at_least(sets[x], sets[y], join.percent):
+                        up[max(a, b)] = min(a, b)
+                        links.append((max(a, b), min(a, b)))
             if links:
                 yield record_batch(_LINK, [list(c) for c in zip(*links, strict=True)])
 
@@ -257,20 +261,19 @@ def _links_inside(join: Join):
 
 
 def _across(join: Join):
-    """Pairs between the block of members that a row carries and the member that it is about."""
+    """Pairs between the two blocks of members that a row carries."""
     def rows(batches):
         for batch in batches:
             for x in range(batch.num_rows):
-                block = batch.column("block")[x].as_py()
-                mine, n, root = (batch.column(c)[x].as_py() for c in ("member", "n_shingles", "root"))
-                signature = np.frombuffer(b"".join(b["signature"] for b in block), np.uint32).reshape(-1, _PLACES)
-                own = np.frombuffer(batch.column("signature")[x].as_py(), np.uint32)[None, :]
-                alike = _alike(own, signature)[0]
-                sizes = np.array([b["n_shingles"] for b in block])
-                good = (alike >= join.least_alike) & (100 * np.minimum(n, sizes) >= join.percent * np.maximum(n, sizes))
-                other = [block[i]["member"] for i in np.flatnonzero(good) if block[i]["root"] != root]
-                if other:
-                    yield record_batch(_PAIR, [[min(mine, o) for o in other], [max(mine, o) for o in other], alike[:1].repeat(len(other))])
+                block, mates = (batch.column(c)[x].as_py() for c in ("block", "mates"))
+                asked, others = (np.frombuffer(b"".join(b["signature"] for b in side), np.uint32).reshape(-1, _PLACES) for side in (block, mates))
+                alike = _alike(others, asked)
+                m, n = (np.array([b["n_shingles"] for b in side]) for side in (mates, block))
+                s, r = (np.array([b["root"] for b in side]) for side in (mates, block))
+                good = (alike >= join.least_alike) & (100 * np.minimum(m[:, None], n) >= join.percent * np.maximum(m[:, None], n)) & (s[:, None] != r)
+                pairs = [(mates[i]["member"], block[k]["member"]) for i, k in zip(*(at.tolist() for at in np.nonzero(good)), strict=True)]
+                if pairs:
+                    yield record_batch(_PAIR, [[min(p) for p in pairs], [max(p) for p in pairs], alike[good]])
 
     return rows
 
@@ -336,12 +339,16 @@ def _large_nodes(large: DataFrame, members: DataFrame, sets: DataFrame, join: Jo
                      .agg(F.min_by(F.struct("member", "root"), F.xxhash64(F.lit(turn), "member")).alias("m")).select("node", "m.*"))
         else:
             asked = rest
-        # blocks of about 64 members, as many as the rest needs
-        sizes = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / 64).alias("blocks"))
+        # blocks of about 64 members, as many as the rest needs, against the node in blocks of that size
         side = members.select("member", "n_shingles", "signature")
-        blocks = (asked.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks"))).join(side, "member")
-                  .groupBy("node", "part").agg(F.collect_list(F.struct("member", "root", "n_shingles", "signature")).alias("block")))
-        everyone = rooted.join(side, "member").join(blocks, "node").select("member", "root", "n_shingles", "signature", "block")
+
+        def blocks(rows: DataFrame, name: str) -> DataFrame:
+            sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / 64).alias("blocks"))
+            return (rows.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks"))).join(side, "member")
+                    .groupBy("node", "part").agg(F.collect_list(F.struct("member", "root", "n_shingles", "signature")).alias(name)).drop("part"))
+
+        whole = rooted.join(asked.select("node").distinct(), "node", "left_semi")
+        everyone = blocks(asked, "block").join(blocks(whole, "mates"), "node").select("block", "mates")
         pairs = settled(everyone.mapInArrow(_across(join), _PAIR_DDL).select("a", "b").distinct())
         found = _confirmed(pairs, sets, join.percent)
         for end in ("u", "v"):

@@ -107,6 +107,42 @@ def test_near_duplicates(corpus, texts, shingle, percent, small):
     assert any(not r[2] for r in want.values())
 
 
+def test_near_duplicates_of_a_large_node_in_little_memory():
+    """Alike members without links so far, all pairs open: a byte a pair is kept, and the pairs are not unpacked at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, places = 1200, 64
+    rng = np.random.default_rng(3)
+    signature = np.tile(rng.integers(0, 1 << 32, places, dtype=np.uint32), (n, 1))
+    signature[:, 0] = np.arange(n)
+    node = pa.table({"node": pa.array([5] * n, pa.int64()), "member": pa.array(range(n), pa.int64()), "n_shingles": pa.array([9] * n, pa.int64()),
+                     "signature": [r.tobytes() for r in signature], "root": pa.array(range(n), pa.int64()), "nodes": [[5]] * n,
+                     "set": pa.array([np.arange(9, dtype=np.uint64).tobytes()] * n, pa.binary())})
+    join = near_duplicates.Join()
+    tracemalloc.start()
+    links = list(near_duplicates._links_inside(join)(iter(node.to_batches())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in links) == n - 1
+    assert near_duplicates._Node(node, join).alike.nbytes == n * n
+    assert peak < 40 * n * n / 2 + (8 << 20)
+
+
+def test_near_duplicates_across_blocks():
+    """Two blocks in one row give the pairs that may be alike and have different roots."""
+    import pyarrow as pa
+
+    def member(i, root, n, value):
+        return {"member": i, "root": root, "n_shingles": n, "signature": np.full(64, value, np.uint32).tobytes()}
+
+    batch = pa.RecordBatch.from_pylist([{"block": [member(1, 1, 10, 7), member(2, 2, 10, 8)],
+                                         "mates": [member(1, 1, 10, 7), member(3, 3, 10, 7), member(4, 1, 10, 7), member(5, 5, 90, 7), member(0, 0, 10, 8)]}])
+    pairs = [p for b in near_duplicates._across(near_duplicates.Join())(iter([batch])) for p in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True)]
+    assert sorted(pairs) == [(0, 2), (1, 3)]
+
+
 def test_near_duplicates_leave_one_row_of_each_group(corpus, texts):
     left = near_duplicates.drop_near_duplicates(corpus)
     assert left.schema == corpus.schema
