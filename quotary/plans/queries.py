@@ -81,11 +81,16 @@ def load_relations(m: Market):
 
 
 def _payloads(rows: DataFrame, item, wrap=None) -> DataFrame:
-    """One response text per ticker and year, as a vendor would send it."""
-    body = F.collect_list(item)
+    """One response text per ticker and year, as a vendor would send it.
+
+    Rows are shuffled as they are: a ticker's days are spread over all tasks,
+    and lists begun before the shuffle would hold a row or two each.
+    """
+    body = F.collect_list("_item")
     if wrap:
         body = F.struct(body.alias(wrap))
-    return rows.groupBy("symbol", F.year("date").alias("y")).agg(F.to_json(body).alias("payload")).select("symbol", "payload")
+    items = rows.select("symbol", F.year("date").alias("y"), item.alias("_item")).repartition("symbol", "y")
+    return items.groupBy("symbol", "y").agg(F.to_json(body).alias("payload")).select("symbol", "payload")
 
 
 @query
@@ -135,7 +140,7 @@ def _spoilt_payloads(m: Market):
 def vendor_rejects(m: Market):
     """Per vendor and ticker: the rows taken in, and the rejects by reason."""
     out = None
-    for kind, payloads in _spoilt_payloads(m):
+    for kind, payloads in _spoilt_payloads(m.shared):
         one = vendors.parsed_rows(payloads, kind).groupBy("source", "symbol", F.coalesce("reason", F.lit("taken")).alias("outcome")).agg(
             F.count(F.lit(1)).alias("n"), F.count("date").alias("n_days"), F.sum(F.coalesce("volume", F.lit(0))).alias("volume"))
         out = one if out is None else out.unionByName(one)

@@ -67,9 +67,11 @@ def parsed_rows(payloads: DataFrame, kind: Payload) -> DataFrame:
     broken = F.col("payload").isNull() | F.try_parse_json("payload").isNull()
     if kind.within is None:
         broken = broken | F.col("_rows").isNull()
-    rows = rows.select("symbol", F.when(broken, F.coalesce("payload", F.lit(""))).alias("_broken"), "_rows").select(
-        "symbol", "_broken", F.explode_outer("_rows").alias("_row"), F.coalesce(F.size("_rows"), F.lit(-1)).alias("_n")).where(
-        "_broken is not null or _n > 0")
+    rows = rows.select("symbol", F.when(broken, F.coalesce("payload", F.lit(""))).alias("_broken"), "_rows")
+    # a row for a broken response is put into the list: a filter on lists would be pushed down and parse every response again
+    none = F.expr("coalesce(cardinality(_rows), 0) < 1")
+    listed = F.when(F.col("_broken").isNotNull() & none, F.array_repeat(F.lit(None), 1)).otherwise(F.col("_rows"))
+    rows = rows.select("symbol", "_broken", F.explode(listed).alias("_row"))
     item = lambda c: F.col("_row")[getattr(kind, c)]
     prices = {c: item(c).try_cast("decimal(18,6)") for c in ("open", "high", "low", "close")}
     volume = F.when(F.coalesce(item("volume"), F.lit("")) == "", 0.0).otherwise(item("volume").try_cast("double"))

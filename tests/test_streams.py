@@ -129,6 +129,16 @@ def test_each_payload_row_is_taken_or_rejected(spark):
     assert {(r.symbol, r.reason, r.date) for r in vendors.vendor_rejects(bars, vendors.BARS).collect()} == {("A", "price", date(2024, 1, 2)), ("D", "payload", None)}
 
 
+@pytest.mark.parametrize("kind", [vendors.EOD, vendors.BARS])
+def test_each_response_is_parsed_once(spark, kind):
+    row = f'{{"{kind.day}":"2024-01-02","{kind.open}":1,"{kind.high}":2,"{kind.low}":1,"{kind.close}":1,"{kind.close}":1}}'
+    body = f"[{row},{row}]" if kind.within is None else f'{{"{kind.within}":[{row},{row}]}}'
+    rows = vendors.parsed_rows(spark.createDataFrame([("A", body), ("B", body[:9]), ("C", None)], "symbol string, payload string"), kind)
+    assert sorted((r.symbol, r.reason) for r in rows.collect()) == [("A", "payload")] * 2 + [("B", "payload"), ("C", "payload")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("from_json("), plan.count("parseJson(")) == (1, 1)
+
+
 @pytest.mark.parametrize("order", [[("a", False), ("k", False)], [("a", True), ("k", False)], [("a", True), ("k", True)]])
 def test_pages_by_seek_follow_one_another(spark, order):
     rows = [(i, None if i % 5 == 0 else i * 7 % 4) for i in range(40)]
