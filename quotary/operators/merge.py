@@ -45,15 +45,19 @@ def change_counts(merged: DataFrame) -> DataFrame:
 
 
 def upsert_raw(raw: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Overwrite the vendor's values, keep the consensus."""
+    """Overwrite the vendor's values, keep the consensus.
+
+    Values meet column by column, so that only those that are read later are
+    shuffled and sorted.
+    """
     key = KEYS["prices_raw"]
     values = ["open", "high", "low", "close", "volume", "fetched_at"]
-    n = _latest(incoming, key, "fetched_at", values).select(*key, F.struct(*values).alias("n"))
-    o = raw.select(*key, F.struct(*values).alias("o"), "consensus_close")
+    n = _latest(incoming, key, "fetched_at", values).select(*key, *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_n"))
+    o = raw.select(*key, *values, "consensus_close", F.lit(True).alias("_o"))
     both = o.join(n, key, "full_outer")
-    change = F.when(F.col("o").isNull(), "inserted").when(F.col("n").isNotNull(), "updated").otherwise("unchanged")
-    return both.select(*key, F.coalesce("n", "o").alias("r"), "consensus_close", change.alias("change")).select(
-        *key, "r.*", "consensus_close", "change")
+    change = F.when(F.col("_o").isNull(), "inserted").when(F.col("_n").isNotNull(), "updated").otherwise("unchanged")
+    merged = [F.when(F.col("_n").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values]
+    return both.select(*key, *merged, "consensus_close", change.alias("change"))
 
 
 def upsert_economic(economic: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Day masks, factor intervals, deliveries and month-end closes: plain versions, and how often a plan reads its inputs."""
 
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +222,23 @@ def test_months_without_events_carry_no_days(spark):
     assert months[date(2024, 1, 1)].days is None and months[date(2024, 3, 1)].before.close == 2.0
     assert {r.date: r.factor for r in consensus.adjustment_factor(days, events).collect()} == {
         date(2024, 1, 2): 0.5, date(2024, 1, 9): 0.5, date(2024, 3, 4): 1.0}
+
+
+def test_consensus_of_merged_rows_reads_few_columns_and_matches_once(spark):
+    text = "symbol string, date date, source string, open double, high double, low double, close double, volume long, fetched_at timestamp"
+    at, d = datetime(2024, 1, 3), date(2024, 1, 2)
+    raw = spark.createDataFrame([("A", d, "x", 1.0, 1.0, 1.0, 1.0, 5, at, None), ("A", d, "x", 1.0, 1.0, 1.0, 1.5, 6, at, 7.0),
+                                 ("A", d, "y", 1.0, 1.0, 1.0, 2.0, 7, at, None), (None, d, "x", 1.0, 1.0, 1.0, 1.0, 8, at, None)],
+                                f"{text}, consensus_close double")
+    landed = spark.createDataFrame([("A", d, "x", 3.0, 3.0, 3.0, 2.005, None, at), ("A", d, "z", 3.0, 3.0, 3.0, 9.0, 1, at),
+                                    (None, d, "x", 3.0, 3.0, 3.0, 3.0, 2, at)], text)
+    merged = merge.upsert_raw(raw, landed)
+    got = sorted(((r.symbol or "", r.source, r.close, r.volume or 0, r.consensus_close or 0.0, r.change) for r in merged.collect()))
+    assert got == [("", "x", 1.0, 8, 0.0, "unchanged"), ("", "x", 3.0, 2, 0.0, "inserted"), ("A", "x", 2.005, 0, 0.0, "updated"),
+                   ("A", "x", 2.005, 0, 7.0, "updated"), ("A", "y", 2.0, 7, 0.0, "unchanged"), ("A", "z", 9.0, 1, 0.0, "inserted")]
+    days = consensus.agreed_days(merged.drop("change"))
+    assert {r.symbol: r.agreed_close for r in days.collect()} == {None: None, "A": 2.003333}
+    plan = days._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    stored_side = lines[next(i for i, line in enumerate(lines) if "Join FullOuter" in line) + 1]
+    assert plan.count("abs(") == 1 and "close#" in stored_side and "open#" not in stored_side
