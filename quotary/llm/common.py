@@ -17,7 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quotary_llm"
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: For tables whose rows are a megabyte or so: a writer looks at its size after every row, not after the first hundred, and
+#: closes a row group at 4 MB, which is also what a reader holds at once. Packed numbers gain nothing by compression.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1,
+              "parquet.enable.dictionary": "false", "compression": "uncompressed"}
+
+
+def settled(df: DataFrame, **options: str | int) -> DataFrame:
     """Write a frame to the shared folder and read it back: what follows depends on files, not on lineage.
 
     Shuffle files that nothing refers to any more are released before and
@@ -26,7 +32,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     _release(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
     _release(spark)

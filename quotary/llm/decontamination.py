@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotary.llm.common import as_rows, each_row, record_batch, settled, slices, take, text_print
+from quotary.llm.common import LARGE_ROWS, as_rows, each_row, record_batch, settled, slices, take, text_print
 from quotary.llm.words import MARKS, scan
 
 _BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("first", pa.binary()), ("terms", pa.binary()),
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     docs = take(docs, doc_id=id, text=text)
     return settled(docs.select(F.col("doc_id").cast("long"), text_print().alias("print"), F.col("text").cast("string"))
-                   .mapInArrow(rows, _BLOCK_DDL).withColumn("block", F.monotonically_increasing_id()))
+                   .mapInArrow(rows, _BLOCK_DDL).withColumn("block", F.monotonically_increasing_id()), **LARGE_ROWS)
 
 
 @dataclass

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -638,3 +639,14 @@ def test_compacted_paths(spark, monkeypatch, limit):
     got, want = {frozenset(p) for p in paths.values()}, _unitigs(rows, 5)
     assert got == want and len(want) >= 5 and len(found) > len(want)  # some path has its pieces in several documents
     assert substring_dedup.compacted_paths(docs.limit(0)).count() == 0
+
+
+def test_index_has_small_row_groups(spark, tmp_path):
+    """A writer that looks at its size every hundred rows holds the whole index of a task, and a reader all of it at once."""
+    docs = spark.range(24).selectExpr("id as doc_id", "array_join(transform(sequence(1, 90000), i -> cast(i * 7919 % (1000 + id) as string)), ' ') as text")
+    index = decontamination.build_index(docs.coalesce(1))
+    groups = [meta.row_group(i) for f in index.inputFiles() for meta in [pq.read_metadata(f.removeprefix("file://"))]
+              for i in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == index.count() > 4
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 12 << 20
+    assert sorted(d for r in index.select("doc_ids").collect() for d in r.doc_ids) == list(range(24))
