@@ -66,16 +66,15 @@ def _closes(df: DataFrame) -> DataFrame:
 
 @query
 def load_relations(m: Market):
-    root = scratch(m)
+    root, m = scratch(m), m.shared
     tables = {"symbols": m.symbols, "symbol_changes": m.symbol_changes, "prices": m.prices, "prices_raw": m.prices_raw,
               "corporate_events": m.corporate_events, "economic_indicators": m.economic, "fetch_jobs": m.jobs}
     for name, df in tables.items():
         relations.save_relation(df.select(*RELATIONS[name].names), f"{root}/{name}")
     out = None
     for name, df in relations.load_relations(m.spark, root).items():
-        day = "date" if "date" in df.columns else "event_date" if "event_date" in df.columns else F.lit(None).cast("date")
-        one = df.agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*KEYS[name]).alias("n_keys"),
-                     F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+        day = next((c for c in ("date", "event_date") if c in df.columns), None)
+        one = relations.summary(df, KEYS[name], day).select(F.lit(name).alias("relation"), "n_rows", "n_keys", "first_day", "last_day")
         out = one if out is None else out.unionByName(one)
     return out
 

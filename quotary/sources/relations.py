@@ -1,9 +1,11 @@
 """Reading and writing the seven relations (A1)."""
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -59,9 +61,47 @@ def save_relation(df: DataFrame, path: str, mode: str = "overwrite", day: str |
     if day is None or day not in df.columns:
         df.write.mode(mode).parquet(path)
         return
-    out = df.withColumn("year", F.year(day))
-    (out.repartitionByRange("year", "symbol", day).sortWithinPartitions("year", "symbol", day)
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
+    out = df.withColumn("year", F.year(day)).repartitionByRange("year", "symbol", day).sortWithinPartitions("symbol", day)
+    with _years_side_by_side(df.sparkSession):
+        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+@contextmanager
+def _years_side_by_side(spark: SparkSession, years: int = 100) -> Iterator[None]:
+    """While a table is written, a task keeps the files of its years open, so that rows need not be sorted by year.
+
+    A sort that starts with the year compares whole rows, since a range has
+    few years; one that starts with the ticker mostly compares its first bytes.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(years))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def summary(df: DataFrame, keys: list[str], day: str | None) -> DataFrame:
+    """Rows, distinct keys without a null, first and last ``day`` of a relation.
+
+    Where ``day`` is part of the key, the days of the other key columns in a
+    year are six masks of two months each: a stored file is clustered by
+    ticker, so tasks send a row per ticker and year, not one per key.
+    """
+    if day not in keys:
+        first_last = [f(F.col(day) if day else F.lit(None).cast("date")) for f in (F.min, F.max)]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*keys).alias("n_keys"),
+                      first_last[0].alias("first_day"), first_last[1].alias("last_day"))
+    others = [k for k in keys if k != day]
+    place = F.expr(f"shiftleft(1L, (month({day}) - 1) % 2 * 31 + day({day}) - 1)")
+    masks = [F.bit_or(F.when(F.month(day).isin(2 * i + 1, 2 * i + 2), place)).alias(f"_m{i}") for i in range(6)]
+    years = df.groupBy(*others, F.year(day).alias("_y")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last"), *masks)
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in others], F.lit(True))
+    n_days = sum((F.coalesce(F.bit_count(f"_m{i}"), F.lit(0)) for i in range(6)), F.lit(0))
+    return years.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(whole, n_days)), F.lit(0)).alias("n_keys"),
+                     F.min("_first").alias("first_day"), F.max("_last").alias("last_day"))
 
 
 def upsert_relation(spark: SparkSession, root: str, name: str, incoming: DataFrame,

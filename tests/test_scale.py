@@ -171,3 +171,38 @@ def test_buckets_are_shuffled_on_their_own_after_a_ticker_shuffle(spark, hot, th
             assert "hashpartitioning(symbol#" in text[window:] and ", _b#" in text[window:].split("hashpartitioning(")[1][:40]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_relation_summary_counts_keys_by_masks(spark):
+    rows = [("A", "2020-01-31", "x"), ("A", "2020-01-31", "x"), ("A", "2020-01-31", "y"), ("A", "2020-02-29", "x"), ("A", "2020-02-01", None),
+            ("A", "2020-12-31", "x"), ("A", "2021-12-31", "x"), (None, "2019-12-31", "x"), ("B", None, "x"), ("B", "2020-11-30", "x"),
+            ("B", "2020-03-01", "x"), ("B", "2020-04-01", "x"), ("B", "2020-02-28", "x"), ("B", "2020-01-01", "x")]
+    df = spark.createDataFrame(rows, "symbol string, date string, source string").withColumn("date", F.col("date").cast("date"))
+    for frame in (df, df.where("false"), df.where("date is null")):
+        for keys in (["symbol", "date"], ["symbol", "date", "source"], ["symbol"], ["date"]):
+            want = frame.agg(F.count(F.lit(1)), F.count_distinct(*keys), F.min("date"), F.max("date")).collect()
+            assert [tuple(r) for r in relations.summary(frame, keys, "date").collect()] == [tuple(r) for r in want]
+    assert tuple(relations.summary(df, ["symbol", "source"], None).collect()[0]) == (14, 3, None, None)
+    sent = [x for x in plan(relations.summary(df, ["symbol", "date"], "date")).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(sent) == 1 and "date#" not in sent[0].split("hashpartitioning")[1]
+
+
+def test_stored_files_are_sorted_by_ticker_and_day(spark, market, tmp_path):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    relations.save_relation(market.prices.repartition(3), str(tmp_path / "prices"))
+    assert spark.conf.get(key) == before
+    files = sorted((tmp_path / "prices").glob("year=*/*.parquet"))
+    assert len({f.parent for f in files}) == 7
+    for file in files:
+        rows = [(r.symbol, r.date) for r in spark.read.parquet(str(file)).coalesce(1).collect()]
+        assert rows == sorted(rows) and {d.year for _, d in rows} == {int(file.parent.name[5:])}
+
+
+def test_thousandths_become_decimals_exactly(spark):
+    from quotary.sources.fixtures import _decimal
+
+    rows = spark.range(-5000, 5000, 7).selectExpr("id as n").unionByName(spark.sql("select explode(array(null, 0L, 999999999999999L, -123456789012345L)) as n"))
+    old = (F.col("n").cast("decimal(15,0)") * F.lit(0.001).cast("decimal(4,3)")).cast("decimal(18,6)")
+    assert rows.select(_decimal("n")).schema[0].dataType.simpleString() == "decimal(18,6)"
+    assert rows.where(~_decimal("n").eqNullSafe(old)).isEmpty()
