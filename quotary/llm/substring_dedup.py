@@ -9,7 +9,10 @@ both in a document and at their source make an unbranched path, which becomes
 one span. Each distinct path is then checked at its source, on the words.
 
 A block sends an edge once and gets at most one answer for it, so a passage
-that a third of all documents share costs one entry per block. Keys of edges
+that a third of all documents share costs one entry per block. What blocks of
+a task send to a bucket travels as one row, and so does what buckets of a task
+answer to a block: rows are as many as their bytes ask for, not one for each
+block and bucket, which would be the square of the input. Keys of edges
 are as long as the number of words asks for, so that no two different edges
 are likely to share one anywhere in the corpus (a chance of about one in a hundred);
 a path that fails its check repeats the whole census with other hashes.
@@ -38,9 +41,10 @@ from quotary.llm.words import SPACE, Words, scan, window_starts, windows
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
                     ("size", pa.int64()), ("texts", pa.binary())])
 _BLOCK_DDL = "block bigint, doc_ids array<bigint>, sizes array<bigint>, size bigint, texts binary"
-_ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("tail", pa.int64()),
-                    ("size", pa.int64()), ("places", pa.binary()), ("edges", pa.binary())])
-_ENTRY_DDL = "bucket bigint, block bigint, first_id bigint, last_id bigint, tail bigint, size bigint, places binary, edges binary"
+_ENTRY = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("edges", pa.binary())])
+_ENTRY_DDL = "bucket bigint, heads binary, sizes binary, places binary, edges binary"
+_TOGETHER = 1 << 21  # edges that a task holds before it deals them to buckets
+_AT_ONCE = 1 << 20  # answers that a task holds before it deals them to blocks
 _ANSWER = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary()), ("same", pa.binary())])
 _ANSWER_DDL = "block bigint, places binary, owners binary, sources binary, same binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
@@ -67,10 +71,61 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return settled(ordered.mapInArrow(rows, _BLOCK_DDL))
 
 
-def _words(row: dict) -> Words:
+def _words(row: dict, hashes: bool = True) -> Words:
     text = pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True) if row["size"] else b""
     ends = np.cumsum(row["sizes"]).tolist()
-    return scan([text[b - n : b] for n, b in zip(row["sizes"], ends, strict=True)], SPACE)
+    return scan([text[b - n : b] for n, b in zip(row["sizes"], ends, strict=True)], SPACE, hashes=hashes)
+
+
+def _with_list(batches, name: str):
+    """Rows one by one without the list ``name``, and the columns of its structs."""
+    for batch in batches:
+        lists = batch.column(name)
+        for at, row in zip(lists, each_row([batch.drop_columns([name])]), strict=True):
+            yield row, at.values.flatten() if at.is_valid else None
+
+
+def _joined(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _deal(key: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """An order by key that keeps what is alike in sequence, and where the run of each key begins and ends in it."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    return order, [0, *cuts.tolist()], [*cuts.tolist(), key.size]
+
+
+def alike(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which group of equal keys each key is in, and where each group comes first; groups are numbered in that order.
+
+    The upper bits of the low halves are sorted with the places below them. Should keys share those bits only, whole
+    keys are sorted.
+    """
+    def groups(later: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        is_first = np.ones(low.size, bool)
+        is_first[later] = False
+        number = np.cumsum(is_first) - 1
+        number[later] = number[first]
+        return number, np.flatnonzero(is_first)
+
+    def repeats(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a sort's entries, those that repeat one before, and the first of their kind."""
+        at = np.flatnonzero(~new)
+        return at, np.maximum.accumulate(np.where(new, np.arange(new.size), 0))[at]
+
+    bits = np.uint64(low.size.bit_length())
+    below = (np.uint64(1) << bits) - np.uint64(1)
+    packed = np.sort(low & ~below | np.arange(low.size, dtype=np.uint64))
+    upper = packed >> bits
+    at, first_at = repeats(np.concatenate([[True], upper[1:] != upper[:-1]])[: low.size])
+    later, first = ((packed[x] & below).astype(np.int64) for x in (at, first_at))
+    if np.array_equal(low[later], low[first]) and np.array_equal(high[later], high[first]):
+        return groups(later, first)
+    order = np.lexsort((high, low))  # stable
+    l, h = low[order], high[order]
+    at, first_at = repeats(np.concatenate([[True], (l[1:] != l[:-1]) | (h[1:] != h[:-1])]))
+    return groups(order[at], order[first_at])
 
 
 def _ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +140,7 @@ class _Edges:
     def __init__(self, words: Words, window: int, seed: int):
         self.at = window_starts(words, window)
         self.low, self.high = (windows(words.hashes, window, 2 * seed + i)[self.at] for i in (0, 1))
-        order = np.lexsort((self.high, self.low))
-        low, high = self.low[order], self.high[order]
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: order.size]
-        self.group = np.empty(order.size, np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.first = order[new]  # of each group, the earliest: the sort is stable
+        self.group, self.first = alike(self.low, self.high)
 
 
 def key_bytes(n_bytes: int, buckets: int) -> int:
@@ -106,70 +156,96 @@ def _census(blocks: DataFrame, window: int, seed: int, buckets: int, width: int)
     """For each block, which of its edges stand in an earlier block, where they stand first, and whether that is under the
     id that this block begins with: ids may run over blocks, and a row loses nothing to its own id.
 
-    For that an entry has its block's first and last id, and the word from which on the last one stands.
+    For that a block has a head: its number, its first and last id, and the word from which on the last one stands.
     """
+    def dealt(held):
+        heads = np.array([h[0] for h in held], np.int64)
+        bucket, key, place = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        of = np.repeat(np.arange(len(held)), [h[1].size for h in held])
+        out = []
+        order, begin, end = _deal(bucket)
+        for a, b in zip(begin, end, strict=True):
+            own = order[a:b]
+            places = np.diff(place[own], prepend=np.uint32(0))
+            out.append((int(bucket[own[0]]), heads.tobytes(), np.bincount(of[own], minlength=len(held)).tobytes(),
+                        pa.compress(places.tobytes(), codec="zstd", asbytes=True), key[own].tobytes()))
+        return record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
+
     def entries(batches):
+        held, size = [], 0
         for row in each_row(batches):
             words = _words(row)
             edges = _Edges(words, window, seed)
             ids, none = _ids(row)
             some = int(np.count_nonzero(~none))
             # rows without an id are no source and lose nothing
-            first = np.sort(edges.first[edges.at[edges.first] < words.first[some]])
+            first = edges.first[edges.at[edges.first] < words.first[some]]
             if not first.size:
                 continue
-            ends = int(ids[0]), int(ids[some - 1]), int(words.first[np.searchsorted(ids[:some], ids[some - 1])])
-            bucket = (edges.high[first] % np.uint64(buckets)).astype(np.int64)
+            head = row["block"], int(ids[0]), int(ids[some - 1]), int(words.first[np.searchsorted(ids[:some], ids[some - 1])])
+            bucket = (edges.high[first] % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
             key = np.column_stack([edges.low[first], edges.high[first] // np.uint64(buckets)]).astype("<u8")
             key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 16)[:, :width])
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out = []
-            for own in np.split(order, cuts):
-                places = edges.at[first[own]].astype(np.uint32)
-                out.append((int(bucket[own[0]]), row["block"], *ends, own.size,
-                            pa.compress(np.diff(places, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True),
-                            key[own].tobytes()))
-            yield record_batch(_ENTRY, [list(c) for c in zip(*out, strict=True)])
+            held.append((head, bucket, key, edges.at[first].astype(np.uint32)))
+            size += first.size
+            if size >= _TOGETHER:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    def met(rows):
+        """The answers of one bucket: (block, place, owner, source, same)."""
+        heads = _joined(rows.column("heads"), np.int64).reshape(-1, 4)
+        sizes = _joined(rows.column("sizes"), np.int64)
+        edges = rows.column("edges").to_pylist()
+        place = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(
+            p, decompressed_size=4 * (len(e) // width), codec="zstd", asbytes=True), np.uint32), dtype=np.uint32)
+            for p, e in zip(rows.column("places").to_pylist(), edges, strict=True)])
+        edge = np.zeros((place.size, 16), np.uint8)
+        edge[:, :width] = np.frombuffer(b"".join(edges), np.uint8).reshape(-1, width)
+        head = np.repeat(np.arange(sizes.size), sizes)
+        order = np.argsort(heads[head, 0], kind="stable")  # the first of equal edges is that of the first block
+        place, head = place[order], head[order]
+        low, high = np.ascontiguousarray(edge.view("<u8")[order].T)
+        group, first = alike(low, high)
+        source = first[group]
+        mine = np.flatnonzero(head != head[source])
+        source = source[mine]
+        block, first_id, last_id, tail = heads.T
+        same = (last_id[head[source]] == first_id[head[mine]]) & (place[source] >= tail[head[source]])
+        return block[head[mine]], place[mine], block[head[source]], place[source], same
+
+    def told(held):
+        block, *told = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, begin, end = _deal(block)
+        told = [c[order] for c in told]
+        return record_batch(_ANSWER, [block[order[begin]], *[[c[a:b].tobytes() for a, b in zip(begin, end, strict=True)] for c in told]])
 
     def answers(batches):
+        held, size = [], 0
         for table in group_runs(batches, "bucket"):
             bucket = table.column("bucket").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for at, n in zip(starts.tolist(), np.diff(np.append(starts, bucket.size)).tolist(), strict=True):
-                rows = table.slice(at, n).to_pylist()
-                places = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(
-                    r["places"], decompressed_size=4 * r["size"], codec="zstd", asbytes=True), np.uint32)) for r in rows])
-                sizes = [r["size"] for r in rows]
-                block = np.repeat(np.array([r["block"] for r in rows]), sizes)
-                first_id, last_id, tail = (np.repeat(np.array([r[c] for r in rows]), sizes) for c in ("first_id", "last_id", "tail"))
-                edge = np.zeros((block.size, 16), np.uint8)
-                edge[:, :width] = np.frombuffer(b"".join(r["edges"] for r in rows), np.uint8).reshape(-1, width)
-                low, high = edge.view("<u8").T
-                order = np.argsort(low, kind="stable") if width <= 8 else np.lexsort((high, low))  # rows come by block
-                low, high = low[order], high[order]
-                new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-                source = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                later = np.flatnonzero(block[order] != block[source])
-                if not later.size:
-                    continue
-                mine, source = order[later], source[later]
-                by_block = np.lexsort((places[mine], block[mine]))
-                mine, source = mine[by_block], source[by_block]
-                cuts = np.flatnonzero(np.diff(block[mine])) + 1
-                same = (last_id[source] == first_id[mine]) & (places[source] >= tail[source])
-                out = [(int(block[m[0]]), places[m].astype(np.uint32).tobytes(), block[s].tobytes(), places[s].astype(np.uint32).tobytes(), e.tobytes())
-                       for m, s, e in zip(np.split(mine, cuts), np.split(source, cuts), np.split(same, cuts), strict=True)]
-                yield record_batch(_ANSWER, [list(c) for c in zip(*out, strict=True)])
+                found = met(table.slice(at, n))
+                if found[0].size:
+                    held.append(found)
+                    size += found[0].size
+                if size >= _AT_ONCE:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
 
     entry = blocks.mapInArrow(entries, _ENTRY_DDL)
-    return settled(entry.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answers, _ANSWER_DDL))
+    return settled(entry.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answers, _ANSWER_DDL))
 
 
 def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) -> DataFrame:
     """Rows of documents (what is left of each) and rows of spans (a start, and the source of the path)."""
     def rows(batches):
-        for row in each_row(batches):
+        for row, told in _with_list(batches, "answers"):
             words = _words(row)
             edges = _Edges(words, window, seed)
             home = words.texts
@@ -178,12 +254,9 @@ def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) ->
             same = np.zeros(edges.first.size, bool)
             ids, none = _ids(row)
             place = edges.at[edges.first]
-            group_at = np.argsort(place)
-            for a in row["answers"] or ():
-                group = group_at[np.searchsorted(place[group_at], np.frombuffer(a["places"], np.uint32))]
-                owner[group] = np.frombuffer(a["owners"], np.int64)
-                source[group] = np.frombuffer(a["sources"], np.uint32)
-                same[group] = np.frombuffer(a["same"], bool)
+            if told is not None:
+                group = np.searchsorted(place, _joined(told[0], np.uint32))
+                owner[group], source[group], same[group] = (_joined(c, t) for c, t in zip(told[1:], (np.int64, np.uint32, bool), strict=True))
             owner, source, same = owner[edges.group], source[edges.group], same[edges.group]
             first, own = place[edges.group], home[edges.at]
             outside = (owner >= 0) & ~(same & (ids[own] == ids[0]))
@@ -201,8 +274,7 @@ def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) ->
             n_words = np.diff(words.first)
             digests = [hashlib.sha256(kept[kept_at[a] : max(kept_at[b] - 1, kept_at[a])]).hexdigest()
                        for a, b in zip(n_kept[:-1], n_kept[1:], strict=True)]
-            none = [None] * n_words.size
-            yield record_batch(_OUT, [row["doc_ids"], n_words, n_words - np.diff(n_kept), digests, none, none, none, none])
+            yield record_batch(_OUT, [row["doc_ids"], n_words, n_words - np.diff(n_kept), digests, *[pa.nulls(n_words.size, t) for t in _OUT.types[4:]]])
 
             # paths: edges that follow one another here and at their source
             if at.size:
@@ -210,14 +282,14 @@ def _resolved(blocks: DataFrame, answers: DataFrame, window: int, seed: int) ->
                 begin = np.concatenate([[0], cut])
                 length = np.diff(np.append(begin, at.size)) + window - 1
                 text, text_at = words.joined()
-                found = []
-                for i, n in zip(begin.tolist(), length.tolist(), strict=True):
-                    span = text[text_at[at[i]] : text_at[at[i] + n]]
-                    s, local = source[i], owner[i] == row["block"]
-                    sound = local and text[text_at[s] : text_at[s + n]] == span
-                    found.append((row["doc_ids"][home[at[i]]], n, None, None, at[i] - words.first[home[at[i]]], owner[i], s,
-                                  b"" if sound else hashlib.blake2b(span, digest_size=16).digest()))
-                yield record_batch(_OUT, [list(c) for c in zip(*found, strict=True)])
+                at, owner, source = at[begin], owner[begin], source[begin]
+                local = owner == row["block"]
+                here, there = np.where(local, source, 0), np.where(local, source + length, 0)
+                bounds = [text_at[x].tolist() for x in (at, at + length, here, there)]
+                checks = [b"" if d and text[c:d] == text[a:b] else hashlib.blake2b(text[a:b], digest_size=16).digest()
+                          for a, b, c, d in zip(*bounds, strict=True)]
+                doc = home[at]
+                yield record_batch(_OUT, [ids[doc], length, *[pa.nulls(at.size, t) for t in _OUT.types[2:4]], at - words.first[doc], owner, source, checks])
 
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("places", "owners", "sources", "same")).alias("answers"))
     return settled(blocks.join(per_block, "block", "left").mapInArrow(rows, _OUT_DDL))
@@ -232,17 +304,16 @@ def _paths(blocks: DataFrame, resolved: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("n_spans", pa.int64()), ("sound", pa.bool_())])
 
     def rows(batches):
-        for row in each_row(batches):
-            words = _words(row)
+        for row, (source, size, digest, n_spans) in _with_list(batches, "asked"):
+            words = _words(row, hashes=False)
             text, at = words.joined()
-            home, out = words.texts, []
-            for r in row["asked"]:
-                s, n = r["source"], r["n_words"]
-                d = home[s]
-                sound = s + n <= words.first[d + 1] and r["digest"] in (
-                    b"", hashlib.blake2b(text[at[s] : at[s + n]], digest_size=16).digest())
-                out.append((row["doc_ids"][d], s - words.first[d], n, r["n_spans"], bool(sound)))
-            yield record_batch(schema, [list(c) for c in zip(*out, strict=True)])
+            source, size = source.to_numpy(), size.to_numpy()
+            doc = words.texts[source]
+            within = source + size <= words.first[doc + 1]
+            bounds = at[source].tolist(), at[np.where(within, source + size, source)].tolist()
+            sound = [w and x in (b"", hashlib.blake2b(text[a:b], digest_size=16).digest())
+                     for w, x, a, b in zip(within.tolist(), digest.to_pylist(), *bounds, strict=True)]
+            yield record_batch(schema, [_ids(row)[0][doc], source - words.first[doc], size, n_spans, sound])
 
     spans = resolved.where("start is not null")
     asked = spans.groupBy("owner", "source", "n_words", "digest").agg(F.count(F.lit(1)).alias("n_spans"))
@@ -331,7 +402,7 @@ def compacted_paths(docs: DataFrame, window: int = 13, bucket_bytes: int = 2 <<
 
     def pieces(batches):
         for row in each_row(batches):
-            words = _words(row)
+            words = _words(row, hashes=False)
             first, last = _source_runs(words, row["asked"], window)
             cuts = np.sort(np.array(row["cuts"] or [], np.int64))
             begin = np.sort(np.concatenate([first, cuts]))

@@ -23,10 +23,14 @@ _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    """Powers of ``base`` modulo 2**64, from the first to the n-th."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first n powers of ``base`` modulo 2**64; those known times one more power give as many again."""
+    out = np.ones(n, np.uint64)
+    known = 1
+    while known < n:
+        more = out[known : 2 * known]
+        np.multiply(out[: more.size], np.uint64(pow(int(base), known, 1 << 64)), out=more)
+        known *= 2
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,10 +87,10 @@ def spans(texts: pa.Array | list, separators: np.ndarray, lower: bool = False):
     return buf, np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), np.cumsum([0, *[len(x) + 1 for x in raw]])
 
 
-def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False) -> Words:
-    """The words of each text; null has none."""
+def scan(texts: pa.Array | list, separators: np.ndarray, lower: bool = False, hashes: bool = True) -> Words:
+    """The words of each text; null has none. Without ``hashes`` words have none."""
     buf, starts, ends, begins = spans(texts, separators, lower)
-    return Words(buf, starts, ends, np.searchsorted(starts, begins), hashed(buf, starts, ends))
+    return Words(buf, starts, ends, np.searchsorted(starts, begins), hashed(buf, starts, ends) if hashes else np.zeros(0, np.uint64))
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

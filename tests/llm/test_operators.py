@@ -615,6 +615,31 @@ def _unitigs(rows, window):
     return set(out)
 
 
+def test_census_rows_do_not_grow_with_blocks_times_buckets(spark, corpus, texts, monkeypatch):
+    """A task sends a bucket one row for many blocks, and a block one answer for many buckets; held and dealt in parts, the result stays."""
+    cut = substring_dedup.slices
+    monkeypatch.setattr(substring_dedup, "slices", lambda batches: cut(batches, limit=700))
+    blocks = substring_dedup._blocks(corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    answers = substring_dedup._census(blocks, 13, 0, 64, 8)
+    answered, n, tasks = answers.select("block").distinct().count(), answers.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert answered > 20 and n <= answered * tasks
+    monkeypatch.setattr(substring_dedup, "_TOGETHER", 300)
+    monkeypatch.setattr(substring_dedup, "_AT_ONCE", 100)
+    assert by_id(substring_dedup.deduplicate(corpus), "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(list(texts.items()))
+
+
+@pytest.mark.parametrize(("n", "low", "high", "shift"), [(0, 5, 5, 0), (1, 5, 5, 0), (1000, 30, 3, 0), (1000, 30, 3, 50), (5000, 1 << 62, 2, 0), (5000, 900, 1, 40)])
+def test_alike_numbers_groups_as_they_come(n, low, high, shift):
+    """Also keys that share one half, or only the bits that are sorted first."""
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(0, low, n, dtype=np.uint64) << np.uint64(shift), rng.integers(0, high, n, dtype=np.uint64)
+    a[n // 2:] = a[:n - n // 2]
+    group, first = substring_dedup.alike(a, b)
+    seen = {}
+    want = [seen.setdefault(k, (len(seen), i)) for i, k in enumerate(zip(a.tolist(), b.tolist(), strict=True))]
+    assert list(zip(group.tolist(), first[group].tolist(), strict=True)) == want and first.size == len(seen)
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 300])
 def test_compacted_paths(spark, monkeypatch, limit):
     """Passages that split and meet again, whose parts have their first places in different documents."""
