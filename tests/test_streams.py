@@ -200,3 +200,18 @@ def test_a_slice_is_a_batch(spark, tmp_path):
     stream.writeStream.foreachBatch(lambda batch, _: batches.append(sorted(r.i for r in batch.collect()))).option(
         "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert batches == [[0, 1], [2], [], [6], [9], [11]]
+
+
+def test_state_of_a_stream_is_on_disk(spark, tmp_path):
+    """State in the heap grows with a month of rows and a batch; the session keeps its own settings."""
+    before = {key: spark.conf.get(key, None) for key in streams.ON_DISK}
+    schema = "symbol string, date date, source string, fetched_at timestamp, close decimal(18,6)"
+    rows = spark.createDataFrame([(f"S{i % 5}", date(2024, 1, 2 + i // 10), "a" if i % 10 < 5 else "b", None, None) for i in range(40)], schema)
+    rows.withColumn("close", F.lit(1).cast("decimal(18,6)")).coalesce(1).write.parquet(f"{tmp_path}/raw")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/raw")
+    query = streams.drain_updates(streams.stream_consensus(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    operators = query.recentProgress[0]["stateOperators"]
+    assert len(operators) == 2 and all(any(k.startswith("rocksdb") for k in op["customMetrics"]) for op in operators)
+    assert {key: spark.conf.get(key, None) for key in streams.ON_DISK} == before
+    assert streams.newest_updates(spark, f"{tmp_path}/out", ["symbol", "date"], ["consensus_close"]).count() == 20
